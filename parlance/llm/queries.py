@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.llm.common import table
 from parlance.llm.sharding import shuffle_to_shards
+from parlance.llm.simhash import near_duplicates
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -17,4 +19,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_to_shards(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding,)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"), 3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op10_simhash)}
