@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.llm.bpe import encode_and_decode
 from parlance.llm.common import table
+from parlance.llm.decontam import contamination
 from parlance.llm.sharding import shuffle_to_shards
 from parlance.llm.simhash import near_duplicates
 
@@ -19,9 +21,37 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_to_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages of 10 words or more in every document."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLE_SQL["op4_decontamination"] = r"""
+with letters as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as u, 'abcdefghijklmnopqrstuvwxyz' as l),
+docs as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents, letters),
+items as (select distinct item_id, regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark, letters),
+sized as (select item_id, w, least(10, len(w)) as n from items where len(w) > 0),
+wins as (select distinct item_id, n, array_to_string(w[s + 1 : s + n], ' ') as k from (select item_id, w, n, unnest(range(0, len(w) - n + 1)) as s from sized)),
+spans as (select rid, w, n, unnest(range(0, len(w) - n + 1)) as s from docs, (select distinct n from wins) where len(w) >= n),
+hits as (select distinct rid, item_id, n, s from (select rid, n, s, array_to_string(w[s + 1 : s + n], ' ') as k from spans) join wins using (n, k)),
+places as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(s, s + n)) as p from hits) group by rid),
+who as (select rid, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct rid, cast(item_id as varchar) as i from hits) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from docs left join places using (rid) left join who using (rid)"""
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with a byte-level vocabulary of 50,257 tokens."""
+    import public_tokenizers
+
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), 3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op10_simhash)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op4_decontamination, op5_bpe, op10_simhash)}
