@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from parlance.llm.bpe import encode_and_decode
 from parlance.llm.common import table
 from parlance.llm.decontam import contamination
+from parlance.llm.langid import identify
 from parlance.llm.sharding import shuffle_to_shards
 from parlance.llm.simhash import near_duplicates
+from parlance.llm.toxicity import score_documents
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -49,9 +51,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from at most 400 documents of each."""
+    return identify(table(spark, sf_dir, "documents"), 400)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from at most 3000 labelled documents of each class."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 3000)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), 3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op4_decontamination, op5_bpe, op10_simhash)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op4_decontamination, op5_bpe, op6_language, op9_toxicity, op10_simhash)}
