@@ -1,15 +1,62 @@
-"""Corpus cleaning in stages, each a training-data operator applied to what the stage before kept."""
+"""Corpus cleaning in stages, each a training-data operator applied to what the stage before kept.
+
+toxicity and language ID drop the documents they reject, near-duplicate removal keeps one document
+of each group, decontamination drops documents with a benchmark passage, and the last stage encodes
+what is left. All but the last return the columns they got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.llm import langid, toxicity
+from parlance.llm.bpe import encode_and_decode
+from parlance.llm.common import stored, table
+from parlance.llm.decontam import drop_contaminated
+from parlance.llm.simhash import drop_near_duplicates
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.toxicity_score(F.col("text"), model) < 0.5)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found."""
+    model = langid.train(docs)
+    return docs.where(langid.guess(F.col("text"), model)["lang"] != langid.UNKNOWN)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return drop_near_duplicates(docs, 3)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), 10)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    import public_tokenizers
+
+    return encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("language", keep_known_languages), ("near duplicates", drop_copies), ("decontamination", drop_leaks), ("encoding", encode)]
 
-STAGES: list = []
+#: models and fingerprints are beyond SQL; tests hold run() against a plain version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each stored before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name.replace(' ', '-')}")
     return docs
