@@ -47,3 +47,11 @@ def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() does just that to ASCII texts; only others take the slower translate()."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
+
+
+SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a count shows at most SMALL rows; its rows must be short."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

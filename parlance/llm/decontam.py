@@ -15,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ascii_lower, sha256_text, stored
+from parlance.llm.common import ascii_lower, sha256_text, small, stored
 
 #: a word after A-Z are lower-cased is ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``; this is the same before
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-SMALL = 200_000
 NO_ID = -(1 << 63)
 
 
@@ -34,11 +33,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("h"), "text")
 
 
-def _hint(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it has at most SMALL rows, each a few short columns."""
-    return F.broadcast(df) if len(df.limit(SMALL + 1).agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).take(1)) else df
-
-
 def item_words(items: DataFrame) -> DataFrame:
     """(item_id, words) of the items (item_id, text) that have words; repeated rows once."""
     return items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
@@ -47,7 +41,7 @@ def item_words(items: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Stored postings (term, did, h, pos) of ``terms`` (term) in ``docs`` (doc_id, text); pos counts words from 0."""
     tokens = _keyed(docs).select("did", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return stored(tokens.join(_hint(terms.distinct()), "term").select("term", "did", "h", "pos"), "postings")
+    return stored(tokens.join(small(terms.distinct()), "term").select("term", "did", "h", "pos"), "postings")
 
 
 def lookup_slots(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -73,12 +67,14 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     items = stored(items, "items")
     index = build_index(docs, items.select(F.explode("words").alias("term")))
     slots = stored(lookup_slots(index, items, window), "slots")
-    on = index.join(_hint(slots), "term").select("item_id", "did", "h", (F.col("pos") - F.col("offset")).alias("diag"), "offset", "alone")
+    on = index.join(small(slots), "term").select("item_id", "did", "h", (F.col("pos") - F.col("offset")).alias("diag"), "offset", "alone")
     found = on.groupBy("item_id", "did", "h", "diag").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"), F.max("alone").alias("alone")).where("lo < hi or alone")
     found = stored(found.select("item_id", "did", "h", "diag"), "alignments")
     lists = found.groupBy("did", "h").agg(F.collect_list(F.struct("item_id", "diag")).alias("at"))
-    texts = _keyed(docs).select("did", "h", "text").join(lists, ["did", "h"]).select("did", "h", words_of(F.col("text")).alias("doc"), F.explode(F.array_distinct("at")).alias("at"))
-    both = texts.select("did", "h", "doc", F.col("at.item_id").alias("item_id"), F.col("at.diag").alias("diag")).join(_hint(items), "item_id")
+    # the texts of other documents are not shuffled while the documents found are few enough to broadcast
+    keys = small(found.select("did", "h").distinct())
+    texts = _keyed(docs).select("did", "h", "text").join(keys, ["did", "h"], "left_semi").join(lists, ["did", "h"]).select("did", "h", words_of(F.col("text")).alias("doc"), F.explode(F.array_distinct("at")).alias("at"))
+    both = texts.select("did", "h", "doc", F.col("at.item_id").alias("item_id"), F.col("at.diag").alias("diag")).join(small(items), "item_id")
     n = F.size("words")
     size = F.least(n, F.lit(window))
     same = F.transform("words", lambda w, i: F.when(F.col("diag") + i < 0, F.lit(False)).otherwise(F.coalesce(F.get("doc", F.greatest(F.col("diag") + i, F.lit(0))) == w, F.lit(False))))
@@ -98,7 +94,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20) -> Data
     terms = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(freq, "term")
     rank = Window.partitionBy("item_id").orderBy("freq", "term")
     two = terms.withColumn("r", F.row_number().over(rank)).where("r <= 2")
-    at = index.join(_hint(two.select("item_id", "term", "r")), "term").withColumn("bin", (F.col("pos") / slop).cast("long"))
+    at = index.join(small(two.select("item_id", "term", "r")), "term").withColumn("bin", (F.col("pos") / slop).cast("long"))
     key = ["item_id", "did", "h", "bin"]
     left = at.where("r = 1").select(*key, F.col("pos").alias("p"))
     right = at.where("r = 2").select("item_id", "did", "h", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("bin"), F.col("pos").alias("q"))
@@ -133,4 +129,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     hit = phrase_matches(docs, item_words(benchmark), window).select(F.col("did").alias("_did"), F.col("h").alias("_h")).distinct()
     hit = stored(hit, "hit-documents")
     same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_did")) & (F.xxhash64("text") == F.col("_h"))
-    return docs.join(hit, same, "left_anti")
+    return docs.join(small(hit), same, "left_anti")
