@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.bpe import encode_and_decode
+from parlance.llm.chat import format_chats
 from parlance.llm.common import table
 from parlance.llm.decontam import contamination
 from parlance.llm.langid import identify
 from parlance.llm.sharding import shuffle_to_shards
 from parlance.llm.simhash import near_duplicates
 from parlance.llm.toxicity import score_documents
+from parlance.llm.urls import judge
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -23,6 +25,49 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_to_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations that are no snapshots of longer ones, rendered."""
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op2_chat"] = r"""
+with t as (select distinct conv_id, turn, role, text from conversations),
+c as (select conv_id, list((role, text) order by turn) as l from t group by conv_id),
+u as (select l, min(conv_id) as conv_id, count(*) as n_copies from c group by l),
+k as (select conv_id, n_copies, l from u where not exists (select 1 from c where len(c.l) > len(u.l) and c.l[1] = u.l[1] and c.l[1 : len(u.l)] = u.l))
+select conv_id, 0 as segment, cast(len(l) as bigint) as n_turns, n_copies,
+  array_to_string(list_transform(l, lambda x: '<|im_start|>' || coalesce(x[1], '') || chr(10) || coalesce(x[2], '') || '<|im_end|>' || chr(10)), '') as text
+from k"""
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rules and by its host's reputation."""
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op3_urls"] = r"""
+with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+lab as (select doc_id, max(cast(quality = 0 or toxic = 1 as int)) as bad from labels where doc_id is not null group by doc_id),
+o as (select host, bad from p left join lab on lab.doc_id = try_cast(nullif(regexp_extract(path, '^/[^/]*/([0-9]{1,18})', 1), '') as bigint)),
+h as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix from o group by host),
+d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all),
+s as (select suffix, sum(n) as n, sum(bad) as bad from d group by suffix),
+e as (select sum(n) as pn, sum(bad) as pbad from s),
+lv as (select 's' as lv, n, bad, pn, pbad from s, e union all select 'd', d.n, d.bad, s.n, s.bad from d join s using (suffix) union all select 'h', h.n, h.bad, d.n, d.bad from h join d using (domain)),
+m as (select lv, sum(n * pow(bad / n - pbad / pn, 2)) - sum(pbad / pn * (1 - pbad / pn) * (1 - n / pn)) as excess, sum(n - n * n / pn) as room, avg(pbad / pn * (1 - pbad / pn)) as var from lv where n > 0 group by lv),
+k as (select lv, greatest(1, least(1000, case when room > 0 and excess / room > 0 then var / (excess / room) - 1 else 1000 end)) as k from m),
+ks as (select coalesce(max(k) filter (lv = 's'), 1000) as s, coalesce(max(k) filter (lv = 'd'), 1000) as d, coalesce(max(k) filter (lv = 'h'), 1000) as h from k),
+ms as (select suffix, (bad + ks.s * case when pn > 0 then pbad / pn else 0.5 end) / (n + ks.s) as m from s, e, ks),
+md as (select domain, (bad + ks.d * m) / (n + ks.d) as m from d join ms using (suffix), ks),
+ab as (select host, bad + ks.h * m as a, n - bad + ks.h * (1 - m) as b from h join md using (domain), ks),
+bo as (select host, a / (a + b) - 1.645 * sqrt(a * b / (a + b) / (a + b) / (a + b + 1)) as bound from ab),
+r as (select * from (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')) as v(rule, rh, rp, says)),
+q as (select host, path, arg_max(rule, len(rule)) as rule, arg_max(says, len(rule)) as says from (select distinct host, path from p) join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path)
+select page_id, p.host, p.path, rule, coalesce(says, case when bound > 0.3 then 'block' else 'allow' end) as verdict
+from p join bo using (host) left join q on q.host = p.host and q.path = p.path"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages of 10 words or more in every document."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
@@ -66,4 +111,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op4_decontamination, op5_bpe, op6_language, op9_toxicity, op10_simhash)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op2_chat, op3_urls, op4_decontamination, op5_bpe, op6_language, op9_toxicity, op10_simhash)}
