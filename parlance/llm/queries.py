@@ -12,8 +12,10 @@ from parlance.llm.chat import format_chats
 from parlance.llm.common import table
 from parlance.llm.decontam import contamination
 from parlance.llm.langid import identify
+from parlance.llm.minhash import fingerprint_documents
 from parlance.llm.sharding import shuffle_to_shards
 from parlance.llm.simhash import near_duplicates
+from parlance.llm.sitetree import extract
 from parlance.llm.toxicity import score_documents
 from parlance.llm.urls import judge
 
@@ -101,6 +103,16 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), 400)
 
 
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and of its edited text, and their likeness."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from at most 3000 labelled documents of each class."""
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 3000)
@@ -111,4 +123,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op2_chat, op3_urls, op4_decontamination, op5_bpe, op6_language, op9_toxicity, op10_simhash)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op2_chat, op3_urls, op4_decontamination, op5_bpe, op6_language, op7_extraction, op8_minhash, op9_toxicity, op10_simhash)}
