@@ -111,7 +111,7 @@ class ByteBpe:
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """For each text: the number of ids, the ids joined by commas, the decoded bytes."""
         cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut) - self.known.keys() - self.special.keys()
+        new = {p for p in set().union(*cut) if p not in self.known and p not in self.special}
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = set().union(*cut) - self.special.keys()

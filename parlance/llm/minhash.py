@@ -44,8 +44,9 @@ class Hasher:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, text: str) -> np.ndarray:
