@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in ("event_queries", "dialogue_queries", "document_queries", "table_queries", "file_queries", "stream_queries"):
+        import_module(f"parlance.plans.{name}")
