@@ -67,9 +67,9 @@ def features(text: str | None) -> np.ndarray | None:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 8.0, passes: int = 12, seed: int = 3) -> np.ndarray:
     """Weights, the bias last, of the hinge-loss machine, by dual coordinate descent; classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     cap = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
-    norm, alpha, w = (x**2).sum(1), np.zeros(len(y)), np.zeros(x.shape[1])
+    norm, alpha, w = np.einsum("ij,ij->i", x, x), np.zeros(len(y)), np.zeros(x.shape[1])
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         for i in rng.permutation(len(y)):
@@ -151,7 +151,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str,
     rows = sorted(chosen.mapInArrow(vectors, f"doc_id {kind}, lang string, x binary").where("x is not null").collect(), key=lambda r: r["doc_id"])
     if not rows:
         return FamilyTree()
-    return FamilyTree.fit(np.stack([np.frombuffer(r["x"], np.float32).astype(float) for r in rows]), [r["lang"] for r in rows], families)
+    return FamilyTree.fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows], families)
 
 
 def guess(text: Column, model: FamilyTree) -> Column:

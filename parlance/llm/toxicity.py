@@ -51,7 +51,7 @@ class FactorizationMachine:
         s = x @ self.v
         return self.bias + x @ self.w + 0.5 * ((s**2).sum(1) - x @ (self.v**2).sum(1)), s
 
-    def fit(self, rows: list[set[int]], y: np.ndarray, prior: float, epochs: int = 40, seed: int = 5) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 40, seed: int = 5) -> FactorizationMachine:
         """Keep the buckets that chi-square finds to tell the classes apart, then Adam on the log loss with decay; the bias is moved to ``prior``."""
         n, pos = len(rows), int(y.sum())
         if not n or pos in (0, n):
@@ -60,18 +60,20 @@ class FactorizationMachine:
         seen = np.zeros(BUCKETS)
         hits = np.zeros(BUCKETS)
         for r, label in zip(rows, y):
-            at = np.fromiter(r, np.int64, len(r))
-            seen[at] += 1
-            hits[at] += label
+            seen[r] += 1
+            hits[r] += label
         expected = seen * pos / n
         with np.errstate(divide="ignore", invalid="ignore"):
             chi2 = (hits - expected) ** 2 / (expected * (1 - pos / n) * np.maximum(1 - seen / n, 1e-9))
         good = np.flatnonzero((seen >= LEAST_DOCS) & (chi2 >= LEAST_CHI2))
         good = good[np.lexsort((good, -chi2[good]))][:FEATURES]
         self.index = {int(b): i for i, b in enumerate(good)}
-        x = np.zeros((n, len(good)))
+        column = np.full(BUCKETS, -1, np.int32)
+        column[good] = np.arange(len(good))
+        x = np.zeros((n, len(good)), bool)
         for i, r in enumerate(rows):
-            x[i, [self.index[b] for b in r if b in self.index]] = 1.0
+            at = column[r]
+            x[i, at[at >= 0]] = True
         rng = np.random.default_rng(seed)
         self.w, self.v = np.zeros(len(good)), rng.normal(0, 0.03, (len(good), FACTORS))
         params = [np.zeros(1), self.w, self.v]
@@ -80,7 +82,7 @@ class FactorizationMachine:
         for _ in range(epochs):
             order = rng.permutation(n)
             for i in range(0, n, 256):
-                xb, yb = x[order[i : i + 256]], y[order[i : i + 256]]
+                xb, yb = x[order[i : i + 256]].astype(float), y[order[i : i + 256]]
                 self.bias = float(params[0][0])
                 m, s = self.margins(xb)
                 g = (1 / (1 + np.exp(-np.clip(m, -40, 40))) - yb) / len(yb)
@@ -134,13 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fac
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([sorted(text_buckets(t)) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "toxic", "on"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([np.array(sorted(text_buckets(t)), np.int32).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "toxic", "on"])
 
-    # at most 2 * per_class ids are broadcast, and as many lists of buckets come back
+    # at most 2 * per_class ids are broadcast, and as many arrays of buckets come back
     chosen = docs.select("doc_id", "text").join(F.broadcast(pick.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sorted(chosen.dropDuplicates(["doc_id"]).mapInArrow(features, f"doc_id {kind}, toxic int, on array<int>").collect(), key=lambda r: r["doc_id"])
-    return FactorizationMachine().fit([set(r["on"]) for r in rows], np.array([r["toxic"] for r in rows], float), prior)
+    rows = sorted(chosen.dropDuplicates(["doc_id"]).mapInArrow(features, f"doc_id {kind}, toxic int, on binary").collect(), key=lambda r: r["doc_id"])
+    return FactorizationMachine().fit([np.frombuffer(r["on"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], float), prior)
 
 
 def toxicity_score(text: Column, model: FactorizationMachine) -> Column:
