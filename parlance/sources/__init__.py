@@ -1 +1 @@
-
+"""Readers and writers of session files."""
