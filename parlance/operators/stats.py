@@ -107,30 +107,30 @@ def spearman_test(df: DataFrame, x: str, y: str, alpha: float = 0.01) -> DataFra
 def random_intercept_ml(df: DataFrame, y: str, xs: Sequence[str], group: str) -> dict:
     """Maximum-likelihood fit of y = intercept + xs + group effect + residual: coefs, se, group and residual variance, logLik, n.
 
-    Groups enter by their sums of products only: one aggregate over all rows, then, for a ratio of
-    variances, sums over groups again in Spark. The search over the ratio is on a grid that is refined.
+    Groups enter by their sums only, and for any ratio of variances groups of one size enter alike;
+    so rows are summed by group and groups by size in Spark. There are at most about the square root
+    of twice the number of rows in sizes, which is what the search over the ratio sees.
     """
     cols = ["_1", *xs, y]
     rows = df.select(group, F.lit(1.0).alias("_1"), *[F.col(c).cast("double").alias(c) for c in (*xs, y)]).dropna()
     k = len(cols)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    per = rows.groupBy(group).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)], *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs]).cache()
+    per = rows.groupBy(group).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)], *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs])
+    sizes = per.groupBy("n").agg(F.count("*").alias("groups"), *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"q{i}_{j}") for i, j in pairs]).toPandas()
+    n_rows = int((sizes["n"] * sizes["groups"]).sum())
 
     def fits(ratios: Sequence[float]) -> list[tuple[float, np.ndarray, np.ndarray, float, float]]:
-        aggs = []
-        for r, ratio in enumerate(ratios):
-            shrink = F.lit(ratio) / (1 + F.lit(ratio) * F.col("n"))
-            aggs += [F.sum(F.col(f"p{i}_{j}") - shrink * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"a{r}_{i}_{j}") for i, j in pairs] + [F.sum(F.log(1 + F.lit(ratio) * F.col("n"))).alias(f"d{r}")]
-        one = per.agg(F.sum("n").alias("n"), *aggs).first()
         out = []
-        for r, ratio in enumerate(ratios):
+        for ratio in ratios:
+            shrink = ratio / (1 + ratio * sizes["n"].to_numpy(float))
             m = np.zeros((k, k))
             for i, j in pairs:
-                m[i, j] = m[j, i] = one[f"a{r}_{i}_{j}"]
-            xtx, xty, yty, n = m[:-1, :-1], m[:-1, -1], m[-1, -1], one["n"]
+                m[i, j] = m[j, i] = (sizes[f"p{i}_{j}"] - shrink * sizes[f"q{i}_{j}"]).sum()
+            xtx, xty, yty = m[:-1, :-1], m[:-1, -1], m[-1, -1]
             beta = np.linalg.solve(xtx, xty)
-            sigma2 = float(yty - beta @ xty) / n
-            out.append((-0.5 * (n * math.log(2 * math.pi * sigma2) + one[f"d{r}"] + n), beta, np.sqrt(sigma2 * np.diag(np.linalg.inv(xtx))), sigma2, ratio))
+            sigma2 = float(yty - beta @ xty) / n_rows
+            logdet = float((sizes["groups"] * np.log1p(ratio * sizes["n"])).sum())
+            out.append((-0.5 * (n_rows * math.log(2 * math.pi * sigma2) + logdet + n_rows), beta, np.sqrt(sigma2 * np.diag(np.linalg.inv(xtx))), sigma2, ratio))
         return out
 
     grid = [0.0, *np.exp(np.linspace(-9, 5, 24))]
@@ -141,10 +141,8 @@ def random_intercept_ml(df: DataFrame, y: str, xs: Sequence[str], group: str) ->
         grid = list(np.linspace(lo, hi, 16)) + [grid[best]]
         grid.sort()
     loglik, beta, se, sigma2, ratio = max(fits(grid), key=lambda f: f[0])
-    n = per.agg(F.sum("n").alias("n")).first()["n"]
-    per.unpersist()
     names = ["(intercept)", *xs]
-    return {"coefs": dict(zip(names, map(float, beta))), "se": dict(zip(names, map(float, se))), "group_var": ratio * sigma2, "residual_var": sigma2, "loglik": loglik, "n": n, "params": k + 1}
+    return {"coefs": dict(zip(names, map(float, beta))), "se": dict(zip(names, map(float, se))), "group_var": ratio * sigma2, "residual_var": sigma2, "loglik": loglik, "n": n_rows, "params": k + 1}
 
 
 def lr_test(small: dict, large: dict) -> dict:

@@ -1 +1,123 @@
-"""To come."""
+"""Queries that write tables as session files and read them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.plans import query
+from parlance.plans.bindings import CONVERSATIONS_SQL, EVENTS_SQL, conversations, events
+from parlance.sources import records, tables, text, transcripts
+from parlance.sources.scratch import scratch
+
+C, E = f"with {CONVERSATIONS_SQL}", f"with {EVENTS_SQL}"
+
+
+def event_records(spark, sf):
+    time = F.timestamp_add("MICROSECOND", F.col("time"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return events(spark, sf).select(F.lit("model.Event").alias("class"), F.concat(F.lit("e."), F.col("line")).alias("event_id"), F.col("name").alias("event_name"), F.col("sender").alias("event_sender"), F.date_format(time, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"), F.col("game").cast("string").alias("GAME_ID"), F.struct(F.col("entity").alias("pieceId")).alias("SELECTION"))
+
+
+@query("s05_event_log_lines", f"{E} select cast(game as varchar) as game_id, count(*) as n, min(entity) as least_piece from e group by game")
+def event_log_lines(spark, sf):
+    path = scratch(spark, "logs")
+    event_records(spark, sf).repartition("GAME_ID").write.partitionBy("GAME_ID").json(path)
+    log = records.read_event_log(spark, path, "*.json")
+    game = F.regexp_extract("path", "GAME_ID=([^/]*)", 1)
+    return log.groupBy(game.alias("game_id")).agg(F.count("*").alias("n"), F.min("selection.pieceId").alias("least_piece"))
+
+
+@query("s06_decode_events", f"{E} select line as line_no, time, name, sender, entity as piece from e")
+def decode_events(spark, sf):
+    from parlance.functions.values import micros
+
+    path = scratch(spark, "logs")
+    records.write_event_log(event_records(spark, sf), path)
+    return records.read_large_log(spark, path).select("line_no", micros(F.col("time")).alias("time"), "name", "sender", F.col("selection.pieceId").alias("piece"))
+
+
+@query("s07_write_event_log", f"{E} select name, count(*) as n from e where sender = 'p1' group by name")
+def write_event_log(spark, sf):
+    path = scratch(spark, "logs")
+    records.write_event_log(event_records(spark, sf).where("event_sender = 'p1'"), path)
+    return records.read_large_log(spark, path).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def segments(spark, sf):
+    c = conversations(spark, sf)
+    return c.select(F.concat_ws("-", F.lit("s"), "dyad", F.col("start").cast("int")).alias("id"), F.col("start").cast("float").alias("start"), F.col("end").cast("float").alias("end"), F.concat(F.lit("src-"), "speaker").alias("source"), F.lit("t1").alias("track"), "tokens")
+
+
+@query("s08_transcripts", f"{C} select 's-' || dyad || '-' || cast(start as int) as id, cast(start as float) as start, 'src-' || speaker as source, array_to_string(tokens, ' ') as tokens from c")
+def transcripts_(spark, sf):
+    path = scratch(spark, "annotation")
+    transcripts.write_annotation(segments(spark, sf), path)
+    return transcripts.read_segments(spark, path).select("id", "start", "source", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("s28_segment_strings", f"{C} select 's-' || dyad || '-' || cast(start as int) as id, array_to_string(tokens, ' ') as text from c where len(tokens) > 0")
+def segment_strings(spark, sf):
+    return transcripts.segment_strings(segments(spark, sf))
+
+
+@query("u03_merge_annotations", f"{C} select 's-' || dyad || '-' || cast(start as int) as id, cast(start as float) as start from c where speaker = 'user' union all select 'b-s-' || dyad || '-' || cast(start as int), cast(start as float) from c where speaker <> 'user'")
+def merge_annotations(spark, sf):
+    s = segments(spark, sf)
+    return transcripts.merge_annotations(s.where("source = 'src-user'"), s.where("source <> 'src-user'"), "b-").select("id", "start")
+
+
+@query("j08_map_speakers", f"{C} select dyad as session, start, upper(speaker) as speaker from c")
+def map_speakers(spark, sf):
+    c = conversations(spark, sf).select(F.col("dyad").alias("session"), "start", F.concat(F.lit("src-"), "speaker").alias("source"))
+    players = c.select("session", F.col("source").alias("source_id")).distinct().withColumn("player_id", F.upper(F.substring("source_id", 5, 99)))
+    return transcripts.map_speakers(c, players).select("session", "start", "speaker")
+
+
+@query("s11_events_table", f"{E} select cast(line as int) as event, cast(time / 1000000 as decimal(20, 6)) as time, name, nullif(entity, 7) as entity from e")
+def events_table(spark, sf):
+    e = events(spark, sf)
+    blank = [F.lit(None).cast(t.split(" ")[1]).alias(t.split(" ")[0]) for t in tables.EVENTS.split(", ")]
+    have = {"EVENT": F.col("line").cast("int"), "TIME": (F.col("time") / 1000000).cast("decimal(20,6)"), "NAME": F.col("name"), "ENTITY": F.nullif("entity", F.lit(7))}
+    path = scratch(spark, "events")
+    tables.write_tsv(e.select(*[have[n].alias(n) if (n := t.split(" ")[0]) in have else b for t, b in zip(tables.EVENTS.split(", "), blank)]), path)
+    return tables.read_events(spark, path).select(F.col("EVENT").alias("event"), F.col("TIME").alias("time"), F.col("NAME").alias("name"), F.col("ENTITY").alias("entity"))
+
+
+@query("u02_cat_utts", f"{C} select speaker, cast(start as float) as start, array_to_string(tokens, ' ') as tokens from c where len(tokens) > 0 union all select speaker, cast(start as float), array_to_string(tokens, ' ') from c where len(tokens) > 0 and speaker = 'user'")
+def cat_utts(spark, sf):
+    c = conversations(spark, sf).where(F.size("tokens") > 0).select(F.col("round").cast("int").alias("ROUND"), F.col("speaker").alias("SPEAKER"), F.lit(None).cast("string").alias("DIALOGUE_ROLE"), F.col("start").cast("float").alias("START_TIME"), F.col("end").cast("float").alias("END_TIME"), F.col("tokens").alias("TOKENS"))
+    one, two = scratch(spark, "utts"), scratch(spark, "utts")
+    tables.write_tsv(c, one)
+    tables.write_tsv(c.where("SPEAKER = 'user'"), two)
+    return tables.cat_utts(spark, [one, two]).select(F.col("SPEAKER").alias("speaker"), F.col("START_TIME").alias("start"), F.col("TOKENS").alias("tokens"))
+
+
+@query("s15_event_utts", f"{C} select dyad, cast(start as float) as start, array_to_string(list_sort(list_distinct(tokens)), ' ') as types from c where len(tokens) > 0")
+def event_utts(spark, sf):
+    path = scratch(spark, "reference-utts")
+    tables.write_tsv(conversations(spark, sf).where(F.size("tokens") > 0).select(F.col("dyad").alias("DYAD"), F.col("start").cast("float").alias("START_TIME"), F.col("tokens").alias("TOKENS")), path)
+    return tables.read_event_utts(spark, path, "DYAD long, START_TIME float, TOKENS string").select(F.col("DYAD").alias("dyad"), F.col("START_TIME").alias("start"), F.array_join(F.array_sort("TOKEN_TYPES"), " ").alias("types"))
+
+
+@query("s13_session_metadata", f"{C} select cast(dyad as varchar) as session, 'TURNS' as key, cast(count(*) as varchar) as value from c group by dyad union all select cast(dyad as varchar), 'FIRST', arg_min(speaker, start) from c group by dyad")
+def session_metadata(spark, sf):
+    one = conversations(spark, sf).groupBy("dyad").agg(F.count("*").cast("string").alias("TURNS"), F.min_by("speaker", "start").alias("FIRST"))
+    long = one.select("dyad", F.explode(F.map_from_arrays(F.array(F.lit("TURNS"), F.lit("FIRST")), F.array("TURNS", "FIRST"))).alias("key", "value"))
+    path = scratch(spark, "metadata")
+    tables.write_tsv(long, path, ["dyad"], header=False)
+    return tables.read_session_metadata(spark, path).select(F.regexp_extract("session", "dyad=([^/]*)$", 1).alias("session"), "key", "value")
+
+
+@query("s18_s14_participant_metadata", f"{C} select cast(dyad as varchar) as session, 'UTTS' as metadatum, unnest(['user', 'assistant']) as participant, unnest([cast(count(*) filter (speaker = 'user') as varchar), cast(count(*) filter (speaker = 'assistant') as varchar)]) as value from c group by dyad")
+def participant_metadata(spark, sf):
+    wide = conversations(spark, sf).groupBy("dyad").agg(F.lit("UTTS").alias("PARTICIPANT_ID"), *[F.sum((F.col("speaker") == p).cast("int")).alias(p) for p in ("user", "assistant")])
+    path = scratch(spark, "participants")
+    tables.write_tsv(wide, path, ["dyad"])
+    return tables.read_participant_metadata(spark, path, "*.csv").select(F.regexp_extract("session", "dyad=([^/]*)$", 1).alias("session"), "metadatum", "participant", "value")
+
+
+@query("s03_properties", f"{C} select cast(dyad as varchar) as session, 'player.' || speaker || '.id' as key, speaker || '-' || count(*) as value from c group by dyad, speaker")
+def properties(spark, sf):
+    one = conversations(spark, sf).groupBy("dyad", "speaker").agg(F.concat_ws("-", "speaker", F.count("*")).alias("v"))
+    path = scratch(spark, "descriptors")
+    one.select("dyad", F.concat(F.lit("player."), "speaker", F.lit(".id = "), "v").alias("value")).write.partitionBy("dyad").text(path)
+    return text.parse_properties(text.lines(spark, path, "*.txt")).select(F.regexp_extract("path", "dyad=([^/]*)/", 1).alias("session"), "key", "value")

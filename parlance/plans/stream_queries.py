@@ -1 +1,49 @@
-"""To come."""
+"""Streaming queries: events are written as JSON files and streamed to the end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.plans import query
+from parlance.plans.bindings import EVENTS_SQL, events
+from parlance.plans.event_queries import ROLES
+from parlance.sources.scratch import scratch
+from parlance.streaming import live
+
+E = f"with {EVENTS_SQL}"
+
+
+def streamed(spark, sf, pattern="**", parts=4):
+    path = scratch(spark, "live-events")
+    events(spark, sf).select("game", "time", "line", "name", "sender").repartitionByRange(parts, "time").write.json(path)
+    return live.stream_events(spark, path, pattern=pattern, files_per_trigger=2)
+
+
+@query("t01_stream_ingest", f"{E} select line, name from e where name not in ('view', 'click')")
+def stream_ingest(spark, sf):
+    return live.drain(streamed(spark, sf, "* !view !click").select("line", "name"), scratch(spark, "t01"), scratch(spark, "t01-state"))
+
+
+@query("t02_stream_log", f"{E} select strftime(make_timestamp(time), '%Y-%m-%d') as date, count(*) as n from e group by 1")
+def stream_log(spark, sf):
+    out = scratch(spark, "t02")
+    day = F.date_format(F.timestamp_add("MICROSECOND", F.col("time"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd")
+    live.stream_log(streamed(spark, sf).drop("received"), out, scratch(spark, "t02-state"), day).awaitTermination()
+    return spark.read.schema(f"{live.EVENT}, date string").json(out).groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query("t03_stream_route", f"{E}, s as (select * from (values ('p0'), ('p1')) as v(client)) select line, client from e join s on client <> sender where client = 'p0' or name = 'click'")
+def stream_route(spark, sf):
+    subs = events(spark, sf).select("game").distinct().crossJoin(spark.createDataFrame([("p0", "**"), ("p1", "click")], "client string, pattern string"))
+    return live.drain(live.route_stream(streamed(spark, sf), subs, ["**", "click"], "game", "sender", "name").select("line", "client"), scratch(spark, "t03"), scratch(spark, "t03-state"))
+
+
+@query("t04_live_score", f"{E} select game, count(*) filter (name = 'signup') as round, cast(sum(case name when 'purchase' then 1 when 'error' then -2 else 0 end) as bigint) as score from e group by game")
+def live_score(spark, sf):
+    steps = live.drain(live.live_score(streamed(spark, sf), "signup", "purchase", "error"), scratch(spark, "t04"), scratch(spark, "t04-state"))
+    return steps.groupBy("game").agg(F.max_by("round", "events").alias("round"), F.max_by("score", "events").alias("score"))
+
+
+@query("t05_live_pairing", f"{E}, {ROLES} select game, player, ['MOVE_SUBMISSION', 'WAITING'][n] as role from rn where n <= 2 and (select count(*) from rn b where b.game = rn.game) >= 2")
+def live_pairing(spark, sf):
+    return live.drain(live.live_pairing(streamed(spark, sf), ("MOVE_SUBMISSION", "WAITING")), scratch(spark, "t05"), scratch(spark, "t05-state"))
