@@ -137,8 +137,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str,
     documents with the same id one is used.
     """
     fair = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pick = fair.select("doc_id", "lang").distinct().withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    # ranked in shares of a language first, so that a frequent language is no single task
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    share = fair.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("share")).distinct()
+    few = share.withColumn("r", rank("lang", "share")).where(F.col("r") <= per_language)
+    pick = few.withColumn("r", rank("lang")).where(F.col("r") <= per_language).groupBy("doc_id").agg(F.min("lang").alias("lang"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
