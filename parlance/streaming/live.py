@@ -1,7 +1,7 @@
 """Streams of events: ingest, log sink, routing, running score, pairing of players.
 
-Event times are receive times. State is kept by game; it is dropped when the game is over or, by a
-processing-time timeout, when nothing comes any more.
+Event times are receive times. State is kept by game; it is dropped when the game is over or, with
+``idle_ms``, after so long without events.
 """
 
 from __future__ import annotations
@@ -35,7 +35,12 @@ def route_stream(events: DataFrame, subscriptions: DataFrame, patterns: Sequence
     return route(events, subscriptions, patterns, ticket, sender, name)
 
 
-def live_score(events: DataFrame, new_round: str, won: str, lost: str, over: str = "monitor.system.disconnected", idle_ms: int = 3_600_000) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    """A processing-time timeout keeps a query going without data, so bounded runs have none."""
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def live_score(events: DataFrame, new_round: str, won: str, lost: str, over: str = "monitor.system.disconnected", idle_ms: int | None = None) -> DataFrame:
     """(game, events, round, score) after each batch that has events of the game; within a batch events are taken by time and line."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,13 +58,14 @@ def live_score(events: DataFrame, new_round: str, won: str, lost: str, over: str
             state.remove()
         else:
             state.update((n, round_, score))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"game": [key[0]], "events": [n], "round": [round_], "score": [score]})
 
-    return events.groupBy("game").applyInPandasWithState(update, "game long, events long, round long, score long", "events long, round long, score long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("game").applyInPandasWithState(update, "game long, events long, round long, score long", "events long, round long, score long", "append", _timeout(idle_ms))
 
 
-def live_pairing(joins: DataFrame, roles: Sequence[str], idle_ms: int = 3_600_000) -> DataFrame:
+def live_pairing(joins: DataFrame, roles: Sequence[str], idle_ms: int | None = None) -> DataFrame:
     """(game, player, role) of both players once two distinct ones have joined a game; further joins of the game are ignored while its state lasts."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -74,11 +80,12 @@ def live_pairing(joins: DataFrame, roles: Sequence[str], idle_ms: int = 3_600_00
             if p not in have and len(have) < len(roles):
                 have.append(p)
         state.update(("\n".join(have),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if not ready and len(have) == len(roles):
             yield pd.DataFrame({"game": [key[0]] * len(roles), "player": have, "role": list(roles)})
 
-    return joins.groupBy("game").applyInPandasWithState(update, "game long, player string, role string", "players string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return joins.groupBy("game").applyInPandasWithState(update, "game long, player string, role string", "players string", "append", _timeout(idle_ms))
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
