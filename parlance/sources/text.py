@@ -17,7 +17,7 @@ def parent(path: str | None = None):
 
 def lines(spark: SparkSession, paths: Sequence[str] | str, glob: str = "*") -> DataFrame:
     """(path, line_no, value) of text files below ``paths``. Files are read whole, so lines keep their numbers; use it for descriptors and small logs."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(paths if isinstance(paths, str) else list(paths))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "value"))
 
 
