@@ -23,6 +23,7 @@ from parlance.llm.common import held_out
 
 #: at most so many documents of each language are learned from
 PER_LANGUAGE = 400
+SHARES = 16
 BITS, ORDERS, PIECE = 12, (1, 2, 3), 1 << 18
 DIMS = 1 << BITS
 UNKNOWN = "und"
@@ -131,17 +132,16 @@ class FamilyTree:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES) -> FamilyTree:
-    """Fit on at most ``per_language`` documents of each language, those with the least hash of their id.
+    """Fit on at most ``per_language`` documents (rounded up to SHARES) of each language: from each of its shares by a hash of the id, those with the least other hash.
 
     Held-out rows, null ids, languages and texts, and texts without letters teach nothing; of
     documents with the same id one is used.
     """
     fair = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    # ranked in shares of a language first, so that a frequent language is no single task
-    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    share = fair.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("share")).distinct()
-    few = share.withColumn("r", rank("lang", "share")).where(F.col("r") <= per_language)
-    pick = few.withColumn("r", rank("lang")).where(F.col("r") <= per_language).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    # each of the shares of a language gives its part of the sample, so a frequent language is no single task
+    share = fair.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)).alias("share")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang", "share").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    pick = share.withColumn("r", rank).where(F.col("r") <= -(-per_language // SHARES)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
