@@ -13,13 +13,19 @@ from parlance.plans.bindings import EVENTS_SQL, events, table
 
 E = f"with {EVENTS_SQL}"
 ORDER = "partition by game order by time, line"
-NEW, WON, LOST, PICK = (F.col("name") == x for x in ("signup", "purchase", "error", "click"))
-SAY = F.col("name") == "view"
+
+
+def named(name):
+    """A condition that is made when it is used, as a Column needs a session."""
+    return lambda: F.col("name") == name
+
+
+NEW, WON, LOST, PICK, SAY = map(named, ("signup", "purchase", "error", "click", "view"))
 
 
 @query("p06_referent_rows", f"{E} select game, line, entity from e where entity % 2 = 0 and name = 'signup'")
 def referent_rows(spark, sf):
-    return events(spark, sf).where((F.col("entity") % 2 == 0) & NEW).select("game", "line", "entity")
+    return events(spark, sf).where((F.col("entity") % 2 == 0) & NEW()).select("game", "line", "entity")
 
 
 @query("p07_match_types", f"{E} select game, line, name from e where name in ('purchase', 'error')")
@@ -50,7 +56,7 @@ def null_repr(spark, sf):
 
 @query("p15_utts_between", f"{E} select line, time from e where name = 'view' and time >= 1704153600000000 and time < 1704240000000000")
 def utts_between(spark, sf):
-    return events(spark, sf).where(SAY & (F.col("time") >= 1704153600000000) & (F.col("time") < 1704240000000000)).select("line", "time")
+    return events(spark, sf).where(SAY() & (F.col("time") >= 1704153600000000) & (F.col("time") < 1704240000000000)).select("line", "time")
 
 
 @query("p16_shift_time", f"{E} select line, case when sender = 'p1' then cast(floor((time + 1234567) / 1000 + 0.5) as bigint) * 1000 else time end as time from e")
@@ -65,7 +71,7 @@ def stretch_time(spark, sf):
 
 @query("p25_filter_chain", f"{E} select line, upper(name) as name from e where name <> 'view' and sender <> 'p2'")
 def filter_chain(spark, sf):
-    return ev.apply_filters(events(spark, sf), [lambda d: d.where(~SAY), lambda d: d.withColumn("name", F.upper("name")), lambda d: d.where(F.col("sender") != "p2")]).select("line", "name")
+    return ev.apply_filters(events(spark, sf), [lambda d: d.where(~SAY()), lambda d: d.withColumn("name", F.upper("name")), lambda d: d.where(F.col("sender") != "p2")]).select("line", "name")
 
 
 @query("p26_entity_no", f"{E} select line, entity + 1 as entity_no from e")
@@ -80,18 +86,18 @@ def is_selected(spark, sf):
 
 @query("p28_is_referent", f"""{E} select line, coalesce((select arg_max(entity, (m.time, m.line)) from e m where m.game = e.game and m.time <= e.time and m.name = 'signup') = e.entity, false) as referent from e""")
 def is_referent(spark, sf):
-    e = ev.last_event_asof(events(spark, sf), NEW, "entity")
+    e = ev.last_event_asof(events(spark, sf), NEW(), "entity")
     return e.select("line", ev.is_referent(F.col("last_entity"), F.col("entity")).alias("referent"))
 
 
 @query("w04_round_id", f"{E} select line, cast(sum(cast(name = 'signup' as int)) over ({ORDER}) as bigint) as round from e")
 def round_id(spark, sf):
-    return ev.round_id(events(spark, sf), NEW).select("line", "round")
+    return ev.round_id(events(spark, sf), NEW()).select("line", "round")
 
 
 @query("w05_running_score", f"{E} select line, cast(sum(case name when 'purchase' then 1 when 'error' then -2 else 0 end) over ({ORDER}) as bigint) as score from e")
 def running_score(spark, sf):
-    return ev.running_score(events(spark, sf), WON, LOST).select("line", "score")
+    return ev.running_score(events(spark, sf), WON(), LOST()).select("line", "score")
 
 
 @query("w06_event_no", f"{E} select line, row_number() over ({ORDER}) as event_no from e")
@@ -101,7 +107,7 @@ def event_no(spark, sf):
 
 @query("w08_round_intervals", f"""{E} select * from (select game, time as start, lead(time) over ({ORDER}) as "end", entity from e where name = 'signup') where "end" is not null""")
 def round_intervals(spark, sf):
-    return ev.round_intervals(events(spark, sf), NEW, "entity")
+    return ev.round_intervals(events(spark, sf), NEW(), "entity")
 
 
 @query("w09_dedupe_time", f"{E} select game, time // 3600000000 as hour, min(line) as line from e group by all")
@@ -125,7 +131,7 @@ def latency_summary(spark, sf):
 
 @query("w12_event_distance", f"{E} select line, n - max(case when name = 'signup' then n end) over (partition by game order by n) as distance from (select *, row_number() over ({ORDER}) as n from e)")
 def event_distance(spark, sf):
-    return ev.last_event_distance(events(spark, sf), NEW).select("line", "distance")
+    return ev.last_event_distance(events(spark, sf), NEW()).select("line", "distance")
 
 
 @query("w14_max_time", f"{E} select line, max(time) over ({ORDER}) as max_time from e")
@@ -135,7 +141,7 @@ def max_time(spark, sf):
 
 @query("w15_split_at", f"{E} select line, cast(coalesce(sum(cast(name = 'error' as int)) over ({ORDER} rows between unbounded preceding and 1 preceding), 0) as bigint) as part from e")
 def split_at(spark, sf):
-    return ev.split_at(events(spark, sf), LOST).select("line", "part")
+    return ev.split_at(events(spark, sf), LOST()).select("line", "part")
 
 
 @query("w16_preceding", f"{E} select game, line, time from e where time <= 1704672000000000")
@@ -145,7 +151,7 @@ def preceding(spark, sf):
 
 @query("j05_last_event_asof", f"{E} select e.line, (select arg_max(m.entity, (m.time, m.line)) from e m where m.game = e.game and m.time <= e.time and m.name = 'signup') as last_entity from e")
 def last_event_asof(spark, sf):
-    return ev.last_event_asof(events(spark, sf), NEW, "entity").select("line", "last_entity")
+    return ev.last_event_asof(events(spark, sf), NEW(), "entity").select("line", "last_entity")
 
 
 ENTITIES = "ent as (select distinct game, entity from e where entity < 10)"
@@ -158,15 +164,15 @@ def entities(e):
 @query("j04_event_entities", f"{E}, {ENTITIES} select e.line, ent.entity from e join ent using (game) where e.name = 'signup'")
 def event_entities(spark, sf):
     e = events(spark, sf)
-    return ev.entity_rows(e.where(NEW).drop("entity"), entities(e)).select("line", "entity")
+    return ev.entity_rows(e.where(NEW()).drop("entity"), entities(e)).select("line", "entity")
 
 
 @query("j06_entity_position", f"""{E}, {ENTITIES} select q.line, ent.entity, coalesce((select arg_max(m.value, m.time) from e m where m.game = q.game and m.entity = ent.entity and m.name = 'purchase' and m.time < q.time), -1.0) as position
 from e q join ent using (game) where q.name = 'signup'""")
 def entity_position(spark, sf):
     e = events(spark, sf)
-    pairs = ev.entity_rows(e.where(NEW).drop("entity", "value"), entities(e))
-    moves = e.where(WON).select("game", "entity", "time", F.col("value").alias("position"))
+    pairs = ev.entity_rows(e.where(NEW()).drop("entity", "value"), entities(e))
+    moves = e.where(WON()).select("game", "entity", "time", F.col("value").alias("position"))
     return ev.entity_position_asof(pairs, moves, "game", "entity", "time", "position", F.lit(-1.0)).select("line", "entity", "position")
 
 
@@ -174,33 +180,33 @@ UTTS = 'u as (select game, line as utt, time as start, time + 30000000 as "end",
 
 
 def utterances(e):
-    return e.where(SAY).select("game", F.col("line").alias("utt"), F.col("time").alias("start"), (F.col("time") + 30000000).alias("end"), F.col("sender").alias("speaker"))
+    return e.where(SAY()).select("game", F.col("line").alias("utt"), F.col("time").alias("start"), (F.col("time") + 30000000).alias("end"), F.col("sender").alias("speaker"))
 
 
 @query("j03_assign_rounds", f"{E}, {UTTS} select utt, (select count(*) from x where x.game = u.game and x.name = 'signup' and x.time <= u.start) as round, (select arg_max(x.sender, (x.time, x.line)) from x where x.game = u.game and x.name = 'signup' and x.time <= u.start) as submitter from u")
 def assign_rounds(spark, sf):
     e = events(spark, sf)
-    return ev.assign_rounds(utterances(e), e.where(~SAY), NEW).select("utt", "round", "submitter")
+    return ev.assign_rounds(utterances(e), e.where(~SAY()), NEW()).select("utt", "round", "submitter")
 
 
 @query("p23_dialogue_role", f"{E}, {UTTS}, r as (select utt, speaker, (select arg_max(x.sender, (x.time, x.line)) from x where x.game = u.game and x.name = 'signup' and x.time <= u.start) as s from u) select utt, case when speaker = coalesce(s, 'p0') then 'INSTRUCTOR' else 'MANIPULATOR' end as role from r")
 def dialogue_role(spark, sf):
     e = events(spark, sf)
-    r = ev.assign_rounds(utterances(e), e.where(~SAY), NEW)
+    r = ev.assign_rounds(utterances(e), e.where(~SAY()), NEW())
     return r.select("utt", F.when(F.col("speaker") == F.coalesce("submitter", F.lit("p0")), "INSTRUCTOR").otherwise("MANIPULATOR").alias("role"))
 
 
 @query("j07_contexts", f"{E}, {UTTS} select utt, x.time as time, coalesce(x.time, start) as at from u left join x on x.game = u.game and x.time between u.start and u.\"end\"")
 def contexts(spark, sf):
     e = events(spark, sf)
-    return ev.contexts(utterances(e), e.where(~SAY), "game", "start", "end", "time", "line", 60_000_000).select("utt", "time", "at")
+    return ev.contexts(utterances(e), e.where(~SAY()), "game", "start", "end", "time", "line", 60_000_000).select("utt", "time", "at")
 
 
 @query("j11_next_at_or_after", f"{E} select q.line, min(s.time) as shot_time from (select * from e where name = 'click') q left join (select * from e where name = 'view') s on s.game = q.game and s.time >= q.time group by q.line")
 def next_at_or_after(spark, sf):
     e = events(spark, sf)
-    shots = e.where(SAY).select("game", "time", F.col("line").alias("shot"))
-    return ev.asof_forward(e.where(PICK).select("game", "time", "line"), shots, ["game"], "time", "shot", "shot").select("line", "shot_time")
+    shots = e.where(SAY()).select("game", "time", F.col("line").alias("shot"))
+    return ev.asof_forward(e.where(PICK()).select("game", "time", "line"), shots, ["game"], "time", "shot", "shot").select("line", "shot_time")
 
 
 @query("j12_version_asof", "select o_orderkey as k, max(l.l_shipdate) as d from orders o left join (select distinct l_partkey % 50 as p, l_shipdate from lineitem) l on l.p = o.o_custkey % 50 and l.l_shipdate <= o.o_orderdate group by all".replace("max(l.l_shipdate) as d", "epoch_us(max(l.l_shipdate)) as version_time"))
@@ -224,19 +230,19 @@ def route(spark, sf):
 @query("j01_join_rounds", f"{E} select distinct a.game, a.entity, b.line from e a join e b on a.game = b.game and a.entity = b.entity where a.name = 'signup' and b.name = 'view'")
 def join_rounds(spark, sf):
     e = events(spark, sf)
-    return e.where(NEW).select("game", "entity").join(e.where(SAY).select("game", "entity", "line"), ["game", "entity"]).distinct()
+    return e.where(NEW()).select("game", "entity").join(e.where(SAY()).select("game", "entity", "line"), ["game", "entity"]).distinct()
 
 
 @query("j02_unmerged", f"{E} select b.game, b.entity, b.line from e b where b.name = 'view' and not exists (select 1 from e a where a.name = 'signup' and a.game = b.game and a.entity = b.entity)")
 def unmerged(spark, sf):
     e = events(spark, sf)
-    return e.where(SAY).select("game", "entity", "line").join(e.where(NEW), ["game", "entity"], "left_anti")
+    return e.where(SAY()).select("game", "entity", "line").join(e.where(NEW()), ["game", "entity"], "left_anti")
 
 
 @query("u04_except_rounds", f"{E} select game, entity from e where name = 'view' except select game, entity from e where name = 'signup'")
 def except_rounds(spark, sf):
     e = events(spark, sf)
-    return e.where(SAY).select("game", "entity").subtract(e.where(NEW).select("game", "entity"))
+    return e.where(SAY()).select("game", "entity").subtract(e.where(NEW()).select("game", "entity"))
 
 
 @query("j21_same_state", f"{E} select game, game % 7 as state from e group by game")
@@ -247,7 +253,7 @@ def same_state(spark, sf):
 @query("j23_timed_utterances", f"{E}, {UTTS}, f as (select game, min(time) as t0 from x where name = 'signup' group by game) select utt, t0 + cast(round((utt % 100) * 0.25 * 1000000) as bigint) as at from u join f using (game)")
 def timed_utterances(spark, sf):
     e = events(spark, sf)
-    first = e.where(NEW).groupBy("game").agg(F.min("time").alias("t0"))
+    first = e.where(NEW()).groupBy("game").agg(F.min("time").alias("t0"))
     at = v.micros(v.offset_time(F.timestamp_add("MICROSECOND", F.col("t0"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), F.col("utt") % 100 * 0.25))
     return utterances(e).join(first, "game").select("utt", at.alias("at"))
 
@@ -281,7 +287,7 @@ cast((max(time) - min(time)) / 1000000 as decimal(20, 6)) as duration, arg_min(s
 select game, key, value from (select game, unnest(['END_SCORE', 'ENTITY_COUNT', 'EVENT_COUNT', 'ROUND_COUNT', 'DURATION', 'INITIAL_INSTRUCTOR', 'START_TIME']) as key,
 unnest([cast(end_score as varchar), cast(entity_count as varchar), cast(event_count as varchar), cast(round_count as varchar), cast(duration as varchar), initial_instructor, cast(start_time as varchar)]) as value from m)""")
 def session_metadata(spark, sf):
-    return ev.session_metadata(events(spark, sf), NEW, WON, LOST, "entity", "sender")
+    return ev.session_metadata(events(spark, sf), NEW(), WON(), LOST(), "entity", "sender")
 
 
 @query("a27_last_event_name", f"{E} select game, arg_max(name, line) filter (starts_with(name, 'p')) as last_name from e group by game")
@@ -306,12 +312,12 @@ def fill_roles(spark, sf):
 @query("t06_triggered_log", f"""{E}, n as (select *, row_number() over ({ORDER}) as n from e), s as (select *, arg_max(name, n) filter (name in ('signup', 'error')) over (partition by game order by n) as last, lag(name) over ({ORDER}) as pn from n),
 o as (select *, coalesce(last = 'signup', false) as is_on from s), p as (select *, lag(is_on) over (partition by game order by n) as was_on from o) select line from p where is_on or name = 'error' and coalesce(was_on, false)""")
 def triggered_log(spark, sf):
-    return ev.triggered_log(events(spark, sf), NEW, LOST).select("line")
+    return ev.triggered_log(events(spark, sf), NEW(), LOST()).select("line")
 
 
 @query("t04_live_score_batch", f"{E} select game, count(*) filter (name = 'signup') as round, sum(case name when 'purchase' then 1 when 'error' then -2 else 0 end) as score from e group by game".replace("sum(case", "cast(sum(case").replace("0 end) as score", "0 end) as bigint) as score"))
 def live_score_batch(spark, sf):
-    e = ev.running_score(ev.round_id(events(spark, sf), NEW), WON, LOST)
+    e = ev.running_score(ev.round_id(events(spark, sf), NEW()), WON(), LOST())
     return e.groupBy("game").agg(F.max("round").alias("round"), F.max_by("score", F.struct("time", "line")).alias("score"))
 
 
@@ -322,7 +328,7 @@ def sort_log(spark, sf):
 
 @query("o07_first_match", f"{E} select game, min(time) as time from e where name = 'purchase' group by game")
 def first_match(spark, sf):
-    return events(spark, sf).where(WON).groupBy("game").agg(F.min("time").alias("time"))
+    return events(spark, sf).where(WON()).groupBy("game").agg(F.min("time").alias("time"))
 
 
 @query("x05_predicates", f"{E} select line from e where time > 1704672000000000 and sender = 'p0'")
@@ -338,7 +344,7 @@ arg_max(entity, (time, line)) filter (name = 'signup') over (partition by game o
 @query("s17_event_entity_table", f"{EE} select n.game, event, cast(round as bigint) as round, cast(score as bigint) as score, name, ent.entity + 1 as entity, coalesce(moved = ent.entity, false) as referent, coalesce(name in ('click', 'error') and n.entity = ent.entity, false) as selected from n join ent using (game)")
 def event_entity_table(spark, sf):
     e = events(spark, sf)
-    steps = ev.last_event_asof(ev.running_score(ev.round_id(ev.event_no(e), NEW), WON, LOST), NEW, "entity").withColumnRenamed("entity", "piece")
+    steps = ev.last_event_asof(ev.running_score(ev.round_id(ev.event_no(e), NEW()), WON(), LOST()), NEW(), "entity").withColumnRenamed("entity", "piece")
     rows = ev.entity_rows(steps, entities(e))
     picked = ev.is_selected(F.col("name"), F.col("piece"), F.col("entity"), ("click", "error"))
     return rows.select("game", F.col("event_no").alias("event"), "round", "score", "name", ev.entity_no(F.col("entity")).alias("entity"), ev.is_referent(F.col("last_entity"), F.col("entity")).alias("referent"), picked.alias("selected"))
