@@ -23,7 +23,7 @@ from parlance.llm.common import held_out
 
 #: at most so many documents of each language are learned from
 PER_LANGUAGE = 400
-SHARES = 16
+SHARES = 200
 BITS, ORDERS, PIECE = 12, (1, 2, 3), 1 << 18
 DIMS = 1 << BITS
 UNKNOWN = "und"
