@@ -135,8 +135,9 @@ def put_all_except_null(a: Mapping[str, Column], b: Mapping[str, Column]) -> dic
 
 def index_map(arr: Column) -> Column:
     """Value to index (from 0); of repeated values the last index."""
-    kept = F.filter(F.transform(arr, lambda x, i: F.struct(x.alias("k"), i.alias("v"))), lambda e: ~F.array_contains(F.slice(arr, e["v"] + 2, F.size(arr)), e["k"]))
-    return F.map_from_entries(kept)
+    entries = F.array_sort(F.transform(arr, lambda x, i: F.struct(x.alias("k"), i.alias("v"))))
+    last = F.transform(F.array(entries), lambda s: F.filter(s, lambda e, i: ~F.get(s, i + 1)["k"].eqNullSafe(e["k"])))[0]
+    return F.map_from_entries(last)
 
 
 def player_roles(pairs: Column) -> Column:
