@@ -39,6 +39,14 @@ def held_out(doc_id: Column, parts: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == remainder, F.lit(False))
 
 
+def apart(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores more as set it apart from the columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sha256_text(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from parlance.llm.common import stored
+from parlance.llm.common import apart, stored
 from parlance.llm.components import connected_components
 
 BITS, WORDS, SEED = 64, 3, 42
@@ -200,6 +200,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """
     first = F.when(F.col("component_id").isNull(), F.col("fp") == F.col("root")).otherwise(F.col("doc_id") == F.col("component_id"))
     keep = stored(near_duplicates(docs, k).where(first).groupBy("root", F.col("doc_id").alias("_id")).agg(F.min(F.struct("fp", "text_hash"))["text_hash"].alias("_hash"), F.count("*").alias("n")), "simhash-keep")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    kept = docs.join(keep.select("_id", "_hash"), same, "left_semi")
+    who, text_hash = apart("_id", docs), apart("_hash", docs)
+    same = F.col("doc_id").eqNullSafe(F.col(who)) & (F.xxhash64("text") == F.col(text_hash))
+    kept = docs.join(keep.select(F.col("_id").alias(who), F.col("_hash").alias(text_hash)), same, "left_semi")
     return kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
