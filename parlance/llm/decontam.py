@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ascii_lower, sha256_text, small, stored
+from parlance.llm.common import apart, ascii_lower, sha256_text, small, stored
 
 #: a word after A-Z are lower-cased is ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``; this is the same before
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 NO_ID = -(1 << 63)
+#: alignments of a text that begin within so many words are compared in one row
+STRETCH = 16_384
 
 
 def words_of(text: Column) -> Column:
@@ -69,15 +71,18 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     slots = stored(lookup_slots(index, items, window), "slots")
     on = index.join(small(slots), "term").select("item_id", "did", "h", (F.col("pos") - F.col("offset")).alias("diag"), "offset", "alone")
     found = on.groupBy("item_id", "did", "h", "diag").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"), F.max("alone").alias("alone")).where("lo < hi or alone")
-    found = stored(found.select("item_id", "did", "h", "diag"), "alignments")
-    lists = found.groupBy("did", "h").agg(F.collect_list(F.struct("item_id", "diag")).alias("at"))
+    found = stored(found.select("item_id", "did", "h", "diag").join(small(items.select("item_id", F.size("words").alias("n")).distinct()), "item_id"), "alignments")
+    # of each alignment only the words that it covers are carried on, so a text with very many of them is not copied for each
+    lists = found.groupBy("did", "h", F.floor(F.col("diag") / STRETCH).alias("stretch")).agg(F.collect_list(F.struct("item_id", "diag", "n")).alias("at"))
     # the texts of other documents are not shuffled while the documents found are few enough to broadcast
     keys = small(found.select("did", "h").distinct())
-    texts = _keyed(docs).select("did", "h", "text").join(keys, ["did", "h"], "left_semi").join(lists, ["did", "h"]).select("did", "h", words_of(F.col("text")).alias("doc"), F.explode(F.array_distinct("at")).alias("at"))
-    both = texts.select("did", "h", "doc", F.col("at.item_id").alias("item_id"), F.col("at.diag").alias("diag")).join(small(items), "item_id")
+    texts = _keyed(docs).select("did", "h", "text").join(keys, ["did", "h"], "left_semi").join(lists, ["did", "h"]).select("did", "h", words_of(F.col("text")).alias("doc"), "at")
+    before = F.greatest(-F.col("diag"), F.lit(0))  # words of the item that lie before the text
+    cut = F.transform("at", lambda x: F.struct(x["item_id"].alias("item_id"), x["diag"].alias("diag"), F.slice("doc", F.greatest(x["diag"], F.lit(0)) + 1, F.greatest(x["n"] + F.least(x["diag"], F.lit(0)), F.lit(0))).alias("piece")))
+    both = texts.select("did", "h", F.explode(cut).alias("x")).select("did", "h", "x.*").join(small(items), "item_id")
     n = F.size("words")
     size = F.least(n, F.lit(window))
-    same = F.transform("words", lambda w, i: F.when(F.col("diag") + i < 0, F.lit(False)).otherwise(F.coalesce(F.get("doc", F.greatest(F.col("diag") + i, F.lit(0))) == w, F.lit(False))))
+    same = F.transform("words", lambda w, i: F.when(i < before, F.lit(False)).otherwise(F.coalesce(F.get("piece", F.greatest(i - before, F.lit(0))) == w, F.lit(False))))
     hits = both.withColumn("same", same).withColumn("starts", F.filter(F.sequence(F.lit(0), n - size), lambda s: F.forall(F.slice("same", s + 1, size), lambda x: x)))
     hits = hits.where(F.size("starts") > 0)
     return hits.select("did", "h", "item_id", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(F.col("diag") + s, F.col("diag") + s + size - 1)))).alias("positions")).distinct()
@@ -107,7 +112,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     ``benchmark`` is (item_id, text). Null and wordless texts and items have no words, hence no hits;
     the digest of no items is that of the empty string. Repeated rows are judged alike; null ids are
-    kept. An empty benchmark hits nothing; no documents give no rows. Item ids are compared as strings.
+    kept, items without id are left out. An empty benchmark hits nothing; no documents give no rows. Item
+    ids are compared as strings.
     """
     hits = phrase_matches(docs, item_words(benchmark), window)
     per = hits.groupBy("did", "h").agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
@@ -126,7 +132,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns."""
-    hit = phrase_matches(docs, item_words(benchmark), window).select(F.col("did").alias("_did"), F.col("h").alias("_h")).distinct()
+    did, h = apart("_did", docs), apart("_h", docs)
+    hit = phrase_matches(docs, item_words(benchmark), window).select(F.col("did").alias(did), F.col("h").alias(h)).distinct()
     hit = stored(hit, "hit-documents")
-    same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_did")) & (F.xxhash64("text") == F.col("_h"))
+    same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col(did)) & (F.xxhash64("text") == F.col(h))
     return docs.join(small(hit), same, "left_anti")

@@ -97,6 +97,9 @@ def test_decontamination_odd_rows(spark, odd):
     assert rows[3, 9].items_sha256 == hashlib.sha256(b"7").hexdigest() and rows[1, 0].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert sorted(r.doc_id for r in decontam.drop_contaminated(odd, items).collect()) == [1, 2, 6]
     assert decontam.contamination(odd, items.limit(0)).where("contaminated").count() == 0
+    clash = odd.withColumns({"_did": F.lit(1), "_H": F.lit(2), "_id": F.lit(3), "_hash": F.lit(4)})
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(clash, items).collect()) == [1, 2, 6]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(clash).collect()) == sorted(r.doc_id for r in simhash.drop_near_duplicates(odd).collect())
     near = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta " + "x " * 40 + "alpha")], "doc_id long, text string")
     assert [(r.doc_id, r.gap) for r in decontam.proximity_matches(near, decontam.item_words(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")), 5).collect()] == [(1, 3)]
 
