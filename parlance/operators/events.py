@@ -1,12 +1,14 @@
 """Event operators: as-of joins, rounds, scores and positions along the events of a game.
 
 Events are ordered by ``time`` (a number), ties by ``line``. As-of joins are windows over the union
-of both sides, partitioned by game, not range joins.
+of both sides, partitioned by game, not range joins. A game with more than HOT_ROWS rows is cut into
+stretches of time that are worked on side by side; what comes before a stretch is carried into it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +21,53 @@ def order(game: str = "game", time: str = "time", line: str = "line") -> Window:
     return Window.partitionBy(game).orderBy(time, line)
 
 
-def so_far(game: str = "game", time: str = "time", line: str = "line") -> Window:
-    return order(game, time, line).rowsBetween(Window.unboundedPreceding, 0)
+#: games with more rows are cut into stretches of time of about so many
+HOT_ROWS = 2_000_000
+FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def _to_here(w: Window) -> Window:
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before(w: Window) -> Window:
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on equal or null ``keys``; ``right`` is broadcast."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(right[f"_right_{k}"]) for k in keys] or [F.lit(True)]
+    return left.join(F.broadcast(right), reduce(lambda a, b: a & b, same), "left").drop(*[f"_right_{k}" for k in keys])
+
+
+def running(df: DataFrame, keys: Sequence[str], by: Sequence[str], values: Mapping[str, tuple[str, Column]], frame: Callable[[Window], Window] = _to_here, back: bool = True) -> DataFrame:
+    """``df`` with running folds: ``values`` names (kind, column), kind a key of FOLD; ``by`` begins with a number, the time.
+
+    ``frame`` reaches back to the first row, or with ``back=False`` on to the last. Usually this is
+    one window. Keys with over HOT_ROWS rows are cut into stretches of like length in time, as many as
+    their rows ask for; each stretch's fold and those of the stretches before it are joined. Rows of
+    the same time are in one stretch, so a key whose rows all have one time stays whole.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min(by[0]).cast("double").alias("_lo"), F.max(by[0]).cast("double").alias("_hi")).where(F.col("_rows") > HOT_ROWS)
+    whole = Window.partitionBy(*keys)
+    if hot.isEmpty():
+        return df.withColumns({c: FOLD[kind](x).over(frame(whole.orderBy(*by))) for c, (kind, x) in values.items()})
+    # at most one row of ``hot`` and two carried rows for each HOT_ROWS rows are broadcast
+    n = F.ceil(F.col("_rows") / HOT_ROWS)
+    stretch = F.least(n - 1, F.floor((F.col(by[0]) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * n))
+    cut = _on_keys(df, hot, keys).withColumn("_stretch", F.when(F.col("_rows").isNull(), -1).otherwise(F.coalesce(stretch, F.lit(0)))).drop("_rows", "_lo", "_hi")
+    part = [*keys, "_stretch"]
+    others = _before(whole.orderBy(F.col("_stretch").asc() if back else F.col("_stretch").desc()))
+    sums = cut.where("_stretch >= 0").groupBy(*part).agg(*[FOLD[kind](x).alias(f"_carry_{c}") for c, (kind, x) in values.items()])
+    carried = sums.select(*part, *[FOLD[kind](f"_carry_{c}").over(others).alias(f"_carry_{c}") for c, (kind, _) in values.items()])
+    local = cut.withColumns({c: FOLD[kind](x).over(frame(Window.partitionBy(*part).orderBy(*by))) for c, (kind, x) in values.items()})
+
+    def both(c: str, kind: str) -> Column:
+        here, there = F.col(c), F.col(f"_carry_{c}")
+        return F.coalesce(here + there, here, there) if kind == "sum" else (F.array_max if kind == "max" else F.array_min)(F.array(here, there))
+
+    return _on_keys(local, carried, part).withColumns({c: both(c, kind) for c, (kind, _) in values.items()}).drop("_stretch", *[f"_carry_{c}" for c in values])
 
 
 def match_types(df: DataFrame, name: str, *types: str) -> DataFrame:
@@ -34,37 +81,36 @@ def apply_filters(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame
     return df
 
 
-def round_id(df: DataFrame, delimiter: Column, **by: str) -> DataFrame:
+def round_id(df: DataFrame, delimiter: Column, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """``round``: how many delimiting events there were, this one included."""
-    return df.withColumn("round", F.sum(delimiter.cast("int")).over(so_far(**by)))
+    return running(df, [game], [time, line], {"round": ("sum", delimiter.cast("int"))})
 
 
-def running_score(df: DataFrame, won: Column, lost: Column, gain: int = 1, loss: int = -2, **by: str) -> DataFrame:
+def running_score(df: DataFrame, won: Column, lost: Column, gain: int = 1, loss: int = -2, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """``score``: ``gain`` for each completed turn, ``loss`` for each rejection."""
-    return df.withColumn("score", F.sum(F.when(won, gain).when(lost, loss).otherwise(0)).over(so_far(**by)))
+    return running(df, [game], [time, line], {"score": ("sum", F.when(won, gain).when(lost, loss).otherwise(0))})
 
 
-def event_no(df: DataFrame, **by: str) -> DataFrame:
+def event_no(df: DataFrame, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """``event_no``: 1, 2, ... in a game."""
-    return df.withColumn("event_no", F.row_number().over(order(**by)))
+    return running(df, [game], [time, line], {"event_no": ("sum", F.lit(1))})
 
 
-def max_time(df: DataFrame, time: str = "time", **by: str) -> DataFrame:
-    return df.withColumn("max_time", F.max(time).over(so_far(time=time, **by)))
+def max_time(df: DataFrame, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
+    return running(df, [game], [time, line], {"max_time": ("max", F.col(time))})
 
 
 def last_event_asof(df: DataFrame, match: Column, value: str, game: str = "game", time: str = "time", line: str = "line", strict: bool = False) -> DataFrame:
     """``last_<value>``: of the last matching event at or before (``strict``: before) each event's time; events of the same time included."""
-    frame = Window.partitionBy(game).orderBy(time).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
-    latest = F.max(F.when(match, F.struct(time, line, value))).over(frame)
-    return df.withColumn(f"last_{value}", latest[value])
+    found = running(df, [game], [time], {"_last": ("max", F.when(match, F.struct(time, line, value)))}, lambda w: w.rangeBetween(Window.unboundedPreceding, -1 if strict else 0))
+    return found.withColumn(f"last_{value}", F.col("_last")[value]).drop("_last")
 
 
-def last_event_distance(df: DataFrame, match: Column, **by: str) -> DataFrame:
+def last_event_distance(df: DataFrame, match: Column, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """``distance``: how many events ago the last matching one was; 0 for itself, null before the first."""
-    n = F.row_number().over(order(**by))
-    df = df.withColumn("_n", n)
-    return df.withColumn("distance", F.col("_n") - F.max(F.when(match, F.col("_n"))).over(so_far(**by))).drop("_n")
+    df = running(df, [game], [time, line], {"_n": ("sum", F.lit(1))})
+    found = running(df, [game], [time, line], {"_last": ("max", F.when(match, F.col("_n")))})
+    return found.withColumn("distance", F.col("_n") - F.col("_last")).drop("_n", "_last")
 
 
 def round_intervals(df: DataFrame, delimiter: Column, label: str, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
@@ -92,10 +138,9 @@ def latency_summary(latencies: DataFrame) -> DataFrame:
     return latencies.agg(F.count("latency").alias("n"), F.max("latency").alias("max_latency"), F.min("latency").alias("min_latency"), F.avg("latency").alias("mean_latency"))
 
 
-def split_at(df: DataFrame, match: Column, **by: str) -> DataFrame:
+def split_at(df: DataFrame, match: Column, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """``part``: the number of delimiters before; a part ends with its delimiter."""
-    before = order(**by).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("part", F.coalesce(F.sum(match.cast("int")).over(before), F.lit(0)))
+    return running(df, [game], [time, line], {"part": ("sum", match.cast("int"))}, _before).withColumn("part", F.coalesce("part", F.lit(0)))
 
 
 def preceding(df: DataFrame, at: Column, time: str = "time", line: str = "line") -> DataFrame:
@@ -118,9 +163,8 @@ def entity_rows(df: DataFrame, entities: DataFrame, game: str = "game") -> DataF
 def entity_position_asof(pairs: DataFrame, moves: DataFrame, game: str, entity: str, time: str, position: str, initial: Column) -> DataFrame:
     """``position`` of the entity before each event: its last move strictly earlier, else ``initial``. ``pairs`` has a row for each event and entity."""
     both = pairs.withColumn("_move", F.lit(None).cast(moves.schema[position].dataType)).withColumn("_q", F.lit(True)).unionByName(moves.select(game, entity, time, F.col(position).alias("_move"), F.lit(False).alias("_q")), allowMissingColumns=True)
-    frame = Window.partitionBy(game, entity).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("_move").isNotNull(), F.struct(time, "_move"))).over(frame)["_move"]
-    return both.withColumn(position, F.coalesce(last, initial)).where("_q").drop("_move", "_q")
+    found = running(both, [game, entity], [time], {"_last": ("max", F.when(F.col("_move").isNotNull(), F.struct(time, "_move")))}, lambda w: w.rangeBetween(Window.unboundedPreceding, -1))
+    return found.where("_q").withColumn(position, F.coalesce(F.col("_last")["_move"], initial)).drop("_move", "_q", "_last")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, tie: str | None = None, strict: bool = False) -> DataFrame:
@@ -137,18 +181,18 @@ def _asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, val
     extra = [F.col(tie).alias("_tie")] if tie else [F.lit(0).alias("_tie")]
     r = right.select(*keys, time, F.struct(F.col(time).alias("t"), *extra, F.col(value).alias("v")).alias("_r"), F.lit(False).alias("_q"))
     both = left.withColumn("_q", F.lit(True)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time) if keys else Window.orderBy(time)
-    frame = w.rangeBetween(Window.unboundedPreceding, -1 if strict else 0) if back else w.rangeBetween(0, Window.unboundedFollowing)
-    best = (F.max if back else F.min)("_r").over(frame)
-    return both.withColumn("_b", best).where("_q").withColumn(value, F.col("_b.v")).withColumn(f"{value}_time", F.col("_b.t")).drop("_q", "_r", "_b")
+    reach = (Window.unboundedPreceding, -1 if strict else 0) if back else (0, Window.unboundedFollowing)
+    found = running(both, keys, [time], {"_b": ("max" if back else "min", F.col("_r"))}, lambda w: w.rangeBetween(*reach), back)
+    return found.where("_q").withColumn(value, F.col("_b.v")).withColumn(f"{value}_time", F.col("_b.t")).drop("_q", "_r", "_b")
 
 
 def assign_rounds(utts: DataFrame, events: DataFrame, delimiter: Column, game: str = "game", start: str = "start", time: str = "time", line: str = "line") -> DataFrame:
     """``round`` of each utterance: the number of delimiting events at or before its start (0 before the first), and ``submitter`` of the last of them."""
     marks = events.where(delimiter).select(game, F.col(time).alias(start), F.struct(F.col(time).alias("t"), F.col(line).alias("l"), F.col("sender").alias("s")).alias("_e"), F.lit(0).alias("_kind"))
     both = utts.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(game).orderBy(start).rangeBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("round", F.sum((F.col("_kind") == 0).cast("int")).over(w)).withColumn("submitter", F.max("_e").over(w)["s"]).where("_kind = 1").drop("_kind", "_e")
+    folds = {"round": ("sum", (F.col("_kind") == 0).cast("int")), "_last": ("max", F.col("_e"))}
+    found = running(both, [game], [start], folds, lambda w: w.rangeBetween(Window.unboundedPreceding, 0))
+    return found.where("_kind = 1").withColumn("submitter", F.col("_last")["s"]).drop("_kind", "_e", "_last")
 
 
 def contexts(utts: DataFrame, events: DataFrame, game: str, start: str, end: str, time: str, line: str, bin_size: int) -> DataFrame:
@@ -179,12 +223,13 @@ def fill_roles(joins: DataFrame, game: str, player: str, time: str, roles: Seque
     return named.withColumn("ready", F.max(F.when(F.col("_n") == len(roles), F.col(time))).over(Window.partitionBy(game))).drop("_n")
 
 
-def triggered_log(df: DataFrame, start: Column, stop: Column, **by: str) -> DataFrame:
+def triggered_log(df: DataFrame, start: Column, stop: Column, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """Events between a start and the next stop event, both included."""
-    state = F.max(F.when(start, F.struct(F.col("_n"), F.lit(True).alias("on"))).when(stop, F.struct(F.col("_n"), F.lit(False).alias("on")))).over(so_far(**by))["on"]
-    df = df.withColumn("_n", F.row_number().over(order(**by))).withColumn("_on", state)
-    before = F.lag("_on").over(order(**by))
-    return df.withColumn("_keep", F.coalesce(F.col("_on"), F.lit(False)) | (F.coalesce(before, F.lit(False)) & stop)).where("_keep").drop("_n", "_on", "_keep")
+    df = running(df, [game], [time, line], {"_n": ("sum", F.lit(1))})
+    state = F.when(start, F.struct(F.col("_n"), F.lit(True).alias("on"))).when(stop, F.struct(F.col("_n"), F.lit(False).alias("on")))
+    df = running(running(df, [game], [time, line], {"_now": ("max", state)}), [game], [time, line], {"_was": ("max", state)}, _before)
+    keep = F.coalesce(F.col("_now")["on"], F.lit(False)) | (F.coalesce(F.col("_was")["on"], F.lit(False)) & stop)
+    return df.where(keep).drop("_n", "_now", "_was")
 
 
 def last_name_by_log(df: DataFrame, log: str, name: str, line: str, prefix: str) -> DataFrame:

@@ -143,3 +143,26 @@ def test_geometry(spark):
     assert {r.element: (r.x0, r.x1, r.y0, r.y1) for r in found.collect()} == {"1": (0, 2, 0, 3), "2": (2, 3, 1, 2)}
     with pytest.raises(Exception, match="unknown shape"):
         geometry.with_edge_count(spark.createDataFrame([("no",)], "shape string"), spark.createDataFrame([("yes", 3)], "shape string, edges int")).collect()
+
+
+def test_hot_games_in_stretches(spark, sf_dir, monkeypatch):
+    """Games cut into stretches give the rows that one window gives."""
+    from parlance.plans import QUERIES, load
+    from tests.compare import spark_rows
+
+    load()
+    names = [n for n in QUERIES if n.startswith(("w04_", "w05_", "w06_", "w14_", "w15_", "j03_", "j05_", "j06_", "t06_"))]
+    assert len(names) == 9
+    names += [n for n in QUERIES if "asof" in n and n not in names]
+    plain = {n: spark_rows(QUERIES[n](spark, sf_dir)) for n in names}
+    monkeypatch.setattr(events, "HOT_ROWS", 4)
+    assert {n: spark_rows(QUERIES[n](spark, sf_dir)) for n in names} == plain
+    rows = [(None if i % 2 else 1, i // 3, i) for i in range(60)]
+    got = events.event_no(spark.createDataFrame(rows, "game int, time long, line long")).collect()
+    assert {(r.game, r.line): r.event_no for r in got} == {(g, i): i // 2 + 1 for g, _, i in rows}
+    left = spark.createDataFrame([(t,) for t in range(0, 40, 4)], "time long")
+    right = spark.createDataFrame([(t, t) for t in range(1, 30, 7)], "time long, v long")
+    back = {r.time: r.v for r in events.asof_backward(left, right, [], "time", "v").collect()}
+    ahead = {r.time: r.v for r in events.asof_forward(left, right, [], "time", "v").collect()}
+    assert back == {t: max([x for x in range(1, 30, 7) if x <= t], default=None) for t in range(0, 40, 4)}
+    assert ahead == {t: min([x for x in range(1, 30, 7) if x >= t], default=None) for t in range(0, 40, 4)}
