@@ -2,9 +2,9 @@
 
 The DOMs of a host's pages are merged: elements on the same path of tags and class names are one
 node. A node's presentation importance is the entropy of the child sequences it has on the host's
-pages; its content importance is how little its texts recur over these pages. Branches of low
-importance are taken out of each page, as are elements that are no article text by their kind.
-Text inside ``article`` or ``main`` is judged by kind only, so that copies of an article stay whole.
+pages; its content importance is how little its texts recur over these pages. Branches in which
+every node is of low importance are taken out of each page, so that what is around a text never
+costs it; so are elements that are no article text by their kind. Text inside ``article`` or ``main`` is judged by kind only, so that copies of an article stay whole.
 """
 
 from __future__ import annotations
@@ -43,17 +43,18 @@ def key_hash(*parts: object) -> int:
 
 
 class Page:
-    """One page's elements outside main text, with their texts and child sequences, and its text blocks."""
+    """One page's elements, with their texts and child sequences, and its text blocks."""
 
-    def __init__(self, source: str, noisy: frozenset[int] | set[int] = frozenset(), outside: bool = False) -> None:
-        """With ``outside`` the text of main elements is not read."""
+    def __init__(self, source: str, noisy: frozenset[int] | set[int] = frozenset()) -> None:
         self.styles: set[tuple[int, int]] = set()  # (node, child sequence)
         self.texts: set[tuple[int, int]] = set()  # (node, text under it)
-        self.blocks: list[tuple[bool, str]] = []  # (in main text, text)
+        self.blocks: list[tuple[bool, bool, int, str]] = []  # (in main text, in a noisy node, number of its element, text)
         self.has_main = False
-        self._noisy, self._outside = noisy, outside
-        # open elements: tag, node, dropped, in main text, child tags
-        self._open: list[tuple[str, int, bool, bool, list[str]]] = [("", 0, False, False, [])]
+        self._noisy = noisy
+        self._alive: set[int] = {0}  # numbers of the elements with text that is not in a noisy node
+        self._n = 0
+        # open elements: tag, node, dropped by kind, in main text, child tags, number
+        self._open: list[tuple[str, int, bool, bool, list[str], int]] = [("", 0, False, False, [], 0)]
         self._run: list[str] = []
         self._read(source)
 
@@ -62,17 +63,20 @@ class Page:
         self._run = []
         if not text:
             return
-        _, _, dropped, main, _ = self._open[-1]
-        if not main:
-            h = key_hash(text)
-            self.texts.update((node, h) for _, node, _, inside, _ in self._open[1:] if not inside)
-        if not dropped:
-            self.blocks.append((main, text))
+        _, node, dropped, main, _, no = self._open[-1]
+        if dropped:
+            return
+        h = key_hash(text)
+        self.texts.update((e[1], h) for e in self._open[1:] if not e[3])
+        low = not main and node in self._noisy
+        if not low:
+            self._alive.update(e[5] for e in self._open)
+        self.blocks.append((main, low, no, text))
 
     def _close(self, n: int) -> None:
         """Close all but the first ``n`` open elements."""
-        for tag, node, _, main, kids in reversed(self._open[n:]):
-            if not main:
+        for _, node, dropped, main, kids, _ in self._open[n:]:
+            if not main and not dropped:
                 self.styles.add((node, key_hash(*kids)))
         del self._open[n:]
 
@@ -87,7 +91,7 @@ class Page:
             self._flush()
         elif tag == "br":
             self._run.append(" ")
-        _, parent, dropped, main, kids = self._open[-1]
+        _, parent, dropped, main, kids, _ = self._open[-1]
         kids.append(tag)
         if tag in VOID:
             return
@@ -96,8 +100,8 @@ class Page:
         by_kind = tag in SKIP or (tag == "header" and not main) or bool(names and tag not in ("html", "body") and tag not in MAIN and KIND.search(names))
         main = main or (tag in MAIN and not dropped)
         self.has_main |= main
-        dropped = dropped or by_kind or (not main and node in self._noisy)
-        self._open.append((tag, node, dropped, main, []))
+        self._n += 1
+        self._open.append((tag, node, dropped or by_kind, main, [], self._n))
 
     def _end(self, tag: str) -> None:
         at = next((i for i in range(len(self._open) - 1, 0, -1) if self._open[i][0] == tag), 0)
@@ -133,8 +137,6 @@ class Page:
                 self._end(tag)
                 continue
             self._start(tag, m.group(3))
-            if self._outside and tag in MAIN:
-                at = max(at, source.rfind(f"</{tag}"))
             if tag in RAW and not m.group(3).endswith("/"):
                 low = low or source.lower()
                 stop = low.find(f"</{tag}", at) if len(low) == end else source.find(f"</{tag}", at)
@@ -143,7 +145,8 @@ class Page:
         self._close(1)
 
     def main_text(self) -> str:
-        return "\n\n".join(t for main, t in self.blocks if main or not self.has_main)
+        """The text by kind, without noisy nodes; a node goes only where all texts under it are in noisy nodes."""
+        return "\n\n".join(t for main, low, no, t in self.blocks if (main or not self.has_main) and (not low or no in self._alive))
 
 
 def node_statistics(pages: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def node_statistics(pages: DataFrame) -> DataFrame:
         for b in batches:
             seen: Counter = Counter()
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                page = Page(source or "", outside=True)
+                page = Page(source or "")
                 seen.update((host, n, True, f) for n, f in page.texts)
                 seen.update((host, n, False, f) for n, f in page.styles)
             cols = list(zip(*seen)) or [[], [], [], []]

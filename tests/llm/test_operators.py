@@ -157,6 +157,16 @@ def test_pages(spark):
     assert sitetree.extract(df.limit(0)).count() == 0
 
 
+def test_pages_in_constant_chrome(spark):
+    def chrome(body):
+        return f'<html><body><div class="top"><p>The Site</p><p>All the news</p></div><div class="wrap">{body}</div><div class="bottom">Contact us</div></body></html>'
+
+    rows = [(i, f"http://h.example.org/{i}", chrome(f"<main><h1>Title {i}</h1><p>Text {i}</p></main>")) for i in range(12)]
+    rows += [(i, f"http://g.example.org/{i}", chrome(f'<div class="story">Story {i}</div>')) for i in range(100, 112)]
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n\nText {i}" for i in range(12)} | {i: f"Story {i}" for i in range(100, 112)}
+
+
 def test_minhash(spark, docs, odd):
     got = {r.doc_id: r for r in minhash.fingerprint_documents(docs).collect()}
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
