@@ -4,14 +4,14 @@ The DOMs of a host's pages are merged: elements on the same path of tags and cla
 node. A node's presentation importance is the entropy of the child sequences it has on the host's
 pages; its content importance is how little its texts recur over these pages. Branches in which
 every node is of low importance are taken out of each page, so that what is around a text never
-costs it; so are elements that are no article text by their kind. Text inside ``article`` or ``main`` is judged by kind only, so that copies of an article stay whole.
+costs it; so are elements that are no article text by their kind. Pages of a host with equal texts
+by kind count once, so that copies of an article stay whole.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,8 +46,7 @@ class Page:
     """One page's elements, with their texts and child sequences, and its text blocks."""
 
     def __init__(self, source: str, noisy: frozenset[int] | set[int] = frozenset()) -> None:
-        self.styles: set[tuple[int, int]] = set()  # (node, child sequence)
-        self.texts: set[tuple[int, int]] = set()  # (node, text under it)
+        self.marks: set[tuple[int, bool, bool, int]] = set()  # (node, in main text, is a text, text under it or child sequence)
         self.blocks: list[tuple[bool, bool, int, str]] = []  # (in main text, in a noisy node, number of its element, text)
         self.has_main = False
         self._noisy = noisy
@@ -67,8 +66,8 @@ class Page:
         if dropped:
             return
         h = key_hash(text)
-        self.texts.update((e[1], h) for e in self._open[1:] if not e[3])
-        low = not main and node in self._noisy
+        self.marks.update((e[1], e[3], True, h) for e in self._open[1:])
+        low = node in self._noisy
         if not low:
             self._alive.update(e[5] for e in self._open)
         self.blocks.append((main, low, no, text))
@@ -76,8 +75,8 @@ class Page:
     def _close(self, n: int) -> None:
         """Close all but the first ``n`` open elements."""
         for _, node, dropped, main, kids, _ in self._open[n:]:
-            if not main and not dropped:
-                self.styles.add((node, key_hash(*kids)))
+            if not dropped:
+                self.marks.add((node, main, False, key_hash(*kids)))
         del self._open[n:]
 
     def _start(self, tag: str, attrs: str) -> None:
@@ -145,25 +144,37 @@ class Page:
         self._close(1)
 
     def main_text(self) -> str:
-        """The text by kind, without noisy nodes; a node goes only where all texts under it are in noisy nodes."""
-        return "\n\n".join(t for main, low, no, t in self.blocks if (main or not self.has_main) and (not low or no in self._alive))
+        """The text by kind, without noisy nodes; a node goes only where all texts under it are in noisy nodes.
 
+        Main text of which nothing would stay is kept as it is.
+        """
+        read = [(not low or no in self._alive, t) for main, low, no, t in self.blocks if main or not self.has_main]
+        kept = [t for stays, t in read if stays]
+        return "\n\n".join(kept if kept or not self.has_main else [t for _, t in read])
 
-def node_statistics(pages: DataFrame) -> DataFrame:
-    """(host, node, content bool, feature, n): on how many pages a node has that text under it, or that child sequence."""
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, marks): of the pages of a host with equal texts by kind one, with its marks (node, inside, content, feature)."""
+    kinds = [("node", pa.int64()), ("inside", pa.bool_()), ("content", pa.bool_()), ("feature", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+            texts, marks, ends = [], [], [0]
+            for source in b.column("html").to_pylist():
                 page = Page(source or "")
-                seen.update((host, n, True, f) for n, f in page.texts)
-                seen.update((host, n, False, f) for n, f in page.styles)
-            cols = list(zip(*seen)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "node", "content", "feature", "n"])
+                texts.append(key_hash(page.main_text()))
+                marks.extend(sorted(page.marks))
+                ends.append(len(marks))
+            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(list(zip(*marks)) or [[]] * 4, kinds)], [n for n, _ in kinds])
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(texts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["host", "page", "marks"])
+
+    read = pages.mapInArrow(run, "host string, page long, marks array<struct<node: long, inside: boolean, content: boolean, feature: long>>")
+    return read.groupBy("host", "page").agg(F.min("marks").alias("marks"))
 
-    parts = pages.mapInArrow(run, "host string, node long, content boolean, feature long, n long")
-    return parts.groupBy("host", "node", "content", "feature").agg(F.sum("n").alias("n"))
+
+def node_statistics(pages: DataFrame) -> DataFrame:
+    """From distinct_pages: (host, node, inside, content, feature, n): on how many pages a node has that text under it, or that child sequence."""
+    return pages.select("host", F.inline("marks")).groupBy("host", "node", "inside", "content", "feature").agg(F.count("*").alias("n"))
 
 
 def importance(stats: DataFrame, n_pages: DataFrame) -> DataFrame:
@@ -171,26 +182,31 @@ def importance(stats: DataFrame, n_pages: DataFrame) -> DataFrame:
 
     Presentation: entropy of the child sequences, to the base of the number of pages. Content: 1 less
     the mean over texts of log(pages with the text) to that base; 1 for nodes without text. The
-    importance is the mean of both.
+    importance is the mean of both; in main text it is not under the content importance, as a
+    paragraph has no children to vary.
     """
     m = F.log(F.col("pages").cast("double"))
     share = F.col("n") / F.col("pages")
-    per = stats.join(small(n_pages.where(F.col("pages") >= LEAST_PAGES)), "host").groupBy("host", "node").agg(
+    per = stats.join(small(n_pages.where(F.col("pages") >= LEAST_PAGES)), "host").groupBy("host", "node", "inside").agg(
         F.sum(F.when(~F.col("content"), -share * F.log(share) / m)).alias("presentation"), F.avg(F.when(F.col("content"), 1 - F.log(F.col("n").cast("double")) / m)).alias("content")
     )
-    return per.select("host", "node", ((F.least(F.lit(1.0), F.coalesce("presentation", F.lit(0.0))) + F.coalesce("content", F.lit(1.0))) / 2).alias("importance"))
+    content = F.coalesce("content", F.lit(1.0))
+    mean = (F.least(F.lit(1.0), F.coalesce("presentation", F.lit(0.0))) + content) / 2
+    return per.select("host", "node", F.when(F.col("inside"), F.greatest(mean, content)).otherwise(mean).alias("importance"))
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text. Where a page has ``article`` or ``main`` elements, only
-    their text counts. Pages without a host form one site. Broken markup is read as far as it goes;
+    their text counts. Pages without a host form one site; hosts of fewer than LEAST_PAGES distinct
+    pages are judged by kind. Broken markup is read as far as it goes;
     repeated rows and null ids are rows of their own; an empty table gives an empty result.
     """
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("pages"))
-    low = importance(stored(node_statistics(hosted.select("host", "html")), "site-nodes"), sizes).where(F.col("importance") < threshold)
+    distinct = stored(distinct_pages(hosted.select("host", "html")), "site-pages")
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    low = importance(stored(node_statistics(distinct), "site-nodes"), sizes).where(F.col("importance") < threshold)
     noisy = stored(low.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("noisy")), "site-noise")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

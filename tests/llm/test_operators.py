@@ -167,6 +167,16 @@ def test_pages_in_constant_chrome(spark):
     assert got == {i: f"Title {i}\n\nText {i}" for i in range(12)} | {i: f"Story {i}" for i in range(100, 112)}
 
 
+def test_pages_with_boilerplate_in_articles(spark):
+    def page(text):
+        return f'<body><article><h1>Title {text}</h1><p>Text {text}</p><div class="closing"><p>Thank you for reading</p></div></article><p>between</p><article><p>More {text}</p></article></body>'
+
+    own = [(i, f"http://h.example.org/{i}", page(i)) for i in range(12)]
+    copies = [(i, f"http://h.example.org/{i}", page("copied")) for i in range(100, 160)]
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(own + copies, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {t}\n\nText {t}\n\nMore {t}" for i, t in [*((i, i) for i in range(12)), *((i, "copied") for i in range(100, 160))]}
+
+
 def test_minhash(spark, docs, odd):
     got = {r.doc_id: r for r in minhash.fingerprint_documents(docs).collect()}
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
