@@ -70,7 +70,10 @@ class Hasher:
             np.multiply.outer(part, self.a, out=room)
             room += self.b
             np.minimum(least, room.min(axis=0), out=least)
-        return (least >> np.uint64(64 - KEPT_BITS)).astype(np.uint16)
+        # the minimum of n values is about 2^64 / n, so its own high bits say little; those of a mix of all its bits do
+        mixed = (least ^ (least >> np.uint64(32))) * MIX
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX
+        return (mixed >> np.uint64(64 - KEPT_BITS)).astype(np.uint16)
 
     def fingerprint(self, text: str) -> np.ndarray:
         return self.signature(self.shingles(text))

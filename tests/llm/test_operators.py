@@ -192,6 +192,16 @@ def test_minhash(spark, docs, odd):
     assert [(r.a, r.b) for r in minhash.near_duplicate_links(pairs).collect()] == [(1, 2)]
 
 
+def test_minhash_of_long_texts():
+    h = minhash.Hasher()
+    words = [[f"{side}{i}" for i in range(100_000)] for side in "ab"]
+    mixed = words[0][:50_000] + words[1][50_000:]
+    for x, y in ((words[0], words[1]), (words[0], mixed)):
+        x, y = h.shingles(" ".join(x)), h.shingles(" ".join(y))
+        exact = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        assert abs(minhash.likeness(h.signature(x), h.signature(y)) - exact) < 0.15
+
+
 def test_chat_and_urls_odd_rows(spark):
     conv = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, None, None), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, None, None), (None, 0, "user", "alone"), (4, None, "user", "late")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in chat.format_chats(conv).collect()}
