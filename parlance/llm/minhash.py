@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from parlance.llm.common import stored
+from parlance.llm.components import connected_components
 
 PERMUTATIONS, WORDS, KEPT_BITS = 128, 5, 16
 BLOCK, CACHE = 512, 400_000
@@ -161,9 +162,10 @@ def near_duplicate_links(docs: DataFrame, threshold: float = 0.8, bands: int = 3
     """(a, b, jaccard): links between documents (doc_id, text) whose shingle sets have a Jaccard similarity of ``threshold`` or more.
 
     Equal texts are one, under their least id, so copies never meet each other. Texts that share a
-    band stand in one bucket, ordered by a hash; each is paired with the ``8`` before it, so a bucket
-    of n texts gives 8n pairs, and in every band the order is another. Links of a class join it up;
-    not each pair of a large class is returned. Texts without words and null ids have no links.
+    band stand in one bucket, ordered by a hash; each is paired with the 8 before it, so a bucket
+    of n texts gives 8n pairs. What these links leave in different classes is compared exactly (see
+    ``links_between``), so the links join up just the classes of all pairs at ``threshold``; not each
+    pair of a large class is returned. Texts without words and null ids have no links.
     """
     texts = docs.where("doc_id is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
@@ -186,6 +188,35 @@ def near_duplicate_links(docs: DataFrame, threshold: float = 0.8, bands: int = 3
     before = banded.select("doc_id", F.array(*[F.lag("doc_id", i).over(order) for i in range(1, 9)]).alias("others"))
     pairs = before.select("doc_id", F.explode("others").alias("other")).where("other is not null")
     pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    links = stored(verified(pairs, sets, threshold), "near-links")
+    roots = stored(connected_components(links.select("a", "b")), "near-roots")
+    return links.unionByName(links_between(sets, roots, threshold))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the ``pairs`` (a, b) of ``sets`` (doc_id, s) at ``threshold`` or more."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def links_between(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard): all pairs of ``sets`` at ``threshold`` or more in different classes of ``roots`` (node, root).
+
+    Prefix filter: with the shingles of each text ordered from the rarest, two such texts share one
+    of their first n - ceil(threshold n) + 1. Shingles whose texts are of one class give no pairs; one
+    that stands in this prefix of m texts of many classes gives up to m squared.
+    """
+    rooted = sets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"), F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    often = rooted.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
+    # the small number keeps rounding from making a prefix too short
+    prefix = rooted.join(often.where("often > 1"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
+    prefix = prefix.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1).select("doc_id", "root", "n", "shingle")
+    prefix = stored(prefix, "near-prefixes")
+    open_ = prefix.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
+    left = prefix.join(open_, "shingle")
+    right = prefix.select("shingle", F.col("doc_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"))
+    fits = (F.col("root") < F.col("other_root")) & (F.col("n") >= F.col("m") * threshold - 1e-6) & (F.col("m") >= F.col("n") * threshold - 1e-6)
+    pairs = left.join(right, "shingle").where(fits).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    return verified(pairs, sets, threshold)

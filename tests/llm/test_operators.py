@@ -202,6 +202,16 @@ def test_minhash_of_long_texts():
         assert abs(minhash.likeness(h.signature(x), h.signature(y)) - exact) < 0.15
 
 
+def test_near_duplicate_links_in_large_buckets(spark):
+    core = [f"core{i}" for i in range(400)]
+    rows = [(2 * i + j, " ".join(core + [f"pair{i}x{w}" for w in range(14)] + [f"own{i}x{j}x{w}" for w in range(39)])) for i in range(200) for j in (0, 1)]
+    h = minhash.Hasher()
+    sets = [set(h.shingles(t).tolist()) for _, t in rows]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want == {(2 * i, 2 * i + 1) for i in range(200)}
+    assert {(r.a, r.b) for r in minhash.near_duplicate_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_chat_and_urls_odd_rows(spark):
     conv = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, None, None), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, None, None), (None, 0, "user", "alone"), (4, None, "user", "late")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in chat.format_chats(conv).collect()}
