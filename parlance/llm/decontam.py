@@ -89,21 +89,33 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
-    """(doc_id, item_id, gap): the two rarest terms of an item stand within ``slop`` words, in any order; ``gap`` is the least distance.
+    """(doc_id, item_id, gap): all n distinct terms of an item stand, in any order, so close that first and last are at most ``slop`` + n - 2 words apart; ``gap`` is the least such distance.
 
-    Items of one distinct term have none. Positions are put into bins of ``slop`` words, so only near
+    Items of one distinct term have none, as have items with a term that is in no document. The two
+    rarest terms give the candidates. Positions are put into bins of the greatest distance, so only near
     postings meet; repeated rows count once, and null ids come back as null.
     """
     index = build_index(docs, items.select(F.explode("words").alias("term")))
     freq = index.groupBy("term").agg(F.count("*").alias("freq"))
-    terms = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(freq, "term")
-    rank = Window.partitionBy("item_id").orderBy("freq", "term")
-    two = terms.withColumn("r", F.row_number().over(rank)).where("r <= 2")
-    at = index.join(small(two.select("item_id", "term", "r")), "term").withColumn("bin", (F.col("pos") / slop).cast("long"))
-    key = ["item_id", "did", "h", "bin"]
-    left = at.where("r = 1").select(*key, F.col("pos").alias("p"))
-    right = at.where("r = 2").select("item_id", "did", "h", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("bin"), F.col("pos").alias("q"))
-    near = left.join(right, key).withColumn("gap", F.abs(F.col("p") - F.col("q"))).where(F.col("gap") <= slop)
+    of_item = Window.partitionBy("item_id")
+    terms = items.select("item_id", F.explode("words").alias("term")).distinct().join(freq, "term", "left")
+    terms = terms.select("item_id", "term", F.row_number().over(of_item.orderBy("freq", "term")).alias("r"), F.count("*").over(of_item).alias("n"), F.count("freq").over(of_item).alias("found"))
+    terms = stored(terms.where((F.col("n") == F.col("found")) & (F.col("n") > 1)).withColumn("reach", F.col("n") + slop - 2), "item-terms")
+    at = index.join(small(terms), "term")
+    key = ["item_id", "did", "h"]
+    binned = at.withColumn("bin", F.floor(F.col("pos") / F.greatest("reach", F.lit(1))))
+    left = binned.where("r = 1").select(*key, "bin", "reach", F.col("pos").alias("p"))
+    right = binned.where("r = 2").select(*key, F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("bin"), F.col("pos").alias("q"))
+    pairs = left.join(right, [*key, "bin"]).where(F.abs(F.col("p") - F.col("q")) <= F.col("reach"))
+    candidates = pairs.select(*key).distinct()
+    # from each posting on: the first place of each term within reach
+    longest = terms.agg(F.max("reach")).first()[0] or 0
+    ahead = F.collect_list(F.struct("pos", "term")).over(Window.partitionBy(*key).orderBy("pos").rangeBetween(0, longest))
+    spans = at.join(candidates, key).select(*key, "pos", "n", "reach", ahead.alias("ahead"))
+    spans = spans.withColumn("ahead", F.filter("ahead", lambda x: x["pos"] <= F.col("pos") + F.col("reach")))
+    names = F.array_distinct(F.transform("ahead", lambda x: x["term"]))
+    firsts = F.transform(names, lambda t: F.array_min(F.transform(F.filter("ahead", lambda x: x["term"] == t), lambda x: x["pos"])))
+    near = spans.where(F.size(names) == F.col("n")).withColumn("gap", F.array_max(firsts) - F.col("pos"))
     return near.groupBy("did", "h", "item_id").agg(F.min("gap").alias("gap")).select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "item_id", "gap")
 
 

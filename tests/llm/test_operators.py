@@ -104,6 +104,13 @@ def test_decontamination_odd_rows(spark, odd):
     assert [(r.doc_id, r.gap) for r in decontam.proximity_matches(near, decontam.item_words(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")), 5).collect()] == [(1, 3)]
 
 
+def test_proximity_takes_all_terms(spark):
+    texts = ["alpha beta x x gamma", "alpha beta " + "x " * 40 + "gamma", "gamma x alpha alpha x beta gamma x alpha", "alpha beta"]
+    near = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = decontam.item_words(spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta absent")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.gap) for r in decontam.proximity_matches(near, items, 5).collect()) == [(0, 1, 4), (2, 1, 3)]
+
+
 def test_bpe_equals_library(spark, docs, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
