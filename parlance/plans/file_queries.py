@@ -18,10 +18,12 @@ def event_records(spark, sf):
 
 
 @query("s05_event_log_lines", f"{E} select cast(game as varchar) as game_id, count(*) as n, min(entity) as least_piece from e group by game")
-def event_log_lines(spark, sf):
+def event_log_lines(spark, sf, stretch=200_000):
+    """A game's log is written in stretches of so many lines of the whole table, by tasks of their own, and read split by Spark."""
     path = scratch(spark, "logs")
-    event_records(spark, sf).repartition("GAME_ID").write.partitionBy("GAME_ID").json(path)
-    log = records.read_event_log(spark, path, "*.json")
+    number = F.regexp_extract("event_id", r"([0-9]+)$", 1).cast("long")
+    event_records(spark, sf).repartition("GAME_ID", F.floor(number / stretch)).write.partitionBy("GAME_ID").json(path)
+    log = records.read_large_log(spark, path)
     game = F.regexp_extract("path", "GAME_ID=([^/]*)", 1)
     return log.groupBy(game.alias("game_id")).agg(F.count("*").alias("n"), F.min("selection.pieceId").alias("least_piece"))
 

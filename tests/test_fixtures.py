@@ -166,3 +166,13 @@ def test_hot_games_in_stretches(spark, sf_dir, monkeypatch):
     ahead = {r.time: r.v for r in events.asof_forward(left, right, [], "time", "v").collect()}
     assert back == {t: max([x for x in range(1, 30, 7) if x <= t], default=None) for t in range(0, 40, 4)}
     assert ahead == {t: min([x for x in range(1, 30, 7) if x >= t], default=None) for t in range(0, 40, 4)}
+
+
+def test_a_game_log_is_read_in_parts(spark, sf_dir, monkeypatch):
+    from parlance.plans import file_queries
+    from parlance.sources import text
+
+    monkeypatch.setattr(text, "lines", None)
+    monkeypatch.setattr(file_queries.records, "lines", None)  # reads each file as one value
+    rows = sorted(map(tuple, file_queries.event_log_lines(spark, sf_dir).collect()))
+    assert rows and rows == sorted(map(tuple, file_queries.event_log_lines(spark, sf_dir, 100).collect()))
