@@ -14,13 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests) is it a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Only on a local master, where one machine does everything (tests), is a temporary folder used.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    fallback = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if not named:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            named = own.get()
+        elif spark.sparkContext.master.startswith("local"):
+            named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -57,9 +65,15 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
-SMALL = 200_000
+SMALL, SMALL_BYTES = 200_000, 64_000_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has at most SMALL rows of at most SMALL_BYTES together (as JSON), by a count of no more than that."""
+    n, size = df.limit(SMALL + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return n <= SMALL and size <= SMALL_BYTES
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if a count shows at most SMALL rows; its rows must be short."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    """``df``, to be broadcast if ``is_small`` finds it so."""
+    return F.broadcast(df) if is_small(df) else df

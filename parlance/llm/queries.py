@@ -71,24 +71,29 @@ from p join bo using (host) left join q on q.host = p.host and q.path = p.path""
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages of 10 words or more in every document."""
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    """Benchmark passages of 10 words or more, and benchmark texts near by, in every document."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, 20)
 
 
 ORACLE_SQL["op4_decontamination"] = r"""
 with letters as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as u, 'abcdefghijklmnopqrstuvwxyz' as l),
 docs as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents, letters),
-items as (select distinct item_id, regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark, letters),
+items as (select row_number() over () as ino, * from (select distinct item_id, regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark, letters)),
 sized as (select item_id, w, least(10, len(w)) as n from items where len(w) > 0),
 wins as (select distinct item_id, n, array_to_string(w[s + 1 : s + n], ' ') as k from (select item_id, w, n, unnest(range(0, len(w) - n + 1)) as s from sized)),
 spans as (select rid, w, n, unnest(range(0, len(w) - n + 1)) as s from docs, (select distinct n from wins) where len(w) >= n),
 hits as (select distinct rid, item_id, n, s from (select rid, n, s, array_to_string(w[s + 1 : s + n], ' ') as k from spans) join wins using (n, k)),
 places as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(s, s + n)) as p from hits) group by rid),
-who as (select rid, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct rid, cast(item_id as varchar) as i from hits) group by rid)
+who as (select rid, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct rid, cast(item_id as varchar) as i from hits) group by rid),
+terms as (select distinct ino, unnest(w) as t from items),
+few as (select ino, count(*) as n from terms group by ino having count(*) > 1),
+postings as (select rid, unnest(w) as t, generate_subscripts(w, 1) as pos from docs),
+held as (select rid, ino from (select distinct rid, t from postings) join terms using (t) join few using (ino) group by rid, ino, n having count(*) = n),
+spread as (select rid, ino, n, count(distinct t) over (partition by rid, ino order by pos range between current row and n + 18 following) as k from held join terms using (ino) join postings using (rid, t) join few using (ino)),
+near as (select rid, count(distinct ino) as n_near from spread where k = n group by rid)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
-from docs left join places using (rid) left join who using (rid)"""
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated, coalesce(n_near, 0) as n_near
+from docs left join places using (rid) left join who using (rid) left join near using (rid)"""
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,15 +100,56 @@ def test_decontamination_odd_rows(spark, odd):
     clash = odd.withColumns({"_did": F.lit(1), "_H": F.lit(2), "_id": F.lit(3), "_hash": F.lit(4)})
     assert sorted(r.doc_id for r in decontam.drop_contaminated(clash, items).collect()) == [1, 2, 6]
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(clash).collect()) == sorted(r.doc_id for r in simhash.drop_near_duplicates(odd).collect())
-    near = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta " + "x " * 40 + "alpha")], "doc_id long, text string")
-    assert [(r.doc_id, r.gap) for r in decontam.proximity_matches(near, decontam.item_words(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")), 5).collect()] == [(1, 3)]
+
+
+def plain_contamination(docs, items, window=10, slop=20):
+    """n_words, n_hit, n_items, items_sha256, n_near of each (doc_id, text), word by word."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+    texts = {(i, tuple(words(t))) for i, t in items if words(t)}
+    out = []
+    for doc_id, text in docs:
+        w, hit, ids, near = words(text), set(), set(), 0
+        for i, x in texts:
+            size = min(window, len(x))
+            wins = {x[s : s + size] for s in range(len(x) - size + 1)}
+            at = [s for s in range(len(w) - size + 1) if tuple(w[s : s + size]) in wins]
+            hit.update(p for s in at for p in range(s, s + size))
+            ids.update([i] if at else [])
+            n = len(set(x))
+            near += n > 1 and any(set(x) <= set(w[s : s + n + slop - 1]) for s in range(len(w)))
+        out.append((doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(str(i) for i in ids if i is not None)).encode()).hexdigest(), bool(hit), near))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [("i1", " ".join(rng.choice(vocabulary, 14))), ("i1", " ".join(rng.choice(vocabulary, 14))), (None, " ".join(rng.choice(vocabulary, 12))), (None, "a a a a a a a a a a a"), ("i2", "w1 w2 w3"), ("i3", None), ("i4", "w7"), ("i5", "w5 absent"), ("i6", "w1 w2 w3")]
+    docs = []
+    for i in range(60):
+        parts = [" ".join(rng.choice(vocabulary, rng.integers(0, 30))) for _ in range(3)]
+        _, t = items[rng.integers(0, len(items))]
+        cut = (t or "").split()[rng.integers(0, 3) :]
+        docs.append((None if i % 10 == 0 else f"d{i % 50}", " ".join([parts[0], " ".join(cut).upper(), parts[1], "w3, w2 x x W1", parts[2]])))
+    docs += [docs[3], docs[3], ("d0", "a " * 400), (None, None), ("e", "")]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontam.contamination(df, bench).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(plain_contamination(docs, items), key=key)
+    assert len([r for r in got if r.n_near]) > 5 and len([r for r in got if r.n_hit]) > 20
+    clean = [r.doc_id for r in got if not r.contaminated]
+    assert sorted(map(str, clean)) == sorted(str(r.doc_id) for r in decontam.drop_contaminated(df, bench).collect())
 
 
 def test_proximity_takes_all_terms(spark):
     texts = ["alpha beta x x gamma", "alpha beta " + "x " * 40 + "gamma", "gamma x alpha alpha x beta gamma x alpha", "alpha beta"]
     near = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = decontam.item_words(spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta absent")], "item_id long, text string"))
-    assert sorted((r.doc_id, r.item_id, r.gap) for r in decontam.proximity_matches(near, items, 5).collect()) == [(0, 1, 4), (2, 1, 3)]
+    index = decontam.build_index(near, items)
+    found = decontam.proximity_matches(near, items, index, decontam.term_counts(index), 5).join(items, "ino").join(near.select("doc_id", *decontam._key()), ["did", "h"])
+    assert sorted((r.doc_id, r.item_id, r.gap) for r in found.collect()) == [(0, 1, 4), (2, 1, 3)]
 
 
 def test_bpe_equals_library(spark, docs, odd):
