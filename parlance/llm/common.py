@@ -77,3 +77,12 @@ def is_small(df: DataFrame) -> bool:
 def small(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast if ``is_small`` finds it so."""
     return F.broadcast(df) if is_small(df) else df
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+    """``left`` joined with ``right`` (one row a key), by broadcast if that is small, else so that a frequent key of ``left`` is dealt to ``salts`` tasks by a hash of ``spread``."""
+    if is_small(right):
+        return left.join(F.broadcast(right), keys, how)
+    salt = apart("_salt", left)
+    salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).join(salted, [*keys, salt], how).drop(salt)

@@ -225,6 +225,67 @@ def test_pages_with_boilerplate_in_articles(spark):
     assert got == {i: f"Title {t}\n\nText {t}\n\nMore {t}" for i, t in [*((i, i) for i in range(12)), *((i, "copied") for i in range(100, 160))]}
 
 
+def test_pages_keep_article_text_whatever_its_class(spark):
+    names = ["social-science", "legal-analysis", "section-header", "search-results", "notice-period"]
+    body = "".join(f'<div class="{n}"><h2>{n}</h2><p>Text of {n}</p></div>' for n in names)
+    rows = [(1, "http://a.example.org/", f"<body><article>{body}</article></body>", 5, 6), (2, "http://b.example.org/", f"<body>{body}</body>", 5, 6)]
+    got = sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host long, noisy int")).collect()
+    assert {r.text for r in got} == {"\n\n".join(f"{n}\n\nText of {n}" for n in names)}
+    whole = " ".join(f"w{i}" for i in range(200_000))
+    assert sitetree.Page(f"<article><p>{whole}</p><article><p>a reader's</p></article><section itemprop='comment'>no</section><div role=search>no</div></article>").main_text() == whole
+
+
+def test_pages_of_small_hosts_learn_from_others(spark):
+    def page(i):
+        return f'<body><div class="top"><p>Same everywhere</p></div><div class="story"><p>Story {i}</p></div></body>'
+
+    rows = [(10 * h + i, f"http://h{h}.example.org/{i}", page(10 * h + i)) for h in range(8) for i in range(2)]
+    df = spark.createDataFrame([*rows, (99, "http://one.example.org/", page(99))], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in sitetree.extract(df).collect()} == {i: f"Story {i}" for i in [*(r[0] for r in rows), 99]}
+    assert sitetree.extract(df, 0.0).where("text not like 'Same everywhere%'").count() == 0
+
+
+def test_importance_against_brute_force(spark, sf_dir):
+    from math import log
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("html", urls.host_of(F.col("url")).alias("host"))
+    distinct = sitetree.distinct_pages(pages)
+    own = sitetree.own_importance(sitetree.node_statistics(distinct), distinct.groupBy("host").agg(F.count("*").alias("pages")))
+    got = {(r.host, r.node): r for r in own.collect()}
+    low = {(r.host, r.node): r.importance for r in sitetree.importance(own).collect()}
+    by = defaultdict(dict)
+    for r in pages.collect():
+        page = sitetree.Page(r.html)
+        by[r.host].setdefault(tuple(t for main, _, _, t in page.blocks if main or not page.has_main), page.marks())
+    want = {}
+    for host, found in by.items():
+        m, nodes = len(found), defaultdict(lambda: (Counter(), Counter()))
+        for marks in found.values():
+            for node, side, content, feature in marks:
+                nodes[node, side][content][feature] += 1
+        for (node, side), (kids, texts) in nodes.items():
+            content = np.mean([1 - log(n) / log(m) for n in texts.values()]) if texts and m > 1 else 1.0
+            shown = min(1.0, -sum(n / m * log(n / m) / log(m) for n in kids.values())) if m > 1 else 0.0
+            want[host, node] = (side, m, (shown + content) / 2 if side == sitetree.BESIDE else max(content, (shown + content) / 2))
+    assert set(got) == set(want)
+    sums = defaultdict(lambda: [0.0, 0.0])
+    for (host, node), (side, m, own) in want.items():
+        assert got[host, node].side == side and got[host, node].pages == m and (m == 1 or abs(got[host, node].own - own) < 1e-9)
+        sums[node][0] += (m - 1) * own
+        sums[node][1] += m - 1
+    for (host, node), (side, m, own) in want.items():
+        prior = (sums[node][0] + 4 * (side != sitetree.BESIDE)) / (sums[node][1] + 4)
+        assert abs(low[host, node] - ((m - 1) * own + 4 * prior) / (m + 3)) < 1e-9
+
+
+def test_pages_need_the_tree(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    on, off = ({r.page_id: r.text for r in sitetree.extract(pages, t).collect()} for t in (sitetree.THRESHOLD, 0.0))
+    html = {r.page_id: r.html for r in pages.collect()}
+    article = {i: sitetree.Page(h[h.index("<article>") : h.index("</article>")]).main_text() for i, h in html.items()}
+    assert on == article and all(off[i] != on[i] for i in on)
+
+
 def test_minhash(spark, docs, odd):
     got = {r.doc_id: r for r in minhash.fingerprint_documents(docs).collect()}
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
