@@ -2,7 +2,8 @@
 
 A term is a word or one of its first-letters stems; each is hashed to a bucket. The machine adds to
 the linear weights of a text's buckets a learned interaction of every two of them, so that a term
-can weigh more beside another. It is fitted on a bounded sample of labelled documents.
+can weigh more beside another. It is fitted on a bounded sample of labelled documents, from terms
+that tell the classes apart alone and from pairs of terms that do so only together.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from parlance.llm.common import held_out
 
 #: at most so many labelled documents of each class are learned from
 PER_CLASS = 3000
-BUCKETS, STEMS, CACHE = 1 << 20, (4, 5, 6), 300_000
-FEATURES, LEAST_DOCS, LEAST_CHI2, FACTORS = 1024, 3, 12.0, 8
+BUCKETS, STEMS, CACHE = 1 << 20, (3, 4, 5, 6, 7, 8), 300_000
+#: terms kept for themselves; pairs looked for among so many of the most frequent terms of the sample, and kept
+FEATURES, PAIRED, PAIRS, LEAST_DOCS, LEAST_CHI2, PAIR_CHI2, FACTORS = 1024, 2048, 128, 3, 12.0, 40.0, 8
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -38,6 +40,37 @@ def text_buckets(text: str | None) -> set[int]:
     return {b for w in set(LETTERS.findall((text or "").lower())) for b in word_buckets(w)}
 
 
+def chi_square(hits: np.ndarray, seen: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """How far the ``hits`` of class 1 among rows ``seen`` with a feature are from its share ``pos`` of all ``n`` rows."""
+    expected = seen * (pos / n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(seen > 0, (hits - expected) ** 2 / (expected * (1 - pos / n) * np.maximum(1 - seen / n, 1e-9)), 0.0)
+
+
+def best_cut(margins: np.ndarray, y: np.ndarray, weight: float) -> float:
+    """The margin that tells class 1 from class 0, whose rows weigh ``weight``, with the best F1; of a range the middle."""
+    order = np.argsort(-margins, kind="stable")
+    caught, wrong = np.cumsum(y[order]), np.cumsum(1 - y[order]) * weight
+    ends = np.r_[np.diff(margins[order]) != 0, True]  # equal margins go together
+    f1 = np.where(ends, 2 * caught / (caught + wrong + y.sum()), -1.0)
+    at = int(np.argmax(f1))
+    after = margins[order][at + 1] if at + 1 < len(order) else margins[order][at] - 1.0
+    return float(margins[order][at] + after) / 2
+
+
+def telling_pairs(x: np.ndarray, y: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Pairs of columns of ``x`` (rows by terms) that stand together in one class far more than ``alone``, the terms' own chi-squares, says; the best PAIRS of them."""
+    n, pos, found = len(y), int(y.sum()), []
+    one = x[y == 1]
+    for lo in range(0, x.shape[1], 256):
+        both, hits = x[:, lo : lo + 256].T @ x, one[:, lo : lo + 256].T @ one
+        gain = chi_square(hits, both, n, pos) - np.maximum(alone[lo : lo + 256, None], alone[None, :])
+        a, b = np.nonzero((gain > PAIR_CHI2) & (np.arange(lo, lo + len(gain))[:, None] < np.arange(x.shape[1])[None, :]))
+        found.append(np.stack([gain[a, b], a + lo, b], 1))
+    found = np.concatenate(found)
+    return found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))][:PAIRS, 1:].astype(np.int64)
+
+
 @dataclass
 class FactorizationMachine:
     """score = sigmoid(bias + sum of w + sum over pairs of the inner product of their factors), for the buckets that were kept."""
@@ -51,31 +84,57 @@ class FactorizationMachine:
         s = x @ self.v
         return self.bias + x @ self.w + 0.5 * ((s**2).sum(1) - x @ (self.v**2).sum(1)), s
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 40, seed: int = 5) -> FactorizationMachine:
-        """Keep the buckets that chi-square finds to tell the classes apart, then Adam on the log loss with decay; the bias is moved to ``prior``."""
+    @staticmethod
+    def _columns(rows: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
+        """Rows by ``buckets``: which each row has."""
+        column = np.full(BUCKETS, -1, np.int32)
+        column[buckets] = np.arange(len(buckets))
+        x = np.zeros((len(rows), len(buckets)), bool)
+        for i, r in enumerate(rows):
+            at = column[r]
+            x[i, at[at >= 0]] = True
+        return x
+
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, prior: float, seed: int = 5) -> FactorizationMachine:
+        """Learn from ``rows`` (buckets of each) of classes ``y`` (1 or 0).
+
+        Each half of the rows is scored by a machine learned from the other; the bias is moved so that
+        a score of 0.5 is where these scores tell the classes apart best, at class shares of ``prior``.
+        """
         n, pos = len(rows), int(y.sum())
         if not n or pos in (0, n):
             self.bias = float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
             return self
+        half = np.random.default_rng(seed).permutation(n) % 2
+        margins = np.zeros(n)
+        for side in (0, 1):
+            here, there = np.flatnonzero(half != side), np.flatnonzero(half == side)
+            if 0 < y[here].sum() < len(here):
+                part = FactorizationMachine()._learn([rows[i] for i in here], y[here], seed)
+                margins[there] = part.margins(self._columns([rows[i] for i in there], np.array(sorted(part.index, key=part.index.get), np.int64)).astype(float))[0]
+        self._learn(rows, y, seed)
+        self.bias -= best_cut(margins, y, (1 - prior) / max(prior, 1e-9) * pos / (n - pos))
+        return self
+
+    def _learn(self, rows: list[np.ndarray], y: np.ndarray, seed: int, epochs: int = 40) -> FactorizationMachine:
+        """Keep the buckets that chi-square finds to tell the classes apart, alone or in pairs, then Adam on the log loss with decay."""
+        n, pos = len(rows), int(y.sum())
         seen = np.zeros(BUCKETS)
         hits = np.zeros(BUCKETS)
         for r, label in zip(rows, y):
             seen[r] += 1
             hits[r] += label
-        expected = seen * pos / n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chi2 = (hits - expected) ** 2 / (expected * (1 - pos / n) * np.maximum(1 - seen / n, 1e-9))
+        chi2 = chi_square(hits, seen, n, pos)
         good = np.flatnonzero((seen >= LEAST_DOCS) & (chi2 >= LEAST_CHI2))
         good = good[np.lexsort((good, -chi2[good]))][:FEATURES]
+        often = np.flatnonzero(seen >= PAIR_CHI2 / 2)
+        often = np.sort(often[np.lexsort((often, -seen[often]))][:PAIRED])
+        pairs = telling_pairs(self._columns(rows, often).astype(np.float32), y, chi2[often])
+        good = np.concatenate([good, np.setdiff1d(often[pairs], good)])
         self.index = {int(b): i for i, b in enumerate(good)}
-        column = np.full(BUCKETS, -1, np.int32)
-        column[good] = np.arange(len(good))
-        x = np.zeros((n, len(good)), bool)
-        for i, r in enumerate(rows):
-            at = column[r]
-            x[i, at[at >= 0]] = True
+        x = self._columns(rows, good)
         rng = np.random.default_rng(seed)
-        self.w, self.v = np.zeros(len(good)), rng.normal(0, 0.03, (len(good), FACTORS))
+        self.w, self.v = np.zeros(len(good)), rng.normal(0, 0.1, (len(good), FACTORS))
         params = [np.zeros(1), self.w, self.v]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         t = 0
@@ -92,7 +151,7 @@ class FactorizationMachine:
                     a += 0.1 * (gr - a)
                     b += 0.001 * (gr**2 - b)
                     p -= 0.02 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-        self.bias = float(params[0][0]) + float(np.log((prior + 1e-6) / (1 - prior + 1e-6)) - np.log(pos / (n - pos)))
+        self.bias = float(params[0][0])
         return self
 
     def scorer(self):

@@ -195,6 +195,24 @@ def test_toxicity(spark, odd):
     assert toxicity.score_documents(odd.limit(0), lab).count() == 0
 
 
+def test_toxicity_of_pairs():
+    rng = np.random.default_rng(0)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    texts, y = [], []
+    for _ in range(2500):  # neither term tells anything alone
+        a, b = rng.integers(0, 2, 2)
+        texts.append(" ".join([*rng.choice(words, 30), *["insult"] * a, *["group"] * b]))
+        y.append(float(a == b))
+    rows = [np.array(sorted(toxicity.text_buckets(t)), np.int32) for t in texts]
+    score = toxicity.FactorizationMachine().fit(rows[:2000], np.array(y[:2000]), 0.5).scorer()(texts[2000:])
+    assert np.mean((score >= 0.5) == np.array(y[2000:])) > 0.98
+
+
+def test_best_cut():
+    m, y = np.array([3.0, 2.0, 2.0, 1.0, -1.0]), np.array([1.0, 1.0, 1.0, 0.0, 1.0])
+    assert toxicity.best_cut(m, y, 1.0) == -2.0 and toxicity.best_cut(m, y, 5.0) == 1.5
+
+
 def test_pages(spark):
     page = '<html><head><title>t</title></head><body><nav><ul><li>Home</li></ul></nav><article><h1>Title</h1><p>One &amp; <b>two</b>\n three<p>four<div class="comments"><p>no</div></article><footer>f</footer></body></html>'
     assert sitetree.Page(page).main_text() == "Title\n\nOne & two three\n\nfour"
