@@ -1,10 +1,11 @@
 """SimHash near-duplicates: an exact Hamming join through a Gray-ordered hierarchical index.
 
-Two fingerprints that differ in at most ``k`` of 64 bits agree on some two of ``k + 2`` blocks of
-bits. The masked bit patterns of all pairs of blocks are the upper nodes of the index; Spark deals
-the distinct fingerprints to them. Inside a node they are sorted by Gray rank, so that neighbours
-share long bit patterns; runs of them form lower nodes whose shared bits are factored out, and a
-pair of nodes whose shared bits already differ in more than ``k`` places is pruned as a whole.
+Two fingerprints that differ in at most ``k`` of 64 bits agree on one of ``k + 1`` blocks of bits, and
+on two of ``k + 2``. Leading bits of these blocks, as many as leave about NODE codes together, are the
+uppermost nodes of the index; Spark deals the distinct fingerprints to them. Inside a node they are
+sorted by Gray rank, so that neighbours share long bit patterns; runs of them form lower nodes whose
+shared bits are factored out, and a pair of nodes whose shared bits already differ in more than ``k``
+places is pruned as a whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, combinations, repeat
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from parlance.llm.common import apart, stored
 from parlance.llm.components import connected_components
 
 BITS, WORDS, SEED = 64, 3, 42
-LEAF, FAN = 64, 8
+LEAF, FAN, NODE = 8, 8, 2048
 
 
 def simhash(text: str | None, width: int = WORDS) -> int:
@@ -47,11 +49,22 @@ def simhash_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype="int64")
 
 
-def block_masks(k: int) -> list[int]:
-    """Masks of all pairs of ``k + 2`` blocks of bits, as signed integers."""
-    edges = [round(i * BITS / (k + 2)) for i in range(k + 3)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in (x | y for x, y in combinations(blocks, 2))]
+def block_masks(k: int, n: int) -> list[int]:
+    """Masks, as signed integers, of which two codes within ``k`` bits agree on one; each leaves about NODE of ``n`` codes together, if it has that many bits.
+
+    Leading bits of ``k + 1`` blocks while these are long enough, else of all pairs of ``k + 2`` blocks.
+    """
+    want = max(0, ceil(log2(max(n, 1) / NODE)))
+    count = k + 1 if want <= BITS // (k + 1) else k + 2
+    edges = [i * BITS // count for i in range(count + 1)]
+
+    def leading(i: int, bits: int) -> int:
+        top = edges[i + 1]
+        return (1 << top) - (1 << max(edges[i], top - bits))
+
+    masks = [leading(i, want) for i in range(count)] if count == k + 1 else [leading(i, -(-want // 2)) | leading(j, -(-want // 2)) for i, j in combinations(range(count), 2)]
+    masks = masks if want else [0]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -75,13 +88,12 @@ def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def link_node(codes: np.ndarray, k: int) -> np.ndarray:
-    """Class labels (least index) of ``codes`` (distinct, in Gray order) under links of at most ``k`` bits.
+def near_leaves(codes: np.ndarray, k: int) -> np.ndarray:
+    """Pairs (a <= b) of leaves, runs of LEAF ``codes`` (in Gray order), that the index cannot prune.
 
-    Levels of the index, from the leaves up: bits shared by all codes of a node, and where they are shared.
+    Levels, from the leaves up: bits shared by all codes of a node, and where they are shared. From
+    the root down, the pairs of children of a pair of nodes are pruned whose shared bits differ too much.
     """
-    n = len(codes)
-    label = np.arange(n)
     low, high = codes, codes  # and-ed, or-ed
     levels = []
     for width in chain([LEAF], repeat(FAN)):
@@ -102,14 +114,23 @@ def link_node(codes: np.ndarray, k: int) -> np.ndarray:
             near = np.bitwise_count((low[a] ^ low[b]) & shared[a] & shared[b]) <= k
             kept.append(np.stack([a[near], b[near]], 1))
         pairs = np.concatenate(kept)
+    return pairs
+
+
+def link_node(codes: np.ndarray, k: int) -> np.ndarray:
+    """Class labels (least index) of ``codes`` (distinct, in Gray order) under links of at most ``k`` bits."""
+    n, pairs = len(codes), near_leaves(codes, k)
+    label = np.arange(n)
     padded = np.concatenate([codes, np.zeros(-n % LEAF, np.uint64)]).reshape(-1, LEAF)
-    for part in np.array_split(pairs, max(1, len(pairs) // 256)):
-        part = part[[len({*label[a * LEAF : (a + 1) * LEAF], *label[b * LEAF : (b + 1) * LEAF]}) > 1 for a, b in part]]  # leaves of one class need no look
-        if len(part):
-            at, x, y = np.nonzero(np.bitwise_count(padded[part[:, 0]][:, :, None] ^ padded[part[:, 1]][:, None, :]) <= k)
-            i, j = part[at, 0] * LEAF + x, part[at, 1] * LEAF + y
-            real = (i < j) & (j < n)
-            _join_labels(label, i[real], j[real])
+    starts = np.arange(0, n, LEAF)
+    for part in np.array_split(pairs, max(1, len(pairs) // 4096)):
+        least, most = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
+        a, b = part[:, 0], part[:, 1]
+        part = part[(least[a] != most[a]) | (least[b] != most[b]) | (least[a] != least[b])]  # leaves of one class need no look
+        at, x, y = np.nonzero(np.bitwise_count(padded[part[:, 0]][:, :, None] ^ padded[part[:, 1]][:, None, :]) <= k)
+        i, j = part[at, 0] * LEAF + x, part[at, 1] * LEAF + y
+        real = (i < j) & (j < n)
+        _join_labels(label, i[real], j[real])
     return label
 
 
@@ -141,7 +162,7 @@ def link_fingerprints(codes: DataFrame, k: int = 3, hot: int = 20_000) -> DataFr
     codes are split once more: what their mask leaves out is cut into ``k + 1`` parts of which a pair
     within ``k`` bits shares one, so no link is lost.
     """
-    masks = block_masks(k)
+    masks = block_masks(k, codes.count())
     keyed = codes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("n")).select("fp", "n.m", "n.key")
     heavy = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("m", "key", F.lit(True).alias("heavy"))
     if heavy.isEmpty():

@@ -77,6 +77,12 @@ def test_simhash_against_brute_force(spark, docs, odd):
         for c, want in zip(codes.view(np.int64).tolist(), label.tolist()):
             found[root.get(c, c)].add(want)
         assert len(found) == len(set(label.tolist())) and all(len(v) == 1 for v in found.values())
+    for n in (10, 10_000, 10**6, 10**9, 10**12):
+        masks = [m % 2**64 for m in simhash.block_masks(3, n)]
+        for _ in range(300):
+            x = int(rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1
+            y = x ^ sum(1 << int(b) for b in {*rng.integers(0, 64, 3)})
+            assert any(x & m == y & m for m in masks)
     assert simhash.simhash(None) == simhash.simhash(" \n") == 0
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2)} == {1}
@@ -85,6 +91,20 @@ def test_simhash_against_brute_force(spark, docs, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_gray_index_prunes_and_loses_nothing(spark, docs):
+    codes = np.array(sorted({simhash.simhash(r.text) for r in docs.collect()}), np.int64).view(np.uint64)
+    rng = np.random.default_rng(4)
+    codes = np.unique(np.concatenate([codes, codes ^ (np.uint64(1) << rng.integers(0, 64, len(codes), np.uint64)), rng.integers(0, 2**63, 2000, np.uint64)]))
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    pairs = {tuple(p) for p in simhash.near_leaves(codes, 3).tolist()}
+    n = -(-len(codes) // simhash.LEAF)
+    near = np.argwhere(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3)
+    assert {(i // simhash.LEAF, j // simhash.LEAF) for i, j in near if i <= j} <= pairs
+    assert len(pairs) < 0.6 * n * (n + 1) / 2
+    label = simhash.link_node(codes, 3)
+    assert all(label[i] == label[j] for i, j in near)
+
+
 def test_simhash_hash_is_sparks(spark):
     assert simhash.simhash("A b c") == spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0]
 
@@ -210,7 +230,7 @@ def test_toxicity_of_pairs():
 
 def test_best_cut():
     m, y = np.array([3.0, 2.0, 2.0, 1.0, -1.0]), np.array([1.0, 1.0, 1.0, 0.0, 1.0])
-    assert toxicity.best_cut(m, y, 1.0) == -2.0 and toxicity.best_cut(m, y, 5.0) == 1.5
+    assert toxicity.best_cut(m, y, 1.0) == -1.5 and toxicity.best_cut(m, y, 5.0) == 1.5
 
 
 def test_pages(spark):
