@@ -52,7 +52,11 @@ with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 lab as (select doc_id, max(cast(quality = 0 or toxic = 1 as int)) as bad from labels where doc_id is not null group by doc_id),
 o as (select host, bad from p left join lab on lab.doc_id = try_cast(nullif(regexp_extract(path, '^/[^/]*/([0-9]{1,18})', 1), '') as bigint)),
-h as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix from o group by host),
+b as (select host, bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as bare from o),
+g as (select host, bad, bare, string_split(bare, '.') as l, regexp_matches(bare, '^[0-9]+(\.[0-9]+){3}$|^\[') as address,
+  regexp_matches(bare, '(^|\.)(ac|co|com|edu|gov|mil|net|org)\.[a-z]{2}$') or array_to_string(string_split(bare, '.')[-2:], '.') in ('github.io', 'blogspot.com') as two from b),
+h as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad, case when address then bare when two then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end as domain,
+  case when address then 'ip' when two then array_to_string(l[-2:], '.') else l[-1] end as suffix from g group by host, bare, l, address, two),
 d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all),
 s as (select suffix, sum(n) as n, sum(bad) as bad from d group by suffix),
 e as (select sum(n) as pn, sum(bad) as pbad from s),
@@ -63,11 +67,13 @@ ks as (select coalesce(max(k) filter (lv = 's'), 1000) as s, coalesce(max(k) fil
 ms as (select suffix, (bad + ks.s * case when pn > 0 then pbad / pn else 0.5 end) / (n + ks.s) as m from s, e, ks),
 md as (select domain, (bad + ks.d * m) / (n + ks.d) as m from d join ms using (suffix), ks),
 ab as (select host, bad + ks.h * m as a, n - bad + ks.h * (1 - m) as b from h join md using (domain), ks),
-bo as (select host, a / (a + b) - 1.645 * sqrt(a * b / (a + b) / (a + b) / (a + b + 1)) as bound from ab),
+bo as (select host, a / (a + b) as mean, a / (a + b) - 1.645 * sqrt(a * b / (a + b) / (a + b) / (a + b + 1)) as bound from ab),
+li as (select r + 1.645 * sqrt(r * (1 - r) / (ks.h + 1)) as lim from (select case when pn > 0 then pbad / pn else 0.5 end as r from e), ks),
 r as (select * from (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')) as v(rule, rh, rp, says)),
 q as (select host, path, arg_max(rule, len(rule)) as rule, arg_max(says, len(rule)) as says from (select distinct host, path from p) join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path)
-select page_id, p.host, p.path, rule, coalesce(says, case when bound > 0.3 then 'block' else 'allow' end) as verdict
-from p join bo using (host) left join q on q.host = p.host and q.path = p.path"""
+select page_id, p.host, p.path, rule, coalesce(says, case when bound > lim then 'block' else 'allow' end) as verdict, cast(h.n as bigint) as n, cast(h.bad as bigint) as bad,
+  round(mean, 6) as mean, round(bound, 6) as bound, round(lim, 6) as "limit"
+from p join bo using (host) join h using (host), li left join q on q.host = p.host and q.path = p.path"""
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -376,6 +376,12 @@ def test_chat_and_urls_odd_rows(spark):
     assert {(r.host, r.verdict) for r in urls.judge(many, lab).collect()} == {("bad.net", "block"), ("good.net", "allow")}
 
 
+def test_domains(spark):
+    want = {"www.a.co.uk": ("a.co.uk", "co.uk"), "x.y.github.io": ("y.github.io", "github.io"), "10.0.0.1:80": ("10.0.0.1", "ip"), "u:p@b.h.org:8080": ("h.org", "org"), "localhost": ("localhost", "localhost"), "": ("", ""), "uk": ("uk", "uk"), "co.uk": ("co.uk", "co.uk")}
+    got = spark.createDataFrame([(h,) for h in want], "host string").select("host", *(c.alias(n) for n, c in zip("ds", urls.domain_and_suffix(F.col("host"))))).collect()
+    assert {r.host: (r.d, r.s) for r in got} == want
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
