@@ -61,10 +61,10 @@ def domain_and_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple
 
 def strength(level: DataFrame) -> float:
     """The prior strength from members (n, bad) and their parents (pn, pbad): one number, from sums over all members."""
-    rate = F.col("pbad") / F.col("pn")
+    rate = F.try_divide("pbad", "pn")
     spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - rate, 2))
-    by_chance = F.sum(rate * (1 - rate) * (1 - F.col("n") / F.col("pn")))
-    room = F.sum(F.col("n") - F.col("n") * F.col("n") / F.col("pn"))
+    by_chance = F.sum(rate * (1 - rate) * (1 - F.try_divide("n", "pn")))
+    room = F.sum(F.col("n") - F.try_divide(F.col("n") * F.col("n"), "pn"))
     one = level.where("n > 0").agg(spread.alias("spread"), by_chance.alias("chance"), room.alias("room"), F.avg(rate * (1 - rate)).alias("var")).first()
     between = (one["spread"] - one["chance"]) / one["room"] if one["room"] else 0.0
     return max(LEAST, min(MOST, one["var"] / between - 1)) if between > 0 else MOST

@@ -30,6 +30,18 @@ def test_sql(spark, sf_dir, name):
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == sql_rows(connect(sf_dir), queries.ORACLE_SQL[name])
 
 
+def test_chat_sql_on_odd_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(c, None if t == 9 else t, [None, "", "user", "bot"][rng.integers(0, 4)], [None, "", "a", "b"][rng.integers(0, 4)]) for c in range(60) for t in rng.integers(0, 10, rng.integers(1, 5)).tolist()]
+    rows += [(100, t, "user", f"x{t}") for t in range(5000)] + [(101, t, "user", f"x{t}") for t in range(70)]
+    schema = "conv_id long, turn long, role string, text string"
+    con = connect("/root/testdata/sf0.001")
+    con.sql("drop view conversations")
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert spark_rows(chat.format_chats(spark.createDataFrame(rows, schema))) == sql_rows(con, queries.ORACLE_SQL["op2_chat"])
+
+
 def law(rows, n):
     sizes = Counter(r.shard for r in rows)
     by = defaultdict(list)
@@ -363,8 +375,12 @@ def test_chat_and_urls_odd_rows(spark):
     conv = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, None, None), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, None, None), (None, 0, "user", "alone"), (4, None, "user", "late")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in chat.format_chats(conv).collect()}
     assert set(got) == {1, None, 4} and got[1][:2] == (2, 2) and got[1][2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>\n<|im_end|>\n"
-    long = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(600)] + [(2, i, "user", f"t{i}") for i in range(300)], "conv_id long, turn long, role string, text string")
-    assert [(r.conv_id, r.segment, r.n_turns) for r in chat.format_chats(long).orderBy("segment").collect()] == [(1, 0, 600), (1, 1, 600), (1, 2, 600)]
+    long = spark.createDataFrame([(c, i + 252, "user", f"t{i}", 0, 0, 0) for c, n in ((1, 9000), (2, 8), (3, 300)) for i in range(n)], "conv_id long, turn long, role string, text string, pos int, h1 int, lone int")
+    got = chat.format_chats(long).orderBy("segment").collect()
+    assert [(r.conv_id, r.segment, r.n_turns) for r in got] == [(1, 0, 9000), (1, 1, 9000), (1, 2, 9000)]
+    assert "".join(r.text for r in got) == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(9000))
+    (one,) = chat.format_chats(long.where("conv_id = 2")).collect()
+    assert (one.segment, one.n_turns) == (0, 8)
     assert chat.format_chats(conv.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "http://A.Example.org/es/1?x"), (4, "http://x.com/de/2"), (None, "http://bad.net/en/3#q")], "page_id long, url string")
     labels = spark.createDataFrame([(3, 0, 1)], "doc_id long, quality int, toxic int")
