@@ -16,37 +16,51 @@ from parlance.llm.common import stored, table
 from parlance.llm.decontam import drop_contaminated
 from parlance.llm.simhash import drop_near_duplicates
 
+#: documents in these languages stay, if the weakest duel for their language is not lost
+LANGUAGES, LEAST_SCORE = ("de", "en", "es", "fr"), 0.5
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5."""
+    """Documents with a toxicity score under 0.5.
+
+    Null and empty texts have the score of no terms; repeated rows are judged alike; without labels, or
+    documents, nothing is dropped.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.toxicity_score(F.col("text"), model) < 0.5)
 
 
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found."""
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] = LANGUAGES, least: float = LEAST_SCORE) -> DataFrame:
+    """Documents that are told to be in one of ``languages`` with a score of ``least`` or more.
+
+    Null texts and texts without letters are in no language and go. If no document tells its language,
+    none can be learned, and all texts with letters stay. Repeated rows are judged alike.
+    """
     model = langid.train(docs)
-    return docs.where(langid.guess(F.col("text"), model)["lang"] != langid.UNKNOWN)
+    if not model.within:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = langid.guess(F.col("text"), model)
+    return docs.where(told["lang"].isin(*languages) & (told["score"] >= least))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; nulls, repeats and empty tables as in ``drop_near_duplicates``."""
     return drop_near_duplicates(docs, 3)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; null texts have none, an empty benchmark drops nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), 10)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left; nulls, repeats and empty tables as in ``encode_and_decode``."""
     import public_tokenizers
 
     return encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("language", keep_known_languages), ("near duplicates", drop_copies), ("decontamination", drop_leaks), ("encoding", encode)]
+STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("near duplicates", drop_copies), ("decontamination", drop_leaks), ("encoding", encode)]
 
 #: models and fingerprints are beyond SQL; tests hold run() against a plain version
 ORACLE_SQL = None
