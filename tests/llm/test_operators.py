@@ -409,13 +409,19 @@ def test_pipeline(spark, sf_dir):
         kept = spark.createDataFrame(after.collect(), docs.schema)
     final = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert set(final) == {r.doc_id for r in kept.select("doc_id").collect()}
+    assert corpus_pipeline.keep_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), sf_dir).count() == docs.where("text rlike '[a-zA-Z]'").count()
+    assert {r.lang for r in corpus_pipeline.keep_languages(spark, docs, sf_dir, ("fr",)).where("n_chars > 500").collect()} == {"fr"}
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    tree = langid.train(docs)
     items = [re.findall(decontam.WORD, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     wins = {tuple(x.lower() for x in w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9))}
     lower = lambda w: w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     clean, seen = set(), set()
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        if model.scorer()([r.text])[0] >= 0.5 or langid.features(r.text) is None:
+        if model.scorer()([r.text])[0] >= 0.5:
+            continue
+        lang, sure = tree.predict(r.text)
+        if lang not in corpus_pipeline.LANGUAGES or sure < corpus_pipeline.LEAST_SCORE:
             continue
         code = simhash.simhash(r.text)
         if any(bin((code ^ c) & (2**64 - 1)).count("1") <= 3 for c in seen):
