@@ -26,5 +26,5 @@ def load() -> None:
     """Import the modules that register queries."""
     from importlib import import_module
 
-    for name in ("event_queries", "dialogue_queries", "document_queries", "table_queries", "file_queries", "stream_queries"):
+    for name in ("event_queries", "dialogue_queries", "document_queries", "table_queries", "file_queries", "session_queries", "stream_queries"):
         import_module(f"parlance.plans.{name}")

@@ -8,6 +8,7 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def wav_duration(head: bytes) -> Decimal | None:
@@ -25,12 +26,20 @@ def wav_duration(head: bytes) -> Decimal | None:
     return None
 
 
-def read_wav_durations(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(path, duration decimal); null for files that are no WAV. One file's bytes at a time are in memory."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{wav,WAV}").load(paths if isinstance(paths, str) else list(paths))
+#: so many first bytes of a file can hold its format and the size of its data
+HEAD = 65_536
+
+
+def wav_durations(files: DataFrame) -> DataFrame:
+    """(path, duration decimal) of ``files`` (path, content); null for what is no WAV. Only the head goes to Python."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "duration": [wav_duration(c) for c in b["content"]]})
+            yield pd.DataFrame({"path": b["path"], "duration": [wav_duration(c) if c is not None else None for c in b["head"]]})
 
-    return files.select("path", "content").mapInPandas(run, "path string, duration decimal(38,18)")
+    return files.select("path", F.substring("content", 1, HEAD).alias("head")).mapInPandas(run, "path string, duration decimal(38,18)")
+
+
+def read_wav_durations(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """(path, duration decimal) of the WAV files below ``paths``. Spark reads one file at a time into memory."""
+    return wav_durations(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{wav,WAV}").load(paths if isinstance(paths, str) else list(paths)))

@@ -21,9 +21,9 @@ def lines(spark: SparkSession, paths: Sequence[str] | str, glob: str = "*") -> D
     return raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "value"))
 
 
-def discover_sessions(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(session_dir, desc_path) of every ``*.properties`` file below ``paths``; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.properties").load(paths if isinstance(paths, str) else list(paths))
+def discover_sessions(spark: SparkSession, paths: Sequence[str] | str, glob: str = "*.properties") -> DataFrame:
+    """(session_dir, desc_path) of every descriptor below ``paths``; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths if isinstance(paths, str) else list(paths))
     return found.select(F.regexp_replace("path", r"/[^/]*$", "").alias("session_dir"), F.col("path").alias("desc_path"))
 
 
@@ -92,7 +92,16 @@ def read_screenshots(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(name.rlike(at)).select(part(1).alias("kind"), part(2).alias("id"), parse_tod(part(3)).alias("time_of_day"), part(4).alias("participant"), F.col(path).alias("path"))
 
 
+#: name endings of file types
+TYPES = {"xml": ("xml", "hat"), "wav": ("wav",)}
+
+
+def of_type(files: DataFrame, mime: str, path: str = "path") -> DataFrame:
+    """The ``files`` of a type (xml, wav) by their names, whatever their case."""
+    return files.where(F.lower(F.regexp_extract(path, r"[.]([^./]*)$", 1)).isin(*TYPES[mime]))
+
+
 def list_files(spark: SparkSession, paths: Sequence[str] | str, mime: str) -> DataFrame:
     """Paths of files of a type (xml, wav) by their names; contents are not read."""
-    glob = {"xml": "*.{xml,hat}", "wav": "*.{wav,WAV}"}[mime]
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths if isinstance(paths, str) else list(paths)).select("path")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths if isinstance(paths, str) else list(paths))
+    return of_type(found.select("path"), mime)

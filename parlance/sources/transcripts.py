@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.text import flatten_segment
+from parlance.functions.text import flatten_segment, natural_key
 from parlance.operators.guards import assert_unique
 
 INNER = "struct<_id:string,_start:float,_end:float,_source:string,_track:string,transcription:struct<t:array<string>>>"
@@ -29,13 +29,18 @@ def read_sources(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
 
 
 def write_annotation(segments: DataFrame, path: str) -> None:
-    """Segments sorted by natural id order within files, as XML."""
-    from parlance.functions.text import natural_key
-
-    out = segments.sortWithinPartitions(natural_key(F.col("id"))).select(F.col("id").alias("_id"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("source").alias("_source"), F.col("track").alias("_track"), F.struct(F.col("tokens").alias("t")).alias("transcription"))
+    """Segments as XML, sorted by natural id order within and over files."""
+    out = segments.orderBy(natural_key(F.col("id"))).select(F.col("id").alias("_id"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("source").alias("_source"), F.col("track").alias("_track"), F.struct(F.col("tokens").alias("t")).alias("transcription"))
     out.write.format("xml").option("rootTag", "segments").option("rowTag", "segment").save(path)
 
 
+def write_tracks(tracks: DataFrame, path: str) -> None:
+    """Tracks (track, sources array of source, href, channel, offset) as XML, sorted by natural id order within and over files."""
+    source = F.transform("sources", lambda s: F.struct(s["source"].alias("_id"), s["href"].alias("_href"), s["channel"].alias("_channel"), s["offset"].alias("_offset")))
+    out = tracks.orderBy(natural_key(F.col("track"))).select(F.col("track").alias("_id"), F.struct(source.alias("source")).alias("sources"))
+    out.write.format("xml").option("rootTag", "tracks").option("rowTag", "track").save(path)
+
+
 def segment_strings(segments: DataFrame) -> DataFrame:
     """One line of text for each segment that has tokens."""
     return segments.where(F.size("tokens") > 0).select("id", F.array_join("tokens", " ").alias("text"))
