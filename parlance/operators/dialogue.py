@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,17 +98,55 @@ def overlap_summary(rows: DataFrame, ordinal: str = "ordinal", overlap: str = "o
     return rows.where(F.col(ordinal) >= least).groupBy(ordinal).agg(F.count(overlap).alias("n"), F.avg(overlap).alias("mean"), F.stddev_samp(overlap).alias("std"), (F.stddev_samp(overlap) / F.sqrt(F.count(overlap))).alias("sem"))
 
 
-def previous_order_pairs(utts: DataFrame, tokens: str = "tokens", ordinal: str = "ordinal", salts: int = 16) -> DataFrame:
+def _block_overlaps(later: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    """(shared, size_a, size_b, n): how many pairs of a row of each block have these sizes and so many tokens in common."""
+
+    def flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(s) for s in df["s"]], np.int64)
+        return sizes, np.repeat(np.arange(len(df)), sizes), np.concatenate([np.asarray(s, np.int64) for s in df["s"]]) if len(df) else np.zeros(0, np.int64)
+
+    (na, ra, ta), (nb, rb, tb) = flat(later), flat(before)
+    common = np.intersect1d(ta, tb)
+    sides = []
+    for rows, tokens, n in ((ra, ta, len(na)), (rb, tb, len(nb))):
+        at = np.searchsorted(common, tokens)
+        hit = at < len(common)
+        hit[hit] = common[at[hit]] == tokens[hit]
+        side = np.zeros((n, max(1, len(common))), np.float32)
+        side[rows[hit], at[hit]] = 1
+        sides.append(side)
+    shared = np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    wide = int(max(na.max(initial=0), nb.max(initial=0))) + 1
+    keys, back = np.unique((shared * wide + na[:, None]) * wide + nb[None, :], return_inverse=True)
+    n = np.bincount(back.ravel(), weights=(later["n"].to_numpy(np.float64)[:, None] * before["n"].to_numpy(np.float64)[None, :]).ravel(), minlength=len(keys))
+    return pd.DataFrame({"shared": keys // (wide * wide), "size_a": keys // wide % wide, "size_b": keys % wide, "n": np.rint(n).astype(np.int64)})
+
+
+def previous_order_pairs(utts: DataFrame, tokens: str = "tokens", ordinal: str = "ordinal", block: int = 1000) -> DataFrame:
     """(ordinal, overlap, n): overlaps of all mentions with all of the ordinal before, over all dyads, with how many pairs have them.
 
-    Equal token sets of an ordinal are one row with a count, so the join is of distinct sets; the
-    later side is salted, as early ordinals hold most mentions.
+    Equal token sets of an ordinal are one row with a count. Sets go into blocks of about ``block``; a
+    task multiplies two blocks of neighbouring ordinals and gives back counts, so no pair is a row. The
+    work is still quadratic in the distinct sets of an ordinal, as each pair has its overlap.
     """
-    sets = utts.groupBy(ordinal, F.array_sort(F.array_distinct(tokens)).alias("s")).agg(F.count("*").alias("n"))
-    later = sets.select(F.col(ordinal), F.col("s").alias("a"), F.col("n").alias("na"), F.pmod(F.xxhash64("s"), F.lit(salts)).alias("salt"))
-    before = sets.select((F.col(ordinal) + 1).alias(ordinal), F.col("s").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    pairs = later.join(before, [ordinal, "salt"])
-    return pairs.groupBy(ordinal, token_overlap(F.col("a"), F.col("b")).alias("overlap")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+    words = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
+    sets = utts.where(F.col(ordinal).isNotNull()).groupBy(ordinal, F.array_sort(words).alias("s")).agg(F.count("*").alias("n"))
+    parts = sets.groupBy(ordinal).agg(F.ceil(F.count("*") / block).alias("parts"))  # a row for each ordinal
+    own = sets.join(parts, ordinal).withColumn("own", F.pmod(F.xxhash64("s"), F.col("parts")))
+    other = lambda step: parts.select((F.col(ordinal) + step).alias(ordinal), F.col("parts").alias("others"))
+    all_of = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))
+    later = own.join(other(1), ordinal).select(F.col(ordinal).cast("long").alias("o"), F.col("own").alias("i"), all_of.alias("j"), "s", "n")
+    before = own.join(other(-1), ordinal).select((F.col(ordinal) + 1).cast("long").alias("o"), all_of.alias("i"), F.col("own").alias("j"), F.col("s").alias("t"), F.col("n").alias("m"))
+
+    def counts(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = _block_overlaps(a, b.rename(columns={"t": "s", "m": "n"})) if len(a) and len(b) else pd.DataFrame({"shared": [], "size_a": [], "size_b": [], "n": []}, dtype="int64")
+        out.insert(0, "o", key[0])
+        return out
+
+    pairs = later.groupBy("o", "i", "j").cogroup(before.groupBy("o", "i", "j")).applyInPandas(counts, "o long, shared long, size_a long, size_b long, n long")
+    overlap = F.try_divide("shared", F.col("size_a") + F.col("size_b") - F.col("shared"))
+    kind = utts.schema[ordinal].dataType
+    return pairs.groupBy(F.col("o").cast(kind).alias(ordinal), F.coalesce(overlap, F.lit(float("nan"))).alias("overlap")).agg(F.sum("n").alias("n"))
 
 
 def pair_overlap_summary(pairs: DataFrame, ordinal: str = "ordinal") -> DataFrame:

@@ -198,13 +198,15 @@ def assign_rounds(utts: DataFrame, events: DataFrame, delimiter: Column, game: s
 def contexts(utts: DataFrame, events: DataFrame, game: str, start: str, end: str, time: str, line: str, bin_size: int) -> DataFrame:
     """Events during each utterance, both ends included; one row without event for an utterance that has none.
 
-    Times are put into bins of ``bin_size``, so that the join is an equi-join on game and bin.
+    Times are put into bins of ``bin_size``, so that the join is an equi-join on game and bin. Repeated
+    rows are rows of their own, whatever of them is null; an utterance without game or times has no event.
     """
-    spread = utts.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_size), F.floor(F.col(end) / bin_size))))
+    rows = utts.withColumn("_row", F.monotonically_increasing_id())
+    spread = rows.select(F.col(game), F.col(start), F.col(end), "_row", F.explode(F.sequence(F.floor(F.col(start) / bin_size), F.floor(F.col(end) / bin_size))).alias("_bin"))
     binned = events.select(F.col(game), F.col(time), F.col(line), F.floor(F.col(time) / bin_size).alias("_bin"))
-    inside = spread.join(binned, [game, "_bin"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_bin")
-    keys = utts.columns
-    return utts.join(inside.select(*keys, time, line), keys, "left").withColumn("at", F.coalesce(time, start))
+    inside = spread.join(binned, [game, "_bin"]).where(F.col(time).between(F.col(start), F.col(end)))
+    found = inside.select(F.col("_row").alias("_of"), time, line)
+    return rows.join(found, F.col("_row") == F.col("_of"), "left").drop("_row", "_of").withColumn("at", F.coalesce(time, start))
 
 
 def route(events: DataFrame, subscriptions: DataFrame, patterns: Sequence[str], ticket: str, sender: str, name: str) -> DataFrame:

@@ -67,10 +67,21 @@ def subregions(df: DataFrame, rows: str, cols: str, height: str, width: str) ->
 
 
 def free_regions(pieces: DataFrame, occupied: DataFrame, rows: int, cols: int, game: str = "game", piece: str = "piece") -> DataFrame:
-    """(game, piece, x0, x1, y0, y1): places of a piece's size (height, width) that touch no occupied rectangle of the game."""
-    places = subregions(pieces.withColumn("_rows", F.lit(rows)).withColumn("_cols", F.lit(cols)), "_rows", "_cols", "height", "width").select(game, piece, *SIDES)
-    hit = intersecting(places, occupied.select(game, *SIDES), game=game).select(game, F.col(f"{piece}_a").alias(piece), F.col("x0_a").alias("x0"), F.col("y0_a").alias("y0"))
-    return places.join(hit, [game, piece, "x0", "y0"], "left_anti").select(game, piece, *SIDES)
+    """(game, piece, x0, x1, y0, y1): places of a piece's size (height, width) that touch no occupied rectangle of the game.
+
+    Pieces of one size have the same places, so places are made for each size of a game; each occupied
+    rectangle lists the places that it blocks.
+    """
+    size = [game, "height", "width"]
+    sizes = pieces.select(*size).distinct()
+    places = subregions(sizes.withColumn("_rows", F.lit(rows)).withColumn("_cols", F.lit(cols)), "_rows", "_cols", "height", "width").select(*size, *SIDES)
+    span = lambda lo, hi, length, room: F.sequence(F.greatest(F.col(lo) - F.col(length) + 1, F.lit(0)), F.least(F.col(hi) - 1, F.lit(room) - F.col(length)))
+    near = sizes.where((F.col("height") <= rows) & (F.col("width") <= cols)).join(occupied.select(game, *SIDES).distinct(), game)
+    near = near.where((F.col("x1") > 0) & (F.col("y1") > 0) & (F.col("x0") < rows) & (F.col("y0") < cols) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
+    blocked = near.select(*size, span("x0", "x1", "height", rows).alias("_xs"), span("y0", "y1", "width", cols).alias("_ys"))
+    blocked = blocked.select(*size, F.explode("_xs").alias("x0"), "_ys").select(*size, "x0", F.explode("_ys").alias("y0")).distinct()
+    free = places.join(blocked, [*size, "x0", "y0"], "left_anti")
+    return pieces.select(*size, piece).join(free, size).select(game, piece, *SIDES)
 
 
 def invalid_moves(moves: DataFrame, occupied: DataFrame, move: str, game: str = "game") -> DataFrame:

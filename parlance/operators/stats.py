@@ -15,27 +15,59 @@ def contingency(df: DataFrame, rows: str, cols: str, values: Sequence[str]) -> D
     return df.groupBy(rows).agg(*[F.sum((F.col(cols) == v).cast("int")).alias(v) for v in values])
 
 
-def rank_averages(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Mean, sample deviation, median and MAD (1.4826 times the median distance from the median) of ``value`` by ``keys``."""
-    one = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.median(value).alias("median"))
-    mad = df.join(one.select(*keys, "median"), list(keys)).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("mad"))
-    return one.join(mad, list(keys))
+def _by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal or null ``keys``, which come from ``left``."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]).drop(*[f"_right_{k}" for k in keys])
+
+
+def _running_counts(counts: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
+    """``counts`` (keys, value, _n) with ``_upto``, how many rows of the keys have that value or a lesser one, and ``_all``.
+
+    Values are cut into ranges that hold like numbers of distinct values; sums run within the ranges and
+    over the ranges, so no task sorts all values of a frequent key. NaN is the greatest value.
+    """
+    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / bins for i in range(1, bins)], 0.5 / bins)))
+    bin_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    ranged, part = counts.withColumn("_bin", bin_), [*keys, "_bin"]
+    over = Window.partitionBy(*keys)
+    sums = ranged.groupBy(*part).agg(F.sum("_n").alias("_s"))
+    sums = sums.select(*part, F.coalesce(F.sum("_s").over(over.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(over).alias("_all"))
+    local = ranged.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return _by_keys(local, sums, part).withColumn("_upto", F.col("_upto") + F.col("_before")).drop("_before", "_bin")
+
+
+def _medians(counts: DataFrame, keys: Sequence[str], value: str, name: str, bins: int) -> DataFrame:
+    """(keys, ``name``): the median of the counted values."""
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value)))
+    mid = (at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2
+    return _running_counts(counts, keys, value, bins).groupBy(*keys).agg(mid.cast("double").alias(name))
+
+
+def rank_averages(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
+    """Mean, sample deviation, median and MAD (1.4826 times the median distance from the median) of ``value`` by ``keys``.
+
+    Medians come from counts of distinct values, so a frequent key is no single task. Null values count
+    for nothing (all null: null figures), null keys are keys.
+    """
+    one = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    medians = _medians(counts, keys, value, "median", bins)
+    far = _by_keys(counts, medians, keys).groupBy(*keys, F.abs(F.col(value) - F.col("median")).alias("_far")).agg(F.sum("_n").alias("_n"))
+    mad = _medians(far, keys, "_far", "mad", bins).withColumn("mad", 1.4826 * F.col("mad"))
+    found = _by_keys(medians, mad, keys).withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    return one.join(found, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], "left").drop(*[f"_right_{k}" for k in keys])
 
 
 def avg_rank(df: DataFrame, value: str, rank: str = "rank", bins: int = 256) -> DataFrame:
-    """``rank`` of each row's value, ties averaged.
+    """``rank`` of each row's value, ties averaged; null for a null value, NaN ranks last.
 
-    Distinct values are counted first and their running sum is taken in two steps, within ranges of
-    values and over the ranges, so no task sorts all rows.
+    Distinct values are counted first and their running sum is taken in two steps, within ranges of like
+    numbers of distinct values and over the ranges, so no task sorts all rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    lim = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    ranged = counts.crossJoin(F.broadcast(lim)).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0))
-    w = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    sums = ranged.groupBy("_b").agg(F.sum("_n").alias("_s"))
-    before = sums.alias("x").join(sums.alias("y"), F.col("y._b") < F.col("x._b"), "left").groupBy("x._b").agg(F.coalesce(F.sum("y._s"), F.lit(0)).alias("_before"))
-    ranks = ranged.withColumn("_upto", F.sum("_n").over(w)).join(F.broadcast(before), "_b").select(value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(rank))
-    return df.join(ranks, value)
+    ranks = _running_counts(counts, [], value, bins).select(value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(rank))
+    return df.join(ranks, value, "left")
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(token, n), most frequent first, ties by token."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token")
+def token_counts(df: DataFrame, tokens: str = "tokens", ordered: bool = True) -> DataFrame:
+    """(token, n), most frequent first, ties by token; in no order if ``ordered`` is false."""
+    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "token") if ordered else counts
 
 
 def token_tag_counts(df: DataFrame, tag: Column, tokens: str = "tokens") -> DataFrame:

@@ -154,24 +154,24 @@ def last_event_asof(spark, sf):
     return ev.last_event_asof(events(spark, sf), NEW(), "entity").select("line", "last_entity")
 
 
-ENTITIES = "ent as (select distinct game, entity from e where entity < 10)"
+ENTITIES = "ent as (select distinct game, entity from e where entity is not null)"
 
 
 def entities(e):
-    return e.where("entity < 10").select("game", "entity").distinct()
+    return e.where("entity is not null").select("game", "entity").distinct()
 
 
-@query("j04_event_entities", f"{E}, {ENTITIES} select e.line, ent.entity from e join ent using (game) where e.name = 'signup'")
+@query("j04_event_entities", f"{E}, {ENTITIES} select e.line, ent.entity from e join ent using (game)")
 def event_entities(spark, sf):
     e = events(spark, sf)
-    return ev.entity_rows(e.where(NEW()).drop("entity"), entities(e)).select("line", "entity")
+    return ev.entity_rows(e.drop("entity"), entities(e)).select("line", "entity")
 
 
 @query("j06_entity_position", f"""{E}, {ENTITIES} select q.line, ent.entity, coalesce((select arg_max(m.value, m.time) from e m where m.game = q.game and m.entity = ent.entity and m.name = 'purchase' and m.time < q.time), -1.0) as position
-from e q join ent using (game) where q.name = 'signup'""")
+from e q join ent using (game)""")
 def entity_position(spark, sf):
     e = events(spark, sf)
-    pairs = ev.entity_rows(e.where(NEW()).drop("entity", "value"), entities(e))
+    pairs = ev.entity_rows(e.drop("entity", "value"), entities(e))
     moves = e.where(WON()).select("game", "entity", "time", F.col("value").alias("position"))
     return ev.entity_position_asof(pairs, moves, "game", "entity", "time", "position", F.lit(-1.0)).select("line", "entity", "position")
 

@@ -13,18 +13,11 @@ from parlance.streaming import live
 E = f"with {EVENTS_SQL}"
 
 
-def streamed(spark, sf, pattern="**", parts=4, in_order=False):
-    """A stream of files, which Spark takes by age. Tasks that write side by side finish in any order; ``in_order`` has each stretch of time written after the one before."""
+def streamed(spark, sf, pattern="**"):
+    """A stream of files, in no order of time; as many are written at a time as the session has shuffle partitions."""
     path = scratch(spark, "live-events")
-    e = events(spark, sf).select("game", "time", "line", "name", "sender")
-    if in_order:
-        cuts = sorted(set(e.where("time is not null").approxQuantile("time", [i / parts for i in range(1, parts)], 0.05) or []))
-        stretch = sum((F.coalesce(F.col("time") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
-        for i in range(len(cuts) + 1):
-            e.where(stretch == i).repartition(1).write.mode("append").json(path)
-    else:
-        e.repartitionByRange(parts, "time").write.json(path)
-    return live.stream_events(spark, path, pattern=pattern, files_per_trigger=2)
+    events(spark, sf).select("game", "time", "line", "name", "sender").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line").write.json(path)
+    return live.stream_events(spark, path, pattern=pattern, files_per_trigger=4)
 
 
 @query("t01_stream_ingest", f"{E} select line, name from e where name not in ('view', 'click')")
@@ -54,4 +47,6 @@ def live_score(spark, sf):
 
 @query("t05_live_pairing", f"{E}, {ROLES} select game, player, ['MOVE_SUBMISSION', 'WAITING'][n] as role from rn where n <= 2 and (select count(*) from rn b where b.game = rn.game) >= 2")
 def live_pairing(spark, sf):
-    return live.drain(live.live_pairing(streamed(spark, sf, in_order=True), ("MOVE_SUBMISSION", "WAITING")), scratch(spark, "t05"), scratch(spark, "t05-state"))
+    found = live.drain(live.live_pairing(streamed(spark, sf), ("MOVE_SUBMISSION", "WAITING")), scratch(spark, "t05"), scratch(spark, "t05-state"))
+    last = found.groupBy("game").agg(F.max("version").alias("version"))
+    return found.join(last, ["game", "version"]).select("game", "player", "role")

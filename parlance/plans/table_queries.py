@@ -10,41 +10,41 @@ from parlance.operators import stats as st
 from parlance.plans import query
 from parlance.plans.bindings import table
 
-#: a 16 x 16 board for every 40 orders; each line is a rectangle
-R = "r as (select l_orderkey // 40 as game, l_orderkey * 10 + l_linenumber as piece, cast(l_partkey % 12 as int) as x0, cast(l_partkey % 12 + 1 + l_linenumber % 3 as int) as x1, cast(l_suppkey % 12 as int) as y0, cast(l_suppkey % 12 + 1 + l_orderkey % 3 as int) as y1, l_linenumber as n from lineitem)"
+#: an 8 x 8 board for every order; each line is a rectangle
+R = "r as (select l_orderkey as game, l_orderkey * 10 + l_linenumber as piece, cast(l_partkey % 6 as int) as x0, cast(l_partkey % 6 + 1 + l_linenumber % 3 as int) as x1, cast(l_suppkey % 6 as int) as y0, cast(l_suppkey % 6 + 1 + l_orderkey % 3 as int) as y1, l_linenumber as n from lineitem)"
 HIT = "a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1"
 
 
 def rects(spark, sf):
     li = table(spark, sf, "lineitem")
-    x, y = (F.col("l_partkey") % 12).cast("int"), (F.col("l_suppkey") % 12).cast("int")
-    return li.select(F.floor(F.col("l_orderkey") / 40).alias("game"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("piece"), x.alias("x0"), (x + 1 + F.col("l_linenumber") % 3).cast("int").alias("x1"), y.alias("y0"), (y + 1 + F.col("l_orderkey") % 3).cast("int").alias("y1"), F.col("l_linenumber").alias("n"))
+    x, y = (F.col("l_partkey") % 6).cast("int"), (F.col("l_suppkey") % 6).cast("int")
+    return li.select(F.col("l_orderkey").alias("game"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("piece"), x.alias("x0"), (x + 1 + F.col("l_linenumber") % 3).cast("int").alias("x1"), y.alias("y0"), (y + 1 + F.col("l_orderkey") % 3).cast("int").alias("y1"), F.col("l_linenumber").alias("n"))
 
 
-@query("j14_intersecting", f"with {R} select distinct a.game, a.piece as p, b.piece as q from r a join r b on a.game = b.game and a.n = 1 and b.n = 2 and {HIT}")
+@query("j14_intersecting", f"with {R} select distinct a.game, a.piece as p, b.piece as q from r a join r b on a.game = b.game and a.piece < b.piece and {HIT}")
 def intersecting(spark, sf):
     r = rects(spark, sf)
-    return g.intersecting(r.where("n = 1"), r.where("n = 2")).select("game", F.col("piece_a").alias("p"), F.col("piece_b").alias("q")).distinct()
+    return g.intersecting(r, r).where("piece_a < piece_b").select("game", F.col("piece_a").alias("p"), F.col("piece_b").alias("q")).distinct()
 
 
-@query("j15_subsumed", f"with {R} select distinct a.game, a.piece as p, b.piece as q from r a join r b on a.game = b.game and a.n = 2 and b.n = 3 and a.x0 <= b.x0 and a.x1 >= b.x1 and a.y0 <= b.y0 and a.y1 >= b.y1")
+@query("j15_subsumed", f"with {R} select distinct a.game, a.piece as p, b.piece as q from r a join r b on a.game = b.game and a.piece <> b.piece and a.x0 <= b.x0 and a.x1 >= b.x1 and a.y0 <= b.y0 and a.y1 >= b.y1")
 def subsumed(spark, sf):
     r = rects(spark, sf)
-    return g.subsumed(r.where("n = 2"), r.where("n = 3")).select("game", F.col("piece_a").alias("p"), F.col("piece_b").alias("q")).distinct()
+    return g.subsumed(r, r).where("piece_a <> piece_b").select("game", F.col("piece_a").alias("p"), F.col("piece_b").alias("q")).distinct()
 
 
-@query("j16_free_regions", f"with {R}, pc as (select distinct game, piece, x1 - x0 as h, y1 - y0 as w from r where n = 7), pl as (select game, piece, cast(x0 as int) as x0, cast(x0 + h as int) as x1, cast(y0 as int) as y0, cast(y0 + w as int) as y1 from (select *, unnest(range(0, 16 - w + 1)) as y0 from (select *, unnest(range(0, 16 - h + 1)) as x0 from pc))) select * from pl a where not exists (select 1 from r b where b.game = a.game and b.n = 1 and {HIT})")
+@query("j16_free_regions", f"with {R}, pc as (select distinct game, x1 - x0 as h, y1 - y0 as w from r), pl as (select game, h, w, cast(x0 as int) as x0, cast(x0 + h as int) as x1, cast(y0 as int) as y0, cast(y0 + w as int) as y1 from (select *, unnest(range(0, 8 - w + 1)) as y0 from (select *, unnest(range(0, 8 - h + 1)) as x0 from pc))), fr as (select * from pl a where not exists (select 1 from r b where b.game = a.game and {HIT})) select r.game, r.piece, count(*) as places, sum(fr.x0 * 8 + fr.y0) as sum_of_corners from r join fr on fr.game = r.game and fr.h = r.x1 - r.x0 and fr.w = r.y1 - r.y0 group by r.game, r.piece")
 def free_regions(spark, sf):
+    """How many free places each line's rectangle would find on its order's board, and the sum of their corners' cell numbers."""
     r = rects(spark, sf)
-    pieces = r.where("n = 7").select("game", "piece", (F.col("x1") - F.col("x0")).alias("height"), (F.col("y1") - F.col("y0")).alias("width")).distinct()
-    return g.free_regions(pieces, r.where("n = 1"), 16, 16)
+    pieces = r.select("game", "piece", (F.col("x1") - F.col("x0")).alias("height"), (F.col("y1") - F.col("y0")).alias("width"))
+    return g.free_regions(pieces, r, 8, 8).groupBy("game", "piece").agg(F.count("*").alias("places"), F.sum(F.col("x0") * 8 + F.col("y0")).alias("sum_of_corners"))
 
 
-@query("j17_invalid_moves", f"with {R} select distinct a.game, a.piece from r a join r b on a.game = b.game and a.n = 5 and b.n = 1 and a.piece <> b.piece and {HIT}")
+@query("j17_invalid_moves", f"with {R} select distinct a.game, a.piece from r a join r b on a.game = b.game and a.piece <> b.piece and {HIT}")
 def invalid_moves(spark, sf):
     r = rects(spark, sf)
-    moves = r.where("n = 5").withColumn("move", F.col("piece"))
-    return g.invalid_moves(moves, r.where("n = 1").select("game", "piece", *g.SIDES), "move").select("game", "piece").distinct()
+    return g.invalid_moves(r.withColumn("move", F.col("piece")), r.select("game", "piece", *g.SIDES), "move").select("game", "piece").distinct()
 
 
 @query("f31_intersects", f"with {R} select piece, x0 < 8 and 4 < x1 and y0 < 9 and 3 < y1 as hit, x0 <= 5 and x1 >= 6 and y0 <= 5 and y1 >= 6 as covers from r")

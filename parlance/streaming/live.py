@@ -66,26 +66,35 @@ def live_score(events: DataFrame, new_round: str, won: str, lost: str, over: str
 
 
 def live_pairing(joins: DataFrame, roles: Sequence[str], idle_ms: int | None = None) -> DataFrame:
-    """(game, player, role) of both players once two distinct ones have joined a game; further joins of the game are ignored while its state lasts."""
+    """(game, player, role, version): the players who joined a game first, by event time and name, each time that this is known anew.
+
+    As many distinct players as there are roles pair up. Events may come in any order: a join that
+    comes late but was earlier gives a new ``version``, the last of which counts; other joins change
+    nothing. The state of a game is one time and name for each role.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        (players,) = state.get if state.exists else ("",)
-        have = players.split("\n") if players else []
-        ready = len(have) >= len(roles)
-        found = pd.concat(list(batches)).sort_values(["time", "line"])
-        for p in found["sender"]:
-            if p not in have and len(have) < len(roles):
-                have.append(p)
-        state.update(("\n".join(have),))
+        held, version = state.get if state.exists else ("", 0)
+        before = {p: int(t) for t, p in (x.split("\t", 1) for x in held.split("\n"))} if held else {}
+        first = dict(before)
+        for b in batches:
+            for p, t in b.dropna(subset=["sender", "time"]).groupby("sender")["time"].min().items():
+                first[p] = min(int(t), first.get(p, int(t)))
+            # a player left out here comes back only with an earlier join
+            first = dict(sorted(first.items(), key=lambda x: (x[1], x[0]))[: len(roles)])
+        players = list(first)
+        known = len(players) == len(roles) and (len(before) < len(roles) or players != list(before))
+        version += known
+        state.update(("\n".join(f"{t}\t{p}" for p, t in first.items()), version))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        if not ready and len(have) == len(roles):
-            yield pd.DataFrame({"game": [key[0]] * len(roles), "player": have, "role": list(roles)})
+        if known:
+            yield pd.DataFrame({"game": [key[0]] * len(roles), "player": players, "role": list(roles), "version": [version] * len(roles)})
 
-    return joins.groupBy("game").applyInPandasWithState(update, "game long, player string, role string", "players string", "append", _timeout(idle_ms))
+    return joins.groupBy("game").applyInPandasWithState(update, "game long, player string, role string, version long", "players string, version long", "append", _timeout(idle_ms))
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

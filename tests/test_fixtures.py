@@ -137,6 +137,52 @@ def test_merging(spark):
     assert dialogue.dialogue_text(u).first().text == '**a:** "X. Y."\n**b:** "Z."\n**a:** "W."'
 
 
+def test_ranks_of_odd_values(spark):
+    nan = float("nan")
+    rows = [(1.0,), (None,), (nan,), (2.0,), (1.0,), (nan,)] + [(float(i),) for i in range(3, 3000)] + [(1e30,)]
+    got = stats.avg_rank(spark.createDataFrame(rows, "v double"), "v").collect()
+    assert len(got) == len(rows)
+    by = {str(r.v): r.rank for r in got}
+    assert by["None"] is None and by["1.0"] == 1.5 and by["2.0"] == 3 and by["2999.0"] == 3000 and by["1e+30"] == 3001 and by["nan"] == 3002.5
+
+
+def test_medians_of_frequent_keys(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(k, float(x)) for k, n in (("a", 900), (None, 301), ("b", 2)) for x in rng.integers(0, 500, n)] + [("c", None)]
+    got = {r.k: r for r in stats.rank_averages(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert set(got) == {"a", "b", "c", None} and got["c"].n == 0 and got["c"].median is None
+    for k in ("a", "b", None):
+        x = np.array([v for q, v in rows if q == k])
+        assert got[k].median == np.median(x) and abs(got[k].mad - 1.4826 * np.median(np.abs(x - np.median(x)))) < 1e-9
+
+
+def test_contexts_of_repeated_and_null_rows(spark):
+    utts = spark.createDataFrame([("g", 0, 5, None), ("g", 0, 5, None), ("g", 90, 95, "b"), (None, 0, 5, "c")], "game string, start long, end long, speaker string")
+    log = spark.createDataFrame([("g", 1, 1), ("g", 2, 2)], "game string, time long, line long")
+    got = sorted((str(r.speaker), str(r.time)) for r in events.contexts(utts, log, "game", "start", "end", "time", "line", 10).collect())
+    assert got == [("None", "1"), ("None", "1"), ("None", "2"), ("None", "2"), ("b", "None"), ("c", "None")]
+
+
+def test_block_overlaps_over_blocks(spark):
+    import random
+
+    random.seed(3)
+    rows = [(o, random.sample("abcdefghij", random.randint(0, 6))) for o in (1, 2, 3, 5) for _ in range(40)]
+    df = spark.createDataFrame(rows, "ordinal int, tokens array<string>")
+    want = {}
+    for o, a in rows:
+        for p, b in rows:
+            if p == o - 1:
+                x, y = set(a), set(b)
+                key = (o, f"{len(x & y) / len(x | y):.6f}" if x | y else "nan")
+                want[key] = want.get(key, 0) + 1
+    for block in (7, 1000):
+        got = dialogue.previous_order_pairs(df, block=block).collect()
+        assert {(r.ordinal, "nan" if r.overlap != r.overlap else f"{r.overlap:.6f}"): r.n for r in got} == want
+
+
 def test_geometry(spark):
     board = spark.createDataFrame([("g", ["1", "1", "null", "null", "1", "1", "null", "2", None], 3)], "game string, occ array<string>, cols int")
     found = geometry.element_regions(geometry.cells(board, "game", "occ", "cols"))
