@@ -74,14 +74,18 @@ def free_regions(pieces: DataFrame, occupied: DataFrame, rows: int, cols: int, g
     """
     size = [game, "height", "width"]
     sizes = pieces.select(*size).distinct()
-    places = subregions(sizes.withColumn("_rows", F.lit(rows)).withColumn("_cols", F.lit(cols)), "_rows", "_cols", "height", "width").select(*size, *SIDES)
     span = lambda lo, hi, length, room: F.sequence(F.greatest(F.col(lo) - F.col(length) + 1, F.lit(0)), F.least(F.col(hi) - 1, F.lit(room) - F.col(length)))
-    near = sizes.where((F.col("height") <= rows) & (F.col("width") <= cols)).join(occupied.select(game, *SIDES).distinct(), game)
+    fits = sizes.where((F.col("height") <= rows) & (F.col("width") <= cols))
+    near = fits.join(occupied.select(game, *SIDES), game)
     near = near.where((F.col("x1") > 0) & (F.col("y1") > 0) & (F.col("x0") < rows) & (F.col("y0") < cols) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
-    blocked = near.select(*size, span("x0", "x1", "height", rows).alias("_xs"), span("y0", "y1", "width", cols).alias("_ys"))
-    blocked = blocked.select(*size, F.explode("_xs").alias("x0"), "_ys").select(*size, "x0", F.explode("_ys").alias("y0")).distinct()
-    free = places.join(blocked, [*size, "x0", "y0"], "left_anti")
-    return pieces.select(*size, piece).join(free, size).select(game, piece, *SIDES)
+    blocked = near.select(*size, F.explode(span("x0", "x1", "height", rows)).alias("x"), span("y0", "y1", "width", cols).alias("_ys")).select(*size, "x", F.explode("_ys").alias("y"))
+    # a place is its corner's cell, so a set of them is no larger than the board
+    taken = blocked.groupBy(*size).agg(F.collect_set((F.col("x") * cols + F.col("y")).cast("int")).alias("_taken"))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rows) - F.col("height")), lambda x: F.transform(F.sequence(F.lit(0), F.lit(cols) - F.col("width")), lambda y: (x * cols + y).cast("int"))))
+    free = fits.join(taken, size, "left").select(*size, F.array_except(every, F.coalesce("_taken", F.array().cast("array<int>"))).alias("_free"))
+    found = pieces.select(*size, piece).join(free, size).select(game, piece, "height", "width", F.explode("_free").alias("_at"))
+    x, y = F.floor(F.col("_at") / cols).cast("int"), (F.col("_at") % cols).cast("int")
+    return found.select(game, piece, x.alias("x0"), (x + F.col("height")).cast("int").alias("x1"), y.alias("y0"), (y + F.col("width")).cast("int").alias("y1"))
 
 
 def invalid_moves(moves: DataFrame, occupied: DataFrame, move: str, game: str = "game") -> DataFrame:

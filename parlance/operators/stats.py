@@ -15,6 +15,10 @@ def contingency(df: DataFrame, rows: str, cols: str, values: Sequence[str]) -> D
     return df.groupBy(rows).agg(*[F.sum((F.col(cols) == v).cast("int")).alias(v) for v in values])
 
 
+#: distinct values of a key that one task may hold
+FEW_VALUES = 1_000_000
+
+
 def _by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on equal or null ``keys``, which come from ``left``."""
     right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -27,9 +31,9 @@ def _running_counts(counts: DataFrame, keys: Sequence[str], value: str, bins: in
     Values are cut into ranges that hold like numbers of distinct values; sums run within the ranges and
     over the ranges, so no task sorts all values of a frequent key. NaN is the greatest value.
     """
-    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / bins for i in range(1, bins)], 0.5 / bins)))
-    bin_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-    ranged, part = counts.withColumn("_bin", bin_), [*keys, "_bin"]
+    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), [i / bins for i in range(1, bins)], 100 * bins).alias("_cuts"))  # one row
+    bin_ = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col(value)))
+    ranged, part = counts.join(F.broadcast(cuts)).withColumn("_bin", bin_).drop("_cuts"), [*keys, "_bin"]
     over = Window.partitionBy(*keys)
     sums = ranged.groupBy(*part).agg(F.sum("_n").alias("_s"))
     sums = sums.select(*part, F.coalesce(F.sum("_s").over(over.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(over).alias("_all"))
@@ -44,13 +48,20 @@ def _medians(counts: DataFrame, keys: Sequence[str], value: str, name: str, bins
     return _running_counts(counts, keys, value, bins).groupBy(*keys).agg(mid.cast("double").alias(name))
 
 
-def rank_averages(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
+def rank_averages(df: DataFrame, keys: Sequence[str], value: str, bins: int = 64) -> DataFrame:
     """Mean, sample deviation, median and MAD (1.4826 times the median distance from the median) of ``value`` by ``keys``.
 
-    Medians come from counts of distinct values, so a frequent key is no single task. Null values count
-    for nothing (all null: null figures), null keys are keys.
+    While no key has over FEW_VALUES distinct values, by a count, Spark's exact median holds them in a
+    task; beyond that medians come from counts of distinct values in ranges, so a frequent key is no
+    single task. Null values count for nothing (all null: null figures), null keys are keys.
     """
-    one = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    figures = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")]
+    most = df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    if most <= FEW_VALUES:
+        small = df.groupBy(*keys).agg(*figures, F.median(value).alias("median"))
+        mad = _by_keys(df.select(*keys, value), small.select(*keys, "median"), keys).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("mad"))
+        return _by_keys(small, mad, keys)
+    one = df.groupBy(*keys).agg(*figures)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     medians = _medians(counts, keys, value, "median", bins)
     far = _by_keys(counts, medians, keys).groupBy(*keys, F.abs(F.col(value) - F.col("median")).alias("_far")).agg(F.sum("_n").alias("_n"))
@@ -59,7 +70,7 @@ def rank_averages(df: DataFrame, keys: Sequence[str], value: str, bins: int = 25
     return one.join(found, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], "left").drop(*[f"_right_{k}" for k in keys])
 
 
-def avg_rank(df: DataFrame, value: str, rank: str = "rank", bins: int = 256) -> DataFrame:
+def avg_rank(df: DataFrame, value: str, rank: str = "rank", bins: int = 64) -> DataFrame:
     """``rank`` of each row's value, ties averaged; null for a null value, NaN ranks last.
 
     Distinct values are counted first and their running sum is taken in two steps, within ranges of like

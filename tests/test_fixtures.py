@@ -146,9 +146,12 @@ def test_ranks_of_odd_values(spark):
     assert by["None"] is None and by["1.0"] == 1.5 and by["2.0"] == 3 and by["2999.0"] == 3000 and by["1e+30"] == 3001 and by["nan"] == 3002.5
 
 
-def test_medians_of_frequent_keys(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_medians_of_frequent_keys(spark, monkeypatch, few):
     import numpy as np
 
+    monkeypatch.setattr(stats, "FEW_VALUES", few)
+
     rng = np.random.default_rng(1)
     rows = [(k, float(x)) for k, n in (("a", 900), (None, 301), ("b", 2)) for x in rng.integers(0, 500, n)] + [("c", None)]
     got = {r.k: r for r in stats.rank_averages(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
