@@ -23,6 +23,7 @@ from parlance.llm.components import connected_components
 
 PERMUTATIONS, WORDS, KEPT_BITS = 128, 5, 16
 BLOCK, CACHE = 512, 400_000
+BUCKET_BYTES = 64_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,37 +101,44 @@ def bucket_bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted({int(c) for c in cuts or []})
 
 
-def beside_next(docs: DataFrame, parts: int) -> DataFrame:
-    """(bucket, halo, doc_id, h, text), dealt by bucket and sorted within partitions: in each bucket documents descend, and the last row, a halo, is a copy of the first of the next bucket.
+def beside_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(bucket, halo, doc_id, h, text), a partition for each bucket, sorted: in each bucket documents descend, and the last row, a halo, is a copy of the first of the next bucket.
 
-    Buckets are ranges of ids, numbered from the greatest ids; after the last comes the first. The
-    driver sees one id for each bucket. Null ids come last; equal ids are ordered by a hash of the text.
+    Buckets are ranges of ids, numbered from the greatest ids, then for null ids ranges of a hash of the
+    text; after the last comes the first. There are as many as the texts fill with about ``bucket_bytes``
+    each, and at least as many as the session has shuffle partitions. The driver sees one id for each
+    bucket. Equal ids are ordered by the hash.
     """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // bucket_bytes))
+    lone = -(-size["nulls"] * parts // max(1, size["n"]))  # buckets of null ids
     bounds = np.array(bucket_bounds(docs, parts), np.float64)
 
     def of(ids: pd.Series) -> pd.Series:
         return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.float64, na_value=-np.inf), "right"), dtype="int64")
 
     of.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.pandas_udf(of, LongType())(F.col("doc_id").cast("double")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select(bucket.alias("bucket"), "doc_id", "h", "text")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("minus"), "h"))
-    heads = sorted(docs.select(bucket.alias("bucket"), "doc_id", F.xxhash64("text").alias("h")).groupBy("bucket").agg(first.alias("x")).collect())
-    spark = docs.sparkSession
-    goes = [(heads[i - 1]["bucket"], r["bucket"], None if r["x"]["none"] else -r["x"]["minus"], r["x"]["h"]) for i, r in enumerate(heads)]
-    halo = spark.createDataFrame(goes, "to_bucket long, bucket long, _id long, _h long")
+    h = F.xxhash64("text")
+    share = (h / F.lit(2.0**64) + 0.5) * lone
+    bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1 + F.least(F.floor(share), F.lit(max(0, lone - 1)))).otherwise(F.pandas_udf(of, LongType())(F.col("doc_id").cast("double")))
+    rows = docs.select(bucket.alias("bucket"), "doc_id", h.alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "h"))  # ~x falls as x rises, and has no overflow
+    heads = sorted(docs.select(bucket.alias("bucket"), "doc_id", h.alias("h")).groupBy("bucket").agg(first.alias("x")).collect())
+    goes = [(heads[i - 1]["bucket"], r["bucket"], None if r["x"]["none"] else ~r["x"]["down"], r["x"]["h"]) for i, r in enumerate(heads)]
+    halo = docs.sparkSession.createDataFrame(goes, "to_bucket long, bucket long, _id long, _h long")
     match = (rows["bucket"] == halo["bucket"]) & rows["doc_id"].eqNullSafe(halo["_id"]) & (rows["h"] == halo["_h"])
     # one row for each bucket is broadcast
     copies = rows.join(F.broadcast(halo), match).select(F.col("to_bucket").alias("bucket"), "doc_id", "h", "text").dropDuplicates(["bucket"])
     both = rows.withColumn("halo", F.lit(False)).unionByName(copies.withColumn("halo", F.lit(True)))
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "h")
+    dealt = both.repartitionById(len(bounds) + 1 + lone, F.col("bucket").cast("int"))
+    return dealt.sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "h")
 
 
 def fingerprint_documents(docs: DataFrame, k: int = PERMUTATIONS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of ``docs`` (doc_id, text).
 
-    The next document is the one with the next smaller id; after the last comes the first, and a
+    ``doc_id`` is a whole number; ids of other types that don't read as one are an error. The next
+    document is the one with the next smaller id; after the last comes the first, and a
     single document is followed by itself. Null texts count as empty. Texts without words have one
     common fingerprint. Rows with equal ids follow each other in an order given by a hash of their
     texts; null ids come last. An empty table gives an empty result.
@@ -153,8 +161,7 @@ def fingerprint_documents(docs: DataFrame, k: int = PERMUTATIONS) -> DataFrame:
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = beside_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts)
+    dealt = beside_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return dealt.select("bucket", "halo", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -347,6 +347,13 @@ def test_minhash(spark, docs, odd):
         assert (mine.n_chars, mine.edited_sha256, mine.fingerprint, mine.edited_fingerprint, mine.near_edited, mine.near_next) == (len(r.text or ""), hashlib.sha256(new.encode()).hexdigest(), minhash.as_hex(a), minhash.as_hex(b), minhash.likeness(a, b), minhash.likeness(a, c))
     assert minhash.fingerprint_documents(odd).count() == len(ODD)
     assert minhash.fingerprint_documents(odd.limit(0)).count() == 0
+    least = -(1 << 63)
+    ids = [7, least, None, None, None, 7, (1 << 63) - 1, 0]
+    few = [(i, f"text {n} of a few words that follow each other " + "x" * n) for n, i in enumerate(ids)]
+    got = sorted(map(tuple, minhash.fingerprint_documents(spark.createDataFrame(few, "doc_id long, text string")).select("doc_id", "n_chars", "edited_sha256").collect()), key=str)
+    order = {r.text: r.h for r in spark.createDataFrame(few, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    few.sort(key=lambda r: (r[0] is None, -(r[0] or 0), order[r[1]]))
+    assert got == sorted([(i, len(t), hashlib.sha256(minhash.edited(t, n).encode()).hexdigest()) for (i, t), (_, n) in zip(few, few[1:] + few[:1])], key=str)
     pairs = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, " ".join(map(str, range(99))) + " x"), (3, "other words that have nothing in common")], "doc_id long, text string")
     assert [(r.a, r.b) for r in minhash.near_duplicate_links(pairs).collect()] == [(1, 2)]
 
