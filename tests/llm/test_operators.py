@@ -71,6 +71,23 @@ def test_hypergeometric_law(spark):
         assert abs(got[k] / 20000 - comb(20, k) * comb(30, 10 - k) / comb(50, 10)) < 0.012
 
 
+def test_communication_matrix(spark):
+    sizes = [(i, n) for i, n in enumerate([0, 7, 100, 3, 250, 11, 0, 1, 64])]
+    df = spark.createDataFrame(sizes, "source int, n long")
+    total = sum(n for _, n in sizes)
+    cells = []
+    for seed in range(10):
+        rows = {r.source: r.counts for r in sharding.communication_matrix(df, 5, 3, seed).collect()}
+        assert {i: sum(c) for i, c in rows.items()} == dict(sizes)
+        assert [sum(c) for c in zip(*rows.values())] == [total // 5 + (j < total % 5) for j in range(5)]
+        cells.append(rows[4])
+    # rows of one source in one shard: mean and variance of the hypergeometric law
+    x, share = np.array(cells, float), 250 / total
+    want = share * total / 5
+    spread = total / 5 * share * (1 - share) * (total - total / 5) / (total - 1)
+    assert abs(x.mean() - want) < 0.5 and 0.5 * spread < x.var() < 1.8 * spread
+
+
 def test_simhash_against_brute_force(spark, docs, odd):
     rng = np.random.default_rng(0)
     codes = {int(b) ^ sum(1 << int(x) for x in set(rng.integers(0, 64, rng.integers(0, 5)))) for b in rng.integers(0, 2**63, 8, np.uint64) for _ in range(60)}
