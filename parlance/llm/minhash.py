@@ -51,12 +51,19 @@ class Hasher:
                 known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
+    def words(self, text: str) -> np.ndarray:
+        """Hashes of the words of the whole text."""
+        return self._words(text.encode("utf-8", "surrogatepass").lower().split())
+
     def shingles(self, text: str) -> np.ndarray:
         """Hashes of the distinct shingles of the whole text; of all words if they are fewer; none without words."""
-        words = self._words(text.encode("utf-8", "surrogatepass").lower().split())
+        return self.grams(self.words(text), self.width)
+
+    def grams(self, words: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of the distinct shingles of ``width`` hashed ``words``; of all words if they are fewer; none without words."""
         if not len(words):
             return words
-        width = min(self.width, len(words))
+        width = min(width, len(words))
         n = len(words) - width + 1
         h = np.full(n, width, np.uint64)
         for i in range(width):

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parlance.llm import bpe, chat, components, decontam, langid, minhash, queries, sharding, simhash, sitetree, toxicity, urls
@@ -422,6 +423,69 @@ def test_domains(spark):
     assert {r.host: (r.d, r.s) for r in got} == want
 
 
+M64, MIX = 2**64 - 1, 0x9E3779B97F4A7C15
+
+
+def plain_majority(grams, lanes):
+    """Fingerprints of distinct shingles (lists of words), bit by bit."""
+    hashes = set()
+    for g in grams:
+        h = len(g)
+        for w in g:
+            h = (h ^ xxhash.xxh64_intdigest(w)) * MIX & M64
+            h ^= h >> 31
+        hashes.add(h)
+    found = []
+    for lane in range(lanes):
+        mixed = []
+        for h in hashes:
+            x = (h ^ (MIX << lane & M64)) * MIX & M64
+            x = (x ^ x >> 32) * MIX & M64
+            mixed.append(x ^ x >> 29)
+        found.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(hashes)))
+    return tuple(found)
+
+
+def test_near_copies_by_similarity(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    rows, jaccards = [], []
+    for base in range(120):
+        text = list(rng.choice(words, 300))
+        other = list(text)
+        for at in rng.choice(300, (0, 2, 4, 20, 60)[base % 5], replace=False):
+            other[at] = f"x{at}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(296)} for t in (text, other))
+        jaccards.append(len(a & b) / len(a | b))
+        rows += [(2 * base, " ".join(text)), (2 * base + 1, " ".join(other))]
+    rows += [(1000, None), (1001, ""), (1002, " \t"), (None, rows[0][1]), (1003, "one"), (1004, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.WIDE, 0.8).collect()}
+    linked = np.array([found[2 * i + 1] == 2 * i for i in range(120)])
+    jaccards = np.array(jaccards)
+    assert all(found[2 * i] == 2 * i for i in range(120))
+    assert linked[jaccards == 1].all() and linked[jaccards > 0.85].mean() > 0.9
+    assert linked[jaccards < 0.65].mean() < 0.1 and not linked[jaccards < 0.4].any()  # fingerprints estimate similarity
+    assert found[None] == 0 and found[1001] == found[1002] == 1000 and found[1003] != found[1004]
+    kept = simhash.drop_near_duplicates(docs, simhash.WIDE, 0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
+    assert kept.limit(0).columns == docs.columns and simhash.near_duplicates(docs.limit(0), simhash.WIDE, 0.8).count() == 0
+
+
+def test_masks_of_wide_distances():
+    rng = np.random.default_rng(6)
+    for n in (10, 10**5, 10**7, 10**9, 10**12):
+        masks = [m % 2**64 for m in simhash.block_masks(simhash.WIDE, n)]
+        for _ in range(200):
+            x = int(rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1
+            y = x ^ sum(1 << int(b) for b in {*rng.integers(0, 64, simhash.WIDE)})
+            assert any(x & m == y & m for m in masks)
+
+
+def test_fine_limit():
+    assert simhash.fine_limit(0.8) == 23 and simhash.fine_limit(1.0) == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -447,8 +511,9 @@ def test_pipeline(spark, sf_dir):
         lang, sure = tree.predict(r.text)
         if lang not in corpus_pipeline.LANGUAGES or sure < corpus_pipeline.LEAST_SCORE:
             continue
-        code = simhash.simhash(r.text)
-        if any(bin((code ^ c) & (2**64 - 1)).count("1") <= 3 for c in seen):
+        words = r.text.encode().lower().split()
+        code = plain_majority([words[i : i + 2] for i in range(max(1, len(words) - 1))], 1) + plain_majority([words[i : i + 5] for i in range(max(1, len(words) - 4))], 2)
+        if any(bin(code[0] ^ c[0]).count("1") <= 7 and sum(bin(x ^ y).count("1") for x, y in zip(code[1:], c[1:])) <= 23 for c in seen):
             continue
         seen.add(code)
         w = [lower(x) for x in re.findall(decontam.WORD, r.text)]
