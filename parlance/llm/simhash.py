@@ -123,11 +123,12 @@ def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def near_leaves(codes: np.ndarray, k: int) -> np.ndarray:
-    """Pairs (a <= b) of leaves, runs of LEAF ``codes`` (in Gray order), that the index cannot prune.
+def leaf_pairs(codes: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Pairs (a <= b) of leaves, runs of LEAF ``codes`` (in Gray order), that the index cannot prune, some thousand at a time.
 
     Levels, from the leaves up: bits shared by all codes of a node, and where they are shared. From
-    the root down, the pairs of children of a pair of nodes are pruned whose shared bits differ too much.
+    the root down, depth first, the pairs of children of a pair of nodes are pruned whose shared bits
+    differ too much.
     """
     low, high = codes, codes  # and-ed, or-ed
     levels = []
@@ -137,19 +138,26 @@ def near_leaves(codes: np.ndarray, k: int) -> np.ndarray:
         levels.append((low, ~(low ^ high)))
         if len(starts) == 1:
             break
-    pairs = np.zeros((1, 2), np.int64)
-    for low, shared in reversed(levels[:-1]):
-        kept = []
-        for part in np.array_split(pairs, max(1, len(pairs) // 4096)):
-            a = (part[:, 0, None] * FAN + np.arange(FAN))[:, :, None]
-            b = (part[:, 1, None] * FAN + np.arange(FAN))[:, None, :]
-            a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
-            fits = (a <= b) & (b < len(low))
-            a, b = a[fits], b[fits]
-            near = np.bitwise_count((low[a] ^ low[b]) & shared[a] & shared[b]) <= k
-            kept.append(np.stack([a[near], b[near]], 1))
-        pairs = np.concatenate(kept)
-    return pairs
+    open_ = [(len(levels) - 1, np.zeros((1, 2), np.int64))]
+    while open_:
+        level, pairs = open_.pop()
+        if not level:
+            yield pairs
+            continue
+        low, shared = levels[level - 1]
+        a = (pairs[:, 0, None] * FAN + np.arange(FAN))[:, :, None]
+        b = (pairs[:, 1, None] * FAN + np.arange(FAN))[:, None, :]
+        a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
+        fits = (a <= b) & (b < len(low))
+        a, b = a[fits], b[fits]
+        near = np.bitwise_count((low[a] ^ low[b]) & shared[a] & shared[b]) <= k
+        kept = np.stack([a[near], b[near]], 1)
+        open_ += [(level - 1, part) for part in np.array_split(kept, -(-len(kept) // 4096))] if len(kept) else []
+
+
+def near_leaves(codes: np.ndarray, k: int) -> np.ndarray:
+    """All ``leaf_pairs`` in one array."""
+    return np.concatenate([np.zeros((0, 2), np.int64), *leaf_pairs(codes, k)])
 
 
 def _fine_near(fine: np.ndarray | None, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
@@ -159,11 +167,11 @@ def _fine_near(fine: np.ndarray | None, i: np.ndarray, j: np.ndarray, most: int)
 
 def link_node(codes: np.ndarray, k: int, fine: np.ndarray | None = None, most: int = 0) -> np.ndarray:
     """Class labels (least index) of ``codes`` (in Gray order) under links of at most ``k`` bits, and at most ``most`` bits of ``fine``."""
-    n, pairs = len(codes), near_leaves(codes, k)
+    n = len(codes)
     label = np.arange(n)
     padded = np.concatenate([codes, np.zeros(-n % LEAF, np.uint64)]).reshape(-1, LEAF)
     starts = np.arange(0, n, LEAF)
-    for part in np.array_split(pairs, max(1, len(pairs) // 4096)):
+    for part in leaf_pairs(codes, k):
         least, last = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
         a, b = part[:, 0], part[:, 1]
         part = part[(least[a] != last[a]) | (least[b] != last[b]) | (least[a] != least[b])]  # leaves of one class need no look
