@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from parlance.llm.bpe import encode_and_decode
 from parlance.llm.chat import format_chats
-from parlance.llm.common import table
+from parlance.llm.common import sha256_text, table
 from parlance.llm.decontam import contamination
 from parlance.llm.langid import identify
+from parlance.llm.lines import drop_repeated_lines
 from parlance.llm.minhash import fingerprint_documents
+from parlance.llm.repair import repair_report
 from parlance.llm.sharding import shuffle_to_shards
 from parlance.llm.simhash import near_duplicates
 from parlance.llm.sitetree import extract
 from parlance.llm.toxicity import score_documents
 from parlance.llm.urls import judge
+from parlance.llm.whitening import whiten
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -135,4 +138,67 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op2_chat, op3_urls, op4_decontamination, op5_bpe, op6_language, op7_extraction, op8_minhash, op9_toxicity, op10_simhash)}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without long lines that five documents or more share."""
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"), 40, 5)
+    return kept.select("doc_id", "n_lines", "n_dropped", sha256_text(F.col("text")).alias("kept_sha256"))
+
+
+ORACLE_SQL["op11_lines"] = r"""
+with d as (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select rid, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key, max(doc_id) as holder from k where len(key) >= 40 group by key having count(distinct doc_id) + max(cast(doc_id is null as int)) >= 5),
+g as (select rid, doc_id, line, pos, f.key is not null and k.doc_id is distinct from f.holder as gone from k left join f on f.key = k.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from g group by rid, doc_id"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the first 16 principal components, at unit variance."""
+    return whiten(table(spark, sf_dir, "embeddings"), "embedding", 16)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after planted damage."""
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+def _plus(state: str, cost: str, edit: str) -> str:
+    """SQL for a path of op13, nine digits of cost and then the audit, with one more edit."""
+    return f"lpad(cast(cast({state}[1:9] as bigint) + {cost} as varchar), 9, '0') || {state}[10:] || {edit}"
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_READ = {c: {x: _plus(x, f"late + case when i = '{c}' then 0 else 2 end", f"case when i = '{c}' then 'K' else 'R' end") for x in "bsua"} for c in "ua"}
+_DROP, _MORE = {x: _plus(x, "3", "'D'") for x in "bsua"}, {x: _plus(x, "2", "'I'") for x in "bsua"}
+
+#: a fold over rows: the best path to each state (b: begin, s, u, a)
+ORACLE_SQL["op13_repair"] = f"""
+with recursive src as (select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+lots as (select *, xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(name, ''), lambda x: cast(ascii(x) as bigint))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [cast(x as bigint) for x in range(8)]), lambda z, o: xor(z >> 1, (z & 1) * 3988292384)))) % 20 as lot from src),
+dam as (select conv_id, turn, case when lot = 4 then 'user' else coalesce(role, ' ') end as role,
+  case when lot = 1 then '' when lot = 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text, unnest(range(case lot when 0 then 0 when 3 then 2 else 1 end)) as copy from lots),
+num as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos, rtrim(text, {_BLANKS}) as r from dam),
+near as (select *, min(pos) over (partition by conv_id, role, text) as seen, left(role, 1) as i, lag(left(role, 1)) over (partition by conv_id order by pos) || left(role, 1) as pair from num),
+flt as (select *, case when r = '' then 1 when pos > seen then 2 when right(r, 1) not in ('.', '!', '?') then 3 else 0 end as fault from near),
+sums as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+  count(*) filter (fault = 3) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from flt group by conv_id),
+walk as (select conv_id, cast(0 as bigint) as pos, '000000000' as b, cast(null as varchar) as s, '000000002I' as u, '000000004II' as a from sums
+  union all select conv_id, pos, b, s, u, least(a, {_MORE["u"]}) as a from (select conv_id, pos, b, s, least(u, {_MORE["b"]}, {_MORE["s"]}, {_MORE["a"]}) as u, a from (
+    select conv_id, pos, {_DROP["b"]} as b, least({_DROP["s"]}, case when kept and i = 's' then {_plus("b", "late", "'K'")} end) as s,
+      least({_DROP["u"]}, case when kept then least({_READ["u"]["b"]}, {_READ["u"]["s"]}, {_READ["u"]["a"]}) end) as u, least({_DROP["a"]}, case when kept then {_READ["a"]["u"]} end) as a
+    from (select w.conv_id, f.pos, f.i, f.fault not in (1, 2) as kept, cast(f.fault = 3 as int) as late, b, s, u, a from walk w join flt f on f.conv_id is not distinct from w.conv_id and f.pos = w.pos + 1)))),
+best as (select w.conv_id, least(b, a) as p from walk w join sums on sums.conv_id is not distinct from w.conv_id and w.pos = sums.n),
+marks as (select conv_id, unnest(string_split(p[10:], '')) as e, generate_subscripts(string_split(p[10:], ''), 1) as k from best),
+spots as (select conv_id, e, sum(cast(e <> 'I' as int)) over (partition by conv_id order by k) as pos, sum(cast(e <> 'D' as int)) over (partition by conv_id order by k) as place,
+  sum(cast(e <> 'D' as int)) over (partition by conv_id) % 2 as odd from marks where e <> ''),
+done as (select m.conv_id, string_agg(case when e = 'K' then f.role when odd = 1 and place = 1 then 'system' when (place - odd) % 2 = 1 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else f.text end,
+  chr(10) order by place) as t from spots m left join flt f on f.conv_id is not distinct from m.conv_id and f.pos = m.pos where e <> 'D' group by m.conv_id)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cast(p[1:9] as bigint), 0) as cost, coalesce(p[10:], '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join sums on sums.conv_id is not distinct from c.conv_id left join best on best.conv_id is not distinct from c.conv_id left join done on done.conv_id is not distinct from c.conv_id"""
+
+
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_sharding, op2_chat, op3_urls, op4_decontamination, op5_bpe, op6_language, op7_extraction, op8_minhash, op9_toxicity, op10_simhash, op11_lines, op12_whitening, op13_repair)}
