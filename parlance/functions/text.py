@@ -50,9 +50,16 @@ def clean_tokens(tokens: Column) -> Column:
     return F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t != "")
 
 
-def flatten_segment(own: Column, nested: Column) -> Column:
-    """A segment's tokens followed by those of its nested segments (array of arrays)."""
-    return F.concat(F.coalesce(own, _strings(())), F.coalesce(F.flatten(F.filter(nested, lambda t: t.isNotNull())), _strings(())))
+def flatten_segment(markup: Column) -> Column:
+    """The tokens in a transcription's inner markup, in the order of the document, at any depth of nested segments; none for null. Segments without transcription add nothing."""
+    return F.regexp_extract_all(F.coalesce(markup, F.lit("")), F.lit(r"(?s)<(?:\w+:)?t(?:\s[^>]*)?>(.*?)</(?:\w+:)?t>"), F.lit(1))
+
+
+def escape_xml(s: Column) -> Column:
+    """The specials of XML escaped, so that the text can stand in an element or in an attribute."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        s = F.replace(s, F.lit(raw), F.lit(safe))
+    return s
 
 
 def is_disfluency(token: Column) -> Column:

@@ -159,7 +159,7 @@ def rgb_to_hsb(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     span = hi - lo
     safe = F.when(span > 0, span.cast("double"))
     sixth = F.when(span == 0, F.lit(0.0)).when(r == hi, (g - b) / safe).when(g == hi, 2.0 + (b - r) / safe).otherwise(4.0 + (r - g) / safe) / 6.0
-    return F.when(sixth < 0, sixth + 1.0).otherwise(sixth), F.when(hi > 0, span / F.when(hi > 0, hi.cast("double"))).otherwise(F.lit(0.0)), hi / 255.0
+    return F.when(sixth < 0, sixth + 1.0).otherwise(sixth), F.when(hi > 0, span / F.when(hi > 0, hi.cast("double"))).when(hi <= 0, F.lit(0.0)), hi / 255.0
 
 
 # Rectangles are half-open: x0 <= x < x1, y0 <= y < y1; ``r`` maps these names to columns.
@@ -196,6 +196,15 @@ def relative_size(r: Rect, rows: Column, cols: Column) -> Column:
     return region_area(r) / (rows * cols).cast("double")
 
 
+def entity_features(argb_: Column, place: Column, rows: int, cols: int) -> dict[str, Column]:
+    """Size, colour and position of an entity with a packed colour at ``place`` (x0, x1, y0, y1) of a board."""
+    box = {s: place[s] for s in ("x0", "x1", "y0", "y1")}
+    red, green, blue, alpha = argb(argb_)
+    hue, saturation, brightness = rgb_to_hsb(red, green, blue)
+    x, y = centre(box, F.lit(rows), F.lit(cols))
+    return {"size": relative_size(box, F.lit(rows), F.lit(cols)), "red": red, "green": green, "blue": blue, "alpha": alpha, "hue": hue, "saturation": saturation, "brightness": brightness, "position_x": x, "position_y": y}
+
+
 def cell_coords(index: Column, cols: Column) -> tuple[Column, Column]:
     """(row, column) of a cell in a flat matrix."""
     return F.floor(index / cols).cast("int"), (index % cols).cast("int")

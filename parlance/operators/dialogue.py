@@ -215,9 +215,3 @@ def canonical_map(df: DataFrame, key: str, value: str) -> DataFrame:
 def join_transformed(utts: DataFrame, transformed: DataFrame, key: str, value: str) -> DataFrame:
     """``value`` of the transformed utterance with the same key, empty if there is none; an error if a key has several."""
     return utts.join(canonical_map(transformed.select(key, value), key, value), key, "left").withColumn(value, F.coalesce(value, F.lit("")))
-
-
-def round_dialogue_table(utts: DataFrame, rounds: DataFrame, game: str = "game") -> DataFrame:
-    """One row for each round: its number of utterances, its tokens in order and the timing of the round before."""
-    said = utts.groupBy(game, "round").agg(F.count("*").alias("utts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "speaker"))), lambda x: x["speaker"]), " ").alias("speakers"))
-    return last_round_timing(rounds, game).join(said, [game, "round"], "left").withColumn("utts", F.coalesce("utts", F.lit(0)))

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import name_filter
+from parlance.functions.text import name_filter, strip_prefix
+from parlance.functions.values import entity_features
 from parlance.operators.guards import checked
 
 
@@ -34,6 +35,11 @@ def _before(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _to_time(w: Window) -> Window:
+    """Up to the row's time, all rows of that time included."""
+    return w.rangeBetween(Window.unboundedPreceding, 0)
+
+
 def _on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on equal or null ``keys``; ``right`` is broadcast."""
     right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -41,33 +47,40 @@ def _on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     return left.join(F.broadcast(right), reduce(lambda a, b: a & b, same), "left").drop(*[f"_right_{k}" for k in keys])
 
 
-def running(df: DataFrame, keys: Sequence[str], by: Sequence[str], values: Mapping[str, tuple[str, Column]], frame: Callable[[Window], Window] = _to_here, back: bool = True) -> DataFrame:
-    """``df`` with running folds: ``values`` names (kind, column), kind a key of FOLD; ``by`` begins with a number, the time.
+def running(df: DataFrame, keys: Sequence[str], by: Sequence[str], values: Mapping[str, tuple], frame: Callable[[Window], Window] = _to_here, back: bool = True) -> DataFrame:
+    """``df`` with running folds: ``values`` names (kind, column) or (kind, column, frame), kind a key of FOLD; ``by`` begins with a number, the time.
 
-    ``frame`` reaches back to the first row, or with ``back=False`` on to the last. Usually this is
+    ``frame`` reaches back to the first row, or with ``back=False`` on to the last; a value's own frame
+    counts for it. Folds of one call share the exchange and the count of rows. Usually each is
     one window. Keys with over HOT_ROWS rows are cut into stretches of like length in time, as many as
     their rows ask for; each stretch's fold and those of the stretches before it are joined. Rows of
     the same time are in one stretch, so a key whose rows all have one time stays whole.
     """
     hot = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min(by[0]).cast("double").alias("_lo"), F.max(by[0]).cast("double").alias("_hi")).where(F.col("_rows") > HOT_ROWS)
     whole = Window.partitionBy(*keys)
+    folds = {c: FOLD[v[0]](v[1]) for c, v in values.items()}
+
+    def over(c: str, part: Window) -> Column:
+        own = values[c][2] if len(values[c]) > 2 else frame
+        return folds[c].over(own(part.orderBy(*(by[:1] if own is _to_time else by))))
+
     if hot.isEmpty():
-        return df.withColumns({c: FOLD[kind](x).over(frame(whole.orderBy(*by))) for c, (kind, x) in values.items()})
+        return df.withColumns({c: over(c, whole) for c in values})
     # at most one row of ``hot`` and two carried rows for each HOT_ROWS rows are broadcast
     n = F.ceil(F.col("_rows") / HOT_ROWS)
     stretch = F.least(n - 1, F.floor((F.col(by[0]) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * n))
     cut = _on_keys(df, hot, keys).withColumn("_stretch", F.when(F.col("_rows").isNull(), -1).otherwise(F.coalesce(stretch, F.lit(0)))).drop("_rows", "_lo", "_hi")
     part = [*keys, "_stretch"]
     others = _before(whole.orderBy(F.col("_stretch").asc() if back else F.col("_stretch").desc()))
-    sums = cut.where("_stretch >= 0").groupBy(*part).agg(*[FOLD[kind](x).alias(f"_carry_{c}") for c, (kind, x) in values.items()])
-    carried = sums.select(*part, *[FOLD[kind](f"_carry_{c}").over(others).alias(f"_carry_{c}") for c, (kind, _) in values.items()])
-    local = cut.withColumns({c: FOLD[kind](x).over(frame(Window.partitionBy(*part).orderBy(*by))) for c, (kind, x) in values.items()})
+    sums = cut.where("_stretch >= 0").groupBy(*part).agg(*[folds[c].alias(f"_carry_{c}") for c in values])
+    carried = sums.select(*part, *[FOLD[v[0]](f"_carry_{c}").over(others).alias(f"_carry_{c}") for c, v in values.items()])
+    local = cut.withColumns({c: over(c, Window.partitionBy(*part)) for c in values})
 
     def both(c: str, kind: str) -> Column:
         here, there = F.col(c), F.col(f"_carry_{c}")
         return F.coalesce(here + there, here, there) if kind == "sum" else (F.array_max if kind == "max" else F.array_min)(F.array(here, there))
 
-    return _on_keys(local, carried, part).withColumns({c: both(c, kind) for c, (kind, _) in values.items()}).drop("_stretch", *[f"_carry_{c}" for c in values])
+    return _on_keys(local, carried, part).withColumns({c: both(c, v[0]) for c, v in values.items()}).drop("_stretch", *[f"_carry_{c}" for c in values])
 
 
 def match_types(df: DataFrame, name: str, *types: str) -> DataFrame:
@@ -167,6 +180,42 @@ def entity_position_asof(pairs: DataFrame, moves: DataFrame, game: str, entity:
     return found.where("_q").withColumn(position, F.coalesce(F.col("_last")["_move"], initial)).drop("_move", "_q", "_last")
 
 
+def event_steps(log: DataFrame, new: Column, won: Column, lost: Column, game: str = "game", time: str = "time", line: str = "line", piece: str = "piece") -> DataFrame:
+    """``log`` with ``event`` (1, 2, ...), ``round``, ``score``, ``since`` (the game's first time) and ``moved`` (the piece of the last new round up to this time), all from one exchange."""
+    score = F.when(won, 1).when(lost, -2).otherwise(0)
+    moved = ("max", F.when(new, F.struct(time, line, piece)), _to_time)
+    steps = running(log, [game], [time, line], {"event": ("sum", F.lit(1)), "round": ("sum", new.cast("int")), "score": ("sum", score), "since": ("min", F.col(time)), "_moved": moved})
+    return steps.withColumn("moved", F.col("_moved")[piece]).drop("_moved")
+
+
+#: sides of a rectangle that a move leads to
+SIDES = ("x0", "x1", "y0", "y1")
+
+
+def event_entity_table(log: DataFrame, entities: DataFrame, moves: DataFrame, new: Column, won: Column, lost: Column, picks: Sequence[str], rows: int, cols: int, prefix: str = "") -> DataFrame:
+    """A row for each event of ``log`` and entity of its game, with the event's 9 columns, the entity's 12 features at that time and ``game``.
+
+    ``log`` is (game, time in microseconds, line, name, sender, piece); ``entities`` (game, entity, shape,
+    edge_count, argb, x0, x1, y0, y1) has the looks and first places, one row for each; ``moves`` (game,
+    entity, time, x0, x1, y0, y1) the places that entities are moved to. An entity stands where its last
+    move strictly before the event put it. ``picks`` are names of events that select their piece,
+    ``prefix`` is a pattern that is taken off names. Columns are those of an events table.
+    """
+    steps = event_steps(log, new, won, lost)
+    place = F.struct(*SIDES)
+    pairs = entity_rows(steps, entities.withColumn("place", place).drop(*SIDES), "game").withColumnRenamed("place", "first_place")
+    moved = moves.select("game", "entity", "time", place.alias("place"))
+    placed = entity_position_asof(pairs, moved, "game", "entity", "time", "place", F.col("first_place"))
+    features = entity_features(F.col("argb"), F.col("place"), rows, cols)
+    columns = {
+        "EVENT": F.col("event").cast("int"), "ROUND": F.col("round").cast("int"), "SCORE": F.col("score").cast("int"), "TIME": ((F.col("time") - F.col("since")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,6)"),
+        "NAME": strip_prefix(F.col("name"), prefix) if prefix else F.col("name"), "SUBMITTER": F.col("sender"), "ENTITY": entity_no(F.col("entity")).cast("int"), "REFERENT": is_referent(F.col("moved"), F.col("entity")),
+        "SELECTED": is_selected(F.col("name"), F.col("piece"), F.col("entity"), picks), "SHAPE": F.col("shape"), "EDGE_COUNT": F.col("edge_count").cast("int"),
+        **{n.upper(): c.cast("float") if n in ("hue", "saturation", "brightness") else c for n, c in features.items()},
+    }
+    return placed.select("game", *[c.alias(n) for n, c in columns.items()])
+
+
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, tie: str | None = None, strict: bool = False) -> DataFrame:
     """``left`` with ``value`` and ``<value>_time`` of the last row of ``right`` at or before (``strict``: before) its time."""
     return _asof(left, right, keys, time, value, tie, strict, True)

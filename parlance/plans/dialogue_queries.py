@@ -8,9 +8,12 @@ from parlance.functions import text as tx
 from parlance.functions import values as v
 from parlance.operators import dialogue as dl
 from parlance.operators import metadata as md
+from parlance.operators import rounds as rounds_
 from parlance.operators import stats as st
 from parlance.plans import query
 from parlance.plans.bindings import CONVERSATIONS_SQL, EVENTS_SQL, conversations, events, table
+from parlance.sources import tables
+from parlance.sources.scratch import scratch
 
 C = f"with {CONVERSATIONS_SQL}"
 MACRO = "len(list_distinct(list_intersect({a}, {b}))) / len(list_distinct(list_concat({a}, {b})))"
@@ -317,21 +320,32 @@ def game_summary(spark, sf):
     return dl.game_summary(x.where("name = 'view'"), x.where("name <> 'view'"))
 
 
-@query("s27_round_dialogues", f"{UE}, {LAST}, sp as (select game, round, count(*) as utts, string_agg(sender, ' ' order by time) as speakers from x where name = 'view' group by all) select game, round, last_time, previous_time, previous_time - t0 as \"offset\", last_time - previous_time as difference, coalesce(utts, 0) as utts, speakers from lt left join sp using (game, round)")
-def round_dialogues(spark, sf):
-    x = rounds(spark, sf)
-    said = x.where("name = 'view'").select("game", "round", F.col("time").alias("start"), F.col("sender").alias("speaker"))
-    return dl.round_dialogue_table(said, x.where("name <> 'view'"))
-
-
 @query("p29_has_relevant", f"{C}, g as (select dyad, round, flatten(list(tokens)) as t from c group by all) select dyad, round, len(list_filter(t, lambda t: not (t in {tx.METALANGUAGE} or t in {tx.FILLERS} or starts_with(t, '-') or ends_with(t, '-')))) > 0 as relevant from g")
 def has_relevant(spark, sf):
     return conversations(spark, sf).groupBy("dyad", "round").agg(tx.has_relevant(F.collect_list("tokens")).alias("relevant"))
 
 
-@query("s16_utterance_table", f"{C} select dyad, round, speaker, printf('%02d:%02d.%03d', cast(start as bigint) // 60, cast(floor(start) as bigint) % 60, 0) as start_time, {text_of('tokens')} as tokens from c")
+#: every other turn, a quarter before it, begins a round; the speakers take turns in sending it
+DELIM = "d as (select conv_id as dyad, cast(turn as double) - 0.25 as time, turn as line, case when turn % 4 = 0 then 'user' else 'assistant' end as sender from conversations where turn % 2 = 0)"
+
+
+def delimiters(spark, sf):
+    c = table(spark, sf, "conversations").where("turn % 2 = 0")
+    return c.select(F.col("conv_id").alias("dyad"), (F.col("turn").cast("double") - 0.25).alias("time"), F.col("turn").alias("line"), F.when(F.col("turn") % 4 == 0, "user").otherwise("assistant").alias("sender"))
+
+
+@query(
+    "s16_utterance_table",
+    f"{C}, {DELIM}, r as (select *, (select count(*) from d where d.dyad = c.dyad and d.time <= c.start) as n, (select arg_max(d.sender, d.time) from d where d.dyad = c.dyad and d.time <= c.start) as sent from c) "
+    f"select cast(dyad as varchar) as dyad, cast(n as int) as round, speaker, case when speaker = coalesce(sent, 'user') then 'INSTRUCTOR' else 'MANIPULATOR' end as role, cast(start as float) as start_time, cast(\"end\" as float) as end_time, {text_of('tokens')} as tokens from r",
+)
 def utterance_table(spark, sf):
-    return conversations(spark, sf).select("dyad", "round", "speaker", v.format_secs(F.floor("start").cast("double")).alias("start_time"), F.array_join("tokens", " ").alias("tokens"))
+    """The utterance table of every session written to its folder, and read back."""
+    path = scratch(spark, "utts")
+    utts = rounds_.utterance_table(conversations(spark, sf), delimiters(spark, sf), F.lit(True), F.lit("user"), "dyad")
+    tables.write_tsv(utts.repartition("dyad").sortWithinPartitions("dyad", "ROUND", "START_TIME"), path, ["dyad"])
+    back = tables.read_utterances(spark, path, lambda t: F.lit(True))
+    return back.select(F.regexp_extract("session", "dyad=([^/]*)$", 1).alias("dyad"), F.col("ROUND").alias("round"), F.col("SPEAKER").alias("speaker"), F.col("DIALOGUE_ROLE").alias("role"), F.col("START_TIME").alias("start_time"), F.col("END_TIME").alias("end_time"), F.array_join("TOKENS", " ").alias("tokens"))
 
 
 @query("s12_read_utterances", f"{C} select dyad, start, {text_of(CLEAN)} as tokens from c where len({CLEAN}) > 0")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.functions import values as v
 from parlance.operators import events as ev
-from parlance.operators import guards
+from parlance.operators import guards, rounds
 from parlance.plans import query
 from parlance.plans.bindings import EVENTS_SQL, events, table
+from parlance.sources import tables
+from parlance.sources.scratch import scratch
 
 E = f"with {EVENTS_SQL}"
 ORDER = "partition by game order by time, line"
@@ -337,17 +339,78 @@ def predicates(spark, sf):
     return ev.apply_filters(events(spark, sf), [lambda d, c=c: d.where(c) for c in conditions]).select("line")
 
 
-EE = f"""{E}, {ENTITIES}, n as (select *, row_number() over ({ORDER}) as event, sum(cast(name = 'signup' as int)) over ({ORDER}) as round, sum(case name when 'purchase' then 1 when 'error' then -2 else 0 end) over ({ORDER}) as score,
-arg_max(entity, (time, line)) filter (name = 'signup') over (partition by game order by time) as moved from e)"""
+#: a board of 20 x 20 for every game; looks and first places of an entity come from its number, a completed turn moves its piece
+BOARD = 20
+PIECES = f"""{ENTITIES}, looks as (select *, ['disc', 'box', 'wedge', 'star'][entity % 4 + 1] as shape, [1, 4, 3, 10][entity % 4 + 1] as edge_count, entity % 3 + 1 as side, (entity * 2654435761) % 4294967296 as c from ent),
+pieces as (select *, entity * 7 % 17 as x0, entity * 3 % 17 as y0, (c >> 16) & 255 as red, (c >> 8) & 255 as green, c & 255 as blue, c >> 24 as alpha from looks),
+hues as (select *, greatest(red, green, blue) as hi, least(red, green, blue) as lo from pieces),
+sixths as (select *, case when hi = lo then 0 when red = hi then (green - blue) / (hi - lo) when green = hi then 2 + (blue - red) / (hi - lo) else 4 + (red - green) / (hi - lo) end / 6 as s from hues)"""
+STEPS = f"""n as (select *, row_number() over ({ORDER}) as event, sum(cast(name = 'signup' as int)) over ({ORDER}) as round, sum(case name when 'purchase' then 1 when 'error' then -2 else 0 end) over ({ORDER}) as score,
+min(time) over (partition by game) as since, arg_max(entity, (time, line)) filter (name = 'signup') over (partition by game order by time) as moved from e)"""
+MOVED = "mv as (select game, entity, time, max(value) as value from e where name = 'purchase' group by all), iv as (select *, lead(time) over (partition by game, entity order by time) as until from mv)"
+EE = f"""{E}, {PIECES}, {STEPS}, {MOVED}, pl as (select n.*, p.entity as piece, shape, edge_count, side, red, green, blue, alpha, hi, lo, s, coalesce(cast(floor(iv.value) as bigint) % 17, x0) as x, coalesce(cast(floor(iv.value * 10) as bigint) % 17, y0) as y
+from n join sixths p using (game) left join iv on iv.game = n.game and iv.entity = p.entity and n.time > iv.time and n.time <= coalesce(iv.until, 9000000000000000000))
+select game, cast(event as int) as "EVENT", cast(round as int) as "ROUND", cast(score as int) as "SCORE", cast(cast(time - since as decimal(20, 0)) / 1000000 as decimal(20, 6)) as "TIME", name as "NAME", sender as "SUBMITTER", cast(piece + 1 as int) as "ENTITY",
+coalesce(moved = piece, false) as "REFERENT", coalesce(name in ('click', 'error') and entity = piece, false) as "SELECTED", shape as "SHAPE", cast(edge_count as int) as "EDGE_COUNT", side * side / {BOARD * BOARD}.0 as "SIZE",
+cast(red as int) as "RED", cast(green as int) as "GREEN", cast(blue as int) as "BLUE", cast(alpha as int) as "ALPHA", cast(case when s < 0 then s + 1 else s end as float) as "HUE", cast(case when hi > 0 then (hi - lo) / hi else 0 end as float) as "SATURATION",
+cast(hi / 255 as float) as "BRIGHTNESS", (x + x + side) / 2.0 / {BOARD} as "POSITION_X", (y + y + side) / 2.0 / {BOARD} as "POSITION_Y" from pl"""
 
 
-@query("s17_event_entity_table", f"{EE} select n.game, event, cast(round as bigint) as round, cast(score as bigint) as score, name, ent.entity + 1 as entity, coalesce(moved = ent.entity, false) as referent, coalesce(name in ('click', 'error') and n.entity = ent.entity, false) as selected from n join ent using (game)")
+def boxed(row, col, side):
+    return [row.alias("x0"), (row + side).alias("x1"), col.alias("y0"), (col + side).alias("y1")]
+
+
+def pieces(e):
+    n, one = F.col("entity"), lambda *names: F.element_at(F.array(*map(F.lit, names)), F.col("entity") % 4 + 1)
+    c = (n.cast("long") * 2654435761) % 4294967296
+    colour = F.when(c >= 1 << 31, c - (1 << 32)).otherwise(c).cast("int")
+    return entities(e).select("game", "entity", one("disc", "box", "wedge", "star").alias("shape"), one(1, 4, 3, 10).alias("edge_count"), colour.alias("argb"), *boxed(n * 7 % 17, n * 3 % 17, n % 3 + 1))
+
+
+def moves(e):
+    turn = e.where(WON()).groupBy("game", "entity", "time").agg(F.max("value").alias("value"))
+    cell = lambda f: (F.floor(F.col("value") * f).cast("long") % 17).cast("int")
+    return turn.select("game", "entity", "time", *boxed(cell(1), cell(10), F.col("entity") % 3 + 1))
+
+
+@query("s17_event_entity_table", EE)
 def event_entity_table(spark, sf):
     e = events(spark, sf)
-    steps = ev.last_event_asof(ev.running_score(ev.round_id(ev.event_no(e), NEW()), WON(), LOST()), NEW(), "entity").withColumnRenamed("entity", "piece")
-    rows = ev.entity_rows(steps, entities(e))
-    picked = ev.is_selected(F.col("name"), F.col("piece"), F.col("entity"), ("click", "error"))
-    return rows.select("game", F.col("event_no").alias("event"), "round", "score", "name", ev.entity_no(F.col("entity")).alias("entity"), ev.is_referent(F.col("last_entity"), F.col("entity")).alias("referent"), picked.alias("selected"))
+    return ev.event_entity_table(e.withColumnRenamed("entity", "piece"), pieces(e), moves(e), NEW(), WON(), LOST(), ("click", "error"), BOARD, BOARD)
+
+
+ROUNDS = f"""{E}, {PIECES}, {MOVED}, u as (select game, line as utt, time as start, time + 30000000 as "end", sender as speaker, upper(name[1]) || name[2:] || ' piece-' || entity || '.' as said from e where name = 'view'), x as (select * from e where name <> 'view'),
+xr as (select *, sum(cast(name = 'signup' as int)) over ({ORDER}) as round, min(time) over (partition by game) as since from x),
+ur as (select u.*, (select count(*) from x where x.game = u.game and x.name = 'signup' and x.time <= u.start) as round from u),
+fe as (select game, round, arg_min(name, (time, line)) as name, arg_min(sender, (time, line)) as submitter, min(time) as time, max(time) as last_time, min(since) as since from xr group by game, round),
+fu as (select game, round, count(*) as utts, arg_min(start, (start, utt)) as start, arg_min("end", (start, utt)) as "end" from ur group by game, round),
+lt as (select coalesce(fe.game, fu.game) as game, coalesce(fe.round, fu.round) as round, name, submitter, time, last_time, since, coalesce(utts, 0) as utts, start, "end" from fe full join fu on fe.game = fu.game and fe.round = fu.round),
+ct as (select *, lag(last_time) over (partition by game order by round) as previous_time, case when time is null then null when start is null then time else coalesce((select min(x.time) from x where x.game = lt.game and x.time between lt.start and lt."end"), start) end as seen_at from lt),
+rf as (select *, (select arg_max(x.entity, (x.time, x.line)) from x where x.game = ct.game and x.name = 'signup' and x.time <= ct.seen_at) as piece from ct),
+tn as (select *, sum(fresh) over (partition by game, round order by start, utt) as turn from (select *, cast(speaker is distinct from lag(speaker) over (partition by game, round order by start, utt) or row_number() over (partition by game, round order by start, utt) = 1 as int) as fresh from ur)),
+ts as (select game, round, turn, '**' || arg_min(speaker, (start, utt)) || ':** "' || string_agg(said, ' ' order by start, utt) || '"' as line from tn group by game, round, turn),
+tx as (select game, round, string_agg(line, chr(10) order by turn) as text from ts group by game, round),
+ft as (select rf.*, shape, edge_count, side, red, green, blue, alpha, hi, lo, s, coalesce(cast(floor(iv.value) as bigint) % 17, x0) as x, coalesce(cast(floor(iv.value * 10) as bigint) % 17, y0) as y
+  from rf left join sixths p on p.game = rf.game and p.entity = rf.piece left join iv on iv.game = rf.game and iv.entity = rf.piece and rf.seen_at > iv.time and rf.seen_at <= coalesce(iv.until, 9000000000000000000))
+select ft.game, cast(ft.round as bigint) as round, name, submitter, time, time - since as "offset", previous_time, previous_time - since as previous_offset, time - previous_time as difference, utts, piece as entity, shape, edge_count, side * side / {BOARD * BOARD}.0 as size,
+cast(red as int) as red, cast(green as int) as green, cast(blue as int) as blue, cast(alpha as int) as alpha, case when s < 0 then s + 1 else s end as hue, case when hi > 0 then (hi - lo) / hi when hi = 0 then 0.0 end as saturation, hi / 255 as brightness,
+(x + x + side) / 2.0 / {BOARD} as position_x, (y + y + side) / 2.0 / {BOARD} as position_y, text from ft left join tx on tx.game = ft.game and tx.round = ft.round"""
+
+
+@query("s27_round_dialogues", ROUNDS)
+def round_dialogues(spark, sf):
+    e = events(spark, sf)
+    said = e.where(SAY()).select("game", F.col("line").alias("utt"), F.col("time").alias("start"), (F.col("time") + 30000000).alias("end"), F.col("sender").alias("speaker"), F.array("name", F.concat(F.lit("piece-"), "entity")).alias("tokens"))
+    return rounds.round_dialogue_table(said, e.where(~SAY()).withColumnRenamed("entity", "piece"), pieces(e), moves(e), NEW(), BOARD, BOARD)
+
+
+@query("s17_events_sink", EE.replace("select game, cast(event", "select cast(game as varchar) as game, cast(event"))
+def events_sink(spark, sf):
+    """The events table of every session written to its folder, and read back."""
+    path = scratch(spark, "events")
+    tables.write_tsv(event_entity_table(spark, sf).repartition("game"), path, ["game"])
+    back = tables.read_events(spark, path)
+    return back.withColumn("game", F.regexp_extract("session", "game=([^/]*)$", 1)).drop("session")
 
 
 US = "cast('1970-01-01' as timestamp)"

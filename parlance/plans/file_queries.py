@@ -51,8 +51,12 @@ def segments(spark, sf):
 
 @query("s08_transcripts", f"{C} select 's-' || dyad || '-' || cast(start as int) as id, cast(start as float) as start, 'src-' || speaker as source, array_to_string(tokens, ' ') as tokens from c")
 def transcripts_(spark, sf):
+    """Tokens of every utterance in three levels of segments, beside one without transcription."""
+    quarter = F.ceil(F.size("tokens") / 4).cast("int")
+    a, b, c, d = (transcripts.token_markup(F.slice("tokens", i * quarter + 1, quarter)) for i in range(4))
+    inner = transcripts.segment_markup(F.concat("id", F.lit("-i")), F.concat(b, transcripts.segment_markup(F.concat("id", F.lit("-j")), c)))
     path = scratch(spark, "annotation")
-    transcripts.write_annotation(segments(spark, sf), path)
+    transcripts.write_markup(segments(spark, sf).withColumn("markup", F.concat(a, inner, F.lit('<segment id="none"/>'), d)), path)
     return transcripts.read_segments(spark, path).select("id", "start", "source", F.array_join("tokens", " ").alias("tokens"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import flatten_segment, natural_key
+from parlance.functions.text import natural_key
 from parlance.operators import metadata, tokens
 from parlance.plans import query
 from parlance.plans.bindings import CONVERSATIONS_SQL, DOCUMENTS_SQL, EVENTS_SQL, conversations, documents, events, table
@@ -129,12 +129,20 @@ def player_event_logs(spark, sf):
     return text.player_event_logs(files, 1)
 
 
-@query("p02_flatten_segments", f"{C}, n as (select dyad, round, list(tokens order by start) as l from c group by dyad, round) select dyad, round, array_to_string(flatten(l), ' ') as tokens, len(flatten(l)) as n from n")
+@query(
+    "p02_flatten_segments",
+    f"{C}, h as (select dyad, start, tokens[1 : len(tokens) // 2] as one, tokens[len(tokens) // 2 + 1 :] as two from c), n as (select dyad, flatten(list(one order by start)) || flatten(list(two order by start desc)) as l from h group by dyad) select dyad, array_to_string(l, ' ') as tokens, len(l) as n from n",
+)
 def flatten_segments(spark, sf):
-    """The first utterance of a round is a segment, the others are nested in it."""
-    one = conversations(spark, sf).groupBy("dyad", "round").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "tokens"))), lambda x: x["tokens"]).alias("l"))
-    flat = flatten_segment(F.element_at("l", 1), F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))))
-    return one.select("dyad", "round", F.array_join(flat, " ").alias("tokens"), F.size(flat).cast("long").alias("n"))
+    """A conversation is a segment, with a segment for the next utterance nested amid the tokens of each utterance, as deep as it has utterances."""
+    half = (F.size("tokens") / 2).cast("int")
+    parts = F.struct("start", transcripts.token_markup(F.slice("tokens", F.lit(1), half)).alias("one"), transcripts.token_markup(F.slice("tokens", half + 1, F.size("tokens"))).alias("two"))
+    whole = conversations(spark, sf).groupBy("dyad").agg(F.array_sort(F.collect_list(parts)).alias("l"), F.max("end").alias("end"))
+    opening = F.array_join(F.transform("l", lambda x, i: F.concat(F.when(i > 0, F.concat(F.lit('<segment id="n'), i, F.lit('"><transcription>'))).otherwise(F.lit("")), x["one"])), "")
+    closing = F.array_join(F.transform(F.reverse("l"), lambda x, i: F.concat(x["two"], F.when(i < F.size("l") - 1, F.lit("</transcription></segment>")).otherwise(F.lit("")))), "")
+    path = scratch(spark, "annotation")
+    transcripts.write_markup(whole.select(F.col("dyad").cast("string").alias("id"), F.lit(0.0).alias("start"), "end", F.lit("x").alias("source"), F.lit("t1").alias("track"), F.concat(opening, closing).alias("markup")), path)
+    return transcripts.read_segments(spark, path).select(F.col("id").cast("long").alias("dyad"), F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n"))
 
 
 MAPPING = "m as (select distinct game, sender as old, 'x' || sender as new from e)"

@@ -4,22 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.text import flatten_segment, natural_key
+from parlance.functions.text import escape_xml, flatten_segment, natural_key
 from parlance.operators.guards import assert_unique
 
-INNER = "struct<_id:string,_start:float,_end:float,_source:string,_track:string,transcription:struct<t:array<string>>>"
-SEGMENT = f"_id string, _start float, _end float, _source string, _track string, transcription struct<t:array<string>,segment:array<{INNER}>>"
+# the reader keeps the markup inside an element that is read as text, so segments may nest to any depth and tokens stay in order
+SEGMENT = "_id string, _start float, _end float, _source string, _track string, transcription string"
 TRACK = "_id string, sources struct<source:array<struct<_id:string,_href:string,_channel:string,_offset:string>>>"
 
 
 def read_segments(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(file, id, start, end, source, track, tokens); tokens of nested segments follow the segment's own."""
+    """(file, id, start, end, source, track, tokens) of top segments; tokens of nested segments, whatever their depth, stand where they stand in the document.
+
+    A segment without transcription has no tokens. A token that holds the text of a token's own end tag, escaped, is cut there.
+    """
     raw = spark.read.format("xml").option("rowTag", "segment").schema(SEGMENT).load(paths if isinstance(paths, str) else ",".join(paths))
-    nested = F.transform("transcription.segment", lambda s: s["transcription"]["t"])
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_id").alias("id"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_source").alias("source"), F.col("_track").alias("track"), flatten_segment(F.col("transcription.t"), nested).alias("tokens"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_id").alias("id"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_source").alias("source"), F.col("_track").alias("track"), flatten_segment(F.col("transcription")).alias("tokens"))
+
+
+def token_markup(tokens: Column) -> Column:
+    """Tokens as elements of a transcription."""
+    return F.array_join(F.transform(tokens, lambda t: F.concat(F.lit("<t>"), escape_xml(t), F.lit("</t>"))), "")
+
+
+def segment_markup(segment_id: Column, markup: Column) -> Column:
+    """A segment to stand in another's transcription, with the ``markup`` of tokens and segments inside."""
+    return F.concat(F.lit('<segment id="'), escape_xml(segment_id), F.lit('"><transcription>'), markup, F.lit("</transcription></segment>"))
+
+
+def write_markup(segments: DataFrame, path: str) -> None:
+    """Segments (id, start, end, source, track, ``markup`` of the transcription or null for none) as XML, a document for each shuffle partition, dealt and sorted by id."""
+    attributes = [F.concat(F.lit(f' {a}="'), escape_xml(F.col(a).cast("string")), F.lit('"')) for a in ("id", "start", "end", "source", "track")]
+    inner = F.coalesce(F.concat(F.lit("<transcription>"), "markup", F.lit("</transcription>")), F.lit(""))
+    spark = segments.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = segments.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("place"), F.col("id").cast("string").alias("id"), F.concat(F.lit("<segment"), F.concat_ws("", *attributes), F.lit(">"), inner, F.lit("</segment>")).alias("value"))
+    root = F.array(F.struct(F.lit(0).alias("place"), F.lit("").alias("id"), F.lit("<segments>").alias("value")), F.struct(F.lit(2).alias("place"), F.lit("").alias("id"), F.lit("</segments>").alias("value")))
+    ends = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.inline(root))  # two rows for each document
+    dealt = rows.unionByName(ends).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "place", natural_key(F.col("id")))
+    dealt.select("value").write.text(path)
 
 
 def read_sources(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:

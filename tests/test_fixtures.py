@@ -68,6 +68,35 @@ def test_transcripts_and_audio(spark, session):
     assert {(r.metadatum, r.participant): r.value for r in long} == {("AGE", "A"): "30", ("AGE", "B"): "40", ("NOTE", "A"): "x", ("NOTE", "B"): ""}
 
 
+def test_nested_segments(spark, tmp_path):
+    from parlance.sources import transcripts
+
+    (tmp_path / "a.xml").write_text(
+        """<?xml version="1.0" encoding="UTF-8"?>
+<annotation><segments>
+<segment id="s1" start="0.5" end="2.5" source="x" track="t1"><transcription><t>a</t>
+  <segment id="s1a"><features><feature name="x">1</feature></features><transcription><t start="1">b</t><segment id="s1b"><transcription><t>deep</t><segment id="s1c"/></transcription></segment><t>&amp; &lt;t&gt; \u00e9</t></transcription></segment>
+  <segment id="s1d"/><t/><t>c</t></transcription></segment>
+<segment id="s2" start="3" end="4" source="x" track="t1"><features/></segment>
+<segment id="s3" start="4" end="5" source="x" track="t1"><transcription/></segment>
+</segments></annotation>"""
+    )
+    got = {r.id: r.tokens for r in transcripts.read_segments(spark, str(tmp_path / "a.xml")).collect()}
+    assert got == {"s1": ["a", "b", "deep", "& <t> \u00e9", "", "c"], "s2": [], "s3": []}
+
+
+def test_markup_round_trip(spark, tmp_path):
+    from parlance.sources import transcripts
+
+    rows = [(f"s{i}", float(i), [f"w{j}" if j % 3 else 'a<b>&"c' for j in range(i)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, start double, tokens array<string>")
+    marked = df.select("id", "start", F.col("start").alias("end"), F.lit("x").alias("source"), F.lit('t"1').alias("track"), F.when(F.size("tokens") > 0, transcripts.segment_markup(F.col("id"), transcripts.token_markup(F.col("tokens")))).alias("markup"))
+    transcripts.write_markup(marked, str(tmp_path / "out"))
+    back = transcripts.read_segments(spark, str(tmp_path / "out"))
+    assert sorted((r.id, r.start, r.tokens) for r in back.collect()) == sorted(rows)
+    assert {r.track for r in back.collect()} == {'t"1'}
+
+
 def test_guards(spark):
     df = spark.createDataFrame([("g", "s1"), ("g", "s2")], "game string, state string")
     with pytest.raises(Exception, match="different initial states"):
