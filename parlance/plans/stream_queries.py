@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.plans import query
+from parlance.plans import ORACLE_SQL, query
 from parlance.plans.bindings import EVENTS_SQL, events
 from parlance.plans.event_queries import ROLES
 from parlance.sources.scratch import scratch
-from parlance.streaming import live
+from parlance.streaming import live, state
 
 E = f"with {EVENTS_SQL}"
 
@@ -25,12 +25,12 @@ def stream_ingest(spark, sf):
     return live.drain(streamed(spark, sf, "* !view !click").select("line", "name"), scratch(spark, "t01"), scratch(spark, "t01-state"))
 
 
-@query("t02_stream_log", f"{E} select strftime(make_timestamp(time), '%Y-%m-%d') as date, count(*) as n from e group by 1")
+@query("t02_stream_log", f"{E} select strftime(make_timestamp(time), '%Y-%m-%d') as date, count(*) as n, cast(1 as bigint) as starts from e group by 1")
 def stream_log(spark, sf):
     out = scratch(spark, "t02")
     day = F.date_format(F.timestamp_add("MICROSECOND", F.col("time"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd")
     live.stream_log(streamed(spark, sf).drop("received"), out, scratch(spark, "t02-state"), day).awaitTermination()
-    return spark.read.schema(f"{live.EVENT}, date string").json(out).groupBy("date").agg(F.count("*").alias("n"))
+    return spark.read.schema(f"{live.EVENT}, date string, start string").json(out).groupBy("date").agg(F.count("*").alias("n"), F.count_distinct("start").alias("starts"))
 
 
 @query("t03_stream_route", f"{E}, s as (select * from (values ('p0'), ('p1')) as v(client)) select line, client from e join s on client <> sender where client = 'p0' or name = 'click'")
@@ -41,12 +41,23 @@ def stream_route(spark, sf):
 
 @query("t04_live_score", f"{E} select game, count(*) filter (name = 'signup') as round, cast(sum(case name when 'purchase' then 1 when 'error' then -2 else 0 end) as bigint) as score from e group by game")
 def live_score(spark, sf):
-    steps = live.drain(live.live_score(streamed(spark, sf), "signup", "purchase", "error"), scratch(spark, "t04"), scratch(spark, "t04-state"))
+    steps = live.drain_updates(live.live_score(streamed(spark, sf), "signup", "purchase", "error"), scratch(spark, "t04"), scratch(spark, "t04-state"))
     return steps.groupBy("game").agg(F.max_by("round", "events").alias("round"), F.max_by("score", "events").alias("score"))
 
 
 @query("t05_live_pairing", f"{E}, {ROLES} select game, player, ['MOVE_SUBMISSION', 'WAITING'][n] as role from rn where n <= 2 and (select count(*) from rn b where b.game = rn.game) >= 2")
 def live_pairing(spark, sf):
-    found = live.drain(live.live_pairing(streamed(spark, sf), ("MOVE_SUBMISSION", "WAITING")), scratch(spark, "t05"), scratch(spark, "t05-state"))
+    found = live.drain(state.live_pairing(streamed(spark, sf), ("MOVE_SUBMISSION", "WAITING")), scratch(spark, "t05"), scratch(spark, "t05-state"))
     last = found.groupBy("game").agg(F.max("version").alias("version"))
     return found.join(last, ["game", "version"]).select("game", "player", "role")
+
+
+@query("t06_live_log", ORACLE_SQL["t06_triggered_log"])
+def live_log(spark, sf):
+    """Events come in no order of time, so they may be as late as the table is long; one far event at the end passes them all."""
+    path = scratch(spark, "live-events")
+    e = events(spark, sf).select("game", "time", "line", "name", "sender")
+    e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line").write.json(path)
+    e.groupBy().agg(F.lit(-1).cast("long").alias("game"), (F.max("time") + 800 * 86_400_000_000).alias("time"), F.lit(-1).cast("long").alias("line"), F.lit("end").alias("name")).where("time is not null").write.mode("append").json(path)
+    log = live.stream_events(spark, path, files_per_trigger=4, pattern="**")
+    return live.drain(state.triggered_stream(log, "signup", "error", "400 days").select("line"), scratch(spark, "t06"), scratch(spark, "t06-state"))

@@ -1,18 +1,13 @@
-"""Streams of events: ingest, log sink, routing, running score, pairing of players.
-
-Event times are receive times. State is kept by game; it is dropped when the game is over or, with
-``idle_ms``, after so long without events.
-"""
+"""Streams of events: ingest, log sink, routing and running score."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.functions.text import name_filter
 from parlance.operators.events import route
@@ -25,9 +20,25 @@ def stream_events(spark: SparkSession, path: str, schema: str = EVENT, pattern:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path).where(name_filter(F.col(name), pattern)).withColumn("received", F.current_timestamp())
 
 
+def started(spark: SparkSession, checkpoint: str) -> str:
+    """When the query of this checkpoint was first started, as ``HH-mm-ss.SSS``; it stands beside the checkpoint's own files, so a restart finds it."""
+    path = f"{checkpoint}/start"
+    try:
+        return spark.read.text(path).first()["value"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    spark.range(1).select(F.date_format(F.current_timestamp(), "HH-mm-ss.SSS").alias("value")).coalesce(1).write.text(path)
+    return spark.read.text(path).first()["value"]
+
+
 def stream_log(events: DataFrame, path: str, checkpoint: str, day: Column) -> StreamingQuery:
-    """Write a log as JSON lines in a directory for each date; ends when all there is has been read."""
-    return events.withColumn("date", day).writeStream.partitionBy("date").format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    """Write a log as JSON lines in a directory for each date and, in it, for the query's start; ends when all there is has been read.
+
+    A query that goes on from its checkpoint writes on in its own directories; one with another checkpoint has others.
+    """
+    at = started(events.sparkSession, checkpoint)
+    return events.withColumn("date", day).withColumn("start", F.lit(at)).writeStream.partitionBy("date", "start").format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
 def route_stream(events: DataFrame, subscriptions: DataFrame, patterns: Sequence[str], ticket: str, sender: str, name: str) -> DataFrame:
@@ -35,69 +46,32 @@ def route_stream(events: DataFrame, subscriptions: DataFrame, patterns: Sequence
     return route(events, subscriptions, patterns, ticket, sender, name)
 
 
-def _timeout(idle_ms: int | None) -> str:
-    """A processing-time timeout keeps a query going without data, so bounded runs have none."""
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-
-
-def live_score(events: DataFrame, new_round: str, won: str, lost: str, over: str = "monitor.system.disconnected", idle_ms: int | None = None) -> DataFrame:
-    """(game, events, round, score) after each batch that has events of the game; within a batch events are taken by time and line."""
+def live_score(events: DataFrame, new_round: str, won: str, lost: str, late: str | None = None, idle: str | None = None) -> DataFrame:
+    """(game, events, round, score) of each game, anew in each batch that changes it: a streaming aggregate, for output mode update.
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, round_, score = state.get if state.exists else (0, 0, 0)
-        ended = False
-        for b in batches:
-            n += len(b)
-            round_ += int((b["name"] == new_round).sum())
-            score += int((b["name"] == won).sum()) - 2 * int((b["name"] == lost).sum())
-            ended |= bool((b["name"] == over).any())
-        if ended:
-            state.remove()
-        else:
-            state.update((n, round_, score))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"game": [key[0]], "events": [n], "round": [round_], "score": [score]})
-
-    return events.groupBy("game").applyInPandasWithState(update, "game long, events long, round long, score long", "events long, round long, score long", "append", _timeout(idle_ms))
-
-
-def live_pairing(joins: DataFrame, roles: Sequence[str], idle_ms: int | None = None) -> DataFrame:
-    """(game, player, role, version): the players who joined a game first, by event time and name, each time that this is known anew.
-
-    As many distinct players as there are roles pair up. Events may come in any order: a join that
-    comes late but was earlier gives a new ``version``, the last of which counts; other joins change
-    nothing. The state of a game is one time and name for each role.
+    With ``late`` and ``idle`` (intervals; ``time`` in microseconds) events later than ``late`` behind the
+    newest are dropped, and a game ends, and its sums are forgotten, after ``idle`` without events; one that
+    goes on later is another row, with ``from`` and ``until``. Null names count as events only.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, version = state.get if state.exists else ("", 0)
-        before = {p: int(t) for t, p in (x.split("\t", 1) for x in held.split("\n"))} if held else {}
-        first = dict(before)
-        for b in batches:
-            for p, t in b.dropna(subset=["sender", "time"]).groupby("sender")["time"].min().items():
-                first[p] = min(int(t), first.get(p, int(t)))
-            # a player left out here comes back only with an earlier join
-            first = dict(sorted(first.items(), key=lambda x: (x[1], x[0]))[: len(roles)])
-        players = list(first)
-        known = len(players) == len(roles) and (len(before) < len(roles) or players != list(before))
-        version += known
-        state.update(("\n".join(f"{t}\t{p}" for p, t in first.items()), version))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        if known:
-            yield pd.DataFrame({"game": [key[0]] * len(roles), "player": players, "role": list(roles), "version": [version] * len(roles)})
-
-    return joins.groupBy("game").applyInPandasWithState(update, "game long, player string, role string, version long", "players string, version long", "append", _timeout(idle_ms))
+    name, keys = F.col("name"), ["game"]
+    if idle:
+        if not late:
+            raise ValueError("the end of a game is told by the watermark, so idle needs late")
+        events = events.withColumn("event_time", F.timestamp_micros("time")).withWatermark("event_time", late)
+        keys.append(F.session_window("event_time", idle).alias("play"))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    sums = events.groupBy(*keys).agg(F.count("*").alias("events"), count(name == new_round).alias("round"), (count(name == won) - 2 * count(name == lost)).alias("score"))
+    return sums.select("game", "play.start", "play.end", "events", "round", "score").withColumnsRenamed({"start": "from", "end": "until"}) if idle else sums
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over all there is, into Parquet, and read the result."""
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream in output mode update over all there is: the rows of each batch with its number, ``batch``. A batch that is run again replaces its own rows."""
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(path)
