@@ -71,6 +71,11 @@ class Hasher:
             h ^= h >> np.uint64(31)
         return np.unique(h)
 
+    @staticmethod
+    def set_hash(shingles: np.ndarray) -> int:
+        """A signed hash of a set of shingles (sorted); 0 for none."""
+        return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes()) | 1).view(np.int64)) if len(shingles) else 0
+
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         least = np.full(self.k, np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(shingles), BLOCK):

@@ -6,9 +6,6 @@ uppermost nodes of the index; Spark deals the distinct fingerprints to them. Ins
 sorted by Gray rank, so that neighbours share long bit patterns; runs of them form lower nodes whose
 shared bits are factored out, and a pair of nodes whose shared bits already differ in more than ``k``
 places is pruned as a whole.
-
-Near duplicates by similarity take a wide distance of two-word fingerprints to find candidates, and
-judge them by a longer fingerprint of five-word shingles that goes along in the index.
 """
 
 from __future__ import annotations
@@ -16,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, combinations, repeat
-from math import acos, ceil, log2, pi, sqrt
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
@@ -24,16 +21,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType
 
-from parlance.llm.common import apart, stored
+from parlance.llm.common import stored
 from parlance.llm.components import connected_components
-from parlance.llm.minhash import MIX, Hasher
+from parlance.llm.minhash import MIX
 
 BITS, WORDS, SEED = 64, 3, 42
 LEAF, FAN, NODE = 8, 8, 2048
-#: near duplicates by similarity: words of a candidate's shingles and their greatest distance, words of the shingles judged by, bits they fill
-WIDE_WORDS, WIDE, FINE_WORDS, FINE_BITS = 2, 7, 5, 128
 
 
 def simhash(text: str | None, width: int = WORDS) -> int:
@@ -67,25 +62,6 @@ def majority(hashes: np.ndarray, lanes: int = 1) -> list[int]:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
 
 
-def fine_limit(similarity: float, bits: int = FINE_BITS) -> int:
-    """Bits in which fingerprints of sets with that Jaccard similarity differ: their mean and one standard deviation.
-
-    Sets of one size with Jaccard similarity s have a cosine of 2s / (1 + s), and a bit differs with the
-    probability of the angle over pi.
-    """
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * p + sqrt(bits * p * (1 - p)))
-
-
-@F.pandas_udf(StructType().add("fp", LongType()).add("f0", LongType()).add("f1", LongType()))
-def codes_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The fingerprints of the two-word and (two longs) of the five-word shingles of each text; all 0 without words."""
-    hasher = Hasher()
-    for texts in batches:
-        words = [hasher.words(t or "") for t in texts]
-        yield pd.DataFrame([majority(hasher.grams(w, WIDE_WORDS)) + majority(hasher.grams(w, FINE_WORDS), FINE_BITS // BITS) for w in words], columns=["fp", "f0", "f1"], dtype="int64")
-
-
 def block_masks(k: int, n: int) -> list[int]:
     """Masks, as signed integers, of which two codes within ``k`` bits agree on one; each leaves about NODE, or twice that, of ``n`` codes together, if it has that many bits.
 
@@ -110,7 +86,7 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Merge the classes of ``i`` and ``j`` in ``label``, where each points at a member of its class that is not above it."""
     while True:
         a, b = label[i], label[j]
@@ -160,13 +136,8 @@ def near_leaves(codes: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([np.zeros((0, 2), np.int64), *leaf_pairs(codes, k)])
 
 
-def _fine_near(fine: np.ndarray | None, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-    """Whether the longer fingerprints, if there are any, of ``i`` and ``j`` differ in at most ``most`` bits."""
-    return np.ones(len(i), bool) if fine is None else np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64) <= most
-
-
-def link_node(codes: np.ndarray, k: int, fine: np.ndarray | None = None, most: int = 0) -> np.ndarray:
-    """Class labels (least index) of ``codes`` (in Gray order) under links of at most ``k`` bits, and at most ``most`` bits of ``fine``."""
+def link_node(codes: np.ndarray, k: int) -> np.ndarray:
+    """Class labels (least index) of ``codes`` (in Gray order) under links of at most ``k`` bits."""
     n = len(codes)
     label = np.arange(n)
     padded = np.concatenate([codes, np.zeros(-n % LEAF, np.uint64)]).reshape(-1, LEAF)
@@ -178,71 +149,71 @@ def link_node(codes: np.ndarray, k: int, fine: np.ndarray | None = None, most: i
         at, x, y = np.nonzero(np.bitwise_count(padded[part[:, 0]][:, :, None] ^ padded[part[:, 1]][:, None, :]) <= k)
         i, j = part[at, 0] * LEAF + x, part[at, 1] * LEAF + y
         real = (i < j) & (j < n)
-        i, j = i[real], j[real]
-        near = _fine_near(fine, i, j, most)
-        _join_labels(label, i[near], j[near])
+        join_labels(label, i[real], j[real])
     return label
 
 
-def _link_groups(node: np.ndarray, codes: np.ndarray, k: int, fine: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _link_groups(node: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted ``node`` keys: links (place of a code, place of its class's first member) inside each node."""
     order = np.lexsort((gray_rank(codes), node))
-    node, codes, fine = node[order], codes[order], None if fine is None else fine[order]
+    node, codes = node[order], codes[order]
     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
     sizes = np.diff(np.r_[starts, len(node)])
     label = np.arange(len(node))
     for s, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-        label[s : s + n] = s + link_node(codes[s : s + n], k, None if fine is None else fine[s : s + n], most)
+        label[s : s + n] = s + link_node(codes[s : s + n], k)
     size = np.repeat(sizes, sizes)
     d, small = 1, np.flatnonzero((size <= LEAF) & (size > 1))
     while len(small):
         small = small[small + d < len(node)]
         small = small[node[small] == node[small + d]]
         near = small[np.bitwise_count(codes[small] ^ codes[small + d]) <= k]
-        near = near[_fine_near(fine, near, near + d, most)]
-        _join_labels(label, near, near + d)
+        join_labels(label, near, near + d)
         d += 1
     own = label != np.arange(len(label))
     return order[own], order[label[own]]
 
 
-def link_fingerprints(codes: DataFrame, k: int = 3, hot: int = 20_000, most: int | None = None) -> DataFrame:
-    """From distinct (fp long): links (a, b) that join exactly the classes of "differ in at most ``k`` bits".
+def deal(codes: DataFrame, total: int, k: int, keep: list[str], apart_by: list[str], hot: int = 20_000) -> DataFrame:
+    """(fp, ``keep``..., node) of ``codes`` (fp long, ...), of ``total`` rows: each row in as many nodes as it needs to meet, in one of them, each row that is within ``k`` bits.
 
-    With ``most``, from distinct (code long, fp long, f0 long, f1 long): links between values of ``code``
-    whose f0 and f1 differ in at most ``most`` bits besides. Not every such pair is returned, but a
-    chain of links between any two. Nodes of over ``hot`` codes, and over four times the mean, are split
+    Rows that differ in ``apart_by`` do not meet. Nodes of over ``hot`` codes, and over four times the mean, are split
     once more: what their mask leaves out is cut into ``k + 1`` parts of which a pair within ``k`` bits
-    shares one, so no link is lost.
+    shares one, so no pair is lost.
     """
-    total = codes.count()
     masks = block_masks(k, total)
     bits = masks[0].bit_count() if masks[0] >= 0 else (masks[0] + (1 << BITS)).bit_count()
     hot = max(hot, 4 * total >> bits if bits else 0)
-    columns = ["fp"] if most is None else ["fp", "code", "f0", "f1"]
-    keyed = codes.select(*columns, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("n")).select(*columns, "n.m", "n.key")
-    heavy = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("m", "key", F.lit(True).alias("heavy"))
+    key, columns = [*apart_by, "m", "key"], ["fp", *keep]
+    keyed = codes.select(*columns, *apart_by, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("n")).select(*columns, *apart_by, "n.m", "n.key")
+    heavy = keyed.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key, F.lit(True).alias("heavy"))
     if heavy.isEmpty():
-        dealt = keyed.select(*columns, F.xxhash64("m", "key").alias("node"))
-    else:
-        subs = []
-        for m in masks:
-            free = [b for b in range(BITS) if not (m >> b) & 1]
-            cut = [reduce(lambda x, b: x | 1 << b, free[i :: k + 1], 0) for i in range(k + 1)]
-            subs.append(F.array(*[F.lit(c - (1 << BITS) if c >> (BITS - 1) else c) for c in cut]))
-        part = F.transform(F.element_at(F.array(*subs), F.col("m") + 1), lambda c, i: F.xxhash64("m", "key", i, F.col("fp").bitwiseAND(c)))
-        dealt = keyed.join(heavy, ["m", "key"], "left").select(*columns, F.explode(F.when(F.col("heavy"), part).otherwise(F.array(F.xxhash64("m", "key")))).alias("node"))
+        return keyed.select(*columns, F.xxhash64(*key).alias("node"))
+    subs = []
+    for m in masks:
+        free = [b for b in range(BITS) if not (m >> b) & 1]
+        cut = [reduce(lambda x, b: x | 1 << b, free[i :: k + 1], 0) for i in range(k + 1)]
+        subs.append(F.array(*[F.lit(c - (1 << BITS) if c >> (BITS - 1) else c) for c in cut]))
+    part = F.transform(F.element_at(F.array(*subs), F.col("m") + 1), lambda c, i: F.xxhash64(*key, i, F.col("fp").bitwiseAND(c)))
+    return keyed.join(heavy, key, "left").select(*columns, F.explode(F.when(F.col("heavy"), part).otherwise(F.array(F.xxhash64(*key)))).alias("node"))
+
+
+def link_fingerprints(codes: DataFrame, k: int = 3, hot: int = 20_000) -> DataFrame:
+    """From distinct (fp long): links (a, b) that join exactly the classes of "differ in at most ``k`` bits".
+
+    Not every such pair is returned, but a chain of links between any two. Nodes of over ``hot`` codes are split, see ``deal``.
+    """
+    dealt = deal(codes, codes.count(), k, [], [], hot)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # node, then the columns
+        rest = None  # node, fp
 
-        def out(node: np.ndarray, fp: np.ndarray, code: np.ndarray | None = None, *fine: np.ndarray) -> pa.RecordBatch:
-            a, b = _link_groups(node, fp.view(np.uint64), k, np.stack(fine, axis=1).view(np.uint64) if fine else None, most or 0)
-            name = fp if code is None else code
-            return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["a", "b"])
+        def out(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            a, b = _link_groups(node, fp.view(np.uint64), k)
+            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
         for batch in batches:
-            got = [batch.column(c).to_numpy() for c in ("node", *columns)]
+            got = [batch.column(c).to_numpy() for c in ("node", "fp")]
             got = got if rest is None else [np.concatenate(x) for x in zip(rest, got)]
             cut = np.searchsorted(got[0], got[0][-1]) if len(got[0]) else 0  # the last node may go on in the next batch
             if cut:
@@ -255,42 +226,17 @@ def link_fingerprints(codes: DataFrame, k: int = 3, hot: int = 20_000, most: int
     return dealt.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, similarity: float | None = None) -> DataFrame:
-    """(doc_id, text_hash, fp long, root long, component_id) of each row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
+    """(doc_id, fp long, root long, component_id) of each row of ``docs`` (doc_id, text).
 
     ``root`` names the class, ``component_id`` is its least doc_id. Null and blank texts have
     fingerprint 0 and are linked like others. Null ids don't count for the least id (null if a class
     has no other); repeated rows give repeated rows. No documents, no rows.
-
-    With ``similarity``, texts are linked whose two-word fingerprints differ in at most ``k`` bits and
-    whose five-word fingerprints differ as those of sets with that Jaccard similarity do (``fine_limit``).
-    ``fp`` is then a hash of both fingerprints; texts in which these are all equal are one.
     """
-    if similarity is None:
-        columns, code, most = ["fp"], "fp", None
-        coded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), simhash_udf("text").alias("fp"))
-    else:
-        columns, code, most = ["fp", "f0", "f1"], "code", fine_limit(similarity)
-        coded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), codes_udf("text").alias("c")).select("doc_id", "text_hash", "c.*").withColumn("code", F.xxhash64(*columns))
-    rows = stored(coded, "simhash")
-    codes = stored(rows.groupBy(code).agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in columns if c != code]), "simhash-codes")
-    links = link_fingerprints(codes.drop("first_id"), k, most=most)
-    roots = stored(connected_components(links), "simhash-roots")
-    rooted = codes.join(roots.withColumnRenamed("node", code), code, "left").withColumn("root", F.coalesce("root", code))
+    rows = stored(docs.select("doc_id", simhash_udf("text").alias("fp")), "simhash")
+    codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-codes")
+    roots = stored(connected_components(link_fingerprints(codes.select("fp"), k)), "simhash-roots")
+    rooted = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = stored(rooted.join(least, "root").select(code, "root", "component_id"), "simhash-classes")
-    return rows.join(classes, code).select("doc_id", "text_hash", F.col(code).alias("fp"), "root", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, k: int = 3, similarity: float | None = None) -> DataFrame:
-    """One row of ``docs`` for each class of near duplicates (see ``near_duplicates``), with all its columns.
-
-    It is the row with the least doc_id; if several have it, one with the least fingerprint. A class
-    without any id keeps a row with its root's fingerprint.
-    """
-    first = F.when(F.col("component_id").isNull(), F.col("fp") == F.col("root")).otherwise(F.col("doc_id") == F.col("component_id"))
-    keep = stored(near_duplicates(docs, k, similarity).where(first).groupBy("root", F.col("doc_id").alias("_id")).agg(F.min(F.struct("fp", "text_hash"))["text_hash"].alias("_hash"), F.count("*").alias("n")), "simhash-keep")
-    who, text_hash = apart("_id", docs), apart("_hash", docs)
-    same = F.col("doc_id").eqNullSafe(F.col(who)) & (F.xxhash64("text") == F.col(text_hash))
-    kept = docs.join(keep.select(F.col("_id").alias(who), F.col("_hash").alias(text_hash)), same, "left_semi")
-    return kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    classes = stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
+    return rows.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
