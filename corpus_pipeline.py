@@ -14,7 +14,7 @@ from parlance.llm import langid, toxicity
 from parlance.llm.bpe import encode_and_decode
 from parlance.llm.common import stored, table
 from parlance.llm.decontam import drop_contaminated
-from parlance.llm.simhash import WIDE, drop_near_duplicates
+from parlance.llm.similar import drop_similar
 
 #: documents in these languages stay, if the weakest duel for their language is not lost
 LANGUAGES, LEAST_SCORE = ("de", "en", "es", "fr"), 0.5
@@ -46,8 +46,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, languages:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by five-word shingles of a similarity of 0.8 or more; nulls, repeats and empty tables as in ``drop_near_duplicates``."""
-    return drop_near_duplicates(docs, WIDE, SIMILARITY)
+    """One document of each group of near duplicates, by five-word shingles of a similarity of 0.8 or more; candidates by SimHash, each link verified; nulls, repeats and empty tables as in ``similar_documents`` and ``drop_similar``."""
+    return drop_similar(docs, SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
