@@ -33,12 +33,13 @@ def started(spark: SparkSession, checkpoint: str) -> str:
 
 
 def stream_log(events: DataFrame, path: str, checkpoint: str, day: Column) -> StreamingQuery:
-    """Write a log as JSON lines in a directory for each date and, in it, for the query's start; ends when all there is has been read.
+    """Write a log as JSON lines in a directory for the query's start and, in it, for each date; ends when all there is has been read.
 
-    A query that goes on from its checkpoint writes on in its own directories; one with another checkpoint has others.
+    A query that goes on from its checkpoint writes on in its own directory; one with another checkpoint
+    has another, as queries of one directory would take each other's batches for their own.
     """
     at = started(events.sparkSession, checkpoint)
-    return events.withColumn("date", day).withColumn("start", F.lit(at)).writeStream.partitionBy("date", "start").format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    return events.withColumn("date", day).writeStream.partitionBy("date").format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(f"{path}/start={at}")
 
 
 def route_stream(events: DataFrame, subscriptions: DataFrame, patterns: Sequence[str], ticket: str, sender: str, name: str) -> DataFrame:
