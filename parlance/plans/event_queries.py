@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.functions import values as v
 from parlance.operators import events as ev
-from parlance.operators import guards, rounds
+from parlance.operators import collect, guards, rounds
 from parlance.plans import query
 from parlance.plans.bindings import EVENTS_SQL, events, table
 from parlance.sources import tables
@@ -268,9 +268,16 @@ def game_histories(spark, sf):
     return ev.game_histories(events(spark, sf), "name", "signup", ("view",), strict=False)
 
 
-@query("x04_collector", f"{E} {HIST.replace(' where name <> ' + chr(39) + 'view' + chr(39), '')}")
+@query("x04_collector", f"{E} {HIST}")
 def collector(spark, sf):
-    return ev.game_histories(events(spark, sf), "name", "signup", strict=False)
+    history = collect.history_collector("name", "time", "signup", ("view",), strict=False)
+    whole = "start long, n_events long, first_time long, last_time long, n_ready long"
+    return collect.collect(events(spark, sf), ["game"], ["name", "time"], history, whole).where("n_events > 0")
+
+
+@query("x04_histogram", f"{E}, h as (select game, floor(value / 25) * 25.0 as low, count(*) as n from e group by all) select game, list(low order by low) as low, list(n order by low) as n from h group by game")
+def histogram(spark, sf):
+    return collect.collect(events(spark, sf), ["game"], ["value"], collect.histogram_collector(25.0, "value"), "low array<double>, n array<long>")
 
 
 @query("a08_single_game", f"{E} select line // 10 as log, min(line // 20) as game from e group by all")

@@ -254,3 +254,53 @@ def test_a_game_log_is_read_in_parts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(file_queries.records, "lines", None)  # reads each file as one value
     rows = sorted(map(tuple, file_queries.event_log_lines(spark, sf_dir).collect()))
     assert rows and rows == sorted(map(tuple, file_queries.event_log_lines(spark, sf_dir, 100).collect()))
+
+
+def test_collectors_merge_in_any_order(spark, monkeypatch):
+    import random
+
+    import pandas as pd
+
+    from parlance.operators import collect
+
+    rng = random.Random(3)
+    rows = [(None if i % 7 == 0 else i % 3, rng.choice([None, rng.uniform(-9, 9)]), rng.choice(["go", "say"]), i) for i in range(500)] + [(5, None, "ready", 9)]
+    df = spark.createDataFrame(rows, "game int, value double, name string, time long")
+    want = {}
+    for g, v, _, _ in rows:
+        counts = want.setdefault(g, {})
+        if v is not None:
+            counts[v // 2.5] = counts.get(v // 2.5, 0) + 1
+    want = {g: ([k * 2.5 for k in sorted(c)], [c[k] for k in sorted(c)]) for g, c in want.items()}
+    sketch = collect.histogram_collector(2.5, "value")
+    monkeypatch.setattr(collect, "HELD", 2)  # states are handed on in between
+    for parts, salts in ((1, 1), (7, 3), (23, 16)):
+        got = {r.game: (r.low, r.n) for r in collect.collect(df.repartition(parts), ["game"], ["value"], sketch, "low array<double>, n array<long>", salts).collect()}
+        assert got == want
+    frame = pd.DataFrame(rows, columns=["game", "value", "name", "time"])
+    states = [sketch.accumulator(sketch.supplier(), frame.iloc[i : i + 50]) for i in range(0, 500, 50)]
+    results = set()
+    for _ in range(5):
+        rng.shuffle(states)
+        merged = sketch.supplier()
+        for s in states:
+            merged = sketch.combiner(merged, dict(s))
+        results.add(str(sketch.finisher(merged)))
+    assert len(results) == 1
+    total = collect.collect(df, [], ["value"], sketch, "low array<double>, n array<long>").collect()
+    assert len(total) == 1 and sum(total[0].n) == sum(v is not None for _, v, _, _ in rows)
+    assert collect.collect(df.limit(0), ["game"], ["value"], sketch, "low array<double>, n array<long>").collect() == []
+
+
+def test_history_collector_guards(spark):
+    from parlance.operators import collect
+
+    shape = "start long, n long, first long, last long, ready long"
+    log = lambda rows: spark.createDataFrame(rows, "game int, name string, time long, board string")
+    one = collect.history_collector("name", "time", "ready", ("join",), "board")
+    got = collect.collect(log([(1, "ready", 3, "s"), (1, "say", 4, None), (1, "join", 1, None), (1, "ready", 3, "s")]).repartition(4), ["game"], ["name", "time", "board"], one, shape).collect()
+    assert [tuple(r) for r in got] == [(1, 3, 3, 3, 4, 2)]
+    for bad, message in (([(1, "say", 4, None)], "no ready"), ([(1, "ready", 3, "s"), (1, "ready", 5, "s")], "differ"), ([(1, "ready", 3, "s"), (1, "ready", 3, "t")], "differ")):
+        for parts in (1, 3):
+            with pytest.raises(Exception, match=message):
+                collect.collect(log(bad).repartition(parts), ["game"], ["name", "time", "board"], one, shape).collect()
