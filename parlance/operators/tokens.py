@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,16 +40,48 @@ def union_lists(*lists: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def read_trees(trees: DataFrame, sentence: str = "sent", tree: str = "tree") -> tuple[DataFrame, DataFrame]:
+    """(sent, pos, token) and (sent, label, start, end, depth, head) of bracketed parse trees such as ``(S (NP (DT the) (NN cat)) (VP (VB sat)))``.
+
+    Spans are half-open and count tokens; the root has depth 0; ``head`` is the first token under a node,
+    null for one without tokens. A null or blank tree has no nodes; brackets that close nothing end
+    none, and nodes left open end with the sentence. Each sentence is swept once, in order.
+    """
+    marks = trees.select(sentence, F.posexplode(F.regexp_extract_all(F.coalesce(tree, F.lit("")), F.lit(r"\(\s*[^\s()]*|\)|[^\s()]+"), F.lit(0))).alias("i", "mark"))
+    opens, closes = F.col("mark").startswith("("), F.col("mark") == ")"
+    order = Window.partitionBy(sentence).orderBy("i")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda c: F.coalesce(F.sum(c.cast("int")).over(sofar), F.lit(0))
+    swept = marks.withColumns({"n": count(~opens & ~closes), "level": count(opens) - count(closes), "leaf": ~opens & ~closes})
+    # a node's own level is that after it opens and that before it closes
+    leveled = swept.withColumn("depth", F.col("level") - F.when(closes, 0).otherwise(1)).withColumn("next_token", F.min(F.when(F.col("leaf"), F.struct("i", "mark", "n"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    total = F.max("n").over(Window.partitionBy(sentence))
+    ends = F.lead("n").over(Window.partitionBy(sentence, "depth").orderBy("i"))
+    nodes = leveled.withColumn("total", total).where(~F.col("leaf")).withColumn("end", F.coalesce(ends, F.col("total"))).where(F.col("mark").startswith("("))
+    head = F.when(F.col("end") > F.col("n"), F.col("next_token")["mark"])
+    nodes = nodes.select(sentence, F.trim(F.substring("mark", 2, 1 << 30)).alias("label"), F.col("n").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("depth").cast("int").alias("depth"), head.alias("head"))
+    return swept.where("leaf").select(sentence, (F.col("n") - 1).cast("int").alias("pos"), F.col("mark").alias("token")), nodes
+
+
 def outermost_spans(nodes: DataFrame, label: str, sentence: str = "sent") -> DataFrame:
-    """Spans with ``label`` inside no other such span; for a sentence without any, its root. ``nodes`` is (sent, node, label, start, end, depth)."""
-    hits = nodes.where(F.col("label") == label)
-    around = hits.select(sentence, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("depth").alias("_d"))
-    inside = (hits["start"] >= F.col("_s")) & (hits["end"] <= F.col("_e")) & (hits["depth"] > F.col("_d"))
-    outer = hits.join(around.withColumnRenamed(sentence, "_sent"), (hits[sentence] == F.col("_sent")) & inside, "left_anti")
-    return outer.unionByName(nodes.where("depth = 0").join(hits.select(sentence).distinct(), sentence, "left_anti").select(*nodes.columns))
+    """Spans with ``label`` inside no other such span; for a sentence without any, its root. ``nodes`` is (sent, label, start, end, depth, ...), spans of a tree.
+
+    One sweep of each sentence: by start, the longer and higher first, a span is inside another if it ends no later than any before it.
+    """
+    ahead = Window.partitionBy(sentence).orderBy(F.col("start"), F.col("end").desc(), F.col("depth")).rowsBetween(Window.unboundedPreceding, -1)
+    hit = F.col("label") == label
+    swept = nodes.withColumn("_reach", F.max(F.when(hit, F.col("end"))).over(ahead)).withColumn("_any", F.max(hit).over(Window.partitionBy(sentence)))
+    outer = hit & (F.col("_reach").isNull() | (F.col("end") > F.col("_reach")))
+    return swept.where(outer | (~F.col("_any") & (F.col("depth") == 0))).select(*nodes.columns)
 
 
 def prune_spans(tokens: DataFrame, nodes: DataFrame, label: str, heads: Sequence[str], sentence: str = "sent") -> DataFrame:
-    """Tokens (sent, pos, token) outside spans with ``label`` whose ``head`` is one of ``heads``."""
-    cut = nodes.where((F.col("label") == label) & F.lower("head").isin(*heads)).select(F.col(sentence).alias("_sent"), "start", "end")
-    return tokens.join(cut, (tokens[sentence] == F.col("_sent")) & (tokens["pos"] >= F.col("start")) & (tokens["pos"] < F.col("end")), "left_anti")
+    """Tokens (sent, pos, token) outside spans with ``label`` whose ``head``, lower-cased, is one of ``heads``.
+
+    Tokens and spans are swept together by place: a token is in a span if one that begins up to it ends after it.
+    """
+    cut = nodes.where((F.col("label") == label) & F.lower("head").isin(*heads)).select(sentence, F.col("start").alias("pos"), F.col("end").alias("_end"), F.lit(0).alias("_kind"))
+    both = tokens.withColumn("_kind", F.lit(1)).unionByName(cut, allowMissingColumns=True)
+    upto = Window.partitionBy(sentence).orderBy("pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("_reach", F.max("_end").over(upto))
+    return swept.where((F.col("_kind") == 1) & (F.col("_reach").isNull() | (F.col("_reach") <= F.col("pos")))).select(*tokens.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from parlance.functions import text as tx
 from parlance.functions.text import natural_key
 from parlance.operators import metadata, tokens
 from parlance.plans import query
@@ -200,24 +201,30 @@ def source_durations(spark, sf):
     return transcripts.source_durations(audio_sources(spark, sf), known)
 
 
-#: stand-ins for a parser's output: every third word begins a phrase of up to four, the next is a phrase in it; a long word heads a phrase of up to three
-NODES = """w as (select dyad * 100000 + cast(start as int) as sent, tokens, len(tokens) as n from c where len(tokens) > 0),
-t as (select sent, n, unnest(tokens) as token, unnest(range(0, n)) as pos from w),
-nodes as (select sent, 'S' as label, 0 as a, n as b, 0 as depth, '' as head from w
-  union all select sent, 'NP', pos, least(pos + 4, n), 1, token from t where n > 3 and pos % 3 = 0 union all select sent, 'NP', pos, pos + 1, 2, token from t where n > 3 and pos % 3 = 1
-  union all select sent, 'PP', pos, least(pos + 3, n), 3, case when len(token) > 8 then 'under' else 'with' end from t where len(token) > 6)"""
+#: stand-ins for a parser's trees: four words are a noun phrase with one in it, every other one stands in a phrase with a preposition; sentences of up to three words have no phrases
+NODES = """w as (select dyad * 100000 + cast(start as int) as sent, list_transform(tokens, lambda x: translate(x, '()', '[]')) as l, len(tokens) as n from c where len(tokens) > 0),
+k as (select sent, n, unnest(range(0, (n + 3) // 4)) as i, l from w), g as (select sent, n, i, l[i * 4 + 1 : i * 4 + 4] as g, i % 2 as odd, case when len(l[i * 4 + 1]) > 4 then 'under' else 'with' end as head, case when n > 3 then i * 4 + i // 2 else 0 end as base from k),
+t as (select sent, token, base + j as pos from (select sent, base, unnest(case when n > 3 and odd = 1 then [head] || g else g end) as token, generate_subscripts(case when n > 3 and odd = 1 then [head] || g else g end, 1) - 1 as j from g)),
+nodes as (select sent, 'S' as label, 0 as a, max(pos) + 1 as b, 0 as depth, '' as head from t group by sent
+  union all select sent, 'NP', base + odd, base + odd + len(g), 1 + odd, '' from g where n > 3 union all select sent, 'NP', base + odd + 1, base + odd + 2, 2 + odd, '' from g where n > 3 and len(g) > 1
+  union all select sent, 'PP', base, base + 1 + len(g), 1, head from g where n > 3 and odd = 1)"""
 
 
 def phrases(spark, sf):
-    """(words (sent, pos, token), nodes (sent, label, start, end, depth, head))."""
-    w = conversations(spark, sf).where(F.size("tokens") > 0).select((F.col("dyad") * 100000 + F.col("start").cast("int")).alias("sent"), F.size("tokens").alias("n"), "tokens")
-    t = w.select("sent", "n", F.posexplode("tokens").alias("pos", "token"))
-    node = lambda df, label, a, b, depth, head: df.select("sent", F.lit(label).alias("label"), a.alias("start"), b.alias("end"), F.lit(depth).alias("depth"), head.alias("head"))
-    pos, n, longer = F.col("pos"), F.col("n"), t.where("n > 3")
-    nodes = node(w, "S", F.lit(0), n, 0, F.lit(""))
-    nodes = nodes.union(node(longer.where("pos % 3 = 0"), "NP", pos, F.least(pos + 4, n), 1, F.col("token"))).union(node(longer.where("pos % 3 = 1"), "NP", pos, pos + 1, 2, F.col("token")))
-    nodes = nodes.union(node(t.where("length(token) > 6"), "PP", pos, F.least(pos + 3, n), 3, F.when(F.length("token") > 8, "under").otherwise("with")))
-    return t.select("sent", "pos", "token"), nodes
+    """Words and nodes of sentences, read from bracketed trees."""
+    w = conversations(spark, sf).where(F.size("tokens") > 0)
+    words = F.transform("tokens", lambda x: F.translate(x, "()", "[]"))
+    leaf = lambda x: F.concat(F.lit("(NN "), x, F.lit(")"))
+
+    def group(g, i):
+        inner = F.transform(g, lambda x, j: F.when(j == 1, F.concat(F.lit("(NP "), leaf(x), F.lit(")"))).otherwise(leaf(x)))
+        noun = F.concat(F.lit("(NP "), F.array_join(inner, " "), F.lit(")"))
+        head = F.when(F.length(F.get(g, F.lit(0))) > 4, "under").otherwise("with")
+        return F.when(i % 2 == 1, F.concat(F.lit("(PP (IN "), head, F.lit(") "), noun, F.lit(")"))).otherwise(noun)
+
+    inner = F.when(F.size(words) > 3, F.array_join(F.transform(tx.chunks(words, 4), group), " ")).otherwise(F.array_join(F.transform(words, leaf), " "))
+    trees = w.select((F.col("dyad") * 100000 + F.col("start").cast("int")).alias("sent"), F.concat(F.lit("(S "), inner, F.lit(")")).alias("tree"))
+    return tokens.read_trees(trees)
 
 
 @query("f22_outermost_phrases", f"{C}, {NODES}, h as (select * from nodes where label = 'NP') select sent, label, a as start, b as \"end\" from h where not exists (select 1 from h o where o.sent = h.sent and h.a >= o.a and h.b <= o.b and h.depth > o.depth) union all select sent, label, a, b from nodes where depth = 0 and sent not in (select sent from h)")

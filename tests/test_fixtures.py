@@ -304,3 +304,19 @@ def test_history_collector_guards(spark):
         for parts in (1, 3):
             with pytest.raises(Exception, match=message):
                 collect.collect(log(bad).repartition(parts), ["game"], ["name", "time", "board"], one, shape).collect()
+
+
+def test_bracketed_trees(spark):
+    from parlance.operators import tokens
+
+    rows = [(1, "(S (NP (DT the) (NN cat)) (VP (VB sat) (PP (IN on) (NP (NP (DT a) (NN mat)) (PP (IN by) (NP (PRP me)))))))"), (2, "(X (Y hey)"), (3, None), (4, "  "), (5, "(S (E) (NN a)) )")]
+    words, nodes = tokens.read_trees(spark.createDataFrame(rows, "sent int, tree string"))
+    assert [(r.sent, r.pos, r.token) for r in words.orderBy("sent", "pos").collect()] == [(1, i, t) for i, t in enumerate("the cat sat on a mat by me".split())] + [(2, 0, "hey"), (5, 0, "a")]
+    got = {(r.sent, r.label, r.start, r.end, r.depth, r["head"]) for r in nodes.collect()}
+    assert {(1, "S", 0, 8, 0, "the"), (1, "NP", 0, 2, 1, "the"), (1, "NP", 4, 8, 3, "a"), (1, "NP", 4, 6, 4, "a"), (1, "PP", 6, 8, 4, "by"), (1, "NP", 7, 8, 5, "me"), (2, "X", 0, 1, 0, "hey"), (2, "Y", 0, 1, 1, "hey"), (5, "S", 0, 1, 0, "a"), (5, "E", 0, 0, 1, None)} <= got
+    assert len(got) == 16 + 2 + 3
+    outer = tokens.outermost_spans(nodes, "NP")
+    assert sorted((r.sent, r.label, r.start, r.end) for r in outer.collect()) == [(1, "NP", 0, 2), (1, "NP", 4, 8), (2, "X", 0, 1), (5, "S", 0, 1)]
+    assert [r.token for r in tokens.prune_spans(words, nodes, "PP", ["by"]).where("sent = 1").orderBy("pos").collect()] == "the cat sat on a mat".split()
+    plan = outer._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
