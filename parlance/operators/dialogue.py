@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import sentence, token_overlap
+from parlance.operators.events import neighbours, running
 from parlance.operators.guards import checked
 
 
@@ -44,12 +45,11 @@ def merge_speaker_utts(utts: DataFrame, keys: Sequence[str] = ("dyad", "round",
 
 def speaker_turns(utts: DataFrame, part: Sequence[str] = ("dyad",), same: Sequence[str] = ("speaker",), start: str = "start") -> DataFrame:
     """``turn_no``: runs of consecutive utterances that are equal in ``same``, numbered from 1."""
-    w = Window.partitionBy(*part).orderBy(start, "end")
-    changed = F.lit(False)
+    near = neighbours(utts, part, [start, "end"], {"_same": F.struct(*same)})
+    fresh = F.col("_same").isNull()
     for c in same:
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    first = F.row_number().over(w) == 1
-    return utts.withColumn("_new", (changed | first).cast("int")).withColumn("turn_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+        fresh = fresh | ~F.col(c).eqNullSafe(F.col("_same")[c])
+    return running(near.withColumn("_new", fresh.cast("int")), part, [start, "end"], {"turn_no": ("sum", F.col("_new"))}).drop("_new", "_same")
 
 
 def merge_consecutive_utts(utts: DataFrame, part: Sequence[str] = ("dyad", "round"), same: Sequence[str] = ("speaker",), start: str = "start", tokens: str = "tokens", keep_first_empty: bool = False) -> DataFrame:
@@ -77,9 +77,9 @@ def coref_order(utts: DataFrame, keys: Sequence[str], by: Sequence[str] = ("roun
 
 def within_speaker_overlap(utts: DataFrame, keys: Sequence[str] = ("dyad", "speaker"), by: Sequence[str] = ("round", "start", "end"), tokens: str = "tokens") -> DataFrame:
     """``ordinal``, ``previous_start`` and ``overlap`` with the speaker's previous mention of the chain; 0 for the first."""
-    w = Window.partitionBy(*keys).orderBy(*by)
-    before = F.lag(tokens).over(w)
-    return utts.withColumn("ordinal", F.row_number().over(w)).withColumn("previous_start", F.lag("start").over(w)).withColumn("_before", before).withColumn("overlap", F.when(F.col("ordinal") == 1, F.lit(0.0)).otherwise(token_overlap(F.col(tokens), F.col("_before")))).drop("_before")
+    counted = neighbours(utts, keys, by, {"previous_start": F.col("start"), "_before": F.col(tokens)}, folds={"ordinal": ("sum", F.lit(1))})
+    overlap = F.when(F.col("ordinal") == 1, F.lit(0.0)).otherwise(token_overlap(F.col(tokens), F.col("_before")))
+    return counted.select(*utts.columns, F.col("ordinal").cast("int").alias("ordinal"), "previous_start", overlap.alias("overlap"))
 
 
 def between_speaker_overlap(utts: DataFrame, keys: Sequence[str] = ("dyad",), speaker: str = "speaker", by: Sequence[str] = ("round", "start", "end"), tokens: str = "tokens", mode: str = "alternating") -> DataFrame:
@@ -88,8 +88,7 @@ def between_speaker_overlap(utts: DataFrame, keys: Sequence[str] = ("dyad",), sp
         raise ValueError(mode)
     if mode == "as_run":
         return within_speaker_overlap(utts, keys, ("start", "end"), tokens)
-    w = Window.partitionBy(*keys).orderBy(*by)
-    last = utts.withColumn("_next", F.lead(speaker).over(w)).where(F.col("_next").isNull() | (F.col("_next") != F.col(speaker))).drop("_next")
+    last = neighbours(utts, keys, by, ahead={"_next": F.col(speaker)}).where(F.col("_next").isNull() | (F.col("_next") != F.col(speaker))).drop("_next")
     return within_speaker_overlap(last, keys, by, tokens)
 
 
@@ -193,9 +192,8 @@ def dialogue_edges(df: DataFrame, keys: Sequence[str], value: str, by: Sequence[
 def last_round_timing(rounds: DataFrame, game: str = "game", round_: str = "round", time: str = "time") -> DataFrame:
     """(game, round, last_time, previous_time, offset, difference) from (game, round, time) events: the round's and the previous round's last event, from the game's start and apart."""
     last = rounds.groupBy(game, round_).agg(F.max(time).alias("last_time"))
-    w = Window.partitionBy(game).orderBy(round_)
-    start = F.min("last_time").over(Window.partitionBy(game))
-    return last.select(game, round_, "last_time", F.lag("last_time").over(w).alias("previous_time"), (F.lag("last_time").over(w) - start).alias("offset"), (F.col("last_time") - F.lag("last_time").over(w)).alias("difference"))
+    timed = neighbours(last, [game], [round_], {"previous_time": F.col("last_time")}, folds={"_start": ("min", F.col("last_time"))})  # times rise with rounds, so the least up to here is the game's first
+    return timed.select(game, round_, "last_time", "previous_time", (F.col("previous_time") - F.col("_start")).alias("offset"), (F.col("last_time") - F.col("previous_time")).alias("difference"))
 
 
 def attrition(steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:

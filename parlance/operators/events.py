@@ -18,10 +18,6 @@ from parlance.functions.values import entity_features
 from parlance.operators.guards import checked
 
 
-def order(game: str = "game", time: str = "time", line: str = "line") -> Window:
-    return Window.partitionBy(game).orderBy(time, line)
-
-
 #: games with more rows are cut into stretches of time of about so many
 HOT_ROWS = 2_000_000
 FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -56,31 +52,67 @@ def running(df: DataFrame, keys: Sequence[str], by: Sequence[str], values: Mappi
     their rows ask for; each stretch's fold and those of the stretches before it are joined. Rows of
     the same time are in one stretch, so a key whose rows all have one time stays whole.
     """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min(by[0]).cast("double").alias("_lo"), F.max(by[0]).cast("double").alias("_hi")).where(F.col("_rows") > HOT_ROWS)
-    whole = Window.partitionBy(*keys)
-    folds = {c: FOLD[v[0]](v[1]) for c, v in values.items()}
+    cut = _stretches(df, keys, by[0])
+    return df.withColumns(_folds(Window.partitionBy(*keys), by, values, frame)) if cut is None else _carried(cut, keys, by, values, frame, back).drop("_stretch")
 
-    def over(c: str, part: Window) -> Column:
-        own = values[c][2] if len(values[c]) > 2 else frame
-        return folds[c].over(own(part.orderBy(*(by[:1] if own is _to_time else by))))
 
-    if hot.isEmpty():
-        return df.withColumns({c: over(c, whole) for c in values})
-    # at most one row of ``hot`` and two carried rows for each HOT_ROWS rows are broadcast
-    n = F.ceil(F.col("_rows") / HOT_ROWS)
-    stretch = F.least(n - 1, F.floor((F.col(by[0]) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * n))
-    cut = _on_keys(df, hot, keys).withColumn("_stretch", F.when(F.col("_rows").isNull(), -1).otherwise(F.coalesce(stretch, F.lit(0)))).drop("_rows", "_lo", "_hi")
+def _folds(part: Window, by: Sequence[str], values: Mapping[str, tuple], frame: Callable[[Window], Window]) -> dict[str, Column]:
+    own = {c: v[2] if len(v) > 2 else frame for c, v in values.items()}
+    return {c: FOLD[v[0]](v[1]).over(own[c](part.orderBy(*(by[:1] if own[c] is _to_time else by)))) for c, v in values.items()}
+
+
+def _carried(cut: DataFrame, keys: Sequence[str], by: Sequence[str], values: Mapping[str, tuple], frame: Callable[[Window], Window], back: bool) -> DataFrame:
+    """Folds over stretches, with those of the stretches before joined."""
     part = [*keys, "_stretch"]
-    others = _before(whole.orderBy(F.col("_stretch").asc() if back else F.col("_stretch").desc()))
-    sums = cut.where("_stretch >= 0").groupBy(*part).agg(*[folds[c].alias(f"_carry_{c}") for c in values])
+    others = _before(Window.partitionBy(*keys).orderBy(F.col("_stretch").asc() if back else F.col("_stretch").desc()))
+    sums = cut.where("_stretch >= 0").groupBy(*part).agg(*[FOLD[v[0]](v[1]).alias(f"_carry_{c}") for c, v in values.items()])
     carried = sums.select(*part, *[FOLD[v[0]](f"_carry_{c}").over(others).alias(f"_carry_{c}") for c, v in values.items()])
-    local = cut.withColumns({c: over(c, Window.partitionBy(*part)) for c in values})
+    local = cut.withColumns(_folds(Window.partitionBy(*part), by, values, frame))
 
     def both(c: str, kind: str) -> Column:
         here, there = F.col(c), F.col(f"_carry_{c}")
         return F.coalesce(here + there, here, there) if kind == "sum" else (F.array_max if kind == "max" else F.array_min)(F.array(here, there))
 
-    return _on_keys(local, carried, part).withColumns({c: both(c, v[0]) for c, v in values.items()}).drop("_stretch", *[f"_carry_{c}" for c in values])
+    return _on_keys(local, carried, part).withColumns({c: both(c, v[0]) for c, v in values.items()}).drop(*[f"_carry_{c}" for c in values])
+
+
+def _stretches(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame | None:
+    """``df`` with ``_stretch``: -1 for keys of at most HOT_ROWS rows, else a number of stretches of like length in ``time``; None if no key has more rows."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min(time).cast("double").alias("_lo"), F.max(time).cast("double").alias("_hi")).where(F.col("_rows") > HOT_ROWS)
+    if hot.isEmpty():
+        return None
+    # at most one row of ``hot`` and two carried rows for each HOT_ROWS rows are broadcast
+    n = F.ceil(F.col("_rows") / HOT_ROWS)
+    stretch = F.least(n - 1, F.floor((F.col(time) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * n))
+    return _on_keys(df, hot, keys).withColumn("_stretch", F.when(F.col("_rows").isNull(), -1).otherwise(F.coalesce(stretch, F.lit(0)))).drop("_rows", "_lo", "_hi")
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], by: Sequence[str], back: Mapping[str, Column] | None = None, ahead: Mapping[str, Column] | None = None, folds: Mapping[str, tuple] | None = None) -> DataFrame:
+    """``df`` with values of the row before (``back``) and after (``ahead``) in order of ``by``, which begins with a number, null where there is none; and with ``folds`` up to the row, as of ``running``.
+
+    Keys with over HOT_ROWS rows are cut into stretches as in ``running``; the last row of a stretch is
+    carried to the first of the next, and the first to the last before.
+    """
+    back, ahead, folds = back or {}, ahead or {}, folds or {}
+
+    def near(part: Sequence[str]) -> dict[str, Column]:
+        w = Window.partitionBy(*part).orderBy(*by)
+        return {c: F.lag(x).over(w) for c, x in back.items()} | {c: F.lead(x).over(w) for c, x in ahead.items()}
+
+    cut = _stretches(df, keys, by[0])
+    if cut is None:
+        return df.withColumns(near(keys) | _folds(Window.partitionBy(*keys), by, folds, _to_here))
+    part = [*keys, "_stretch"]
+    w = Window.partitionBy(*part).orderBy(*by)
+    local = cut.withColumns(near(part) | {"_first": F.lag(F.lit(1)).over(w).isNull(), "_last": F.lead(F.lit(1)).over(w).isNull()})
+    place = F.struct(*by)
+    ends = cut.where("_stretch >= 0").groupBy(*part).agg(F.max_by(F.struct(*[x.alias(c) for c, x in back.items()], F.lit(0)), place).alias("_end"), F.min_by(F.struct(*[x.alias(c) for c, x in ahead.items()], F.lit(0)), place).alias("_begin"))
+    along = Window.partitionBy(*keys).orderBy("_stretch")
+    ends = ends.select(*part, F.lag("_end").over(along).alias("_end"), F.lead("_begin").over(along).alias("_begin"))
+    joined = _on_keys(local, ends, part)
+    kept = {c: F.when(F.col("_first"), F.col("_end")[c]).otherwise(F.col(c)) for c in back} | {c: F.when(F.col("_last"), F.col("_begin")[c]).otherwise(F.col(c)) for c in ahead}
+    found = joined.withColumns(kept).drop("_first", "_last", "_end", "_begin")
+    return (_carried(found, keys, by, folds, _to_here, True) if folds else found).drop("_stretch")
 
 
 def match_types(df: DataFrame, name: str, *types: str) -> DataFrame:
@@ -128,7 +160,7 @@ def last_event_distance(df: DataFrame, match: Column, game: str = "game", time:
 
 def round_intervals(df: DataFrame, delimiter: Column, label: str, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """(game, start, end, label) from each delimiter to the next; the last, open one is left out."""
-    return df.where(delimiter).select(game, F.col(time).alias("start"), F.lead(time).over(order(game, time, line)).alias("end"), label).where("end is not null")
+    return neighbours(df.where(delimiter), [game], [time, line], ahead={"end": F.col(time)}).select(game, F.col(time).alias("start"), "end", label).where("end is not null")
 
 
 def dedupe_time(df: DataFrame, log: str, time: str = "time", line: str = "line") -> DataFrame:
@@ -141,10 +173,10 @@ def min_time_merge(df: DataFrame, log: str, time: str, line: str, same: Sequence
     return dedupe_time(df, log, time, line).groupBy(*same).agg(F.min(time).alias(time))
 
 
-def sender_latency(df: DataFrame, match: Column, **by: str) -> DataFrame:
+def sender_latency(df: DataFrame, match: Column, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """``latency`` of events that match and whose predecessor does not: the time since it."""
-    time, w = by.get("time", "time"), order(**by)
-    return df.withColumn("_m", match).withColumn("_p", F.lag("_m").over(w)).withColumn("latency", F.col(time) - F.lag(time).over(w)).where(F.col("_m") & ~F.col("_p")).drop("_m", "_p")
+    near = neighbours(df, [game], [time, line], {"_p": match, "_t": F.col(time)})
+    return near.where(match & ~F.col("_p")).withColumn("latency", F.col(time) - F.col("_t")).drop("_p", "_t")
 
 
 def latency_summary(latencies: DataFrame) -> DataFrame:

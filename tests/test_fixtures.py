@@ -229,8 +229,8 @@ def test_hot_games_in_stretches(spark, sf_dir, monkeypatch):
     from tests.compare import spark_rows
 
     load()
-    names = [n for n in QUERIES if n.startswith(("w04_", "w05_", "w06_", "w14_", "w15_", "j03_", "j05_", "j06_", "t06_"))]
-    assert len(names) == 9
+    names = [n for n in QUERIES if n.startswith(("w04_", "w05_", "w06_", "w14_", "w15_", "j03_", "j05_", "j06_", "t06_triggered", "w02_", "w03_", "w07_", "w08_", "w10_", "a05_", "a06_", "f15_", "s27_"))]
+    assert len(names) == 19
     names += [n for n in QUERIES if "asof" in n and n not in names]
     plain = {n: spark_rows(QUERIES[n](spark, sf_dir)) for n in names}
     monkeypatch.setattr(events, "HOT_ROWS", 4)
