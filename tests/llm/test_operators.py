@@ -498,26 +498,43 @@ def test_similar_tables(spark):
     assert all(len(v) == 1 for v in group.values())  # no class joins what verified links do not
 
 
-def test_candidate_rounds_lose_nothing(spark, monkeypatch):
-    """Groups in which some pairs hold and others do not, with one edge a round."""
+def test_blocks_lose_nothing(spark, monkeypatch):
+    """Groups in which some pairs hold and others do not, with one pair verified first and blocks of a few texts."""
     rng = np.random.default_rng(11)
     rows = []
     for g in range(4):
         base = [f"g{g}w{i}" for i in range(200)]
         for c in range(40):
             text = list(base)
-            for at in rng.choice(200, 3 + c % 3, replace=False):
+            for at in rng.choice(200, 1 + c % 3, replace=False):
                 text[at] = f"c{c}x{at}"
             rows.append((g * 100 + c, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {d: five_words(t) for d, t in rows}
     true = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
     want = classes(true, sets)
+    assert 100 < len(true) < 4 * 40 * 39 / 2 * 0.9
     monkeypatch.setattr(similar, "EDGES", 1)
-    found = {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()}
-    assert len(true) < 4 * 40 * 39 / 2 * 0.9
-    assert all(want[found[d]] == want[d] for d in sets)
-    assert sum(found[a] == found[b] for a, b in true) >= 0.99 * len(true)
+    for block in (3, 512):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        found = {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()}
+        assert all(want[found[d]] == want[d] for d in sets)
+        assert sum(found[a] == found[b] for a, b in true) >= 0.99 * len(true)
+
+
+def test_links_of_a_block():
+    rng = np.random.default_rng(12)
+    base = np.sort(rng.integers(0, 2**63, 300, np.uint64))
+    sets = [np.sort(np.concatenate([base[: 300 - k], rng.integers(0, 2**63, k, np.uint64)])) for k in rng.integers(0, 60, 60)] + [np.array([5], np.uint64)] * 2
+    n = len(sets)
+    block = {"code": np.arange(n) * 10, "root": np.r_[np.arange(n - 2), 0, 99], "fine": np.zeros((n, similar.LANES), np.int64), "s": [x.view(np.int64) for x in sets]}
+    near = {(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    for side in (np.full(n, 2), np.arange(n) % 2):
+        found = {(a // 10, b // 10) for a, b, _ in similar.block_links(block | {"side": side}, 5, 0.8)}
+        fits = {(i, j) for i, j in near if side[i] != side[j] or side[i] == 2}
+        assert {(max(p), min(p)) for p in found} <= fits
+        same = [(0, n - 2)]
+        assert classes([*found, *same], range(n)) == classes([*fits, *same], range(n))
 
 
 def test_masks_of_wide_distances():
@@ -535,15 +552,11 @@ def test_forest_and_pairs_of_a_node():
     codes = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (30, 3), np.uint64), axis=1) for c in rng.integers(0, 2**63, 12, np.uint64)]))
     codes = codes[np.argsort(simhash.gray_rank(codes))]
     fine = rng.integers(0, 4, (len(codes), similar.LANES)).astype(np.uint64)
-    own = rng.integers(0, len(codes), len(codes))
     close = (np.bitwise_count(codes[:, None] ^ codes[None, :]) <= similar.DISTANCE) & (np.bitwise_count(fine[:, None] ^ fine[None, :]).sum(axis=2) <= 1)
-    want = {(i, j) for i, j in np.argwhere(close).tolist() if i < j and own[i] != own[j]}
-    pairs = {(int(i), int(j)) for a, b in similar.node_pairs(codes, fine, own, 1, None) for i, j in zip(a, b)}
-    assert pairs == want
-    tree = {(int(i), int(j)) for a, b in similar.node_pairs(codes, fine, own, 1, 3) for i, j in zip(a, b)}
+    want = {(i, j) for i, j in np.argwhere(close).tolist() if i < j}
+    tree = {(int(i), int(j)) for a, b in similar.node_pairs(codes, fine, 1) for i, j in zip(a, b)}
     assert tree <= want and len(tree) < len(codes)
-    same = [(int(a), int(b)) for c in set(own) for a, b in itertools.pairwise(np.flatnonzero(own == c))]
-    assert classes([*tree, *same], range(len(codes))) == classes([*want, *same], range(len(codes)))
+    assert classes(tree, range(len(codes))) == classes(want, range(len(codes)))
 
 
 def test_fine_limit():
