@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import name_filter, strip_prefix
 from parlance.functions.values import entity_features
+from parlance.operators.geometry import STEP, level_of, levels_in
 from parlance.operators.guards import checked
 
 
@@ -279,15 +280,24 @@ def assign_rounds(utts: DataFrame, events: DataFrame, delimiter: Column, game: s
 def contexts(utts: DataFrame, events: DataFrame, game: str, start: str, end: str, time: str, line: str, bin_size: int) -> DataFrame:
     """Events during each utterance, both ends included; one row without event for an utterance that has none.
 
-    Times are put into bins of ``bin_size``, so that the join is an equi-join on game and bin. Repeated
-    rows are rows of their own, whatever of them is null; an utterance without game or times has no event.
+    An utterance stands in the at most two bins that it touches on the level of its length, the least
+    level having bins of ``bin_size`` and each next one STEP times longer; an event looks into one bin of each level that
+    occurs. So the join is an equi-join on game and bin, and an utterance of any length takes two rows.
+    Repeated rows are rows of their own, whatever of them is null; an utterance without game or times has no event.
     """
-    rows = utts.withColumn("_row", F.monotonically_increasing_id())
-    spread = rows.select(F.col(game), F.col(start), F.col(end), "_row", F.explode(F.sequence(F.floor(F.col(start) / bin_size), F.floor(F.col(end) / bin_size))).alias("_bin"))
-    binned = events.select(F.col(game), F.col(time), F.col(line), F.floor(F.col(time) / bin_size).alias("_bin"))
-    inside = spread.join(binned, [game, "_bin"]).where(F.col(time).between(F.col(start), F.col(end)))
-    found = inside.select(F.col("_row").alias("_of"), time, line)
-    return rows.join(found, F.col("_row") == F.col("_of"), "left").drop("_row", "_of").withColumn("at", F.coalesce(time, start))
+    whole = [F.col(c) for c in utts.columns]
+    same = Window.partitionBy(*whole).orderBy(F.lit(0))
+    # equal rows are numbered, so that a row has the same name wherever it is worked out
+    named = utts.withColumns({"_row": F.row_number().over(same), "_h": F.xxhash64(*whole), "_g": F.xxhash64(F.lit(1), *whole, *[c.isNull() for c in whole])})
+    level = level_of(F.col(end) - F.col(start) + 1, bin_size)
+    timed = named.where(F.col(start) <= F.col(end)).withColumn("_l", level)
+    known = F.array(*map(F.lit, levels_in(utts.where(F.col(start) <= F.col(end)), level))).cast("array<int>")
+    size = F.lit(float(bin_size)) * F.pow(F.lit(float(STEP)), F.col("_l"))
+    spread = timed.select(F.col(game), F.col(start), F.col(end), "_row", "_h", "_g", "_l", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))).alias("_bin"))
+    binned = events.select(F.col(game), F.col(time), F.col(line), F.explode(known).alias("_l")).withColumn("_bin", F.floor(F.col(time) / size))
+    inside = spread.join(binned, [game, "_l", "_bin"]).where(F.col(time).between(F.col(start), F.col(end)))
+    found = inside.select("_row", "_h", "_g", time, line)
+    return named.join(found, ["_row", "_h", "_g"], "left").drop("_row", "_h", "_g").withColumn("at", F.coalesce(time, start))
 
 
 def route(events: DataFrame, subscriptions: DataFrame, patterns: Sequence[str], ticket: str, sender: str, name: str) -> DataFrame:

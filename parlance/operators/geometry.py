@@ -1,8 +1,8 @@
 """Boards and rectangles: bounding boxes, intersections, free places.
 
 Rectangles are half-open (x0, x1, y0, y1), x along rows, in a ``game``. Joins of rectangles are
-equi-joins on the game and on the cells of a coarse grid, with the exact condition on top; a pair
-is taken in the first cell that both touch, so it comes once.
+equi-joins on the game and on the cells of grids, one for each order of size, with the exact condition
+on top; a pair is taken in the first cell that both touch, so it comes once.
 """
 
 from __future__ import annotations
@@ -34,20 +34,61 @@ def occupancy(cells_: DataFrame, game: str = "game") -> DataFrame:
     return cells_.groupBy(game).agg(F.count("element").alias("occupied"), (F.count("element") / F.count("*")).alias("ratio"), F.count_distinct("element").alias("elements"))
 
 
-def _bins(df: DataFrame, size: int, name: str) -> DataFrame:
-    for axis in ("x", "y"):
-        df = df.withColumn(f"_{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}0{name}") / size), F.floor((F.col(f"{axis}1{name}") - 1) / size))))
-    return df
+#: cells of a level are so many times those of the level below
+STEP = 4
+
+
+def level_of(length: Column, unit: int, most: int = 31) -> Column:
+    """The least level whose cells, of ``unit`` times STEP to the level, are as long as ``length`` or longer; then it touches at most two in a row."""
+    sizes = [unit * STEP**i for i in range(most)]
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in sizes]), lambda x: x < length))
+
+
+def levels_in(df: DataFrame, level: Column) -> list[int]:
+    """The levels that occur, at most 32."""
+    return sorted(r[0] for r in df.select(level.alias("_l")).where("_l is not null").distinct().collect())
+
+
+def _cells(r: dict, level: Column, unit: int) -> dict[str, Column]:
+    """First and last cell of a rectangle on both axes of a level."""
+    size = F.lit(float(unit)) * F.pow(F.lit(float(STEP)), level)
+    return {"x": F.floor(r["x0"] / size), "xx": F.floor((r["x1"] - 1) / size), "y": F.floor(r["y0"] / size), "yy": F.floor((r["y1"] - 1) / size)}
+
+
+def _spread(df: DataFrame, level: Column, unit: int, suffix: str) -> DataFrame:
+    """Rows once for each cell of ``level`` (a level, or an array of levels) that they touch: ``_l``, ``_x``, ``_y``."""
+    df = df.withColumn("_l", level)
+    c = _cells(rect(suffix=suffix), F.col("_l"), unit)
+    return df.withColumn("_x", F.explode(F.sequence(c["x"], c["xx"]))).withColumn("_y", F.explode(F.sequence(c["y"], c["yy"])))
 
 
 def region_join(a: DataFrame, b: DataFrame, condition: Callable[[dict, dict], Column], game: str = "game", grid: int = 8) -> DataFrame:
-    """Pairs of rectangles of a game that satisfy ``condition`` (which must imply that they intersect); columns of ``a`` end in ``_a``, those of ``b`` in ``_b``."""
-    left = _bins(a.select(game, *[F.col(c).alias(f"{c}_a") for c in a.columns if c != game]), grid, "_a")
-    right = _bins(b.select(game, *[F.col(c).alias(f"{c}_b") for c in b.columns if c != game]), grid, "_b")
-    both = left.join(right, [game, "_x", "_y"]).where(condition(rect(suffix="_a"), rect(suffix="_b")))
-    for axis in ("x", "y"):
-        both = both.where(F.col(f"_{axis}") == F.greatest(F.floor(F.col(f"{axis}0_a") / grid), F.floor(F.col(f"{axis}0_b") / grid)))
-    return both.drop("_x", "_y")
+    """Pairs of rectangles of a game that satisfy ``condition`` (which must imply that they intersect); columns of ``a`` end in ``_a``, those of ``b`` in ``_b``.
+
+    A rectangle stands in the at most four cells that it touches on the level of its size, the least
+    level having cells of ``grid``; the other side looks there and on the levels above its own that occur. So a
+    rectangle of any size takes a few cells, and a pair is found on the level of its larger one.
+    """
+    left = a.select(game, *[F.col(c).alias(f"{c}_a") for c in a.columns if c != game])
+    right = b.select(game, *[F.col(c).alias(f"{c}_b") for c in b.columns if c != game])
+    real = lambda s: (F.col(f"x0{s}") < F.col(f"x1{s}")) & (F.col(f"y0{s}") < F.col(f"y1{s}"))
+    left, right = left.where(real("_a")), right.where(real("_b"))
+    own = lambda s: level_of(F.greatest(F.col(f"x1{s}") - F.col(f"x0{s}"), F.col(f"y1{s}") - F.col(f"y0{s}")), grid)
+    levels = sorted({*levels_in(left, own("_a")), *levels_in(right, own("_b"))})
+    known = F.array(*map(F.lit, levels)).cast("array<int>")
+
+    def found(one: DataFrame, two: DataFrame, s: str, t: str, above: bool) -> DataFrame:
+        """Pairs on the level of the row of ``one``; the row of ``two`` is of that level or a lower one, with ``above`` a lower one."""
+        from_level = F.filter(known, lambda x: (x > F.col("_own")) if above else (x >= F.col("_own")))
+        looks = _spread(two.withColumn("_own", own(t)).withColumn("_seen", F.explode(from_level)), F.col("_seen"), grid, t).drop("_own", "_seen")
+        both = _spread(one, own(s), grid, s).join(looks, [game, "_l", "_x", "_y"])
+        c, d = _cells(rect(suffix=s), F.col("_l"), grid), _cells(rect(suffix=t), F.col("_l"), grid)
+        # of the cells that both touch the first counts
+        both = both.where((F.col("_x") == F.greatest(c["x"], d["x"])) & (F.col("_y") == F.greatest(c["y"], d["y"])))
+        return both.where(condition(rect(suffix="_a"), rect(suffix="_b"))).select(game, *left.columns[1:], *right.columns[1:])
+
+    pairs = found(left, right, "_a", "_b", False)
+    return pairs if len(levels) < 2 else pairs.unionByName(found(right, left, "_b", "_a", True))
 
 
 def intersecting(a: DataFrame, b: DataFrame, **how) -> DataFrame:

@@ -320,3 +320,43 @@ def test_bracketed_trees(spark):
     assert [r.token for r in tokens.prune_spans(words, nodes, "PP", ["by"]).where("sent = 1").orderBy("pos").collect()] == "the cat sat on a mat".split()
     plan = outer._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_joins_on_levels(spark, monkeypatch):
+    import random
+
+    from parlance.operators import geometry
+
+    rng = random.Random(8)
+    side = lambda: rng.choice([1, 2, 5, 30, 200, 10_000])
+    rows = []
+    for i in range(300):
+        x, y = rng.randrange(-50, 12_000), rng.randrange(-50, 400)
+        rows.append((rng.choice([1, 1, 2, None]), i, x, x + side(), y, y + rng.choice([1, 3, 40, 10_000])))
+    rows += [(1, 900, 5, 5, 5, 9), (1, 901, 0, 10_000, 0, 10_000), rows[0]]
+    df = spark.createDataFrame(rows, "game int, piece int, x0 int, x1 int, y0 int, y1 int")
+    hit = lambda a, b: a[2] < b[3] and b[2] < a[3] and a[4] < b[5] and b[4] < a[5] and a[2] < a[3] and b[2] < b[3]
+    holds = lambda a, b: hit(a, b) and a[2] <= b[2] and a[3] >= b[3] and a[4] <= b[4] and a[5] >= b[5]
+    for op, true in ((geometry.intersecting, hit), (geometry.subsumed, holds)):
+        got = sorted((r.piece_a, r.piece_b) for r in op(df, df).collect())
+        assert got == sorted((a[1], b[1]) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and true(a, b))
+    long = geometry.rect()
+    level = geometry.level_of(F.greatest(long["x1"] - long["x0"], long["y1"] - long["y0"]), 8)
+    spread = geometry._spread(df.where("x0 < x1"), level, 8, "").groupBy("game", "piece", "x0", "x1").count()
+    assert spread.agg(F.max("count")).first()[0] <= 8  # the repeated row counts twice
+
+
+def test_contexts_of_long_utterances(spark):
+    import random
+
+    rng = random.Random(2)
+    utts = [(rng.choice([1, 2, None]), i, s, s + rng.choice([0, 5, 400, 86_400])) for i in range(120) for s in [rng.randrange(0, 100_000)]]
+    utts += [utts[0], (1, 500, 9, None), (1, None, 3, 9), (1, None, 3, 9), (1, 600, 50, 40)]
+    log = [(rng.choice([1, 2, None]), rng.randrange(0, 200_000), i) for i in range(200)]
+    got = events.contexts(spark.createDataFrame(utts, "game int, utt int, start long, end long"), spark.createDataFrame(log, "game int, time long, line long"), "game", "start", "end", "time", "line", 60)
+    want = []
+    for g, u, s, e in utts:
+        hits = [(u, line, t) for h, t, line in log if e is not None and g is not None and h == g and s <= t <= e]
+        want += hits or [(u, None, s)]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r.utt, r.line, r["at"]) for r in got.collect()), key=key) == sorted(want, key=key)
