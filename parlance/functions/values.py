@@ -128,6 +128,29 @@ def adjoin(a: Mapping[str, Column], b: Mapping[str, Column], lists: frozenset[st
     return out
 
 
+def merge_records(a: Column, b: Column, depth: int = 8) -> Column:
+    """Record ``b`` (VARIANT, of any schema) merged into ``a``: records field by field, lists appended, other values overwritten where ``b`` is not null.
+
+    A field that one side has not is taken from the other; a null or missing side changes nothing. Records
+    nested deeper than ``depth`` are overwritten as a whole.
+    """
+    if not depth:
+        return F.when(b.isNull() | F.is_variant_null(b), F.coalesce(a, b)).otherwise(b)
+    fields = lambda r: F.try_variant_get(r, "$", "map<string,variant>")
+    items = lambda r: F.try_variant_get(r, "$", "array<variant>")
+
+    def one(x: Column) -> Column:
+        """``x`` has both sides as maps, as lists and as they are, each worked out once."""
+        names = F.array_union(F.map_keys(x["fa"]), F.map_keys(x["fb"]))
+        pairs = F.transform(names, lambda n: F.struct(F.try_element_at(x["fa"], n).alias("a"), F.try_element_at(x["fb"], n).alias("b")))
+        merged = F.map_from_arrays(names, F.transform(pairs, lambda p: merge_records(p["a"], p["b"], depth - 1)))
+        taken = F.when(x["b"].isNull() | F.is_variant_null(x["b"]), F.coalesce(x["a"], x["b"])).when(x["fa"].isNotNull() & x["fb"].isNotNull(), F.to_variant_object(merged))
+        return taken.when(x["la"].isNotNull() & x["lb"].isNotNull(), F.to_variant_object(F.concat(x["la"], x["lb"]))).otherwise(x["b"])
+
+    sides = F.struct(a.alias("a"), b.alias("b"), fields(a).alias("fa"), fields(b).alias("fb"), items(a).alias("la"), items(b).alias("lb"))
+    return F.get(F.transform(F.array(sides), one), F.lit(0))
+
+
 def put_all_except_null(a: Mapping[str, Column], b: Mapping[str, Column]) -> dict[str, Column]:
     """All fields of both; ``b`` counts where it is not null."""
     return {k: F.coalesce(b[k], a[k]) if k in a and k in b else a.get(k, b.get(k)) for k in {**a, **b}}

@@ -97,10 +97,12 @@ def word_list(spark, sf):
     return words_in(lines, "|")
 
 
-@query("f04_disfluency", f"{D}, t as (select doc_id, unnest(tokens) as t from d) select doc_id, count(*) as n from t where starts_with(t, '-') or ends_with(t, '-') group by doc_id")
+@query("f04_disfluency", f"{D}, t as (select doc_id, unnest(tokens) as w from d), h as (select doc_id, case when len(w) > 9 then w[1:5] || '-' when len(w) = 2 then '-' || w else w end as t from t) select doc_id, count(*) as n, count(distinct t) as kinds from h where starts_with(t, '-') or ends_with(t, '-') group by doc_id")
 def disfluency(spark, sf):
-    t = documents(spark, sf).select("doc_id", F.explode("tokens").alias("t"))
-    return t.where(tx.is_disfluency(F.col("t"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Long words are cut off after five letters, words of two letters have lost what was before."""
+    t = documents(spark, sf).select("doc_id", F.explode("tokens").alias("w"))
+    cut = F.when(F.length("w") > 9, F.concat(F.left("w", F.lit(5)), F.lit("-"))).when(F.length("w") == 2, F.concat(F.lit("-"), "w")).otherwise(F.col("w"))
+    return t.select("doc_id", cut.alias("t")).where(tx.is_disfluency(F.col("t"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("t").alias("kinds"))
 
 
 @query("f05_metalanguage", f"{D} select doc_id, len(list_filter(tokens, lambda t: upper(t) in {tx.METALANGUAGE})) as n from d")
@@ -149,10 +151,10 @@ def dedupe_bigrams(spark, sf):
     return documents(spark, sf).select("doc_id", "tokens", low.alias("t")).select("doc_id", F.array_join(tx.dedupe_bigrams(F.col("t")), " ").alias("tokens"))
 
 
-@query("f17_string_utilities", f"{D}, k as (select doc_id, text, tokens[1:3] as t from d) select doc_id, upper(text[1]) || substr(text, 2) as uc, lower(text[1]) || substr(text, 2) as lc, len(text) - len(replace(text, 'e', '')) as n_e, case when len(t) > 1 then array_to_string(t[1:len(t) - 1], ', ') || ' and ' || t[len(t)] else array_to_string(t, ', ') end as enumerated from k")
+@query("f17_string_utilities", f"{D}, k as (select doc_id, text, tokens as t from d) select doc_id, upper(text[1]) || substr(text, 2) as uc, lower(text[1]) || substr(text, 2) as lc, len(text) - len(replace(text, 'e', '')) as n_e, case when len(t) > 1 then array_to_string(t[1:len(t) - 1], ', ') || ' and ' || t[len(t)] else array_to_string(t, ', ') end as enumerated from k")
 def string_utilities(spark, sf):
     d = documents(spark, sf)
-    return d.select("doc_id", tx.uc_first(F.col("text")).alias("uc"), tx.lc_first(F.col("text")).alias("lc"), tx.count_char(F.col("text"), "e").cast("long").alias("n_e"), tx.enumerate_join(F.slice("tokens", 1, 3), ", ", " and ").alias("enumerated"))
+    return d.select("doc_id", tx.uc_first(F.col("text")).alias("uc"), tx.lc_first(F.col("text")).alias("lc"), tx.count_char(F.col("text"), "e").cast("long").alias("n_e"), tx.enumerate_join(F.col("tokens"), ", ", " and ").alias("enumerated"))
 
 
 @query("f18_file_names", "select page_id, regexp_replace(url, '[/\\n\\r\\t\\x00\\f`?*\\\\<>|\":]', '-', 'g') as name, regexp_extract(url, '(?s)(\\.[^.]*)$', 1) as ext, left(url, len(url) - len(regexp_extract(url, '(?s)(\\.[^.]*)$', 1))) as base from pages")

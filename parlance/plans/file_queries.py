@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parlance.functions.values import micros
 from parlance.plans import query
 from parlance.plans.bindings import CONVERSATIONS_SQL, EVENTS_SQL, conversations, events
 from parlance.sources import records, tables, text, transcripts
@@ -30,18 +31,18 @@ def event_log_lines(spark, sf, stretch=200_000):
 
 @query("s06_decode_events", f"{E} select line as line_no, time, name, sender, entity as piece from e")
 def decode_events(spark, sf):
-    from parlance.functions.values import micros
-
     path = scratch(spark, "logs")
     records.write_event_log(event_records(spark, sf), path)
     return records.read_large_log(spark, path).select("line_no", micros(F.col("time")).alias("time"), "name", "sender", F.col("selection.pieceId").alias("piece"))
 
 
-@query("s07_write_event_log", f"{E} select name, count(*) as n from e where sender = 'p1' group by name")
+@query("s07_write_event_log", f"{E} select sender, name, count(*) as n, min(time) + 1000 as first_time from e group by sender, name")
 def write_event_log(spark, sf):
+    """All events, a millisecond later, written as a log and read back."""
     path = scratch(spark, "logs")
-    records.write_event_log(event_records(spark, sf).where("event_sender = 'p1'"), path)
-    return records.read_large_log(spark, path).groupBy("name").agg(F.count("*").alias("n"))
+    later = F.timestamp_add("MICROSECOND", F.lit(1000), F.to_timestamp_ntz("event_time"))
+    records.write_event_log(event_records(spark, sf).withColumn("event_time", F.date_format(later, "yyyy-MM-dd HH:mm:ss.SSSSSS")), path)
+    return records.read_large_log(spark, path).groupBy("sender", "name").agg(F.count("*").alias("n"), F.min(micros(F.col("time"))).alias("first_time"))
 
 
 def segments(spark, sf):

@@ -97,9 +97,9 @@ def occupancy(spark, sf):
     return g.occupancy(g.cells(boards(spark, sf), "game", "occ", "cols"))
 
 
-@query("f33_matrix_slices", f"with {B}, {CELLS} select game, string_agg(coalesce(element, 'null'), ',' order by index) filter (\"row\" = 1) as row1, string_agg(coalesce(element, 'null'), ',' order by index) filter (col = 2) as col2, string_agg(coalesce(element, 'null'), ',' order by index) filter (\"row\" between 1 and 2 and col between 3 and 4) as block from c group by game having count(*) >= 18")
+@query("f33_matrix_slices", f"with {B}, {CELLS} select game, coalesce(string_agg(coalesce(element, 'null'), ',' order by index) filter (\"row\" = 1), '') as row1, coalesce(string_agg(coalesce(element, 'null'), ',' order by index) filter (col = 2), '') as col2, coalesce(string_agg(coalesce(element, 'null'), ',' order by index) filter (\"row\" between 1 and 2 and col between 3 and 4), '') as block from c  group by game")
 def matrix_slices(spark, sf):
-    b = boards(spark, sf).where(F.size("occ") >= 18)
+    b = boards(spark, sf)
     cells, cols = F.col("occ"), F.col("cols")
     block = {k: F.lit(n) for k, n in zip(g.SIDES, (1, 3, 3, 5))}
     return b.select("game", F.array_join(v.matrix_row(cells, cols, F.lit(1)), ",").alias("row1"), F.array_join(v.matrix_col(cells, cols, F.lit(2)), ",").alias("col2"), F.array_join(v.matrix_block(cells, cols, block), ",").alias("block"))
@@ -192,6 +192,15 @@ def adjoin(spark, sf):
     return p.select("p_partkey", merged["size"].alias("size"), F.array_join(merged["tags"], ",").alias("tags"))
 
 
+@query("f46_merge_records", """select p_partkey, '{"brand":"' || p_brand || '","more":{"deep":{"x":1,"y":' || p_size || '},"n":2},"none":null,"tags":["' || p_brand || '","' || p_type || '",{"k":1}]' || case when p_size % 2 = 0 then ',"type":"' || p_type || '"' else '' end || '}' as merged from part""")
+def merge_records(spark, sf):
+    p = table(spark, sf, "part")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    a = F.concat(F.lit('{"tags":['), quoted("p_brand"), F.lit('],"more":{"n":1,"deep":{"x":1}},"none":null,"brand":'), quoted("p_brand"), F.lit("}"))
+    b = F.concat(F.lit('{"tags":['), quoted("p_type"), F.lit(',{"k":1}],"more":{"deep":{"y":'), "p_size", F.lit('},"n":2},"brand":null'), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(',"type":'), quoted("p_type"))).otherwise(F.lit("")), F.lit("}"))
+    return p.select("p_partkey", F.to_json(v.merge_records(F.parse_json(a), F.parse_json(b))).alias("merged"))
+
+
 @query("f47_put_all", "select p_partkey, coalesce(nullif(p_type, 'ECONOMY'), p_brand) as label, p_size from part")
 def put_all(spark, sf):
     m = v.put_all_except_null({"label": F.col("p_brand"), "p_size": F.col("p_size")}, {"label": F.nullif("p_type", F.lit("ECONOMY"))})

@@ -360,3 +360,24 @@ def test_contexts_of_long_utterances(spark):
         want += hits or [(u, None, s)]
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(((r.utt, r.line, r["at"]) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_records_of_any_schema_merge(spark):
+    import json
+
+    from parlance.functions.values import merge_records
+
+    def plain(a, b):
+        if b is None:
+            return a
+        if isinstance(a, dict) and isinstance(b, dict):
+            return {k: plain(a.get(k), b.get(k)) for k in {**a, **b}}
+        return a + b if isinstance(a, list) and isinstance(b, list) else b
+
+    records = [None, {}, {"a": 1}, {"a": None, "l": [1, {"x": None}]}, {"a": {"b": {"c": {"d": [1]}}}}, {"a": {"b": {"c": {"d": [2], "e": "f"}}, "n": None}}, {"l": []}, {"l": {"not": "a list"}}, {"a": "text", "\u00e9 '": [[1], [2]]}, {"l": [None, "1"], "a": [3]}]
+    text = lambda r: None if r is None else json.dumps(r)
+    rows = [(i * 100 + j, text(a), text(b)) for i, a in enumerate(records) for j, b in enumerate(records)]
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    got = df.select("n", F.to_json(merge_records(F.parse_json("a"), F.parse_json("b"), 5)).alias("m")).collect()
+    load = lambda s: None if s is None else json.loads(s)
+    assert {r.n: load(r.m) for r in got} == {i * 100 + j: plain(a, b) for i, a in enumerate(records) for j, b in enumerate(records)}
