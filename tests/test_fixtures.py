@@ -381,3 +381,67 @@ def test_records_of_any_schema_merge(spark):
     got = df.select("n", F.to_json(merge_records(F.parse_json("a"), F.parse_json("b"), 5)).alias("m")).collect()
     load = lambda s: None if s is None else json.loads(s)
     assert {r.n: load(r.m) for r in got} == {i * 100 + j: plain(a, b) for i, a in enumerate(records) for j, b in enumerate(records)}
+
+
+def test_correlations_against_a_second_computation(spark, sf_dir):
+    """p by integrating Student's density, the interval by bisecting the normal distribution, ranks by hand."""
+    import math
+
+    import numpy as np
+
+    from parlance.operators import stats
+
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_quantity") % 7).cast("double").alias("x"), (F.col("l_extendedprice") % 11 + F.col("l_quantity") % 3).cast("double").alias("y")).limit(400).persist()
+    x, y = (np.array([r[c] for r in df.collect()]) for c in "xy")
+
+    def ranks(v):
+        order = np.sort(v)
+        return (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2
+
+    def second(x, y, alpha=0.01):
+        n = len(x)
+        a, b = x - x.mean(), y - y.mean()
+        r = float((a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum()))
+        t, k = abs(r) * math.sqrt((n - 2) / (1 - r * r)), n - 2
+        grid = np.linspace(0, t, 200_001)
+        density = np.exp(math.lgamma((k + 1) / 2) - math.lgamma(k / 2)) / math.sqrt(k * math.pi) * (1 + grid**2 / k) ** (-(k + 1) / 2)
+        p = 1 - 2 * float(((density[1:] + density[:-1]) / 2).sum() * (grid[1] - grid[0]))
+        lo, hi = 0.0, 10.0
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if math.erf(mid / math.sqrt(2)) < 1 - alpha else (lo, mid)
+        z, half = math.atanh(r), lo / math.sqrt(n - 3)
+        return r, n, p, math.tanh(z - half), math.tanh(z + half)
+
+    for test, (a, b) in ((stats.pearson_test, (x, y)), (stats.spearman_test, (ranks(x), ranks(y)))):
+        got = test(df, "x", "y").first()
+        assert np.allclose([got.r, got.n, got.p, got.low, got.high], second(a, b), rtol=1e-6, atol=1e-9)
+
+
+def test_mixed_model_against_dense_likelihood(spark):
+    """The likelihood from the whole covariance matrix is nowhere above that of the fit."""
+    import math
+
+    import numpy as np
+
+    from parlance.operators import stats
+
+    rng = np.random.default_rng(5)
+    group = np.repeat(np.arange(9), rng.integers(2, 9, 9))
+    x = rng.normal(size=len(group))
+    y = 1.5 + 0.7 * x + rng.normal(size=9)[group] * 1.3 + rng.normal(size=len(group)) * 0.6
+    fit = stats.random_intercept_ml(spark.createDataFrame([(int(g), float(a), float(b)) for g, a, b in zip(group, x, y)], "g int, x double, y double"), "y", ["x"], "g")
+    design, same = np.c_[np.ones(len(x)), x], group[:, None] == group[None, :]
+
+    def likelihood(between, within):
+        v = within * np.eye(len(x)) + between * same
+        inverse = np.linalg.inv(v)
+        beta = np.linalg.solve(design.T @ inverse @ design, design.T @ inverse @ y)
+        rest = y - design @ beta
+        return -0.5 * (len(x) * math.log(2 * math.pi) + np.linalg.slogdet(v)[1] + rest @ inverse @ rest), beta
+
+    best, beta = likelihood(fit["group_var"], fit["residual_var"])
+    assert math.isclose(best, fit["loglik"], rel_tol=1e-9) and np.allclose(beta, list(fit["coefs"].values()), rtol=1e-6)
+    for a in (0.98, 1, 1.02):
+        for b in (0.98, 1, 1.02):
+            assert likelihood(fit["group_var"] * a, fit["residual_var"] * b)[0] <= best + 1e-6
