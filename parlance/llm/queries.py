@@ -38,12 +38,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op2_chat"] = r"""
 with t as (select distinct conv_id, turn, role, text from conversations),
 o as (select *, md5(case when role is null then 'true' else 'false' end || ':' || coalesce(role, '') || case when text is null then 'true' else 'false' end || ':' || coalesce(text, '')) as tie from t),
-c as (select conv_id, list((role, text) order by turn nulls first, tie) as l from o group by conv_id),
+c as (select conv_id, list((role, text) order by turn nulls first, tie) as l from o group by conv_id, case when conv_id is null then coalesce(cast(turn as varchar), '') || tie end),
 u as (select l, min(conv_id) as conv_id, count(*) as n_copies from c group by l),
 k as (select conv_id, n_copies, l from u where not exists (select 1 from c where len(c.l) > len(u.l) and c.l[1] = u.l[1] and c.l[1 : len(u.l)] = u.l))
-select conv_id, cast(s as int) as segment, cast(len(l) as bigint) as n_turns, n_copies,
-  array_to_string(list_transform(l[s * 4096 + 1 : (s + 1) * 4096], lambda x: '<|im_start|>' || coalesce(x[1], '') || chr(10) || coalesce(x[2], '') || '<|im_end|>' || chr(10)), '') as text
-from (select *, unnest(range(0, (len(l) - 1) // 4096 + 1)) as s from k)"""
+select conv_id, cast(len(l) as bigint) as n_turns, n_copies, array_to_string(list_transform(l, lambda x: '<|im_start|>' || coalesce(x[1], '') || chr(10) || coalesce(x[2], '') || '<|im_end|>' || chr(10)), '') as text from k"""
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,7 +159,8 @@ class Page:
     def main_text(self) -> str:
         """The text by kind, without noisy nodes; a node goes only where all texts under it are in noisy nodes.
 
-        If nothing would stay, the main text, or without one all text by kind, is kept as it is.
+        Where the markup names main text, all of it stays if nothing else would, as of near copies that
+        fill a site; a page of noisy nodes alone has no text.
         """
         low = [placed(node, self._side(main)) in self._noisy for main, node, _, _ in self.blocks]
         alive = set()  # (element, in main text) with text that is not in a noisy node
@@ -168,7 +169,7 @@ class Page:
                 alive.add((no, main))
                 no = self._above[no]
         kept = [t for main, _, no, t in self.blocks if (no, main) in alive]
-        return "\n\n".join(kept or [t for main, _, _, t in self.blocks if main or not self.has_main])
+        return "\n\n".join(kept or [t for main, _, _, t in self.blocks if main])
 
 
 def placed(node: int, side: int) -> int:
