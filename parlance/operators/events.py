@@ -318,11 +318,10 @@ def fill_roles(joins: DataFrame, game: str, player: str, time: str, roles: Seque
 
 def triggered_log(df: DataFrame, start: Column, stop: Column, game: str = "game", time: str = "time", line: str = "line") -> DataFrame:
     """Events between a start and the next stop event, both included."""
-    df = running(df, [game], [time, line], {"_n": ("sum", F.lit(1))})
-    state = F.when(start, F.struct(F.col("_n"), F.lit(True).alias("on"))).when(stop, F.struct(F.col("_n"), F.lit(False).alias("on")))
-    df = running(running(df, [game], [time, line], {"_now": ("max", state)}), [game], [time, line], {"_was": ("max", state)}, _before)
+    state = F.when(start | stop, F.struct(time, line, start.alias("on")))
+    df = running(df, [game], [time, line], {"_now": ("max", state), "_was": ("max", state, _before)})
     keep = F.coalesce(F.col("_now")["on"], F.lit(False)) | (F.coalesce(F.col("_was")["on"], F.lit(False)) & stop)
-    return df.where(keep).drop("_n", "_now", "_was")
+    return df.where(keep).drop("_now", "_was")
 
 
 def last_name_by_log(df: DataFrame, log: str, name: str, line: str, prefix: str) -> DataFrame:

@@ -107,26 +107,46 @@ def subregions(df: DataFrame, rows: str, cols: str, height: str, width: str) ->
     return at.withColumn("x1", F.col("x0") + F.col(height)).withColumn("y1", F.col("y0") + F.col(width))
 
 
-def free_regions(pieces: DataFrame, occupied: DataFrame, rows: int, cols: int, game: str = "game", piece: str = "piece") -> DataFrame:
-    """(game, piece, x0, x1, y0, y1): places of a piece's size (height, width) that touch no occupied rectangle of the game.
+#: columns of a board that one mask holds
+MASK = 62
+
+
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+
+def _mask(lo: Column, hi: Column) -> Column:
+    """A long with the bits from ``lo`` to ``hi`` set; 0 if there are none."""
+    return F.when(lo <= hi, _bit(hi + 1) - _bit(lo)).otherwise(F.lit(0).cast("long"))
+
 
-    Pieces of one size have the same places, so places are made for each size of a game; each occupied
-    rectangle lists the places that it blocks.
+def free_masks(pieces: DataFrame, occupied: DataFrame, rows: int, cols: int, game: str = "game") -> DataFrame:
+    """(game, height, width, x, part, free): for each size of ``pieces`` and row of its game's board a mask of the columns, MASK to a part, where such a piece may have its corner.
+
+    Pieces of one size have the same places. Each occupied rectangle blocks a range of columns in some rows; ranges of a
+    row are joined by or, so no place is a row.
     """
     size = [game, "height", "width"]
-    sizes = pieces.select(*size).distinct()
-    span = lambda lo, hi, length, room: F.sequence(F.greatest(F.col(lo) - F.col(length) + 1, F.lit(0)), F.least(F.col(hi) - 1, F.lit(room) - F.col(length)))
-    fits = sizes.where((F.col("height") <= rows) & (F.col("width") <= cols))
-    near = fits.join(occupied.select(game, *SIDES), game)
-    near = near.where((F.col("x1") > 0) & (F.col("y1") > 0) & (F.col("x0") < rows) & (F.col("y0") < cols) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
-    blocked = near.select(*size, F.explode(span("x0", "x1", "height", rows)).alias("x"), span("y0", "y1", "width", cols).alias("_ys")).select(*size, "x", F.explode("_ys").alias("y"))
-    # a place is its corner's cell, so a set of them is no larger than the board
-    taken = blocked.groupBy(*size).agg(F.collect_set((F.col("x") * cols + F.col("y")).cast("int")).alias("_taken"))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rows) - F.col("height")), lambda x: F.transform(F.sequence(F.lit(0), F.lit(cols) - F.col("width")), lambda y: (x * cols + y).cast("int"))))
-    free = fits.join(taken, size, "left").select(*size, F.array_except(every, F.coalesce("_taken", F.array().cast("array<int>"))).alias("_free"))
-    found = pieces.select(*size, piece).join(free, size).select(game, piece, "height", "width", F.explode("_free").alias("_at"))
-    x, y = F.floor(F.col("_at") / cols).cast("int"), (F.col("_at") % cols).cast("int")
-    return found.select(game, piece, x.alias("x0"), (x + F.col("height")).cast("int").alias("x1"), y.alias("y0"), (y + F.col("width")).cast("int").alias("y1"))
+    fits = pieces.select(*size).distinct().where((F.col("height") <= rows) & (F.col("width") <= cols) & (F.col("height") > 0) & (F.col("width") > 0))
+    whole = occupied.select(game, *SIDES).where((F.col("x1") > 0) & (F.col("y1") > 0) & (F.col("x0") < rows) & (F.col("y0") < cols) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
+    near = fits.join(whole, game)
+    x = F.sequence(F.greatest(F.col("x0") - F.col("height") + 1, F.lit(0)), F.least(F.col("x1") - 1, F.lit(rows) - F.col("height")))
+    near = near.select(*size, F.greatest(F.col("y0") - F.col("width") + 1, F.lit(0)).alias("_lo"), F.least(F.col("y1") - 1, F.lit(cols) - F.col("width")).alias("_hi"), F.explode(x).alias("x"))
+    near = near.where("_lo <= _hi").withColumn("part", F.explode(F.sequence((F.col("_lo") / MASK).cast("int"), (F.col("_hi") / MASK).cast("int"))))
+    first = F.col("part") * MASK
+    taken = near.groupBy(*size, "x", "part").agg(F.bit_or(_mask(F.greatest(F.col("_lo") - first, F.lit(0)), F.least(F.col("_hi") - first, F.lit(MASK - 1)))).alias("_taken"))
+    every = fits.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(rows) - F.col("height")))).withColumn("part", F.explode(F.sequence(F.lit(0), ((F.lit(cols) - F.col("width")) / MASK).cast("int"))))
+    room = _mask(F.lit(0), F.least(F.lit(cols) - F.col("width") - first, F.lit(MASK - 1)))
+    return every.join(taken, [*size, "x", "part"], "left").select(*size, "x", "part", room.bitwiseAND(F.bitwise_not(F.coalesce("_taken", F.lit(0).cast("long")))).alias("free")).where("free <> 0")
+
+
+def free_regions(pieces: DataFrame, occupied: DataFrame, rows: int, cols: int, game: str = "game", piece: str = "piece") -> DataFrame:
+    """(game, piece, x0, x1, y0, y1): places of a piece's size (height, width) that touch no occupied rectangle of the game, see ``free_masks``."""
+    size = [game, "height", "width"]
+    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda i: F.col("free").bitwiseAND(_bit(i)) != 0)
+    free = free_masks(pieces, occupied, rows, cols, game).select(*size, "x", F.explode(F.transform(bits, lambda i: i + F.col("part") * MASK)).alias("y"))
+    found = pieces.select(*size, piece).join(free, size)
+    return found.select(game, piece, F.col("x").alias("x0"), (F.col("x") + F.col("height")).cast("int").alias("x1"), F.col("y").alias("y0"), (F.col("y") + F.col("width")).cast("int").alias("y1"))
 
 
 def invalid_moves(moves: DataFrame, occupied: DataFrame, move: str, game: str = "game") -> DataFrame:

@@ -445,3 +445,19 @@ def test_mixed_model_against_dense_likelihood(spark):
     for a in (0.98, 1, 1.02):
         for b in (0.98, 1, 1.02):
             assert likelihood(fit["group_var"] * a, fit["residual_var"] * b)[0] <= best + 1e-6
+
+
+def test_free_places_on_wide_boards(spark):
+    import random
+
+    from parlance.operators import geometry
+
+    rng = random.Random(6)
+    rows, cols = 9, 150
+    taken = [(g, x, x + rng.randrange(0, 4), y, y + rng.randrange(0, 30)) for g in (1, 2) for _ in range(14) for x, y in [(rng.randrange(-2, rows), rng.randrange(-5, cols))]]
+    pieces = [(1, 0, 2, 5), (1, 1, 1, 1), (1, 2, 2, 5), (2, 3, 3, 70), (2, 4, 9, 2), (2, 5, 10, 1), (3, 6, 8, 149), (3, 7, 0, 1)]
+    got = geometry.free_regions(spark.createDataFrame(pieces, "game int, piece int, height int, width int"), spark.createDataFrame(taken, "game int, x0 int, x1 int, y0 int, y1 int"), rows, cols)
+    blocked = lambda g, x, y, h, w: any(t[0] == g and t[1] < t[2] and t[3] < t[4] and x < t[2] and t[1] < x + h and y < t[4] and t[3] < y + w for t in taken)
+    want = {(p, x, y) for g, p, h, w in pieces if h for x in range(rows - h + 1) for y in range(cols - w + 1) if not blocked(g, x, y, h, w)}
+    found = [(r.piece, r.x0, r.y0) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
