@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions.text import sentence, token_overlap
 from parlance.operators.events import neighbours, running
 from parlance.operators.guards import checked
+from parlance.sources.scratch import scratch
 
 
 def drop_empty(utts: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -97,55 +98,117 @@ def overlap_summary(rows: DataFrame, ordinal: str = "ordinal", overlap: str = "o
     return rows.where(F.col(ordinal) >= least).groupBy(ordinal).agg(F.count(overlap).alias("n"), F.avg(overlap).alias("mean"), F.stddev_samp(overlap).alias("std"), (F.stddev_samp(overlap) / F.sqrt(F.count(overlap))).alias("sem"))
 
 
-def _block_overlaps(later: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-    """(shared, size_a, size_b, n): how many pairs of a row of each block have these sizes and so many tokens in common."""
+def _block_overlaps(later: pd.DataFrame, before: pd.DataFrame, bucket: int) -> pd.DataFrame:
+    """(shared, size_a, size_b, n) of the pairs of a row of each block whose first common bucket is ``bucket``, and the same pairs with n below zero where their marked tokens alone (bucket -1) put them.
+
+    Rows are (t: tokens, g: the bucket of each, size, n).
+    """
 
     def flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(s) for s in df["s"]], np.int64)
-        return sizes, np.repeat(np.arange(len(df)), sizes), np.concatenate([np.asarray(s, np.int64) for s in df["s"]]) if len(df) else np.zeros(0, np.int64)
-
-    (na, ra, ta), (nb, rb, tb) = flat(later), flat(before)
-    common = np.intersect1d(ta, tb)
-    sides = []
-    for rows, tokens, n in ((ra, ta, len(na)), (rb, tb, len(nb))):
-        at = np.searchsorted(common, tokens)
-        hit = at < len(common)
-        hit[hit] = common[at[hit]] == tokens[hit]
-        side = np.zeros((n, max(1, len(common))), np.float32)
-        side[rows[hit], at[hit]] = 1
-        sides.append(side)
-    shared = np.rint(sides[0] @ sides[1].T).astype(np.int64)
-    wide = int(max(na.max(initial=0), nb.max(initial=0))) + 1
-    keys, back = np.unique((shared * wide + na[:, None]) * wide + nb[None, :], return_inverse=True)
-    n = np.bincount(back.ravel(), weights=(later["n"].to_numpy(np.float64)[:, None] * before["n"].to_numpy(np.float64)[None, :]).ravel(), minlength=len(keys))
-    return pd.DataFrame({"shared": keys // (wide * wide), "size_a": keys // wide % wide, "size_b": keys % wide, "n": np.rint(n).astype(np.int64)})
-
-
-def previous_order_pairs(utts: DataFrame, tokens: str = "tokens", ordinal: str = "ordinal", block: int = 1000) -> DataFrame:
+        return np.repeat(np.arange(len(df)), [len(t) for t in df["t"]]), np.concatenate(df["t"].to_list()).astype(np.int64), np.concatenate(df["g"].to_list()).astype(np.int64)
+
+    (ra, ta, ga), (rb, tb, _) = flat(later), flat(before)
+    tokens, at = np.unique(ta, return_index=True)
+    here = np.isin(tokens, tb)
+    tokens, buckets = tokens[here], ga[at[here]]
+
+    def common(which: np.ndarray) -> np.ndarray:
+        """How many of these tokens each pair has in common; some columns at a time."""
+        total = np.zeros((len(later), len(before)), np.float32)
+        wanted = tokens[which]
+        for start in range(0, len(wanted), 4096):
+            part, sides = wanted[start : start + 4096], []
+            for rows, own, n in ((ra, ta, len(later)), (rb, tb, len(before))):
+                col = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                hit = part[col] == own
+                side = np.zeros((n, len(part)), np.float32)
+                side[rows[hit], col[hit]] = 1
+                sides.append(side)
+            total += sides[0] @ sides[1].T
+        return total
+
+    own, earlier = common(buckets == bucket), common((buckets >= 0) & (buckets < bucket))
+    i, j = np.nonzero((own > 0) & (earlier == 0))
+    marked = common(buckets < 0)[i, j].astype(np.int64)
+    shared = marked + (own + common(buckets > bucket))[i, j].astype(np.int64)
+    size_a, size_b = later["size"].to_numpy(np.int64), before["size"].to_numpy(np.int64)
+    wide = int(max(size_a.max(), size_b.max())) + 1
+    sizes, n = size_a[i] * wide + size_b[j], later["n"].to_numpy(np.int64)[i] * before["n"].to_numpy(np.int64)[j]
+    changes = [pd.Series(v, copy=False).groupby(at * (wide * wide) + sizes, sort=False).sum() for at, v in ((shared, n), (marked, -n))]
+    key = np.concatenate([c.index.to_numpy(np.int64) for c in changes])
+    return pd.DataFrame({"shared": key // (wide * wide), "size_a": key // wide % wide, "size_b": key % wide, "n": np.concatenate([c.to_numpy(np.int64) for c in changes])})
+
+
+def previous_order_pairs(utts: DataFrame, tokens: str = "tokens", ordinal: str = "ordinal", block: int = 1000, marks: int = 6) -> DataFrame:
     """(ordinal, overlap, n): overlaps of all mentions with all of the ordinal before, over all dyads, with how many pairs have them.
 
-    Equal token sets of an ordinal are one row with a count. Sets go into blocks of about ``block``; a
-    task multiplies two blocks of neighbouring ordinals and gives back counts, so no pair is a row. The
-    work is still quadratic in the distinct sets of an ordinal, as each pair has its overlap.
+    Equal token sets of an ordinal are one row with a count. Of the tokens that more than ``block``
+    sets of an ordinal hold, the ``marks`` (at most 10) most frequent are bits of a mask: pairs of masks and sizes,
+    whose number does not grow with the rows, count every pair by its marked tokens, zeros included.
+    The other tokens are an inverted index: rare ones share buckets of about ``block`` postings, each
+    other token has its own, in parts of ``block`` sets; an ordinal whose pairs nearly all share such
+    tokens is one bucket, if that takes fewer products. A pair is moved to its whole overlap in the
+    first bucket that it shares, by a product of two blocks, so no pair is a row, and a set goes only
+    where it has tokens in common with the other side. The work grows with the pairs that share
+    a token which is not marked. Empty sets overlap by NaN; null ordinals and arrays are left out.
     """
+
+    def table(df: DataFrame, what: str) -> DataFrame:
+        path = scratch(utts.sparkSession, what)
+        df.write.parquet(path)
+        return utts.sparkSession.read.schema(df.schema).parquet(path)
+
     words = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
-    sets = utts.where(F.col(ordinal).isNotNull()).groupBy(ordinal, F.array_sort(words).alias("s")).agg(F.count("*").alias("n"))
-    parts = sets.groupBy(ordinal).agg(F.ceil(F.count("*") / block).alias("parts"))  # a row for each ordinal
-    own = sets.join(parts, ordinal).withColumn("own", F.pmod(F.xxhash64("s"), F.col("parts")))
-    other = lambda step: parts.select((F.col(ordinal) + step).alias(ordinal), F.col("parts").alias("others"))
-    all_of = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))
-    later = own.join(other(1), ordinal).select(F.col(ordinal).cast("long").alias("o"), F.col("own").alias("i"), all_of.alias("j"), "s", "n")
-    before = own.join(other(-1), ordinal).select((F.col(ordinal) + 1).cast("long").alias("o"), all_of.alias("i"), F.col("own").alias("j"), F.col("s").alias("t"), F.col("n").alias("m"))
-
-    def counts(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = _block_overlaps(a, b.rename(columns={"t": "s", "m": "n"})) if len(a) and len(b) else pd.DataFrame({"shared": [], "size_a": [], "size_b": [], "n": []}, dtype="int64")
+    sets = utts.where(F.col(ordinal).isNotNull() & F.col(tokens).isNotNull()).groupBy(F.col(ordinal).cast("long").alias("o"), F.array_sort(words).alias("s")).agg(F.count("*").alias("n"))
+    sets = table(sets, "token-sets")
+    sides = F.explode(F.array(F.struct("o", F.lit(True).alias("later")), F.struct((F.col("o") + 1).alias("o"), F.lit(False).alias("later"))))
+    sides = sets.select(sides.alias("p"), F.xxhash64("s", F.lit(1)).alias("h1"), F.xxhash64("s", F.lit(2)).alias("h2"), F.size("s").cast("long").alias("size"), "n", "s").select("p.*", "h1", "h2", "size", "n", "s")
+    postings = sides.select("o", "later", "h1", "h2", "size", "n", F.explode_outer("s").alias("t"))
+
+    held = postings.where(F.col("t").isNotNull()).groupBy("o", "t").agg(F.count_if("later").alias("a"), F.count_if(~F.col("later")).alias("b")).where((F.col("a") > 0) & (F.col("b") > 0))
+    many = (F.col("a") > block) | (F.col("b") > block)
+    rank = F.row_number().over(Window.partitionBy("o").orderBy(F.desc(F.col("a") * F.col("b")), "t"))  # at most a thousandth of the postings are tokens of this kind
+    parts = lambda n: F.ceil(F.col(n) / block).cast("long")
+    ranked = held.where(many).withColumn("r", rank.cast("long")).unionByName(held.where(~many).withColumn("r", F.lit(None).cast("long")))
+    unmarked, own = F.col("r").isNull() | (F.col("r") > marks), F.col("r").isNotNull()
+    # products of blocks for each ordinal: over the index, and over all its sets
+    index = ranked.where(unmarked).groupBy("o").agg(F.sum(F.when(own, parts("a") * parts("b")).otherwise(0)).alias("products"), F.ceil(F.sum(F.when(own, 0).otherwise(F.col("a") + F.col("b"))) / (2 * block)).alias("bins"))
+    whole = sides.groupBy("o").agg(F.ceil(F.count_if("later") / block).alias("na"), F.ceil(F.count_if(~F.col("later")) / block).alias("nb"))
+    dense = F.col("na") * F.col("nb") <= F.col("products") + F.col("bins")
+    coding = ranked.join(index.join(whole, "o"), "o", "left").select(
+        "o", "t", F.when(~unmarked, F.expr("shiftleft(1L, cast(r - 1 as int))")).alias("bit"),
+        F.when(~unmarked, -1).when(dense, 0).when(own, F.col("r") + (1 << 40)).otherwise(F.pmod(F.xxhash64("t", F.lit(3)), F.col("bins"))).alias("g"),
+        *[F.when(dense, F.col(all_)).when(own, parts(n)).otherwise(1).alias(p) for p, all_, n in (("pa", "na", "a"), ("pb", "nb", "b"))],
+    )
+
+    coded = postings.join(coding, ["o", "t"], "left").groupBy("o", "later", "h1", "h2", "size", "n").agg(
+        F.coalesce(F.bit_or("bit"), F.lit(0)).alias("mask"), F.collect_list(F.when(F.col("g").isNotNull(), F.struct("t", "g"))).alias("held"), F.collect_set(F.when(F.col("g") >= 0, F.struct("g", "pa", "pb"))).alias("places"),
+    )
+    coded = table(coded, "overlaps")
+
+    masks = coded.groupBy("o", "later", "size", "mask").agg(F.sum("n").alias("n"))
+    # first every mask of the other side to each of this side's rows, then the other side's sizes to its own masks
+    any_mask = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << marks) - 1).cast("long")))
+    a = masks.where("later").select("o", "size", "mask", "n", any_mask.alias("other"))
+    a = a.groupBy("o", "other", F.bit_count(F.col("mask").bitwiseAND(F.col("other"))).cast("long").alias("shared"), F.col("size").alias("size_a")).agg(F.sum("n").alias("na"))
+    b = masks.where(~F.col("later")).select("o", F.col("size").alias("size_b"), F.col("mask").alias("other"), F.col("n").alias("nb"))
+    marked = a.join(b, ["o", "other"]).groupBy("o", "shared", "size_a", "size_b").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+
+    placed = coded.select("o", "later", "size", "n", F.col("held.t").alias("t"), F.col("held.g").alias("g"), F.xxhash64("h1", "h2").alias("h"), F.explode("places").alias("p"))
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    later = placed.where("later").select("o", F.col("p.g").alias("bucket"), F.pmod("h", "p.pa").alias("i"), to_all("p.pb").alias("j"), "t", "g", "size", "n")
+    before = placed.where(~F.col("later")).select("o", F.col("p.g").alias("bucket"), to_all("p.pa").alias("i"), F.pmod("h", "p.pb").alias("j"), F.col("t").alias("t_"), F.col("g").alias("g_"), F.col("size").alias("size_"), F.col("n").alias("n_"))
+
+    def counts(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = _block_overlaps(x, y.rename(columns=lambda c: c.rstrip("_")), int(key[1])) if len(x) and len(y) else pd.DataFrame({"shared": [], "size_a": [], "size_b": [], "n": []}, dtype="int64")
         out.insert(0, "o", key[0])
         return out
 
-    pairs = later.groupBy("o", "i", "j").cogroup(before.groupBy("o", "i", "j")).applyInPandas(counts, "o long, shared long, size_a long, size_b long, n long")
+    keys = ["o", "bucket", "i", "j"]
+    moved = later.groupBy(*keys).cogroup(before.groupBy(*keys)).applyInPandas(counts, "o long, shared long, size_a long, size_b long, n long")
     overlap = F.try_divide("shared", F.col("size_a") + F.col("size_b") - F.col("shared"))
     kind = utts.schema[ordinal].dataType
-    return pairs.groupBy(F.col("o").cast(kind).alias(ordinal), F.coalesce(overlap, F.lit(float("nan"))).alias("overlap")).agg(F.sum("n").alias("n"))
+    return marked.unionByName(moved).groupBy(F.col("o").cast(kind).alias(ordinal), F.coalesce(overlap, F.lit(float("nan"))).alias("overlap")).agg(F.sum("n").alias("n")).where(F.col("n") > 0)
 
 
 def pair_overlap_summary(pairs: DataFrame, ordinal: str = "ordinal") -> DataFrame:

@@ -210,11 +210,33 @@ def test_block_overlaps_over_blocks(spark):
                 x, y = set(a), set(b)
                 key = (o, f"{len(x & y) / len(x | y):.6f}" if x | y else "nan")
                 want[key] = want.get(key, 0) + 1
-    for block in (7, 1000):
-        got = dialogue.previous_order_pairs(df, block=block).collect()
+    rows_too = df.union(spark.createDataFrame([(None, ["a"]), (2, None)], df.schema))
+    for block, marks in ((7, 6), (7, 0), (7, 2), (1000, 6), (20, 8)):
+        got = dialogue.previous_order_pairs(rows_too, block=block, marks=marks).collect()
         assert {(r.ordinal, "nan" if r.overlap != r.overlap else f"{r.overlap:.6f}"): r.n for r in got} == want
 
 
+def test_overlaps_of_disjoint_vocabularies(spark, monkeypatch):
+    """Ten times the dyads, each with words of its own, are ten times the products of blocks, not a hundred."""
+    import pandas as pd
+
+    from parlance.sources import scratch as folder
+
+    def held(dyads: int) -> tuple[int, dict]:
+        df = spark.range(dyads * 20).selectExpr("cast(id % 2 + 1 as int) as ordinal", "array('the', concat('x', id div 20), concat('y', id div 20, '-', id % 10)) as tokens")
+        paths = []
+        monkeypatch.setattr(dialogue, "scratch", lambda s, what: paths.append(folder.scratch(s, what)) or paths[-1])
+        got = {(r.ordinal, round(r.overlap, 6)): r.n for r in dialogue.previous_order_pairs(df, block=50).collect()}
+        return spark.read.parquet(paths[1]).selectExpr("explode(places) as p", "o", "later").selectExpr("if(later, p.pb, p.pa) as copies").groupBy().sum().first()[0], got
+
+    few, small = held(10)
+    many, large = held(100)
+    assert many <= 12 * few
+    assert sum(small.values()) == 100 * 100 and sum(large.values()) == 1000 * 1000
+    assert small[2, 0.2] == 100 * 90 and large[2, 0.2] == 1000 * 990  # "the" alone
+    assert pd.Series({k: v for k, v in large.items() if k[1] > 0.2}).sum() == 100 * 100
+
+
 def test_geometry(spark):
     board = spark.createDataFrame([("g", ["1", "1", "null", "null", "1", "1", "null", "2", None], 3)], "game string, occ array<string>, cols int")
     found = geometry.element_regions(geometry.cells(board, "game", "occ", "cols"))
