@@ -143,7 +143,7 @@ def previous_order_pairs(utts: DataFrame, tokens: str = "tokens", ordinal: str =
     """(ordinal, overlap, n): overlaps of all mentions with all of the ordinal before, over all dyads, with how many pairs have them.
 
     Equal token sets of an ordinal are one row with a count. Of the tokens that more than ``block``
-    sets of an ordinal hold, the ``marks`` (at most 10) most frequent are bits of a mask: pairs of masks and sizes,
+    sets of an ordinal hold, the ``marks`` most frequent are bits of a mask: pairs of masks and sizes,
     whose number does not grow with the rows, count every pair by its marked tokens, zeros included.
     The other tokens are an inverted index: rare ones share buckets of about ``block`` postings, each
     other token has its own, in parts of ``block`` sets; an ordinal whose pairs nearly all share such
@@ -187,10 +187,9 @@ def previous_order_pairs(utts: DataFrame, tokens: str = "tokens", ordinal: str =
     coded = table(coded, "overlaps")
 
     masks = coded.groupBy("o", "later", "size", "mask").agg(F.sum("n").alias("n"))
-    # first every mask of the other side to each of this side's rows, then the other side's sizes to its own masks
-    any_mask = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << marks) - 1).cast("long")))
-    a = masks.where("later").select("o", "size", "mask", "n", any_mask.alias("other"))
-    a = a.groupBy("o", "other", F.bit_count(F.col("mask").bitwiseAND(F.col("other"))).cast("long").alias("shared"), F.col("size").alias("size_a")).agg(F.sum("n").alias("na"))
+    # first the masks of the other side to each of this side's rows, then the other side's sizes to their masks
+    others = masks.where(~F.col("later")).select("o", F.col("mask").alias("other")).distinct()
+    a = masks.where("later").join(others, "o").groupBy("o", "other", F.bit_count(F.col("mask").bitwiseAND(F.col("other"))).cast("long").alias("shared"), F.col("size").alias("size_a")).agg(F.sum("n").alias("na"))
     b = masks.where(~F.col("later")).select("o", F.col("size").alias("size_b"), F.col("mask").alias("other"), F.col("n").alias("nb"))
     marked = a.join(b, ["o", "other"]).groupBy("o", "shared", "size_a", "size_b").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
 
