@@ -101,19 +101,40 @@ def tokenise(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*|'(?:s|S|d|D|m|M|ll|LL|re|RE|ve|VE)\b|[^\s\p{L}\p{N}]"), F.lit(0))
 
 
+def _bound(arr: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of an array that is worked out once, though ``f`` looks into it for each element."""
+    return F.transform(F.array(arr), f)[0]
+
+
 def chunks(arr: Column, n: int) -> Column:
-    """Consecutive runs of ``n`` elements; the last may be shorter."""
-    return F.when(F.size(arr) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / n).cast("int")), lambda i: F.slice(arr, i * n + 1, n))).otherwise(F.slice(F.array(arr), 1, 0))
+    """Consecutive runs of ``n`` elements; the last may be shorter; no runs for no elements or null. Each element is fetched by its place, as a slice passes over the whole array."""
+
+    def runs(a: Column) -> Column:
+        size = F.when(F.size(a) > 0, F.size(a)).otherwise(0)
+        starts = F.filter(F.sequence(F.lit(0), F.floor((size + n - 1) / n).cast("int")), lambda i: i * n < size)
+        return F.transform(starts, lambda i: F.transform(F.sequence(i * n, F.least(i * n + n, size) - 1), lambda j: F.get(a, j)))
+
+    return _bound(arr, runs)
 
 
 def dedupe_chunk_pairs(chunk_list: Column) -> Column:
     """Of chunks 1 and 2, 3 and 4 and so on, the second goes if it equals the first."""
-    return F.filter(chunk_list, lambda c, i: (i % 2 == 0) | (c != F.get(chunk_list, F.greatest(i - 1, F.lit(0)))))
+    return _bound(chunk_list, lambda a: F.filter(a, lambda c, i: (i % 2 == 0) | (c != F.get(a, F.greatest(i - 1, F.lit(0))))))
 
 
 def dedupe_bigrams(tokens: Column, n: int = 2) -> Column:
     """Repeats of a run of ``n`` tokens right after it, at even places, are dropped."""
-    return F.flatten(dedupe_chunk_pairs(chunks(tokens, n)))
+
+    def kept(a: Column) -> Column:
+        def repeated(first: Column) -> Column:
+            same = first + 2 * n <= F.size(a)
+            for k in range(n):
+                same = same & F.get(a, first + k).eqNullSafe(F.get(a, first + n + k))
+            return same
+
+        return F.filter(a, lambda t, i: ~((i % (2 * n) >= n) & repeated(i - i % (2 * n))))
+
+    return _bound(tokens, kept)
 
 
 def clean(tokens: Column, steps: Sequence[str] = ("metalanguage", "disfluencies", "fillers", "duplicates")) -> Column:
