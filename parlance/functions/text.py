@@ -150,12 +150,28 @@ def clean(tokens: Column, steps: Sequence[str] = ("metalanguage", "disfluencies"
     return tokens
 
 
+def _case_pairs(change: Callable[[str], str], single: Mapping[str, str]) -> tuple[str, str]:
+    """Characters and their other case, one for one; ``single`` says what stands for some whose full mapping has several characters, others of these keep their title form if it is one character, else stay."""
+    pairs = {}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))):
+        other = next(x for x in (single.get(c, ""), change(c), c.title(), c) if len(x) == 1)
+        if other != c:
+            pairs[c] = other
+    return "".join(pairs), "".join(pairs.values())
+
+
+UPPER = _case_pairs(str.upper, {"\u00df": "\u1e9e"})
+LOWER = _case_pairs(str.lower, {"\u0130": "i"})
+
+
 def uc_first(s: Column) -> Column:
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
+    """The first character in upper case; it stays one character, whatever it is."""
+    return F.concat(F.translate(F.substring(s, 1, 1), *UPPER), F.substring(s, 2, 1 << 30))
 
 
 def lc_first(s: Column) -> Column:
-    return F.concat(F.lower(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
+    """The first character in lower case; it stays one character, whatever it is."""
+    return F.concat(F.translate(F.substring(s, 1, 1), *LOWER), F.substring(s, 2, 1 << 30))
 
 
 def sentence(tokens: Column) -> Column:

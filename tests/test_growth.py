@@ -27,3 +27,11 @@ def test_chunks_of_long_lists(spark, n):
         c, kept = plain(t)
         assert (got[i].c, got[i].d, got[i].b) == (c, kept, [x for part in kept for x in part])
     assert got[len(lists) - 1].c == []
+
+
+def test_first_character_stays_one_character(spark):
+    texts = ["ßa", "ŉa", "ﬁa", "ᾀa", "İa", "éa", "ǆa", "a", "", "\U00010428a"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string").orderBy("i")
+    got = [(r.u, r.l) for r in rows.select(tx.uc_first(F.col("s")).alias("u"), tx.lc_first(F.col("s")).alias("l")).collect()]
+    want = duckdb.execute("select upper(s[1]) || substr(s, 2), lower(s[1]) || substr(s, 2) from (select unnest(?) as s)", [texts]).fetchall()
+    assert got == want
