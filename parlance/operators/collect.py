@@ -1,18 +1,19 @@
 """Mergeable collectors: folds with a state of any kind, given by the user, in two phases.
 
-Tasks accumulate the rows that they have, by key; the states that come of it are merged in two
+Tasks accumulate the rows that they have, sorted by key; the states that come of it are merged in two
 levels, first by key and a salt, then by key, and finished. So a key with a third of all rows is
 accumulated where its rows are, and what meets in a task is a state for each salt.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,12 +29,13 @@ HELD = 10_000
 class Collector:
     """``supplier`` makes an empty state, ``accumulator`` folds rows of one key into it, ``combiner`` merges two states, ``finisher`` makes a row of it.
 
-    Rows and states come in any order, so the order must not matter to the result. States are pickled
-    between tasks. The accumulator and the combiner may change and return their first argument.
+    Rows and states come in any order, so the order must not matter to the result. The accumulator has rows
+    as the values of each column by its name, plain lists. States are pickled between tasks. The
+    accumulator and the combiner may change and return their first argument.
     """
 
     supplier: Callable[[], Any]
-    accumulator: Callable[[Any, pd.DataFrame], Any]
+    accumulator: Callable[[Any, Mapping[str, Sequence]], Any]
     combiner: Callable[[Any, Any], Any]
     finisher: Callable[[Any], tuple]
 
@@ -60,13 +62,13 @@ def collect(df: DataFrame, keys: Sequence[str], values: Sequence[str], collector
             return _batch(arrow_partial, [(*k, salt, pickle.dumps(s)) for k, s in states.items()], names)
 
         for b in batches:
-            at: dict[tuple, list[int]] = {}
-            for i, k in enumerate(zip(*(b.column(k).to_pylist() for k in keys)) if keys else [()] * b.num_rows):
-                at.setdefault(k, []).append(i)
-            rows = b.select(list(values))
-            for k, places in at.items():
-                one = rows.take(pa.array(places)).to_pandas() if len(at) > 1 else rows.to_pandas()
-                states[k] = collector.accumulator(states[k] if k in states else collector.supplier(), one)
+            # rows of a key stand together, so a key is a slice of each column
+            own = list(zip(*(b.column(k).to_pylist() for k in keys))) if keys else [()] * b.num_rows
+            rows, start = {c: b.column(c).to_pylist() for c in values}, 0
+            for k, run in groupby(own):
+                stop = start + sum(1 for _ in run)
+                states[k] = collector.accumulator(states[k] if k in states else collector.supplier(), {c: v[start:stop] for c, v in rows.items()})
+                start = stop
             if len(states) > HELD:
                 yield out()
                 states = {}
@@ -97,7 +99,8 @@ def collect(df: DataFrame, keys: Sequence[str], values: Sequence[str], collector
         if part:
             yield _batch(arrow, part, out)
 
-    whole = df.select(*keys, *[c for c in values if c not in keys]).mapInArrow(accumulate, partial)
+    whole = df.select(*keys, *[c for c in values if c not in keys])
+    whole = (whole.sortWithinPartitions(*keys) if keys else whole).mapInArrow(accumulate, partial)
     result = StructType([*kinds, *StructType.fromDDL(schema)])
     arrow_result = [f.type for f in to_arrow_schema(result)]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -116,9 +119,11 @@ def collect(df: DataFrame, keys: Sequence[str], values: Sequence[str], collector
 def histogram_collector(width: float, value: str) -> Collector:
     """Counts of values by bucket of ``width``: (buckets array of lower ends, counts); null values are left out."""
 
-    def add(counts: dict[int, int], rows: pd.DataFrame) -> dict[int, int]:
-        for bucket, n in (rows[value].dropna() // width).value_counts().items():
-            counts[int(bucket)] = counts.get(int(bucket), 0) + int(n)
+    def add(counts: dict[int, int], rows: Mapping[str, Sequence]) -> dict[int, int]:
+        for v in rows[value]:
+            if v is not None and math.isfinite(v):
+                bucket = int(v // width)
+                counts[bucket] = counts.get(bucket, 0) + 1
         return counts
 
     def both(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
@@ -141,23 +146,26 @@ def history_collector(name: str, time: str, ready: str, ignored: Sequence[str] =
             raise ValueError("parts of a game differ in their start or initial state")
         return {min(starts)} if starts else set(), states if strict else set()
 
-    def add(h: dict, rows: pd.DataFrame) -> dict:
-        rows = rows[~rows[name].isin(list(ignored))]
-        if not len(rows):
+    def add(h: dict, rows: Mapping[str, Sequence]) -> dict:
+        kept = [i for i, n in enumerate(rows[name]) if n not in ignored]
+        if not kept:
             return h
-        begun = rows[rows[name] == ready]
-        starts, states = checked(set(begun[time]), set(begun[state]) if state else set())
-        return both(h, {"n": len(rows), "first": rows[time].min(), "last": rows[time].max(), "ready": len(begun), "starts": starts, "states": states})
+        times, begun = [t for i in kept if (t := rows[time][i]) is not None], [i for i in kept if rows[name][i] == ready]
+        starts, states = checked({t for i in begun if (t := rows[time][i]) is not None}, {rows[state][i] for i in begun} if state else set())
+        return both(h, {"n": len(kept), "first": min(times, default=None), "last": max(times, default=None), "ready": len(begun), "starts": starts, "states": states})
+
+    def edge(a: int | None, b: int | None, of: Callable) -> int | None:
+        return of((x for x in (a, b) if x is not None), default=None)
 
     def both(a: dict, b: dict) -> dict:
         if not a or not b:
             return a or b
         starts, states = checked(a["starts"] | b["starts"], a["states"] | b["states"])
-        return {"n": a["n"] + b["n"], "first": min(a["first"], b["first"]), "last": max(a["last"], b["last"]), "ready": a["ready"] + b["ready"], "starts": starts, "states": states}
+        return {"n": a["n"] + b["n"], "first": edge(a["first"], b["first"], min), "last": edge(a["last"], b["last"], max), "ready": a["ready"] + b["ready"], "starts": starts, "states": states}
 
     def done(h: dict) -> tuple:
         if strict and not (h and h["starts"]):
             raise ValueError("a game has no ready event")
-        return (int(min(h["starts"])) if h["starts"] else None, h["n"], int(h["first"]), int(h["last"]), h["ready"]) if h else (None, 0, None, None, 0)
+        return (min(h["starts"]) if h["starts"] else None, h["n"], h["first"], h["last"], h["ready"]) if h else (None, 0, None, None, 0)
 
     return Collector(dict, add, both, done)
