@@ -12,12 +12,25 @@ from parlance.streaming import live, state
 
 E = f"with {EVENTS_SQL}"
 
+#: a stream of files comes in so many batches, however many files there are, as each batch opens all partitions of the state
+BATCHES = 4
+
+
+def written(spark, e) -> tuple[str, int]:
+    """Events as JSON files, in no order of time, as many as the session has shuffle partitions, with the files of a batch."""
+    path, files = scratch(spark, "live-events"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e.repartition(files, "line").write.json(path)
+    return path, -(-files // BATCHES)
+
+
+def state_partitions(spark) -> int:
+    """Partitions of typed state: each takes a Python worker and a store of its own in every batch, so not many more than cores."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(16, 2 * spark.sparkContext.defaultParallelism))
+
 
 def streamed(spark, sf, pattern="**"):
-    """A stream of files, in no order of time; as many are written at a time as the session has shuffle partitions."""
-    path = scratch(spark, "live-events")
-    events(spark, sf).select("game", "time", "line", "name", "sender").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line").write.json(path)
-    return live.stream_events(spark, path, pattern=pattern, files_per_trigger=4)
+    path, files = written(spark, events(spark, sf).select("game", "time", "line", "name", "sender"))
+    return live.stream_events(spark, path, pattern=pattern, files_per_trigger=files)
 
 
 @query("t01_stream_ingest", f"{E} select line, name from e where name not in ('view', 'click')")
@@ -47,7 +60,7 @@ def live_score(spark, sf):
 
 @query("t05_live_pairing", f"{E}, {ROLES} select game, player, ['MOVE_SUBMISSION', 'WAITING'][n] as role from rn where n <= 2 and (select count(*) from rn b where b.game = rn.game) >= 2")
 def live_pairing(spark, sf):
-    found = live.drain(state.live_pairing(streamed(spark, sf), ("MOVE_SUBMISSION", "WAITING")), scratch(spark, "t05"), scratch(spark, "t05-state"))
+    found = live.drain(state.live_pairing(streamed(spark, sf), ("MOVE_SUBMISSION", "WAITING")), scratch(spark, "t05"), scratch(spark, "t05-state"), state_partitions(spark))
     last = found.groupBy("game").agg(F.max("version").alias("version"))
     return found.join(last, ["game", "version"]).select("game", "player", "role")
 
@@ -55,9 +68,8 @@ def live_pairing(spark, sf):
 @query("t06_live_log", ORACLE_SQL["t06_triggered_log"])
 def live_log(spark, sf):
     """Events come in no order of time, so they may be as late as the table is long; one far event at the end passes them all."""
-    path = scratch(spark, "live-events")
     e = events(spark, sf).select("game", "time", "line", "name", "sender")
-    e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line").write.json(path)
+    path, files = written(spark, e)
     e.groupBy().agg(F.lit(-1).cast("long").alias("game"), (F.max("time") + 800 * 86_400_000_000).alias("time"), F.lit(-1).cast("long").alias("line"), F.lit("end").alias("name")).where("time is not null").write.mode("append").json(path)
-    log = live.stream_events(spark, path, files_per_trigger=4, pattern="**")
-    return live.drain(state.triggered_stream(log, "signup", "error", "400 days").select("line"), scratch(spark, "t06"), scratch(spark, "t06-state"))
+    log = live.stream_events(spark, path, files_per_trigger=files, pattern="**")
+    return live.drain(state.triggered_stream(log, "signup", "error", "400 days").select("line"), scratch(spark, "t06"), scratch(spark, "t06-state"), state_partitions(spark))

@@ -65,10 +65,18 @@ def live_score(events: DataFrame, new_round: str, won: str, lost: str, late: str
     return sums.select("game", "play.start", "play.end", "events", "round", "score").withColumnsRenamed({"start": "from", "end": "until"}) if idle else sums
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all there is, into Parquet, and read the result."""
-    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+def drain(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
+    """Run a stream over all there is, into Parquet, and read the result. ``partitions`` is for the state of a new checkpoint, if the session's shuffle partitions are not meant."""
+    spark = stream.sparkSession
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        if partitions:
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        run = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)  # has a session of its own from here
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -54,3 +54,21 @@ def test_collector_counts_all_events(spark, sf_dir):
     load()
     got = QUERIES["x04_collector"](spark, sf_dir).agg(F.sum("n_events")).first()[0]
     assert got == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_streams_take_few_batches_whatever_the_files(spark, sf_dir, tmp_path):
+    import os
+
+    from parlance.plans.stream_queries import BATCHES, streamed
+    from parlance.streaming import live, state
+
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "18")
+        found = state.live_pairing(streamed(spark, sf_dir), ("first", "second"))
+        assert live.drain(found, f"{tmp_path}/out", f"{tmp_path}/state", 3).count() > 0
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "18"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    assert len([x for x in os.listdir(f"{tmp_path}/state/commits") if x.isdigit()]) <= BATCHES + 1
+    assert len([x for x in os.listdir(f"{tmp_path}/state/state/0") if x.isdigit()]) == 3
