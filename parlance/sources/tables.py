@@ -44,7 +44,16 @@ def read_event_utts(spark: SparkSession, paths: Sequence[str] | str, schema: str
 def read_session_metadata(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """(session, key, value); an error if a session has a key twice."""
     raw = spark.read.schema("key string, value string").option("sep", "\t").option("recursiveFileLookup", "true").csv(paths if isinstance(paths, str) else list(paths))
-    rows = raw.withColumn("session", F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", ""))
+    return _unique_metadata(raw.withColumn("session", F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")))
+
+
+def session_metadata(lines_: DataFrame) -> DataFrame:
+    """As ``read_session_metadata``, of lines (path, line_no, value)."""
+    cells = F.from_csv("value", "key string, value string", {"sep": "\t"})
+    return _unique_metadata(lines_.where("value <> ''").select(F.regexp_replace("path", r"/[^/]*$", "").alias("session"), cells.alias("r")).select("session", "r.*"))
+
+
+def _unique_metadata(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session", "key").agg(checked(F.min("value"), F.count("*") == 1, "a metadata key comes twice").alias("value"))
 
 
@@ -55,13 +64,18 @@ def metadata_map(long: DataFrame) -> DataFrame:
 
 def read_participant_metadata(spark: SparkSession, paths: Sequence[str] | str, glob: str = "*") -> DataFrame:
     """(session, metadatum, participant, value) of tables with a column for each participant; short rows are filled with empty values."""
-    cells = lines(spark, paths, glob).where("value <> ''").select("path", "line_no", F.split("value", "\t").alias("c"))
+    return participant_metadata(lines(spark, paths, glob))
+
+
+def participant_metadata(lines_: DataFrame) -> DataFrame:
+    """As ``read_participant_metadata``, of lines (path, line_no, value)."""
+    cells = lines_.where("value <> ''").select("path", "line_no", F.split("value", "\t").alias("c"))
     head = cells.where("line_no = 0").select("path", F.col("c").alias("h"))
     body = cells.where("line_no > 0").join(head, "path").select(F.regexp_replace("path", r"/[^/]*$", "").alias("session"), F.get("c", F.lit(0)).alias("metadatum"), "c", F.posexplode("h").alias("i", "participant"))
     return body.where("i > 0").select("session", "metadatum", "participant", F.coalesce(F.get("c", F.col("i")), F.lit("")).alias("value"))
 
 
-def write_tsv(df: DataFrame, path: str, partition: Sequence[str] = (), header: bool = True) -> None:
-    """A table with ``?`` for null, in directories by ``partition``; arrays are joined by spaces."""
+def write_tsv(df: DataFrame, path: str, partition: Sequence[str] = (), header: bool = True, compression: str = "none") -> None:
+    """A table with ``?`` for null, in directories by ``partition``; arrays are joined by spaces. With many sessions, let the session be a column, and the files few."""
     flat: list[Column] = [F.array_join(c, " ").alias(c) if t.startswith("array<") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.partitionBy(*partition).option("sep", "\t").option("header", str(header).lower()).option("nullValue", NULL).option("emptyValue", "").option("quote", "").csv(path)
+    df.select(*flat).write.partitionBy(*partition).option("sep", "\t").option("header", str(header).lower()).option("nullValue", NULL).option("emptyValue", "").option("quote", "").option("compression", compression).csv(path)

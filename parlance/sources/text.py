@@ -27,6 +27,11 @@ def discover_sessions(spark: SparkSession, paths: Sequence[str] | str, glob: str
     return found.select(F.regexp_replace("path", r"/[^/]*$", "").alias("session_dir"), F.col("path").alias("desc_path"))
 
 
+def sessions_in(lines_: DataFrame) -> DataFrame:
+    """(session_dir, desc_path) of the descriptors that lines (path, line_no, value) belong to."""
+    return lines_.select("path").distinct().select(parent("path").alias("session_dir"), F.col("path").alias("desc_path"))
+
+
 def complete_sessions(files: DataFrame, needed: Sequence[str], path: str = "path") -> DataFrame:
     """Directories that hold all ``needed`` file names."""
     at = files.select(parent(path).alias("session_dir"), F.regexp_extract(path, r"([^/]*)$", 1).alias("name"))

@@ -72,3 +72,23 @@ def test_streams_take_few_batches_whatever_the_files(spark, sf_dir, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", own)
     assert len([x for x in os.listdir(f"{tmp_path}/state/commits") if x.isdigit()]) <= BATCHES + 1
     assert len([x for x in os.listdir(f"{tmp_path}/state/state/0") if x.isdigit()]) == 3
+
+
+def test_packed_sessions_take_few_files(spark, tmp_path):
+    import glob
+
+    from parlance.sources import packed, tables, text
+
+    rows = spark.range(300, numPartitions=3).select(F.when(F.col("id") > 0, F.col("id")).alias("d"), F.concat(F.lit("k = v"), "id").alias("a"), F.lit("# k = x").alias("b"))
+    path = f"{tmp_path}/packed"
+    packed.pack(packed.files_of(rows, packed.file_path("d", "one.properties"), F.col("a"), F.col("b")), path)
+    packed.pack(packed.files_of(rows, packed.file_path("d", "two.tsv"), F.lit("ID\tx\ty"), F.lit("n\t1")), path)
+    assert len(glob.glob(f"{path}/*.parquet")) == 6
+    assert text.sessions_in(packed.unpack(spark, path, "*.properties")).count() == 300
+    props = text.parse_properties(packed.unpack(spark, path, "one.prop*")).select(packed.session_of("path", "d").alias("s"), "key", "value")
+    assert {tuple(r) for r in props.collect()} == {(str(i) if i else None, "k", f"v{i}") for i in range(300)}
+    cells = tables.participant_metadata(packed.unpack(spark, path, "two.tsv")).select(packed.session_of("session", "d").alias("s"), "participant", "value")
+    assert {tuple(r) for r in cells.where("s = '7' or s is null").collect()} == {(s, p, v) for s in ("7", None) for p, v in (("x", "1"), ("y", ""))}
+    twice = spark.createDataFrame([("/d=1/m", 0, "k\ta"), ("/d=1/m", 1, "k\tb")], packed.LINES)
+    with pytest.raises(Exception, match="twice"):
+        tables.session_metadata(twice).collect()
