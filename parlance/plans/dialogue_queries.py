@@ -340,12 +340,12 @@ def delimiters(spark, sf):
     f"select cast(dyad as varchar) as dyad, cast(n as int) as round, speaker, case when speaker = coalesce(sent, 'user') then 'INSTRUCTOR' else 'MANIPULATOR' end as role, cast(start as float) as start_time, cast(\"end\" as float) as end_time, {text_of('tokens')} as tokens from r",
 )
 def utterance_table(spark, sf):
-    """The utterance table of every session written to its folder, and read back."""
+    """The utterance tables of all sessions written as one, with the session as a column, and read back."""
     path = scratch(spark, "utts")
     utts = rounds_.utterance_table(conversations(spark, sf), delimiters(spark, sf), F.lit(True), F.lit("user"), "dyad")
-    tables.write_tsv(utts.repartition("dyad").sortWithinPartitions("dyad", "ROUND", "START_TIME"), path, ["dyad"])
-    back = tables.read_utterances(spark, path, lambda t: F.lit(True))
-    return back.select(F.regexp_extract("session", "dyad=([^/]*)$", 1).alias("dyad"), F.col("ROUND").alias("round"), F.col("SPEAKER").alias("speaker"), F.col("DIALOGUE_ROLE").alias("role"), F.col("START_TIME").alias("start_time"), F.col("END_TIME").alias("end_time"), F.array_join("TOKENS", " ").alias("tokens"))
+    tables.write_tsv(utts.select(F.col("dyad").cast("string").alias("DYAD"), *[c for c in utts.columns if c != "dyad"]).repartition("DYAD").sortWithinPartitions("DYAD", "ROUND", "START_TIME"), path, compression="gzip")
+    back = tables.read_utterances(spark, path, lambda t: F.lit(True), f"DYAD string, {tables.UTTS}")
+    return back.select(F.col("DYAD").alias("dyad"), F.col("ROUND").alias("round"), F.col("SPEAKER").alias("speaker"), F.col("DIALOGUE_ROLE").alias("role"), F.col("START_TIME").alias("start_time"), F.col("END_TIME").alias("end_time"), F.array_join("TOKENS", " ").alias("tokens"))
 
 
 @query("s12_read_utterances", f"{C} select dyad, start, {text_of(CLEAN)} as tokens from c where len({CLEAN}) > 0")

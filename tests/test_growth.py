@@ -92,3 +92,12 @@ def test_packed_sessions_take_few_files(spark, tmp_path):
     twice = spark.createDataFrame([("/d=1/m", 0, "k\ta"), ("/d=1/m", 1, "k\tb")], packed.LINES)
     with pytest.raises(Exception, match="twice"):
         tables.session_metadata(twice).collect()
+
+
+def test_events_sink_is_one_compressed_table(spark, sf_dir):
+    from parlance.plans import QUERIES, load
+
+    load()
+    back = QUERIES["s17_events_sink"](spark, sf_dir)
+    files = back.inputFiles()
+    assert all(f.endswith(".csv.gz") and "game=" not in f for f in files) and len(files) <= 4  # a file for each game before
