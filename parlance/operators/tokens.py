@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens", ordered: bool = True) -> DataFrame:
@@ -24,14 +30,42 @@ def casing_variants(counts: DataFrame) -> DataFrame:
     return counts.groupBy(F.lower("token").alias("folded")).agg(F.array_sort(F.collect_set("token")).alias("variants"), F.sum("n").alias("n")).where(F.size("variants") > 1)
 
 
+#: a lexicon of so many changing tokens is handed to all tasks
+LEXICON = 200_000
+
+
 def lemmatise(df: DataFrame, lexicon: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """(key, lemmas) with each token's lemma from ``lexicon`` (token, lemma; tokens unique), or the token itself. Distinct tokens are looked up once."""
+    """(key, lemmas) with each token's lemma from ``lexicon`` (token, lemma; tokens unique), or the token itself.
+
+    The tokens that a lexicon changes are counted; up to LEXICON of them are looked up where the rows are,
+    by batches of arrays, so no token is shuffled. More are joined with the distinct tokens of ``df`` first.
+    """
+    changing = lexicon.where((F.col("token").isNotNull()) & (F.col("lemma") != F.col("token"))).select("token", "lemma")
+    few = changing.limit(LEXICON + 1).toArrow()
+    if few.num_rows <= LEXICON:
+        return _looked_up(df, few["token"].combine_chunks(), few["lemma"].combine_chunks(), key, tokens)
     long = df.select(key, F.posexplode(tokens).alias("pos", "token"))
-    forms = long.select("token").distinct().join(lexicon, "token").where(F.col("lemma") != F.col("token"))
+    forms = long.select("token").distinct().join(changing, "token")
     looked = long.join(forms, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("lemma")))).alias("l"))
     return df.select(key).join(looked.select(key, F.transform("l", lambda x: x["lemma"]).alias("lemmas")), key, "left").withColumn("lemmas", F.coalesce("lemmas", F.array().cast("array<string>")))
 
 
+def _looked_up(df: DataFrame, known: pa.Array, lemmas: pa.Array, key: str, tokens: str) -> DataFrame:
+    """(key, lemmas) by a look-up of all tokens of a batch at once."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("lemmas")
+            flat = lists.flatten()
+            found = pc.coalesce(lemmas.take(pc.index_in(flat, value_set=known)), flat) if len(known) else flat
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(offsets), found)], names=[key, "lemmas"])
+
+    rows = df.select(key, F.col(tokens).alias("lemmas"))
+    return rows.mapInArrow(look, StructType([df.schema[key], StructField("lemmas", ArrayType(StringType()))]))
+
+
 def union_lists(*lists: DataFrame) -> DataFrame:
     """The distinct words of several lists."""
     out = lists[0].select("word")
@@ -45,22 +79,51 @@ def read_trees(trees: DataFrame, sentence: str = "sent", tree: str = "tree") ->
 
     Spans are half-open and count tokens; the root has depth 0; ``head`` is the first token under a node,
     null for one without tokens. A null or blank tree has no nodes; brackets that close nothing end
-    none, and nodes left open end with the sentence. Each sentence is swept once, in order.
+    none, and nodes left open end with the sentence. Each sentence is swept once, where it is.
     """
-    marks = trees.select(sentence, F.posexplode(F.regexp_extract_all(F.coalesce(tree, F.lit("")), F.lit(r"\(\s*[^\s()]*|\)|[^\s()]+"), F.lit(0))).alias("i", "mark"))
-    opens, closes = F.col("mark").startswith("("), F.col("mark") == ")"
-    order = Window.partitionBy(sentence).orderBy("i")
-    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda c: F.coalesce(F.sum(c.cast("int")).over(sofar), F.lit(0))
-    swept = marks.withColumns({"n": count(~opens & ~closes), "level": count(opens) - count(closes), "leaf": ~opens & ~closes})
-    # a node's own level is that after it opens and that before it closes
-    leveled = swept.withColumn("depth", F.col("level") - F.when(closes, 0).otherwise(1)).withColumn("next_token", F.min(F.when(F.col("leaf"), F.struct("i", "mark", "n"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    total = F.max("n").over(Window.partitionBy(sentence))
-    ends = F.lead("n").over(Window.partitionBy(sentence, "depth").orderBy("i"))
-    nodes = leveled.withColumn("total", total).where(~F.col("leaf")).withColumn("end", F.coalesce(ends, F.col("total"))).where(F.col("mark").startswith("("))
-    head = F.when(F.col("end") > F.col("n"), F.col("next_token")["mark"])
-    nodes = nodes.select(sentence, F.trim(F.substring("mark", 2, 1 << 30)).alias("label"), F.col("n").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("depth").cast("int").alias("depth"), head.alias("head"))
-    return swept.where("leaf").select(sentence, (F.col("n") - 1).cast("int").alias("pos"), F.col("mark").alias("token")), nodes
+    marks = trees.select(sentence, F.regexp_extract_all(F.coalesce(tree, F.lit("")), F.lit(r"\(\s*[^\s()]*|\)|[^\s()]+"), F.lit(0)).alias("marks"))
+    word, node = StructType([trees.schema[sentence], *StructType.fromDDL("pos int, token string")]), StructType([trees.schema[sentence], *StructType.fromDDL("label string, start int, end int, depth int, head string")])
+    return marks.mapInArrow(_sweeper(_words, sentence, word), word), marks.mapInArrow(_sweeper(_nodes, sentence, node), node)
+
+
+def _words(marks: list[str]) -> Iterator[tuple]:
+    """(pos, token) of the leaves."""
+    return enumerate(m for m in marks if m != ")" and not m.startswith("("))
+
+
+def _nodes(marks: list[str]) -> Iterator[tuple]:
+    """(label, start, end, depth, head) of the nodes, as they end."""
+    leaves, stack, level = [m for m in marks if m != ")" and not m.startswith("(")], [], 0
+    at = 0
+
+    def done(label: str, start: int, depth: int) -> tuple:
+        return label, start, at, depth, leaves[start] if at > start else None
+
+    for m in marks:
+        if m.startswith("("):
+            stack.append((m[1:].strip(" "), at, level))
+            level += 1
+        elif m == ")":
+            level -= 1
+            if stack and stack[-1][2] == level:
+                yield done(*stack.pop())
+        else:
+            at += 1
+    while stack:
+        yield done(*stack.pop())
+
+
+def _sweeper(sweep: Callable[[list[str]], Iterator[tuple]], sentence: str, schema: StructType) -> Callable:
+    """Rows of ``schema`` from each sentence's marks, some thousand to a batch."""
+    kinds, names = [f.type for f in to_arrow_schema(schema)], schema.names
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = ((s, *r) for s, marks in zip(b.column(sentence).to_pylist(), b.column("marks").to_pylist()) for r in sweep(marks))
+            while part := list(islice(rows, 20_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=names)
+
+    return swept
 
 
 def outermost_spans(nodes: DataFrame, label: str, sentence: str = "sent") -> DataFrame:

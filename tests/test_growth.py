@@ -101,3 +101,30 @@ def test_events_sink_is_one_compressed_table(spark, sf_dir):
     back = QUERIES["s17_events_sink"](spark, sf_dir)
     files = back.inputFiles()
     assert all(f.endswith(".csv.gz") and "game=" not in f for f in files) and len(files) <= 4  # a file for each game before
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trees_are_swept_where_they_are(spark):
+    from parlance.operators import tokens
+
+    trees = spark.createDataFrame([(1, "(S (NP (DT the) (NN cat)) (VP sat"), (2, ") ) (A (B x)) y"), (None, "(X)"), (4, None)], "sent int, tree string")
+    words, nodes = tokens.read_trees(trees)
+    assert {tuple(r) for r in words.collect()} == {(1, 0, "the"), (1, 1, "cat"), (1, 2, "sat"), (2, 0, "x"), (2, 1, "y")}
+    want = {(1, "S", 0, 3, 0, "the"), (1, "NP", 0, 2, 1, "the"), (1, "DT", 0, 1, 2, "the"), (1, "NN", 1, 2, 2, "cat"), (1, "VP", 2, 3, 1, "sat"), (2, "A", 0, 1, -2, "x"), (2, "B", 0, 1, -1, "x"), (None, "X", 0, 0, 0, None)}
+    assert {tuple(r) for r in nodes.collect()} == want
+    assert "Window" not in plan(words) + plan(nodes)  # windows shuffled and sorted every mark
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_lemmas_are_looked_up_where_rows_are(spark, monkeypatch, most):
+    from parlance.operators import tokens
+
+    monkeypatch.setattr(tokens, "LEXICON", most)
+    rows = [(1, ["The", "cats", None, "the"]), (2, []), (3, None), (4, ["x"] * 5 + ["cats"])]
+    lexicon = spark.createDataFrame([("The", "the"), ("cats", "cat"), ("x", "x"), (None, "n")], "token string, lemma string")
+    found = tokens.lemmatise(spark.createDataFrame(rows, "k long, tokens array<string>"), lexicon, "k")
+    assert {r.k: r.lemmas for r in found.collect()} == {1: ["the", "cat", None, "the"], 2: [], 3: [], 4: ["x"] * 5 + ["cat"]}
+    assert most == 0 or "Join" not in plan(found) and "Aggregate" not in plan(found)
