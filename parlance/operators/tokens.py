@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
@@ -81,11 +82,15 @@ def read_trees(trees: DataFrame, sentence: str = "sent", tree: str = "tree") ->
     null for one without tokens. A null or blank tree has no nodes; brackets that close nothing end
     none, and nodes left open end with the sentence. Each sentence is swept once, where it is.
     """
-    marks = trees.select(sentence, F.regexp_extract_all(F.coalesce(tree, F.lit("")), F.lit(r"\(\s*[^\s()]*|\)|[^\s()]+"), F.lit(0)).alias("marks"))
+    marks = trees.select(sentence, F.col(tree).alias("tree")).where("tree is not null")
     word, node = StructType([trees.schema[sentence], *StructType.fromDDL("pos int, token string")]), StructType([trees.schema[sentence], *StructType.fromDDL("label string, start int, end int, depth int, head string")])
     return marks.mapInArrow(_sweeper(_words, sentence, word), word), marks.mapInArrow(_sweeper(_nodes, sentence, node), node)
 
 
+#: what a tree is read by: a bracket with its label, a closing bracket, a leaf
+MARK = re.compile(r"\(\s*[^\s()]*|\)|[^\s()]+", re.ASCII)
+
+
 def _words(marks: list[str]) -> Iterator[tuple]:
     """(pos, token) of the leaves."""
     return enumerate(m for m in marks if m != ")" and not m.startswith("("))
@@ -114,12 +119,12 @@ def _nodes(marks: list[str]) -> Iterator[tuple]:
 
 
 def _sweeper(sweep: Callable[[list[str]], Iterator[tuple]], sentence: str, schema: StructType) -> Callable:
-    """Rows of ``schema`` from each sentence's marks, some thousand to a batch."""
+    """Rows of ``schema`` from the marks of each sentence's tree, some thousand to a batch."""
     kinds, names = [f.type for f in to_arrow_schema(schema)], schema.names
 
     def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = ((s, *r) for s, marks in zip(b.column(sentence).to_pylist(), b.column("marks").to_pylist()) for r in sweep(marks))
+            rows = ((s, *r) for s, marks in zip(b.column(sentence).to_pylist(), map(MARK.findall, b.column("tree").to_pylist())) for r in sweep(marks))
             while part := list(islice(rows, 20_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=names)
 
