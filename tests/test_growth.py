@@ -128,3 +128,44 @@ def test_lemmas_are_looked_up_where_rows_are(spark, monkeypatch, most):
     found = tokens.lemmatise(spark.createDataFrame(rows, "k long, tokens array<string>"), lexicon, "k")
     assert {r.k: r.lemmas for r in found.collect()} == {1: ["the", "cat", None, "the"], 2: [], 3: [], 4: ["x"] * 5 + ["cat"]}
     assert most == 0 or "Join" not in plan(found) and "Aggregate" not in plan(found)
+
+
+def test_sets_that_share_words_go_to_few_blocks(spark, monkeypatch):
+    """Pairs that nearly all share tokens are compared in blocks of 20 * ``block`` sets; each set went to as many places as there are blocks of ``block``."""
+    from parlance.operators import dialogue
+    from parlance.sources import scratch as folder
+
+    rng = random.Random(5)
+    rows = [(o, [f"w{rng.randrange(30)}" for _ in range(rng.randrange(5, 15))]) for o in (1, 2) for _ in range(800)]
+    paths = []
+    monkeypatch.setattr(dialogue, "scratch", lambda s, what: paths.append(folder.scratch(s, what)) or paths[-1])
+    got = {(r.ordinal, round(r.overlap, 9)): r.n for r in dialogue.previous_order_pairs(spark.createDataFrame(rows, "ordinal int, tokens array<string>"), block=20).collect()}
+    copies = spark.read.parquet(paths[1]).selectExpr("explode(places) as p", "later").selectExpr("max(if(later, p.pb, p.pa))").first()[0]
+    assert copies <= 2  # 40 before
+    want = {}
+    one, two = ([set(t) for o, t in rows if o == k] for k in (1, 2))
+    for a in two:
+        for b in one:
+            key = 2, round(len(a & b) / len(a | b), 9)
+            want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+@pytest.mark.parametrize("most, wide, often", [(1 << 22, 2048, 0.003), (50, 3, 0.02), (7, 2048, 1), (1 << 22, 2, 0)])
+def test_overlaps_of_whole_blocks(monkeypatch, most, wide, often):
+    import numpy as np
+    import pandas as pd
+
+    from parlance.operators import dialogue
+
+    rng = random.Random(7)
+    side = lambda n, copies: pd.DataFrame({"t": [np.array([hash(("t", x)) for x in {int(rng.expovariate(0.1)) for _ in range(rng.randrange(0, 12))}], np.int64) for _ in range(n)], "n": [rng.randrange(1, 1 + copies) for _ in range(n)]})
+    monkeypatch.setattr(dialogue, "OFTEN", often)
+    for a, b in ((side(25, 1), side(31, 1)), (side(25, 3), side(31, 1 << 40)), (side(1, 1), side(9, 1)), (pd.DataFrame({"t": [np.array([], np.int64)], "n": [2]}), side(4, 1))):
+        want = {}
+        for s, n in a.itertuples(index=False):
+            for t, m in b.itertuples(index=False):
+                key = len(set(s) & set(t)), len(s) + len(t)
+                want[key] = want.get(key, 0) + n * m
+        got = dialogue._all_overlaps(a, b, 10, wide, most)
+        assert dict(zip(zip(got["shared"], got["total"]), got["n"])) == want
