@@ -140,12 +140,50 @@ def free_masks(pieces: DataFrame, occupied: DataFrame, rows: int, cols: int, gam
     return every.join(taken, [*size, "x", "part"], "left").select(*size, "x", "part", room.bitwiseAND(F.bitwise_not(F.coalesce("_taken", F.lit(0).cast("long")))).alias("free")).where("free <> 0")
 
 
+#: boards of more rows are not kept as one array
+BOARD_ROWS = 64
+#: rows of pieces and rectangles to a task
+TASK_ROWS = 200_000
+
+
+def _dealt(dfs: Sequence[DataFrame], game: str) -> list[DataFrame]:
+    """Each dealt by ``game`` to as many partitions as keep a task at about TASK_ROWS rows of all, at least one for each core; the rows are counted for it."""
+    n = max(dfs[0].sparkSession.sparkContext.defaultParallelism, -(-sum(df.count() for df in dfs) // TASK_ROWS))
+    return [df.repartition(n, game) for df in dfs]
+
+
+def _free_corners(pieces: DataFrame, occupied: DataFrame, rows: int, cols: int, game: str, piece: str) -> DataFrame:
+    """(game, height, width, piece, x, y) of the free places on boards of at most BOARD_ROWS rows and MASK columns.
+
+    A game's board is one array with a mask of taken columns for each row; each piece reads it, so neither places nor sizes are keys.
+    """
+    taken = occupied.select(game, *SIDES).where((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))).withColumn("_m", _mask(F.greatest("y0", F.lit(0)), F.least(F.col("y1"), F.lit(cols)) - 1))
+    taken = taken.where((F.col("x1") > 0) & (F.col("x0") < rows) & (F.col("y1") > 0) & (F.col("y0") < cols))
+    fits = pieces.select(game, "height", "width", piece).where(F.col(game).isNotNull() & F.col("height").between(1, rows) & F.col("width").between(1, cols))
+    fits, taken = _dealt([fits, taken], game)
+    row = lambda r: F.coalesce(F.bit_or(F.when((F.col("x0") <= r) & (F.col("x1") > r), F.col("_m"))), F.lit(0).cast("long"))
+    both = fits.join(taken.groupBy(game).agg(F.array(*[row(r) for r in range(rows)]).alias("_board")), game, "left")
+    any_of = lambda masks: F.aggregate(masks, F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(m))
+
+    def blocked(x: Column) -> Column:
+        """Columns in which a piece with its corner in row ``x`` would touch a taken one."""
+        return F.aggregate(F.array(any_of(F.slice("_board", x + 1, F.col("height").cast("int")))), F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(any_of(F.transform(F.sequence(F.lit(0), F.col("width").cast("int") - 1), lambda d: F.call_function("shiftrightunsigned", m, d)))))
+
+    masks = F.transform(F.sequence(F.lit(0), F.lit(rows) - F.col("height").cast("int")), blocked)
+    at_rows = both.select(game, "height", "width", piece, F.posexplode(F.when(F.col("_board").isNotNull(), masks).otherwise(F.array_repeat(F.lit(0).cast("long"), F.lit(rows + 1) - F.col("height").cast("int")))).alias("x", "_blocked"))
+    corners = F.filter(F.sequence(F.lit(0), F.lit(cols) - F.col("width").cast("int")), lambda y: F.col("_blocked").bitwiseAND(_bit(y)) == 0)
+    return at_rows.select(game, "height", "width", piece, "x", F.explode(corners).alias("y"))
+
+
 def free_regions(pieces: DataFrame, occupied: DataFrame, rows: int, cols: int, game: str = "game", piece: str = "piece") -> DataFrame:
-    """(game, piece, x0, x1, y0, y1): places of a piece's size (height, width) that touch no occupied rectangle of the game, see ``free_masks``."""
-    size = [game, "height", "width"]
-    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda i: F.col("free").bitwiseAND(_bit(i)) != 0)
-    free = free_masks(pieces, occupied, rows, cols, game).select(*size, "x", F.explode(F.transform(bits, lambda i: i + F.col("part") * MASK)).alias("y"))
-    found = pieces.select(*size, piece).join(free, size)
+    """(game, piece, x0, x1, y0, y1): places of a piece's size (height, width) that touch no occupied rectangle of the game; on large boards see ``free_masks``."""
+    if rows <= BOARD_ROWS and cols <= MASK:
+        found = _free_corners(pieces, occupied, rows, cols, game, piece)
+    else:
+        size = [game, "height", "width"]
+        bits = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda i: F.col("free").bitwiseAND(_bit(i)) != 0)
+        free = free_masks(pieces, occupied, rows, cols, game).select(*size, "x", F.explode(F.transform(bits, lambda i: i + F.col("part") * MASK)).alias("y"))
+        found = pieces.select(*size, piece).join(free, size)
     return found.select(game, piece, F.col("x").alias("x0"), (F.col("x") + F.col("height")).cast("int").alias("x1"), F.col("y").alias("y0"), (F.col("y") + F.col("width")).cast("int").alias("y1"))
 
 

@@ -169,3 +169,22 @@ def test_overlaps_of_whole_blocks(monkeypatch, most, wide, often):
                 want[key] = want.get(key, 0) + n * m
         got = dialogue._all_overlaps(a, b, 10, wide, most)
         assert dict(zip(zip(got["shared"], got["total"]), got["n"])) == want
+
+
+@pytest.mark.parametrize("rows_of_board", [64, 0])
+def test_free_places_by_boards(spark, monkeypatch, rows_of_board):
+    """A task holds about TASK_ROWS rows, however many there are and whatever the session's partitions; partitions grew to any size before."""
+    from parlance.operators import geometry
+
+    monkeypatch.setattr(geometry, "BOARD_ROWS", rows_of_board)
+    monkeypatch.setattr(geometry, "TASK_ROWS", 10)
+    rng = random.Random(3)
+    rows, cols = 7, 62
+    taken = [(g, x, x + rng.randrange(0, 4), y, y + rng.randrange(0, 30)) for g in [None, *range(1, 12)] for _ in range(9) for x, y in [(rng.randrange(-2, rows), rng.randrange(-5, cols + 3))]]
+    pieces = [(g, 10 * (g or 0) + i, rng.randrange(0, rows + 2), rng.choice([0, 1, 2, 5, 31, 62, 63])) for g in [None, *range(1, 14)] for i in range(6)] + [(2, 20, 1, 2), (3, 99, None, 2)]
+    place = "game int, x0 int, x1 int, y0 int, y1 int"
+    got = geometry.free_regions(spark.createDataFrame(pieces, "game int, piece int, height int, width int"), spark.createDataFrame(taken, place), rows, cols)
+    assert not rows_of_board or got.rdd.getNumPartitions() >= 10  # 4 before
+    free = lambda g, x, y, h, w: not any(t[0] == g and t[1] < t[2] and t[3] < t[4] and x < t[2] and t[1] < x + h and y < t[4] and t[3] < y + w for t in taken)
+    want = sorted((g, p, x, x + h, y, y + w) for g, p, h, w in pieces if g and h and w for x in range(rows - h + 1) for y in range(cols - w + 1) if free(g, x, y, h, w))
+    assert sorted(tuple(r) for r in got.collect()) == want
