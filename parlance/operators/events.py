@@ -84,8 +84,8 @@ def _stretches(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame | Non
         return None
     # at most one row of ``hot`` and two carried rows for each HOT_ROWS rows are broadcast
     n = F.ceil(F.col("_rows") / HOT_ROWS)
-    stretch = F.least(n - 1, F.floor((F.col(time) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * n))
-    return _on_keys(df, hot, keys).withColumn("_stretch", F.when(F.col("_rows").isNull(), -1).otherwise(F.coalesce(stretch, F.lit(0)))).drop("_rows", "_lo", "_hi")
+    stretch = F.coalesce(F.floor((F.col(time) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * n), F.lit(0))  # rows without time are first
+    return _on_keys(df, hot, keys).withColumn("_stretch", F.when(F.col("_rows").isNull(), -1).otherwise(F.least(n - 1, stretch))).drop("_rows", "_lo", "_hi")
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], by: Sequence[str], back: Mapping[str, Column] | None = None, ahead: Mapping[str, Column] | None = None, folds: Mapping[str, tuple] | None = None) -> DataFrame:
@@ -225,6 +225,24 @@ def event_steps(log: DataFrame, new: Column, won: Column, lost: Column, game: st
 SIDES = ("x0", "x1", "y0", "y1")
 
 
+#: events of a game that stand in one row until they meet its entities
+SPAN = 256
+
+
+def _stays(log: DataFrame, entities: DataFrame, moves: DataFrame) -> DataFrame:
+    """(game, entity, looks, place, first, last): where each entity stands from one event of its game to another, by their numbers; ``entities`` is (game, entity, looks, place).
+
+    A move holds from the first event after its time to the entity's next one, whatever the number of events between.
+    """
+    ends = log.groupBy("game").agg(F.count("*").alias("_events"))
+    marks = log.select("game", "time", F.lit(1).alias("_n")).unionByName(moves.where("time is not null").select("game", "time", F.lit(0).alias("_n"), "entity", "place"), allowMissingColumns=True)
+    moved = running(marks, ["game"], ["time"], {"_after": ("sum", F.col("_n"), _to_time)}).where("_n = 0").drop("_n")
+    at_first = entities.join(ends, "game").withColumns({"time": F.lit(None).cast(log.schema["time"].dataType), "_after": F.lit(0).cast("long"), "_is": F.struct("looks", "_events")}).drop("looks", "_events")
+    near = neighbours(at_first.unionByName(moved, allowMissingColumns=True), ["game", "entity"], ["time", "place"], ahead={"_until": F.col("_after")}, folds={"_of": ("max", F.col("_is"))})
+    last = F.coalesce("_until", F.col("_of")["_events"])
+    return near.where(F.col("_of").isNotNull() & (F.col("_after") < last)).select("game", "entity", F.col("_of")["looks"].alias("looks"), "place", (F.col("_after") + 1).alias("first"), last.alias("last"))
+
+
 def event_entity_table(log: DataFrame, entities: DataFrame, moves: DataFrame, new: Column, won: Column, lost: Column, picks: Sequence[str], rows: int, cols: int, prefix: str = "") -> DataFrame:
     """A row for each event of ``log`` and entity of its game, with the event's 9 columns, the entity's 12 features at that time and ``game``.
 
@@ -233,12 +251,20 @@ def event_entity_table(log: DataFrame, entities: DataFrame, moves: DataFrame, ne
     entity, time, x0, x1, y0, y1) the places that entities are moved to. An entity stands where its last
     move strictly before the event put it. ``picks`` are names of events that select their piece,
     ``prefix`` is a pattern that is taken off names. Columns are those of an events table.
+
+    SPAN events in a row and the stays that touch them are joined and become pairs of event and entity
+    last, so what is shuffled grows with events, moves and entities, not with their pairs.
     """
-    steps = event_steps(log, new, won, lost)
-    place = F.struct(*SIDES)
-    pairs = entity_rows(steps, entities.withColumn("place", place).drop(*SIDES), "game").withColumnRenamed("place", "first_place")
-    moved = moves.select("game", "entity", "time", place.alias("place"))
-    placed = entity_position_asof(pairs, moved, "game", "entity", "time", "place", F.col("first_place"))
+    place = F.struct(*SIDES).alias("place")
+    looks = [c for c in entities.columns if c not in ("game", "entity", *SIDES)]
+    stays = _stays(log, entities.select("game", "entity", F.struct(*looks).alias("looks"), place), moves.select("game", "entity", "time", place))
+    span = lambda c: F.floor((F.col(c) - 1) / SPAN)
+    touched = stays.withColumn("_span", F.explode(F.sequence(span("first"), span("last"))))
+    told = F.struct("event", "round", "score", "time", "since", "name", "sender", "moved", "piece")
+    spans = event_steps(log, new, won, lost).groupBy("game", span("event").alias("_span")).agg(F.array_sort(F.collect_list(told)).alias("_told"))
+    begin = F.greatest(F.col("first") - F.col("_span") * SPAN, F.lit(1)).cast("int")
+    own = F.slice("_told", begin, F.least(F.col("last") - F.col("_span") * SPAN, F.lit(SPAN)).cast("int") - begin + 1)
+    placed = touched.join(spans, ["game", "_span"]).select("game", "entity", "looks.*", "place", F.explode(own).alias("_event")).select("game", "entity", *looks, "place", "_event.*")
     features = entity_features(F.col("argb"), F.col("place"), rows, cols)
     columns = {
         "EVENT": F.col("event").cast("int"), "ROUND": F.col("round").cast("int"), "SCORE": F.col("score").cast("int"), "TIME": ((F.col("time") - F.col("since")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,6)"),

@@ -188,3 +188,30 @@ def test_free_places_by_boards(spark, monkeypatch, rows_of_board):
     free = lambda g, x, y, h, w: not any(t[0] == g and t[1] < t[2] and t[3] < t[4] and x < t[2] and t[1] < x + h and y < t[4] and t[3] < y + w for t in taken)
     want = sorted((g, p, x, x + h, y, y + w) for g, p, h, w in pieces if g and h and w for x in range(rows - h + 1) for y in range(cols - w + 1) if free(g, x, y, h, w))
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("hot, span", [(2_000_000, 256), (5, 256), (2_000_000, 4), (5, 1)])
+def test_events_meet_entities_after_the_last_shuffle(spark, monkeypatch, hot, span):
+    """Pairs of event and entity were shuffled and sorted; now they come of the last step."""
+    from parlance.operators import events
+
+    monkeypatch.setattr(events, "HOT_ROWS", hot)
+    monkeypatch.setattr(events, "SPAN", span)
+    rng = random.Random(11)
+    log = [(g, rng.choice([None, *range(12)]), line, rng.choice(["new", "won", "x"]), "p", rng.randrange(3)) for line, g in enumerate([1] * 30 + [2] * 3 + [None] * 2 + [4])]
+    entities = [(g, e, "disc", 1, 7, e, e + 1, 0, 1) for g in (None, 1, 2, 3) for e in (0, 1, 2, 9)]
+    moves = [(g, e, t, x, x + 1, 3, 4) for x, (g, e, t) in enumerate([(1, 0, 3), (1, 0, 3), (1, 0, 5), (1, 1, -1), (1, 1, 11), (1, 2, None), (1, 8, 2), (2, 0, 4), (2, 0, 40), (3, 0, 1), (1, 9, 7), (1, 9, 8), (None, 1, 1)])]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    log_, entities_ = frame(log, "game int, time long, line long, name string, sender string, piece int"), frame(entities, "game int, entity int, shape string, edge_count int, argb int, x0 int, x1 int, y0 int, y1 int")
+    found = events.event_entity_table(log_, entities_, frame(moves, "game int, entity int, time long, x0 int, x1 int, y0 int, y1 int"), F.col("name") == "new", F.col("name") == "won", F.col("name") == "x", ("x",), 20, 20)
+    want = []
+    for g in (1, 2):
+        told = sorted((r for r in log if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for n, (_, time, *_) in enumerate(told, 1):
+            for e in (0, 1, 2, 9):
+                before = [(t, x) for mg, me, t, x, *_ in moves if (mg, me) == (g, e) and t is not None and time is not None and t < time]
+                want.append((g, n, e + 1, ((max(before)[1] if before else e) + 0.5) / 20, (3.5 if before else 0.5) / 20))
+    assert sorted((r.game, r.EVENT, r.ENTITY, r.POSITION_X, r.POSITION_Y) for r in found.collect()) == sorted(want)
+    lines = plan(found).splitlines()
+    pairs = [i for i, line in enumerate(lines) if "Generate explode(slice" in line]
+    assert pairs and not [line for line in lines[: pairs[0]] if "Window" in line or "Join" in line or "Aggregate" in line]
