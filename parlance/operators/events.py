@@ -17,6 +17,7 @@ from parlance.functions.text import name_filter, strip_prefix
 from parlance.functions.values import entity_features
 from parlance.operators.geometry import STEP, level_of, levels_in
 from parlance.operators.guards import checked
+from parlance.sources import tables
 
 
 #: games with more rows are cut into stretches of time of about so many
@@ -227,6 +228,8 @@ SIDES = ("x0", "x1", "y0", "y1")
 
 #: events of a game that stand in one row until they meet its entities
 SPAN = 256
+#: events whose pairs are made in one task
+TASK_EVENTS = 20_000
 
 
 def _stays(log: DataFrame, entities: DataFrame, moves: DataFrame) -> DataFrame:
@@ -243,36 +246,62 @@ def _stays(log: DataFrame, entities: DataFrame, moves: DataFrame) -> DataFrame:
     return near.where(F.col("_of").isNotNull() & (F.col("_after") < last)).select("game", "entity", F.col("_of")["looks"].alias("looks"), "place", (F.col("_after") + 1).alias("first"), last.alias("last"))
 
 
-def event_entity_table(log: DataFrame, entities: DataFrame, moves: DataFrame, new: Column, won: Column, lost: Column, picks: Sequence[str], rows: int, cols: int, prefix: str = "") -> DataFrame:
-    """A row for each event of ``log`` and entity of its game, with the event's 9 columns, the entity's 12 features at that time and ``game``.
-
-    ``log`` is (game, time in microseconds, line, name, sender, piece); ``entities`` (game, entity, shape,
-    edge_count, argb, x0, x1, y0, y1) has the looks and first places, one row for each; ``moves`` (game,
-    entity, time, x0, x1, y0, y1) the places that entities are moved to. An entity stands where its last
-    move strictly before the event put it. ``picks`` are names of events that select their piece,
-    ``prefix`` is a pattern that is taken off names. Columns are those of an events table.
+def _pairs(log: DataFrame, entities: DataFrame, moves: DataFrame, new: Column, won: Column, lost: Column, picks: Sequence[str], rows: int, cols: int, prefix: str, tell: Callable, show: Callable) -> DataFrame:
+    """A row for each event of ``log`` and entity of its game: game, entity, what ``tell`` makes of the event's columns, what ``show`` makes of the entity's at that time, ``moved`` and ``picked`` of the event.
 
-    SPAN events in a row and the stays that touch them are joined and become pairs of event and entity
-    last, so what is shuffled grows with events, moves and entities, not with their pairs.
+    Both are made where an event and a stay are one row each. SPAN events in a row and the stays that
+    touch them are joined and become pairs of event and entity last, so what is shuffled grows with
+    events, moves and entities, not with their pairs. Tasks follow from the number of events, as a row of
+    the join becomes many.
     """
     place = F.struct(*SIDES).alias("place")
     looks = [c for c in entities.columns if c not in ("game", "entity", *SIDES)]
     stays = _stays(log, entities.select("game", "entity", F.struct(*looks).alias("looks"), place), moves.select("game", "entity", "time", place))
     span = lambda c: F.floor((F.col(c) - 1) / SPAN)
     touched = stays.withColumn("_span", F.explode(F.sequence(span("first"), span("last"))))
-    told = F.struct("event", "round", "score", "time", "since", "name", "sender", "moved", "piece")
-    spans = event_steps(log, new, won, lost).groupBy("game", span("event").alias("_span")).agg(F.array_sort(F.collect_list(told)).alias("_told"))
+    told = {
+        "EVENT": F.col("event").cast("int"), "ROUND": F.col("round").cast("int"), "SCORE": F.col("score").cast("int"), "TIME": ((F.col("time") - F.col("since")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,6)"),
+        "NAME": strip_prefix(F.col("name"), prefix) if prefix else F.col("name"), "SUBMITTER": F.col("sender"),
+    }
+    one = F.struct("event", tell(told).alias("told"), "moved", F.when(F.col("name").isin(*picks), F.col("piece")).alias("picked"))
+    spans = event_steps(log, new, won, lost).groupBy("game", span("event").alias("_span")).agg(F.array_sort(F.collect_list(one)).alias("_told"))
     begin = F.greatest(F.col("first") - F.col("_span") * SPAN, F.lit(1)).cast("int")
     own = F.slice("_told", begin, F.least(F.col("last") - F.col("_span") * SPAN, F.lit(SPAN)).cast("int") - begin + 1)
-    placed = touched.join(spans, ["game", "_span"]).select("game", "entity", "looks.*", "place", F.explode(own).alias("_event")).select("game", "entity", *looks, "place", "_event.*")
+    key, tasks = ["game", "_span"], log.count() // TASK_EVENTS + 1
+    met = touched.repartition(tasks, *key).join(spans.repartition(tasks, *key), key)
     features = entity_features(F.col("argb"), F.col("place"), rows, cols)
-    columns = {
-        "EVENT": F.col("event").cast("int"), "ROUND": F.col("round").cast("int"), "SCORE": F.col("score").cast("int"), "TIME": ((F.col("time") - F.col("since")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,6)"),
-        "NAME": strip_prefix(F.col("name"), prefix) if prefix else F.col("name"), "SUBMITTER": F.col("sender"), "ENTITY": entity_no(F.col("entity")).cast("int"), "REFERENT": is_referent(F.col("moved"), F.col("entity")),
-        "SELECTED": is_selected(F.col("name"), F.col("piece"), F.col("entity"), picks), "SHAPE": F.col("shape"), "EDGE_COUNT": F.col("edge_count").cast("int"),
-        **{n.upper(): c.cast("float") if n in ("hue", "saturation", "brightness") else c for n, c in features.items()},
-    }
-    return placed.select("game", *[c.alias(n) for n, c in columns.items()])
+    shown = {"SHAPE": F.col("shape"), "EDGE_COUNT": F.col("edge_count").cast("int"), **{n.upper(): c.cast("float") if n in ("hue", "saturation", "brightness") else c for n, c in features.items()}}
+    seen = met.select("game", "entity", "looks.*", "place", "first", "last", "_span", "_told").select("game", "entity", show(shown).alias("_shown"), "first", "last", "_span", "_told")
+    return seen.select("game", "entity", "_shown", F.explode(own).alias("_event")).select("game", "entity", "_shown", "_event.*")
+
+
+def _flags() -> dict[str, Column]:
+    """REFERENT and SELECTED of a pair."""
+    return {"REFERENT": is_referent(F.col("moved"), F.col("entity")), "SELECTED": F.coalesce(F.col("picked") == F.col("entity"), F.lit(False))}
+
+
+def event_entity_table(log: DataFrame, entities: DataFrame, moves: DataFrame, new: Column, won: Column, lost: Column, picks: Sequence[str], rows: int, cols: int, prefix: str = "") -> DataFrame:
+    """A row for each event of ``log`` and entity of its game, with the event's 9 columns, the entity's 12 features at that time and ``game``.
+
+    ``log`` is (game, time in microseconds, line, name, sender, piece); ``entities`` (game, entity, shape,
+    edge_count, argb, x0, x1, y0, y1) has the looks and first places, one row for each; ``moves`` (game,
+    entity, time, x0, x1, y0, y1) the places that entities are moved to. An entity stands where its last
+    move strictly before the event put it. ``picks`` are names of events that select their piece,
+    ``prefix`` is a pattern that is taken off names. Columns are those of an events table.
+    """
+    struct = lambda cols: F.struct(*[c.alias(n) for n, c in cols.items()])
+    pairs = _pairs(log, entities, moves, new, won, lost, picks, rows, cols, prefix, struct, struct)
+    return pairs.select("game", "told.*", entity_no(F.col("entity")).cast("int").alias("ENTITY"), *[c.alias(n) for n, c in _flags().items()], "_shown.*")
+
+
+def event_entity_lines(log: DataFrame, entities: DataFrame, moves: DataFrame, new: Column, won: Column, lost: Column, picks: Sequence[str], rows: int, cols: int, prefix: str = "") -> DataFrame:
+    """``event_entity_table``, with ``game`` first, as lines (``line``) of a tab-separated table.
+
+    An event's and an entity's part of a line are written once, and a pair only joins them.
+    """
+    text = lambda cols: tables.cells(cols, tables.GAME_EVENTS)
+    pairs = _pairs(log, entities, moves, new, won, lost, picks, rows, cols, prefix, lambda told: text({"GAME": F.col("game").cast("string")} | told), text)
+    return pairs.select(F.concat_ws("\t", "told", entity_no(F.col("entity")).cast("int").cast("string"), *[F.when(c, "true").otherwise("false") for c in _flags().values()], "_shown").alias("line"))
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, tie: str | None = None, strict: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Steps whose cost grew faster than their rows, and results that differed on odd rows."""
 
 import random
+import re
 import time
 
 import duckdb
@@ -103,6 +104,39 @@ def test_events_sink_is_one_compressed_table(spark, sf_dir):
     assert all(f.endswith(".csv.gz") and "game=" not in f for f in files) and len(files) <= 4  # a file for each game before
 
 
+@pytest.mark.parametrize("chunk", [4 << 20, 16])
+def test_events_sink_keeps_every_text(spark, tmp_path, monkeypatch, chunk):
+    """Names lost white space at their ends, empty ones became null, and one with a line break became two rows."""
+    import datetime
+
+    from parlance.operators import events as ev
+    from parlance.plans import QUERIES, load
+    from parlance.sources import tables
+
+    load()
+    monkeypatch.setattr(tables, "CHUNK", chunk, raising=False)
+    monkeypatch.setattr(ev, "TASK_EVENTS", 6, raising=False)
+    names = ["click", "signup", "purchase", "", "?", None, " a ", "a\tb", "a\nb\r\n", "\\", "\\t\\", "\\?", "\0#", "\x01", '"q"', "\u00e9\u2028\u0085", "x" * 100]
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, 0, i), g, n, i + 0.5, f'{{"k": {i % 7}}}') for i, (n, g) in enumerate((n, g) for g in (1, 2, None) for n in names)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    back = QUERIES["s17_events_sink"](spark, str(tmp_path))
+    want = QUERIES["s17_event_entity_table"](spark, str(tmp_path)).withColumn("game", F.col("game").cast("string"))
+    assert back.dtypes == want.dtypes and set(map(str, names)) == {str(r.NAME) for r in want.collect()}
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, map(tuple, want.collect()))) and want.count() == 2 * 7 * len(names)
+    assert len(re.findall(r"RepartitionByExpression \[game#\w+, _span#\w+\], 9", plan(want))) == 2  # as many tasks as the events ask for; the session's number before
+
+
+def test_lines_of_another_table_stop_the_job(spark, tmp_path):
+    from parlance.sources import tables
+
+    schema = "GAME string, N int"
+    tables.write_lines(spark.range(3).select(tables.cells({"GAME": F.lit("a"), "N": F.col("id")}, schema).alias("line")), f"{tmp_path}/t", schema)
+    assert {tuple(r) for r in tables.read_lines(spark, f"{tmp_path}/t", schema).collect()} == {("a", 0), ("a", 1), ("a", 2)}
+    for other in ("GAME string, M int", "GAME int, N int", "GAME string"):
+        with pytest.raises(Exception, match="header|onversion"):
+            tables.read_lines(spark, f"{tmp_path}/t", other).collect()
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
