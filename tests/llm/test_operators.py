@@ -45,6 +45,19 @@ def test_chat_sql_on_odd_rows(spark):
     assert spark_rows(chat.format_chats(spark.createDataFrame(rows, schema))) == sql_rows(con, queries.ORACLE_SQL["op2_chat"])
 
 
+def test_turns_without_a_conversation_are_all_rendered(spark):
+    """Each was a conversation of its own, so what began another conversation, or came twice, was gone."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yes"), (2, 0, "user", "hi"), (None, 0, "user", "hi"), (None, 1, "user", "own"), (None, 2, "user", "own"), (None, 300, "bot", "else"), (None, None, "bot", "")]
+    con = connect("/root/testdata/sf0.001")
+    con.sql("drop view conversations")
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    df = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    told = "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in (("bot", ""), ("user", "hi"), ("user", "own"), ("user", "own"), ("bot", "else")))
+    assert {(r.conv_id, r.n_turns, r.n_copies) for r in df.collect()} == {(1, 2, 1), (None, 5, 1)} and told in {r.text for r in df.collect()}
+    assert spark_rows(df) == sql_rows(con, queries.ORACLE_SQL["op2_chat"])
+
+
 def law(rows, n):
     sizes = Counter(r.shard for r in rows)
     by = defaultdict(list)
