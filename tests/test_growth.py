@@ -115,6 +115,7 @@ def test_events_sink_keeps_every_text(spark, tmp_path, monkeypatch, chunk):
 
     load()
     monkeypatch.setattr(tables, "CHUNK", chunk, raising=False)
+    monkeypatch.setattr(tables, "FILE_ROWS", chunk, raising=False)
     monkeypatch.setattr(ev, "TASK_EVENTS", 6, raising=False)
     names = ["click", "signup", "purchase", "", "?", None, " a ", "a\tb", "a\nb\r\n", "\\", "\\t\\", "\\?", "\0#", "\x01", '"q"', "\u00e9\u2028\u0085", "x" * 100]
     rows = [(i, datetime.datetime(2024, 1, 1, 0, 0, i), g, n, i + 0.5, f'{{"k": {i % 7}}}') for i, (n, g) in enumerate((n, g) for g in (1, 2, None) for n in names)]
